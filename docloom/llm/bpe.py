@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from . import common
 
@@ -27,6 +28,20 @@ CACHE = 300_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What str.split() takes for white space and the pattern's \s does not.
 CONTROL = regex.compile("[\x1c-\x1f]")
+#: Combining marks whose order differs between versions of Unicode, besides all code points that Python's has not assigned.
+UNSETTLED = [0x1DF6, 0x1D6A6, 0x1E4EC, 0x1E4ED]
+
+
+def unsettled() -> regex.Pattern:
+    """Characters on which versions of Unicode disagree; the tokenizers library normalises and splits texts that hold one."""
+    points = sorted({*UNSETTLED, *(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")})
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
 def byte_symbols() -> list[str]:
@@ -61,6 +76,9 @@ class PairIndexBPE:
         self.keys, self.ranks = keys[order], order
         self.find_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.split = regex.compile(SPLIT)
+        self.unsettled = unsettled()
+        self.library = Tokenizer.from_str(json.dumps(spec))
+        self.byte_of = {s: b for b, s in enumerate(symbol)}
         self.cache: dict[str, tuple[str, int, str]] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,7 +155,7 @@ class PairIndexBPE:
 
     def learn(self, chunks: list[str]) -> None:
         """Fill the cache for chunks of text without white space."""
-        pieces = [self.split.findall(c) for c in chunks]
+        pieces = [[c[2:]] if c[:2] == "\ud800\ud801" else self.split.findall(c) for c in chunks]
         flat = list(dict.fromkeys(w for p in pieces for w in p))
         done = {}
         for w, ids in zip(flat, self.encode_words(flat)):
@@ -150,17 +168,20 @@ class PairIndexBPE:
                 self.cache[c] = (" ".join([x[0] for x in got]), sum(x[1] for x in got), " ".join([x[2] for x in got]))
 
     def chunks(self, text: str) -> list[str]:
-        """Normalised text, split at white space; special tokens in the text stand alone, marked by a leading NUL pair."""
+        """Normalised text, split at white space; special tokens in the text stand alone, marked by two leading surrogates, which no text holds."""
         if self.find_special is not None and (found := list(self.find_special.finditer(text))):
             out, at = [], 0
             for m in found:
                 out += self._plain(text[at : m.start()])
-                out.append("\0\0" + m[0])
+                out.append("\ud800\ud800" + m[0])
                 at = m.end()
             return out + self._plain(text[at:])
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and self.unsettled.search(text):
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return ["\ud800\ud801" + bytes(self.byte_of[c] for c in p).decode() for p, _ in pieces]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower-cased by itself, without regard to its place in a word
             text = text.replace("Σ", "σ")
@@ -173,13 +194,13 @@ class PairIndexBPE:
         """(number of ids, ids joined by a space, decoded text) per text."""
         split = [self.chunks(t or "") for t in texts]
         for s, i in self.special.items():
-            self.cache["\0\0" + s] = (str(i), 1, s)
+            self.cache["\ud800\ud800" + s] = (str(i), 1, s)
         cache = self.cache
         new = list({c for s in split for c in s if c not in cache})
         if len(cache) + len(new) > CACHE:
             cache.clear()
             for s, i in self.special.items():
-                cache["\0\0" + s] = (str(i), 1, s)
+                cache["\ud800\ud800" + s] = (str(i), 1, s)
             new = list({c for s in split for c in s if c not in cache})
         self.learn(new)
         out = []
