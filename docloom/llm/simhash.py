@@ -23,8 +23,11 @@ from . import common
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Distinct fingerprints wanted in a shard, and bounds of the routing tree: its sample and its number of shards.
-SHARD_SIZE, SAMPLE, MAX_SHARDS = 4096, 16384, 1024
+#: Shards grow as the root of the number n of distinct fingerprints, root(n) / ROOT_PART: visits to other shards then grow more
+#: slowly than with shards of fixed size, and the search inside a shard prunes on without sending anything.
+ROOT_PART = 12
+#: Bounds of the routing tree: its sample and its number of shards; and the least share that a shard is cut for exceeding.
+SAMPLE, MAX_SHARDS, SHARD_SIZE = 16384, 1024, 4096
 #: Comparisons made at once inside a shard; larger blocks are split by a vantage point.
 BLOCK = 1 << 20
 
@@ -201,7 +204,8 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     point parts) are cut into pieces by fingerprint; each piece meets all visitors of the shard.
     """
     spark = reps.sparkSession
-    shards = max(1, min(MAX_SHARDS, n // SHARD_SIZE * 2))
+    shards = max(1, min(MAX_SHARDS, int(n**0.5 / ROOT_PART)))
+    share = max(SHARD_SIZE, n // shards)
     sample = [r[0] for r in reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     nodes = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), shards)
     tree = spark.sparkContext.broadcast(nodes)  # at most MAX_SHARDS leaves
@@ -213,7 +217,7 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf[home].astype(np.int32))], ["leaf"])
 
     held = dict(reps.select("fp").mapInArrow(home_leaf, "leaf int").groupBy("leaf").count().collect())  # a row per leaf at most
-    pieces = {leaf: max(1, round(c / (2 * SHARD_SIZE))) for leaf, c in held.items()}
+    pieces = {leaf: max(1, round(c / (2 * share))) for leaf, c in held.items()}
     cuts = spark.sparkContext.broadcast(np.array([pieces.get(k, 1) for k in range(max(pieces, default=0) + 1)] or [1]))
 
     def visits(batches):

@@ -56,7 +56,8 @@ def test_odd_rows(spark):
 
 
 def test_many_shards_find_every_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_SIZE", 64)
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 16)
+    monkeypatch.setattr(simhash, "ROOT_PART", 1)
     monkeypatch.setattr(simhash, "BLOCK", 256)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 600, dtype=np.int64).astype(np.uint64)
