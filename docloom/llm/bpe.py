@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
-from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +23,21 @@ from tokenizers import Tokenizer
 
 from . import common
 
-#: Distinct white-space-separated chunks whose result a worker keeps; beyond that it starts anew.
-CACHE = 300_000
+#: Distinct white-space-separated chunks whose result a worker keeps; beyond that it keeps those of the last batch.
+CACHE = 700_000
 #: The split pattern and the odd white space of the tokenizer's file format (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What str.split() takes for white space and the pattern's \s does not.
 CONTROL = regex.compile("[\x1c-\x1f]")
+#: Anything above the block that Unicode has filled long ago.
+BEYOND = re.compile("[^\x00-\u0377]")
 #: Combining marks whose order differs between versions of Unicode, besides all code points that Python's has not assigned.
 UNSETTLED = [0x1DF6, 0x1D6A6, 0x1E4EC, 0x1E4ED]
 
 
-def unsettled() -> regex.Pattern:
+def unsettled() -> frozenset[str]:
     """Characters on which versions of Unicode disagree; the tokenizers library normalises and splits texts that hold one."""
-    points = sorted({*UNSETTLED, *(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")})
-    runs: list[list[int]] = []
-    for c in points:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+    return frozenset(map(chr, {*UNSETTLED, *(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")}))
 
 
 def byte_symbols() -> list[str]:
@@ -66,7 +62,6 @@ class PairIndexBPE:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         a = np.array([self.vocab[x] for x, _ in pairs], dtype=np.int64)
         b = np.array([self.vocab[y] for _, y in pairs], dtype=np.int64)
-        self.left, self.right = a, b
         self.made = np.array([self.vocab[x + y] for x, y in pairs], dtype=np.int64)
         born = {int(t): r for r, t in reversed(list(enumerate(self.made)))}
         if any(born.get(int(x), -1) >= r or born.get(int(y), -1) >= r for r, (x, y) in enumerate(zip(a, b))):
@@ -74,12 +69,18 @@ class PairIndexBPE:
         keys = a << 20 | b
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
+        self.pairs = dict(zip(keys.tolist(), range(len(keys))))
+        self.merges = list(zip(a.tolist(), b.tolist(), self.made.tolist()))
         self.find_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.split = regex.compile(SPLIT)
         self.unsettled = unsettled()
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.byte_of = {s: b for b, s in enumerate(symbol)}
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.number = {i: str(i) for i in self.token}
+        self.complete = bool((self.inner >= 0).all() and (self.final >= 0).all())
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
+        self.forget()
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -105,67 +106,80 @@ class PairIndexBPE:
         nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
         cut = np.flatnonzero(word[1:] != word[:-1])
         nxt[cut], prv[cut + 1] = n, n
-        if n:
-            prv[0] = n
-        sym = np.append(sym, -1)
-        nxt, prv = np.append(nxt, n), np.append(prv, n)
-        places: dict[int, list[int]] = defaultdict(list)
-        start = np.flatnonzero(nxt[:n] < n)
+        prv[:1] = n
+        start = np.flatnonzero(nxt < n)
         rank = self.rank_of(sym[start], sym[start + 1])
         start, rank = start[rank >= 0], rank[rank >= 0]
         order = np.argsort(rank, kind="stable")
         start, rank = start[order], rank[order]
         step = np.flatnonzero(np.diff(rank, prepend=-1))
+        places: dict[int, list[int]] = {}
         for r, part in zip(rank[step].tolist(), np.split(start, step[1:])):
             places[r] = part.tolist()
+        sym, nxt, prv = [*sym.tolist(), -1], nxt.tolist(), prv.tolist()
+        find, push = self.pairs.get, heapq.heappush
         active = list(places)
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
-            a, b, c = self.left[r], self.right[r], self.made[r]
-            p = np.unique(np.array(places.pop(r), dtype=np.int64))
-            p = p[(sym[p] == a) & (sym[nxt[p]] == b)]
-            if a == b and len(p) > 1:  # of overlapping occurrences the leftmost is merged
-                taken, chosen = -1, []
-                for x, y in zip(p.tolist(), nxt[p].tolist()):
-                    if x != taken:
-                        chosen.append(x)
-                        taken = y
-                p = np.array(chosen, dtype=np.int64)
-            if not len(p):
-                continue
-            q = nxt[p]
-            after = nxt[q]
-            sym[p], sym[q] = c, -2
-            nxt[p] = after
-            prv[after] = p
-            prv[n] = n
-            before = prv[p]
-            at = np.concatenate([before[before < n], p[after < n]])
-            rank = self.rank_of(sym[at], sym[nxt[at]])
-            for k, x in zip(rank.tolist(), at.tolist()):
-                if k >= 0:
-                    if k not in places:
-                        heapq.heappush(active, k)
-                    places[k].append(x)
+            a, b, c = self.merges[r]
+            here = places.pop(r)
+            if a == b:  # of overlapping occurrences the leftmost is merged
+                here.sort()
+            for p in here:
+                if sym[p] != a:
+                    continue
+                q = nxt[p]
+                if sym[q] != b:
+                    continue
+                sym[p], sym[q] = c, -2
+                after, before = nxt[q], prv[p]
+                nxt[p] = after
+                if after != n:
+                    prv[after] = p
+                    k = find(c << 20 | sym[after])
+                    if k is not None:
+                        if k in places:
+                            places[k].append(p)
+                        else:
+                            places[k] = [p]
+                            push(active, k)
+                if before != n:
+                    k = find(sym[before] << 20 | c)
+                    if k is not None:
+                        if k in places:
+                            places[k].append(before)
+                        else:
+                            places[k] = [before]
+                            push(active, k)
+        sym = np.array(sym, dtype=np.int64)
         alive = np.flatnonzero(sym[:n] >= 0)
         ids = sym[alive].tolist()
         bound = np.searchsorted(word[alive], np.arange(len(raw) + 1)).tolist()
         return [ids[i:j] for i, j in zip(bound, bound[1:])]
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk of text without white space, as the split pattern has them."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return [chunk[2:]] if chunk[:2] == "\ud800\ud801" else self.split.findall(chunk)
+
     def learn(self, chunks: list[str]) -> None:
-        """Fill the cache for chunks of text without white space."""
-        pieces = [[c[2:]] if c[:2] == "\ud800\ud801" else self.split.findall(c) for c in chunks]
-        flat = list(dict.fromkeys(w for p in pieces for w in p))
-        done = {}
-        for w, ids in zip(flat, self.encode_words(flat)):
-            done[w] = (" ".join(map(str, ids)), len(ids), " ".join([self.token[i] for i in ids]))
+        """Fill the cache for chunks of text without white space: ids joined by spaces, and tokens likewise."""
+        pieces = [self.pieces(c) for c in chunks]
+        flat = list({w for p in pieces for w in p})
+        number, token = self.number.__getitem__, self.token.__getitem__
+        coded = self.encode_words(flat)
+        ids = dict(zip(flat, [" ".join(map(number, x)) for x in coded]))
+        tokens = dict(zip(flat, [" ".join(map(token, x)) for x in coded]))
         for c, p in zip(chunks, pieces):
             if len(p) == 1:
-                self.cache[c] = done[p[0]]
+                self.ids[c], self.tokens[c] = ids[p[0]], tokens[p[0]]
             else:
-                got = [x for x in (done[w] for w in p) if x[1]]
-                self.cache[c] = (" ".join([x[0] for x in got]), sum(x[1] for x in got), " ".join([x[2] for x in got]))
+                self.ids[c] = " ".join([ids[w] for w in p if ids[w]])
+                self.tokens[c] = " ".join([tokens[w] for w in p if ids[w]])
 
     def chunks(self, text: str) -> list[str]:
         """Normalised text, split at white space; special tokens in the text stand alone, marked by two leading surrogates, which no text holds."""
@@ -179,7 +193,7 @@ class PairIndexBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii() and self.unsettled.search(text):
+        if not text.isascii() and BEYOND.search(text) and not self.unsettled.isdisjoint(text):
             pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return ["\ud800\ud801" + bytes(self.byte_of[c] for c in p).decode() for p, _ in pieces]
         text = unicodedata.normalize("NFC", text)
@@ -193,24 +207,27 @@ class PairIndexBPE:
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) per text."""
         split = [self.chunks(t or "") for t in texts]
-        for s, i in self.special.items():
-            self.cache["\ud800\ud800" + s] = (str(i), 1, s)
-        cache = self.cache
-        new = list({c for s in split for c in s if c not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            for s, i in self.special.items():
-                cache["\ud800\ud800" + s] = (str(i), 1, s)
-            new = list({c for s in split for c in s if c not in cache})
-        self.learn(new)
+        here = set(chain.from_iterable(split))
+        new = here - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE:
+            self.forget(here)
+        self.learn(list(new))
+        ids_of, tokens_of = self.ids.__getitem__, self.tokens.__getitem__
         out = []
         for s in split:
-            got = [cache[c] for c in s]
-            if not all([x[1] for x in got]):
-                got = [x for x in got if x[1]]
-            out.append((sum([x[1] for x in got]), " ".join([x[0] for x in got]), " ".join([x[2] for x in got])))
+            ids, tokens = map(ids_of, s), map(tokens_of, s)
+            if not self.complete:
+                ids, tokens = filter(None, ids), filter(None, tokens)
+            joined = " ".join(ids)
+            out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(tokens)))
         return out
 
+    def forget(self, but: set[str] = frozenset()) -> None:
+        ids = {c: self.ids[c] for c in but if c in self.ids}
+        tokens = {c: self.tokens[c] for c in ids}
+        self.ids = ids | {"\ud800\ud800" + s: str(i) for s, i in self.special.items()}
+        self.tokens = tokens | {"\ud800\ud800" + s: s for s in self.special}
+
 
 _LOADED: dict[int, PairIndexBPE] = {}
 
