@@ -260,14 +260,17 @@ def _load(spark, path: str) -> _Held:
         return _Held(spark.sparkContext.broadcast(f.read()))
 
 
-def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
-    """doc_id and the encoding of each whole text: ids (array of int) and decoded text, or with digests=True their count and SHA-256.
+def encode(docs: DataFrame, tokenizer: str, digests: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in keep, n_tokens and the encoding of each whole text.
 
-    Null texts count as empty: no ids, empty decoded text. Every row keeps its row; other columns are ignored. Words are merged by
-    the pair occurrence index, a batch at a time; a worker keeps at most CACHE results.
+    The encoding is ids (array of int) and the SHA-256 of the decoded text, or with digests=True the SHA-256 of both. Null texts
+    count as empty: no ids, empty decoded text. Every row keeps its row; other columns are ignored. Words are merged by the pair
+    occurrence index, a batch at a time; a worker keeps at most CACHE results.
     """
     common.bounded_batches(docs.sparkSession)
     held = _load(docs.sparkSession, tokenizer)
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def sha(s: str) -> str:
         return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
@@ -275,13 +278,25 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
     def run(batches):
         model = _model(held)
         for b in batches:
-            got = model.run(b.column(1).to_pylist())
+            got = model.run(b.column(0).to_pylist())
             if digests:
-                cols = [pa.array([x[0] for x in got], pa.int64()), pa.array([sha(x[1]) for x in got]), pa.array([sha(x[2]) for x in got])]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = pa.array([sha(x[1]) for x in got], pa.string())
             else:
-                ids = pa.array([[int(i) for i in x[1].split()] for x in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([x[2] for x in got])], ["doc_id", "ids", "decoded"])
+                ids = pa.array([list(map(int, x[1].split())) for x in got], pa.list_(pa.int32()))
+            cols = [pa.array([x[0] for x in got], pa.int64()), ids, pa.array([sha(x[2]) for x in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], [*b.schema.names[1:], "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"{kept}, n_tokens long, {'ids_sha256 string' if digests else 'ids array<int>'}, decoded_sha256 string")
+
+
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id and text: the tokens of ids (array of int) joined as the tokenizers library does; null ids give an empty text."""
+    held = _load(encoded.sparkSession, tokenizer)
+
+    def run(batches):
+        token = _model(held).token
+        for b in batches:
+            texts = [" ".join([token[i] for i in ids or [] if i in token]) for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -278,3 +278,27 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,probability:double>>")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose score is THRESHOLD or more; all columns stay, each row is judged by its own text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index("text")
+
+    def run(batches):
+        model = held.value
+        theta_of: dict[str, float] = {}
+        for b in batches:
+            texts = [t or "" for t in b.column(column).to_pylist()]
+            keep, at = [], 0
+            while at < len(texts):
+                part, tokens = [], 0
+                while at < len(texts) and (not part or tokens < AT_ONCE):
+                    part.append(TOKEN.findall(texts[at].lower()))
+                    tokens += len(part[-1])
+                    at += 1
+                x = _scan(model, theta_of, part)[1]
+                keep += (1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30))) < THRESHOLD).tolist()
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -30,8 +30,9 @@ def test_tables(spark, sf):
 def test_odd_rows(spark):
     check(spark, odd_docs(spark))
     assert bpe.encode(no_docs(spark), PATH).count() == 0
-    row = bpe.encode(odd_docs(spark), PATH).where("doc_id = 6").first()
-    assert row["decoded"] == "one</w>" and len(row["ids"]) == 1
+    row = bpe.encode(odd_docs(spark), PATH, keep=("slot",)).where("doc_id = 6")
+    assert row.first()["slot"] == "s" and row.first()["n_tokens"] == len(row.first()["ids"]) == 1
+    assert bpe.decode(row, PATH).first()["text"] == "one</w>"
 
 
 def test_random_strings(spark):
