@@ -1,7 +1,9 @@
 """All queries of the library with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .base import ORACLE, QUERIES
+from . import metadata  # noqa: F401
+
+__all__ = ["ORACLE", "QUERIES", "answer_questions"]
 
 
 def answer_questions(spark, sf_dir):
