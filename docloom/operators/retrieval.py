@@ -117,9 +117,7 @@ def overlap_score(question, text) -> Column:
 def pack_context(rows: DataFrame, by: str, block: str, order: str, budget: int = 4000, per_block: int = 1500) -> DataFrame:
     """(by, order, block): blocks in order, each cut to what is left of the token budget, until nothing is left."""
     lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).alias("b")))).alias("all"))
-    n = f"(char_length(x.b) - char_length(regexp_replace(x.b, '[^\\\\u4e00-\\\\u9fff]', '')))"
     count = lambda s: f"(char_length(regexp_replace({s}, '[^\\\\u4e00-\\\\u9fff]', '')) + cast(floor((char_length({s}) - char_length(regexp_replace({s}, '[^\\\\u4e00-\\\\u9fff]', ''))) / 3.5) as int) + 1)"
-    del n
     left = f"least({per_block}, {budget} - s.used)"
     cut = f"if({count('x.b')} <= {left}, x.b, substring(x.b, 1, greatest(64, cast(floor(char_length(x.b) * ({left} / {count('x.b')})) as int))))"
     step = f"if({left} <= 0, s, transform(array({cut}), c -> named_struct('used', s.used + {count('c')}, 'out', concat(s.out, array(named_struct('o', x.o, 'b', c)))))[0])"

@@ -1,10 +1,10 @@
 """All queries of the library with their SQL twins."""
 
-from .base import ORACLE, QUERIES
-from . import metadata  # noqa: F401
+from .base import ORACLE, QUERIES, Tables
+from . import metadata, search, textual  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "answer_questions"]
 
 
 def answer_questions(spark, sf_dir):
-    raise NotImplementedError
+    return search.answer(Tables(spark, sf_dir))
