@@ -22,7 +22,7 @@ from . import common
 #: Bounds of the labelled sample the model is fitted on: documents of either kind, and bytes of text in all.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 24 << 20
 #: Tokens of the sample that the chain itself is trained on.
-MAX_CHAIN_TOKENS = 1_200_000
+MAX_CHAIN_TOKENS = 400_000
 #: Nats by which a feature must speak for toxic documents to label tokens.
 EVIDENCE = 10.0
 THRESHOLD = 0.7
@@ -121,20 +121,27 @@ def _document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def seeds(docs: list[tuple[set[str], int]]) -> set[str]:
-    """Features that mark toxic documents: nearly pure, and too often so for chance."""
-    toxic: Counter = Counter()
-    clean: Counter = Counter()
+def seeds(docs: list[tuple[np.ndarray, int]], words: list[str]) -> set[str]:
+    """Features that mark toxic documents: nearly pure, and too often so for chance. docs: word numbers and label of each."""
     n1 = sum(y for _, y in docs)
-    for words, y in docs:
-        if y:
-            toxic.update({f for w in words for f in features(w)})
-    for words, y in docs:
-        if not y:
-            clean.update(f for f in {f for w in words for f in features(w)} if f in toxic)
     base = n1 / max(len(docs), 1)
     if not 0 < base < 1:
         return set()
+    toxic: Counter = Counter()
+    for ids, y in docs:
+        if y:
+            toxic.update({f for w in np.unique(ids).tolist() for f in features(words[w])})
+    least = EVIDENCE / -math.log(base)  # documents that even a pure feature needs
+    toxic = Counter({f: k for f, k in toxic.items() if k >= least})
+    of_word: dict[int, list[str]] = {}
+    for w, word in enumerate(words):
+        held = [f for f in features(word) if f in toxic]
+        if held:
+            of_word[w] = held
+    clean: Counter = Counter()
+    for ids, y in docs:
+        if not y:
+            clean.update({f for w in np.unique(ids).tolist() if w in of_word for f in of_word[w]})
 
     def evidence(k1: int, k0: int) -> float:
         p = k1 / (k1 + k0)
@@ -145,32 +152,27 @@ def seeds(docs: list[tuple[set[str], int]]) -> set[str]:
 
 def train(rows: list[tuple[str, int]]) -> Model:
     """Fit on (text, toxic 0/1). Without rows of both kinds the model scores all texts alike: near 0, or near 1 if all are toxic."""
-    rows = [(TOKEN.findall((t or "").lower()), int(y)) for t, y in rows]
-    if not rows or len({y for _, y in rows}) < 2:
+    if len({int(y) for _, y in rows}) < 2:
         return Model(curve=(12.0 if rows and rows[0][1] else -12.0, 0.0, 0.0))
-    marks = seeds([(set(w), y) for w, y in rows])
-    held: dict[str, bool] = {}
-
-    def marked(w: str) -> bool:
-        if w not in held:
-            held[w] = any(f in marks for f in features(w))
-        return held[w]
-
+    types: dict[str, int] = {}
+    docs = [(np.array([types.setdefault(w, len(types)) for w in TOKEN.findall((t or "").lower())], dtype=np.int32), int(y)) for t, y in rows]
+    words = list(types)
+    marks = seeds(docs, words)
+    marked = np.array([any(f in marks for f in features(w)) for w in words], dtype=bool)
     used, tokens = [], 0
     for kind in (1, 0):
-        for words, y in rows:
-            if y == kind and (not y or any(map(marked, words))) and tokens + len(words) <= MAX_CHAIN_TOKENS * (2 - y) // 2:
-                used.append((words, y))
-                tokens += len(words)
-    types: dict[str, int] = {}
-    ids = np.array([types.setdefault(w, len(types)) for words, _ in used for w in words], dtype=np.int64)
-    lengths = np.array([len(words) for words, _ in used], dtype=np.int64)
-    gold = np.array([y and marked(w) for words, y in used for w in words], dtype=float)
+        for ids, y in docs:
+            if y == kind and len(ids) and (not y or marked[ids].any()) and tokens + len(ids) <= MAX_CHAIN_TOKENS * (2 - y) // 2:
+                used.append((ids, y))
+                tokens += len(ids)
+    ids = np.concatenate([x for x, _ in used]) if used else np.zeros(0, np.int32)
+    lengths = np.array([len(x) for x, _ in used], dtype=np.int64)
+    gold = np.concatenate([marked[x] * float(y) for x, y in used]) if used else np.zeros(0)
     model = Model()
     if gold.any():
         names: dict[str, int] = {}
-        for w in types:
-            if marked(w):
+        for w in words:
+            if marked[types[w]]:
                 for f in features(w):
                     names.setdefault(f, len(names))
         pairs = [(k, names[f]) for w, k in types.items() for f in features(w) if f in names]
@@ -192,13 +194,15 @@ def train(rows: list[tuple[str, int]]) -> Model:
             first, second = 0.8 * first + 0.2 * grad, 0.95 * second + 0.05 * grad**2
             param = param + 0.3 * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-6)
         model = Model(dict(zip(names, param[:k].tolist())), float(param[k]), tuple(param[k + 1 :].tolist()))
-    theta_of: dict[str, float] = {}
+    theta = np.array([model.potential(w) for w in words])
     x = []
-    for at in range(0, len(rows), 500):
-        part = [w for w, _ in rows[at : at + 500]]
-        x.append(_scan(model, theta_of, part)[1])
+    for at in range(0, len(docs), 250):
+        part = [d for d, _ in docs[at : at + 250]]
+        n = np.array([len(d) for d in part], dtype=np.int64)
+        m, _ = marginals(theta[np.concatenate(part)], n, model.move)
+        x.append(_document_features(m, n))
     x = np.concatenate(x)
-    y = np.array([y for _, y in rows], dtype=float)
+    y = np.array([y for _, y in docs], dtype=float)
     c = np.zeros(3)
     for _ in range(30):  # Newton steps with a small ridge, for separable documents
         p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
