@@ -77,8 +77,8 @@ def rate_limit(events: DataFrame, limit: int = 120, seconds: float = 60) -> Data
     return ordered.mapInPandas(run, "user_id long, event_id long, accepted boolean")
 
 
-def rate_limit_stream(events: DataFrame, limit: int = 120, seconds: float = 60) -> DataFrame:
-    """The same over a stream, the accepted times of each user as state that times out when its window has passed."""
+def rate_limit_stream(events: DataFrame, limit: int = 120, seconds: float = 60, late: str = "1 hour") -> DataFrame:
+    """The same over a stream, the accepted times of each user as state that goes when the watermark has passed its window."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, frames, state: GroupState):
@@ -90,11 +90,11 @@ def rate_limit_stream(events: DataFrame, limit: int = 120, seconds: float = 60)
         times = [x.timestamp() for x in rows["ts"]]
         ok = _admit(times, accepted, limit, seconds)
         state.update((accepted,))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": ok})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, event_id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
