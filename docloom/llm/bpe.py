@@ -7,12 +7,13 @@ under their own ranks. Results equal those of the public `tokenizers` library fo
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,28 @@ from tokenizers import Tokenizer
 
 from . import common
 
-#: Distinct white-space-separated chunks whose result a worker keeps; beyond that it keeps those of the last batch.
-CACHE = 700_000
+#: Distinct white-space-separated chunks whose result a worker keeps; beyond that it keeps the half learned first.
+CACHE = 400_000
 #: The split pattern and the odd white space of the tokenizer's file format (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What str.split() takes for white space and the pattern's \s does not.
 CONTROL = regex.compile("[\x1c-\x1f]")
 #: Anything above the block that Unicode has filled long ago.
 BEYOND = re.compile("[^\x00-\u0377]")
+EMPTY: dict[int, int] = {}
 #: Combining marks whose order differs between versions of Unicode, besides all code points that Python's has not assigned.
 UNSETTLED = [0x1DF6, 0x1D6A6, 0x1E4EC, 0x1E4ED]
 
 
-def unsettled() -> frozenset[str]:
-    """Characters on which versions of Unicode disagree; the tokenizers library normalises and splits texts that hold one."""
-    return frozenset(map(chr, {*UNSETTLED, *(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")}))
+def unsettled() -> bytearray:
+    """1 for each character on which versions of Unicode disagree; the library normalises and splits texts that hold one."""
+    out = bytearray(0x110000)
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            out[c] = 1
+    for c in UNSETTLED:
+        out[c] = 1
+    return out
 
 
 def byte_symbols() -> list[str]:
@@ -69,7 +77,11 @@ class PairIndexBPE:
         keys = a << 20 | b
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order
-        self.pairs = dict(zip(keys.tolist(), range(len(keys))))
+        self.follows: dict[int, dict[int, int]] = {}  # rank by left, then right symbol
+        self.precedes: dict[int, dict[int, int]] = {}  # rank by right, then left symbol
+        for r, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            self.follows.setdefault(x, {})[y] = r
+            self.precedes.setdefault(y, {})[x] = r
         self.merges = list(zip(a.tolist(), b.tolist(), self.made.tolist()))
         self.find_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.split = regex.compile(SPLIT)
@@ -113,19 +125,20 @@ class PairIndexBPE:
         order = np.argsort(rank, kind="stable")
         start, rank = start[order], rank[order]
         step = np.flatnonzero(np.diff(rank, prepend=-1))
-        places: dict[int, list[int]] = {}
-        for r, part in zip(rank[step].tolist(), np.split(start, step[1:])):
+        places: list[list[int] | None] = [None] * len(self.merges)
+        active = rank[step].tolist()
+        for r, part in zip(active, np.split(start, step[1:])):
             places[r] = part.tolist()
         sym, nxt, prv = [*sym.tolist(), -1], nxt.tolist(), prv.tolist()
-        find, push = self.pairs.get, heapq.heappush
-        active = list(places)
+        push = heapq.heappush
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
             a, b, c = self.merges[r]
-            here = places.pop(r)
+            here, places[r] = places[r], None
             if a == b:  # of overlapping occurrences the leftmost is merged
                 here.sort()
+            follows, precedes = self.follows.get(c, EMPTY).get, self.precedes.get(c, EMPTY).get
             for p in here:
                 if sym[p] != a:
                     continue
@@ -137,21 +150,21 @@ class PairIndexBPE:
                 nxt[p] = after
                 if after != n:
                     prv[after] = p
-                    k = find(c << 20 | sym[after])
+                    k = follows(sym[after])
                     if k is not None:
-                        if k in places:
-                            places[k].append(p)
-                        else:
+                        if places[k] is None:
                             places[k] = [p]
                             push(active, k)
+                        else:
+                            places[k].append(p)
                 if before != n:
-                    k = find(sym[before] << 20 | c)
+                    k = precedes(sym[before])
                     if k is not None:
-                        if k in places:
-                            places[k].append(before)
-                        else:
+                        if places[k] is None:
                             places[k] = [before]
                             push(active, k)
+                        else:
+                            places[k].append(before)
         sym = np.array(sym, dtype=np.int64)
         alive = np.flatnonzero(sym[:n] >= 0)
         ids = sym[alive].tolist()
@@ -160,26 +173,27 @@ class PairIndexBPE:
 
     def pieces(self, chunk: str) -> list[str]:
         """The words of a chunk of text without white space, as the split pattern has them."""
-        if chunk.isalpha():
-            return [chunk]
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
         return [chunk[2:]] if chunk[:2] == "\ud800\ud801" else self.split.findall(chunk)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Fill the cache for chunks of text without white space: ids joined by spaces, and tokens likewise."""
-        pieces = [self.pieces(c) for c in chunks]
-        flat = list({w for p in pieces for w in p})
+    def learn(self, chunks: set[str]) -> None:
+        """Fill the cache for chunks of text without white space and for their words: ids joined by spaces, and tokens likewise."""
+        mixed = [(c, self.pieces(c)) for c in chunks if not c.isalpha()]
+        words = [c for c in chunks if c.isalpha()]
+        words += {w for _, p in mixed for w in p}.difference(self.ids, words)
         number, token = self.number.__getitem__, self.token.__getitem__
-        coded = self.encode_words(flat)
-        ids = dict(zip(flat, [" ".join(map(number, x)) for x in coded]))
-        tokens = dict(zip(flat, [" ".join(map(token, x)) for x in coded]))
-        for c, p in zip(chunks, pieces):
-            if len(p) == 1:
-                self.ids[c], self.tokens[c] = ids[p[0]], tokens[p[0]]
+        coded = self.encode_words(words)
+        ids, tokens = self.ids, self.tokens
+        ids.update(zip(words, [" ".join(map(number, x)) for x in coded]))
+        tokens.update(zip(words, [" ".join(map(token, x)) for x in coded]))
+        del coded
+        for c, p in mixed:
+            if len(p) == 2 and self.complete:
+                ids[c], tokens[c] = f"{ids[p[0]]} {ids[p[1]]}", f"{tokens[p[0]]} {tokens[p[1]]}"
             else:
-                self.ids[c] = " ".join([ids[w] for w in p if ids[w]])
-                self.tokens[c] = " ".join([tokens[w] for w in p if ids[w]])
+                ids[c] = " ".join([ids[w] for w in p if ids[w]])
+                tokens[c] = " ".join([tokens[w] for w in p if ids[w]])
 
     def chunks(self, text: str) -> list[str]:
         """Normalised text, split at white space; special tokens in the text stand alone, marked by two leading surrogates, which no text holds."""
@@ -193,7 +207,7 @@ class PairIndexBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii() and BEYOND.search(text) and not self.unsettled.isdisjoint(text):
+        if not text.isascii() and BEYOND.search(text) and any([self.unsettled[ord(c)] for c in set(text)]):
             pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return ["\ud800\ud801" + bytes(self.byte_of[c] for c in p).decode() for p, _ in pieces]
         text = unicodedata.normalize("NFC", text)
@@ -206,12 +220,21 @@ class PairIndexBPE:
 
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) per text."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the many lists would set off collection after collection
+        try:
+            return self._run(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         split = [self.chunks(t or "") for t in texts]
         here = set(chain.from_iterable(split))
         new = here - self.ids.keys()
         if len(self.ids) + len(new) > CACHE:
             self.forget(here)
-        self.learn(list(new))
+        self.learn(new)
         ids_of, tokens_of = self.ids.__getitem__, self.tokens.__getitem__
         out = []
         for s in split:
@@ -222,11 +245,11 @@ class PairIndexBPE:
             out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(tokens)))
         return out
 
-    def forget(self, but: set[str] = frozenset()) -> None:
-        ids = {c: self.ids[c] for c in but if c in self.ids}
-        tokens = {c: self.tokens[c] for c in ids}
-        self.ids = ids | {"\ud800\ud800" + s: str(i) for s, i in self.special.items()}
-        self.tokens = tokens | {"\ud800\ud800" + s: s for s in self.special}
+    def forget(self, here: set[str] = frozenset()) -> None:
+        """Keep the half of the cache that was learned first, which holds the frequent chunks, and what this batch needs."""
+        keep = {c: None for c in islice(self.ids, len(self.ids) // 2)} | {c: None for c in here if c in self.ids}
+        self.ids = {c: self.ids[c] for c in keep} | {"\ud800\ud800" + s: str(i) for s, i in self.special.items()}
+        self.tokens = {c: self.tokens[c] for c in keep} | {"\ud800\ud800" + s: s for s in self.special}
 
 
 _LOADED: dict[int, PairIndexBPE] = {}
@@ -267,7 +290,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False, keep: tuple[s
     count as empty: no ids, empty decoded text. Every row keeps its row; other columns are ignored. Words are merged by the pair
     occurrence index, a batch at a time; a worker keeps at most CACHE results.
     """
-    common.bounded_batches(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession, 1000)
     held = _load(docs.sparkSession, tokenizer)
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
