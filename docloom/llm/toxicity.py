@@ -25,11 +25,13 @@ MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 24 << 20
 MAX_CHAIN_TOKENS = 400_000
 #: Nats by which a feature must speak for toxic documents to label tokens.
 EVIDENCE = 10.0
+#: Toxic documents in which such a feature occurs at least.
+LEAST_DOCS = 3
 THRESHOLD = 0.7
 #: Tokens in a row of the blocked forward-backward pass, and tokens handled at once.
-ROW, AT_ONCE = 64, 600_000
+ROW, AT_ONCE = 64, 200_000
 #: Words whose potential a worker keeps.
-CACHE = 500_000
+CACHE = 200_000
 
 TOKEN = re.compile(r"\w+")
 
@@ -44,7 +46,7 @@ class Model:
     bias: float = -12.0
     #: Log-potentials of the transitions clean-toxic, toxic-clean, toxic-toxic; clean-clean is 0.
     move: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    #: Intercept, weight of the largest marginal, weight of log(1 + expected toxic tokens).
+    #: Intercept, weight of the largest marginal's log-odds, weight of log(1 + expected toxic tokens).
     curve: tuple[float, float, float] = (-12.0, 0.0, 0.0)
 
     def potential(self, word: str) -> float:
@@ -110,13 +112,14 @@ def marginals(theta: np.ndarray, lengths: np.ndarray, move, expect: bool = False
 
 
 def _document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Rows (1, largest marginal, log(1 + sum of marginals)); zeros for documents without tokens."""
+    """Rows (1, log-odds of the largest marginal between -6 and 6, log(1 + sum of marginals)); without tokens (1, -6, 0)."""
     out = np.zeros((len(lengths), 3))
-    out[:, 0] = 1
+    out[:, 0], out[:, 1] = 1, -6
     full = np.flatnonzero(lengths)
     if len(full):
         start = (np.cumsum(lengths) - lengths)[full]
-        out[full, 1] = np.maximum.reduceat(m, start)
+        top = np.clip(np.maximum.reduceat(m, start), 1e-9, 1 - 1e-9)
+        out[full, 1] = np.clip(np.log(top / (1 - top)), -6, 6)
         out[full, 2] = np.log1p(np.add.reduceat(m, start))
     return out
 
@@ -127,27 +130,30 @@ def seeds(docs: list[tuple[np.ndarray, int]], words: list[str]) -> set[str]:
     base = n1 / max(len(docs), 1)
     if not 0 < base < 1:
         return set()
-    toxic: Counter = Counter()
-    for ids, y in docs:
-        if y:
-            toxic.update({f for w in np.unique(ids).tolist() for f in features(words[w])})
-    least = EVIDENCE / -math.log(base)  # documents that even a pure feature needs
-    toxic = Counter({f: k for f, k in toxic.items() if k >= least})
-    of_word: dict[int, list[str]] = {}
-    for w, word in enumerate(words):
-        held = [f for f in features(word) if f in toxic]
-        if held:
-            of_word[w] = held
+    own = [{f for w in np.unique(ids).tolist() for f in features(words[w])} for ids, y in docs if y]
+    toxic = Counter(f for fs in own for f in fs)
+    toxic = Counter({f: k for f, k in toxic.items() if k >= LEAST_DOCS})
+    of_word = {w: held for w, word in enumerate(words) if (held := [f for f in features(word) if f in toxic])}
     clean: Counter = Counter()
     for ids, y in docs:
         if not y:
             clean.update({f for w in np.unique(ids).tolist() if w in of_word for f in of_word[w]})
 
-    def evidence(k1: int, k0: int) -> float:
+    def evidence(k1: int, k0: int, base: float) -> float:
         p = k1 / (k1 + k0)
         return (k1 * math.log(p / base) + (k0 * math.log((1 - p) / (1 - base)) if k0 else 0.0)) if p > base else 0.0
 
-    return {f for f, k in toxic.items() if k >= 9 * clean[f] and evidence(k, clean[f]) >= EVIDENCE}
+    out = {f for f, k in toxic.items() if k >= 9 * clean[f] and evidence(k, clean[f], base) >= EVIDENCE}
+    # documents that none of these explains: the feature that most of them share, again and again
+    rest = [{f for f in fs if f in toxic and not clean[f]} for fs in own if not fs & out]
+    while len(rest) >= LEAST_DOCS:
+        shared = Counter(f for fs in rest for f in fs)
+        best = max(shared, key=lambda f: (shared[f], len(f), f), default=None)
+        if best is None or shared[best] < LEAST_DOCS or evidence(shared[best], 0, len(rest) / (len(rest) + len(docs) - n1)) < EVIDENCE - 1:
+            break
+        out.add(best)
+        rest = [fs for fs in rest if best not in fs]
+    return out
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -229,7 +235,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     A document with several labels counts as toxic if any says so; null labels and documents without one are left out.
     """
     kinds = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    pick = lambda y, n: kinds.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    pick = lambda y, n: common.sample(kinds.where(f"toxic = {y}"), ["doc_id"], n)
     ids = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"))
     rows = rows.orderBy("h", F.xxhash64("text")).limit(MAX_TOXIC + MAX_CLEAN)
@@ -265,7 +271,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                 scores += (1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30)))).tolist()
                 end = np.cumsum(lengths)
                 for k, low in enumerate(end - lengths):
-                    if x[k, 1] <= 0.5:
+                    if x[k, 1] <= 0:
                         spans.append([])
                         continue
                     text = texts[at - len(part) + k]
@@ -279,6 +285,8 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, spans_type)],
                 ["doc_id", "score", "predicted", "spans"],
             )
+        theta_of.clear()
+        common.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,probability:double>>")
@@ -304,5 +312,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 x = _scan(model, theta_of, part)[1]
                 keep += (1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30))) < THRESHOLD).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
+        theta_of.clear()
+        common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
