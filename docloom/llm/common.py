@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -17,9 +20,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows and 64 MB, so that a Python task holds a bounded part of its partition."""
+    """Arrow batches of at most so many rows, so that a Python task holds a bounded part of its partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between stages, and each would hold the most it ever needed."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """At most so many rows of df, picked by a hash of the columns: the same rows whatever the partitions.
+
+    A hash remainder leaves a few times as many first, so that no task and no sort holds more than its part of these.
+    """
+    parts = max(1, df.count() // (4 * most))
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(parts)) == 0).orderBy(F.hash(*columns), *columns).limit(most)
 
 
 def shared_dir(spark: SparkSession) -> str:

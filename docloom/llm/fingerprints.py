@@ -141,8 +141,8 @@ def merge(parts: DataFrame, key: str, k: int = K, salts: int = 64) -> DataFrame:
 
 
 def _bounds(keys: DataFrame, column: str, buckets: int) -> list:
-    """Upper bounds of buckets of about equal numbers of keys, from a bounded sample by hash."""
-    held = sorted(r[0] for r in keys.select(column).orderBy(F.xxhash64(column), column).limit(buckets * KEYS_EACH).collect())
+    """Upper bounds of buckets of about equal numbers of distinct keys, from a bounded sample by hash."""
+    held = sorted(r[0] for r in common.sample(keys.select(column).distinct(), [column], buckets * KEYS_EACH).collect())
     return sorted({held[i * len(held) // buckets] for i in range(1, buckets)}) if held else []
 
 

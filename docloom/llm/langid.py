@@ -156,14 +156,14 @@ def train(docs: DataFrame) -> Model:
     df, n = document_frequencies(rows)
     # as many of each language as there is room for, so that rare ones are learned too
     share = max(1, MAX_TRAIN // max(len(langs), 1))
-    key = F.xxhash64("doc_id", F.octet_length("text"))
     ids = None
     for x in langs if len(langs) <= 16 else []:
-        part = rows.where(F.col("lang") == x).select("doc_id", key.alias("key")).orderBy("key").limit(share)
+        part = common.sample(rows.where(F.col("lang") == x).select("doc_id"), ["doc_id"], share)
         ids = part if ids is None else ids.unionByName(part)
     if ids is None:
-        ids = rows.select("doc_id", key.alias("key")).orderBy("key").limit(MAX_TRAIN)
-    ids = ids.select("doc_id").distinct()
+        ids = common.sample(rows.select("doc_id"), ["doc_id"], MAX_TRAIN)
+    ids = ids.distinct()
+    key = F.xxhash64("doc_id", F.octet_length("text"))
     held, size = [], 0
     for r in rows.where(F.col("lang").isin(langs)).join(F.broadcast(ids), "doc_id").select("text", "lang", key.alias("key")).orderBy("key", "lang").limit(MAX_TRAIN).toLocalIterator():
         size += len(r[0])

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Base kinds in order, their patterns, and the least length of the group that counts.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -73,7 +75,7 @@ def base_spans(text: str) -> Column:
 
 def _labelled(docs: DataFrame) -> DataFrame:
     """(label, token): 1 for values of base spans and generated strings, 0 for ordinary words of the sample, in three spellings."""
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    ids = common.sample(docs.where("doc_id is not null").select("doc_id"), ["doc_id"], SAMPLE_DOCS).distinct()
     texts = docs.join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias(TEXT))
     texts = texts.withColumn(BASE, base_spans(TEXT))
     good = texts.select(F.explode(f"{BASE}.value").alias("token")).select(F.lit(1).alias("label"), "token")

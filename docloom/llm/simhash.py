@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        common.give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -206,7 +207,7 @@ def links(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     spark = reps.sparkSession
     shards = max(1, min(MAX_SHARDS, int(n**0.5 / ROOT_PART)))
     share = max(SHARD_SIZE, n // shards)
-    sample = [r[0] for r in reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    sample = [r[0] for r in common.sample(reps.select("fp"), ["fp"], SAMPLE).collect()]
     nodes = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), shards)
     tree = spark.sparkContext.broadcast(nodes)  # at most MAX_SHARDS leaves
 
