@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the labelled sample the model is fitted on: documents of either kind, and bytes of text in all.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 24 << 20
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 16 << 20
 #: Tokens of the sample that the chain itself is trained on.
 MAX_CHAIN_TOKENS = 400_000
 #: Nats by which a feature must speak for toxic documents to label tokens.
@@ -130,30 +130,45 @@ def seeds(docs: list[tuple[np.ndarray, int]], words: list[str]) -> set[str]:
     base = n1 / max(len(docs), 1)
     if not 0 < base < 1:
         return set()
-    own = [{f for w in np.unique(ids).tolist() for f in features(words[w])} for ids, y in docs if y]
-    toxic = Counter(f for fs in own for f in fs)
-    toxic = Counter({f: k for f, k in toxic.items() if k >= LEAST_DOCS})
-    of_word = {w: held for w, word in enumerate(words) if (held := [f for f in features(word) if f in toxic])}
-    clean: Counter = Counter()
+    number: dict[str, int] = {}
+    of_word: dict[int, list[int]] = {}
+    own = []  # numbers of each toxic document's features
+    for ids, y in docs:
+        if y:
+            here = np.unique(ids).tolist()
+            for w in here:
+                if w not in of_word:
+                    of_word[w] = [number.setdefault(f, len(number)) for f in features(words[w])]
+            own.append(np.unique(np.array([f for w in here for f in of_word[w]], dtype=np.int32)))
+    toxic = np.bincount(np.concatenate(own), minlength=len(number))
+    for w, word in enumerate(words):
+        of_word[w] = [k for f in features(word) if (k := number.get(f, -1)) >= 0 and toxic[k] >= LEAST_DOCS]
+        if not of_word[w]:
+            del of_word[w]
+    clean = np.zeros(len(number), dtype=np.int64)
     for ids, y in docs:
         if not y:
-            clean.update({f for w in np.unique(ids).tolist() if w in of_word for f in of_word[w]})
+            held = [f for w in np.unique(ids).tolist() if w in of_word for f in of_word[w]]
+            clean[np.unique(np.array(held, dtype=np.int64))] += 1
 
     def evidence(k1: int, k0: int, base: float) -> float:
         p = k1 / (k1 + k0)
         return (k1 * math.log(p / base) + (k0 * math.log((1 - p) / (1 - base)) if k0 else 0.0)) if p > base else 0.0
 
-    out = {f for f, k in toxic.items() if k >= 9 * clean[f] and evidence(k, clean[f], base) >= EVIDENCE}
+    pure = np.flatnonzero((toxic >= LEAST_DOCS) & (toxic >= 9 * clean)).tolist()
+    out = {k for k in pure if evidence(int(toxic[k]), int(clean[k]), base) >= EVIDENCE}
     # documents that none of these explains: the feature that most of them share, again and again
-    rest = [{f for f in fs if f in toxic and not clean[f]} for fs in own if not fs & out]
+    usable = (toxic >= LEAST_DOCS) & (clean == 0)
+    rest = [fs[usable[fs]] for fs in own if not np.isin(fs, list(out)).any()]
+    length = np.array([len(f) for f in number])
     while len(rest) >= LEAST_DOCS:
-        shared = Counter(f for fs in rest for f in fs)
-        best = max(shared, key=lambda f: (shared[f], len(f), f), default=None)
-        if best is None or shared[best] < LEAST_DOCS or evidence(shared[best], 0, len(rest) / (len(rest) + len(docs) - n1)) < EVIDENCE - 1:
+        shared = np.bincount(np.concatenate(rest), minlength=len(number))
+        best = int(np.lexsort((np.arange(len(number)), length, shared))[-1])
+        if shared[best] < LEAST_DOCS or evidence(int(shared[best]), 0, len(rest) / (len(rest) + len(docs) - n1)) < EVIDENCE - 1:
             break
         out.add(best)
         rest = [fs for fs in rest if best not in fs]
-    return out
+    return {f for f, k in number.items() if k in out}
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -215,6 +230,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
         hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 0.05, 0.05])
         c = c + np.linalg.solve(hess, x.T @ (y - p) - np.array([1e-3, 0.05, 0.05]) * c)
     model.curve = tuple(c.tolist())
+    del docs, words, types, x, theta
+    common.give_back()
     return model
 
 
