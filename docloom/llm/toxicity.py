@@ -14,15 +14,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bounds of the labelled sample the model is fitted on: documents of either kind, and bytes of text in all.
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 16 << 20
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 6000, 24 << 20
 #: Tokens of the sample that the chain itself is trained on.
-MAX_CHAIN_TOKENS = 400_000
+MAX_CHAIN_TOKENS = 1_200_000
 #: Nats by which a feature must speak for toxic documents to label tokens.
 EVIDENCE = 10.0
 #: Toxic documents in which such a feature occurs at least.
@@ -111,6 +111,19 @@ def marginals(theta: np.ndarray, lengths: np.ndarray, move, expect: bool = False
     return m[col, row], moves
 
 
+def _marginals_in_parts(theta: np.ndarray, lengths: np.ndarray, move):
+    """marginals() with expected counts, over documents of about AT_ONCE tokens at a time: memory follows the part, not the sample."""
+    end = np.cumsum(lengths)
+    out, moves, low, first = [], np.zeros(3), 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(end, low + AT_ONCE, side="right")))
+        m, n = marginals(theta[low : end[last - 1]], lengths[first:last], move, expect=True)
+        out.append(m)
+        moves += n
+        low, first = int(end[last - 1]), last
+    return np.concatenate([*out, np.zeros(0)]), moves
+
+
 def _document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Rows (1, log-odds of the largest marginal between -6 and 6, log(1 + sum of marginals)); without tokens (1, -6, 0)."""
     out = np.zeros((len(lengths), 3))
@@ -208,7 +221,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         first, second = np.zeros_like(param), np.zeros_like(param)
         for step in range(1, 41):
             theta = param[k] + np.bincount(word_of, param[feature_of], len(types))
-            m, moves = marginals(theta[ids], lengths, param[k + 1 :], expect=True)
+            m, moves = _marginals_in_parts(theta[ids], lengths, param[k + 1 :])
             by_type = np.bincount(ids, m, len(types))
             got = np.concatenate([np.bincount(feature_of, by_type[word_of], k), [m.sum()], moves])
             grad = (want - got) / max(gold.sum(), 1) * 20 - 0.002 * np.concatenate([param[:k], np.zeros(4)])
@@ -249,15 +262,31 @@ def _scan(model: Model, theta_of: dict[str, float], docs: list[list[str]]):
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """At most MAX_TOXIC + MAX_CLEAN labelled texts of MAX_BYTES in all, picked by hash; labels: (doc_id, toxic).
 
-    A document with several labels counts as toxic if any says so; null labels and documents without one are left out.
+    Texts that do not fit are skipped and later ones taken. Toxic texts take half of the bytes at first, clean ones what those
+    leave, and toxic ones what is left then, so that neither kind crowds out the other. A document with several labels counts as toxic if any says so; null labels and documents without one are left out.
     """
     kinds = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     pick = lambda y, n: common.sample(kinds.where(f"toxic = {y}"), ["doc_id"], n)
     ids = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"))
-    rows = rows.orderBy("h", F.xxhash64("text")).limit(MAX_TOXIC + MAX_CLEAN)
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy("h", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    return [(r[0], r[1]) for r in rows.withColumn("so_far", so_far).where(F.col("so_far") <= MAX_BYTES).select("text", "toxic").collect()]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    rows = rows.where(F.col("size") <= MAX_BYTES)
+    listed = rows.groupBy("toxic", "h", "tie", "size").agg(F.count("*").alias("copies"))
+    found = [tuple(r) for r in listed.orderBy("h", "tie").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()]
+    taken, count, used = {}, {0: 0, 1: 0}, 0
+    for kind, room in ((1, MAX_BYTES // 2), (0, MAX_BYTES), (1, MAX_BYTES)):
+        for toxic, h, tie, size, copies in found:
+            if toxic == kind and (h, tie) not in taken:
+                n = min(copies, (MAX_TOXIC if kind else MAX_CLEAN) - count[kind], (room - used) // size if size else copies)
+                if n > 0:
+                    taken[h, tie] = n
+                    count[kind] += n
+                    used += n * size
+    if not taken:
+        return []
+    keys = docs.sparkSession.createDataFrame(list(taken), "h long, tie long")
+    texts = rows.join(F.broadcast(keys), ["h", "tie"]).dropDuplicates(["h", "tie"]).select("h", "tie", "text", "toxic").orderBy("h", "tie").collect()
+    return [(r["text"], r["toxic"]) for r in texts for _ in range(taken[r["h"], r["tie"]])]
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:

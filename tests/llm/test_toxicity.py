@@ -78,3 +78,20 @@ def test_odd_rows(spark):
         assert toxicity.score(no_docs(spark), model).count() == 0
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     assert sorted(y for _, y in toxicity.labelled_sample(odd_docs(spark), labels)) == [0, 1, 1]
+
+
+def test_texts_that_do_not_fit_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 2000)
+    rows = [(i, f"text {i} " + "x" * (5000 if i % 4 < 2 else 10)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(got) == sorted((t, i % 2) for i, t in rows if i % 4 >= 2)
+
+
+def test_expected_counts_in_parts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 70, 1, 200, 9])
+    theta, move = rng.normal(-1, 2, 285), np.array([-1.0, 0.2, 0.9])
+    monkeypatch.setattr(toxicity, "AT_ONCE", 60)
+    for part, whole in zip(toxicity._marginals_in_parts(theta, lengths, move), toxicity.marginals(theta, lengths, move, expect=True)):
+        assert np.allclose(part, whole)
