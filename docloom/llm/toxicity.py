@@ -36,6 +36,14 @@ CACHE = 200_000
 TOKEN = re.compile(r"\w+")
 
 
+def tokens_of(text: str) -> list[str]:
+    """Lower-cased tokens, one for each match of TOKEN in the text as it stands.
+
+    Lower-casing I with dot (U+0130) gives two characters, of which the second is no part of a word; no other letter does so.
+    """
+    return [w.lower() for w in TOKEN.findall(text)] if "\u0130" in text else TOKEN.findall(text.lower())
+
+
 def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
 
@@ -189,7 +197,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     if len({int(y) for _, y in rows}) < 2:
         return Model(curve=(12.0 if rows and rows[0][1] else -12.0, 0.0, 0.0))
     types: dict[str, int] = {}
-    docs = [(np.array([types.setdefault(w, len(types)) for w in TOKEN.findall((t or "").lower())], dtype=np.int32), int(y)) for t, y in rows]
+    docs = [(np.array([types.setdefault(w, len(types)) for w in tokens_of(t or "")], dtype=np.int32), int(y)) for t, y in rows]
     words = list(types)
     marks = seeds(docs, words)
     marked = np.array([any(f in marks for f in features(w)) for w in words], dtype=bool)
@@ -310,7 +318,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
             while at < len(texts):
                 part, tokens = [], 0
                 while at < len(texts) and (not part or tokens < AT_ONCE):
-                    part.append(TOKEN.findall(texts[at].lower()))
+                    part.append(tokens_of(texts[at]))
                     tokens += len(part[-1])
                     at += 1
                 m, x, lengths = _scan(model, theta_of, part)
@@ -321,11 +329,8 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                         spans.append([])
                         continue
                     text = texts[at - len(part) + k]
-                    found = list(TOKEN.finditer(text.lower() if len(text.lower()) == len(text) else text))
+                    found = list(TOKEN.finditer(text))
                     p = m[low : end[k]]
-                    if len(found) != len(p):  # lower-casing changed the tokens: no offsets, the score stands
-                        spans.append([])
-                        continue
                     spans.append([{"start": found[i].start(), "end": found[i].end(), "probability": float(p[i])} for i in np.flatnonzero(p > 0.5).tolist()])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, spans_type)],
@@ -352,7 +357,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             while at < len(texts):
                 part, tokens = [], 0
                 while at < len(texts) and (not part or tokens < AT_ONCE):
-                    part.append(TOKEN.findall(texts[at].lower()))
+                    part.append(tokens_of(texts[at]))
                     tokens += len(part[-1])
                     at += 1
                 x = _scan(model, theta_of, part)[1]

@@ -95,3 +95,11 @@ def test_expected_counts_in_parts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(toxicity, "AT_ONCE", 60)
     for part, whole in zip(toxicity._marginals_in_parts(theta, lengths, move), toxicity.marginals(theta, lengths, move, expect=True)):
         assert np.allclose(part, whole)
+
+
+def test_spans_where_lower_casing_changes_the_length(spark):
+    rows = [("clean words of all sorts here " * 3, 0)] * 40 + [("you are an idiot and so on " * 2, 1)] * 40
+    text = "x\u0130y said: an IDIOT spoke in \u0130zmir"
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.train(rows)).first()
+    assert got["predicted"] == 1 and any(text[s["start"] : s["end"]] == "IDIOT" for s in got["spans"])
+    assert [chr(c) for c in range(0x110000) if len(chr(c).lower()) > 1] == ["\u0130"]
