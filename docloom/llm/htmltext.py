@@ -1,6 +1,7 @@
 """Main text of web pages by nearest-URL page differencing, with the page's own markup as a guard.
 
 Pages are ordered by host and URL path; each is paired with the neighbour of its host whose path shares the longest beginning.
+Copies of a page say nothing about furniture, so the nearest pages before and after it that differ from it are its neighbours.
 The text blocks of both are aligned by longest common subsequence and shared blocks deleted. Differencing alone keeps menus and
 adverts that differ from page to page and would delete passages that articles share, so blocks in elements that are never main
 text go first, and blocks inside an <article> or <main> are never deleted for being shared.
@@ -12,6 +13,7 @@ import html
 import json
 import re
 from bisect import bisect_right
+from collections import deque
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -22,6 +24,11 @@ from pyspark.sql import functions as F
 from . import common
 from .fingerprints import BUCKETS_EACH, MAX_BUCKETS, _bounds
 
+#: Share of a page's characters from which a page that shares them is a copy of it and says nothing about furniture.
+COPY = 0.9
+#: Runs of copies looked at before and after a page for one that differs.
+LOOK = 8
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that hold no main text, wherever they stand.
@@ -221,11 +228,16 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def difference(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    """Own blocks without those shared with the other page, protected blocks excepted; joined by a blank line."""
-    if other is None or all(p for _, p in own):
-        return "\n\n".join(t for t, _ in own)
+def shared_blocks(own: list, other: list) -> set[int] | None:
+    """Positions in own of the blocks that the other page shares; None if they hold COPY or more of own's characters: a copy of it."""
+    if own == other:
+        return None
     shared = common_lines([t for t, _ in own], [t for t, _ in other])
+    return None if sum(len(own[i][0]) for i in shared) >= COPY * sum(len(t) for t, _ in own) else shared
+
+
+def difference(own: list, shared: set[int] | frozenset = frozenset()) -> str:
+    """Own blocks without the shared ones, protected blocks excepted; joined by a blank line."""
     return "\n\n".join(t for i, (t, p) in enumerate(own) if p or i not in shared)
 
 
@@ -309,15 +321,42 @@ def extract(pages: DataFrame) -> DataFrame:
             yield None
 
         def results():
-            before = now = None
-            for after in stream():
-                if now is not None and now[1]:
-                    best, most = None, -1
-                    for x in (before, after):
-                        if x is not None and x[0] == now[0] and x[4] == now[4] and (n := _shared_path(x[5], now[5])) > most:
-                            best, most = x, n
-                    yield now[2], now[3], difference(now[6], best[6] if best else None)
-                before, now = now, after
+            place_, runs, waiting = None, deque(maxlen=LOOK + 1), []  # runs: the last page of each run of copies
+            for now in stream():
+                here = now and (now[0], now[4])
+                if here != place_:
+                    for page, shared, _, _ in waiting:
+                        yield page[2], page[3], difference(page[6], shared)
+                    place_, waiting = here, []
+                    runs.clear()
+                if now is None:
+                    break
+                path, own = now[5], now[6]
+                free = not all(p for _, p in own)
+                copy = bool(runs) and (shared_blocks(own, runs[-1][1]) is None if free else own == runs[-1][1])
+                if not copy:  # the page ends the wait of those before it that it differs from
+                    left = []
+                    for w in waiting:
+                        page, _, n, tries = w
+                        if (s := shared_blocks(page[6], own)) is not None:
+                            yield page[2], page[3], difference(page[6], s if _shared_path(path, page[5]) > n else w[1])
+                        elif tries + 1 < LOOK:
+                            left.append((page, w[1], n, tries + 1))
+                        else:
+                            yield page[2], page[3], difference(page[6], w[1])
+                    waiting = left
+                if now[1] and not free:
+                    yield now[2], now[3], difference(own)
+                elif now[1]:
+                    shared, n = frozenset(), -1
+                    for other_path, other in reversed(runs):
+                        if (s := shared_blocks(own, other)) is not None:
+                            shared, n = s, _shared_path(other_path, path)
+                            break
+                    waiting.append((now, shared, n, 0))
+                if copy:
+                    runs.pop()
+                runs.append((path, own))
 
         held: list[tuple] = []
         size = 0

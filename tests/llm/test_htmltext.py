@@ -59,3 +59,24 @@ def test_tables(spark, sf):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
     want = {r["page_id"]: "\n\n".join(t for t, _ in htmltext.blocks(r["html"])) for r in pages.collect()}
     assert got == want
+
+
+def test_copies_do_not_delete_each_other(spark):
+    site = lambda body: f"<body><div>Site name</div><div>Slogan of all pages</div>{body}<div>Contact us</div></body>"
+    story = "".join(f"<p>Sentence {i} of the story that copies share.</p>" for i in range(20))
+    rows = [(k, f"http://c.org/story?utm={k}", site(story)) for k in range(30)]
+    rows += [(50 + k, f"http://c.org/story?x={k}", site(story + f"<p>Line {k}</p>")) for k in range(5)]
+    rows += [(90, "http://c.org/z", site("<p>Another page</p>"))]
+    rows += [(100 + k, f"http://only.org/{k}", site(story)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    whole = "\n\n".join(f"Sentence {i} of the story that copies share." for i in range(20))
+    assert all(got[100 + k] == f"Site name\n\nSlogan of all pages\n\n{whole}\n\nContact us" for k in range(3))
+    assert all(whole in t for k, t in got.items() if k != 90) and got[90] == "Another page"
+    few = spark.createDataFrame(rows[:4] + rows[30:36], "page_id long, url string, html string")
+    monkey = htmltext._bounds
+    try:
+        htmltext._bounds = lambda *a: []  # one bucket: every copy sees the page that differs
+        one = {r["page_id"]: r["text"] for r in htmltext.extract(few).collect()}
+    finally:
+        htmltext._bounds = monkey
+    assert all(one[k] == whole for k in range(4)) and all(one[50 + k] == f"{whole}\n\nLine {k}" for k in range(5))
