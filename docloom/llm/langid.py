@@ -151,25 +151,36 @@ def fit(rows: list[tuple[str, str]], df: np.ndarray, n_docs: int) -> Model:
 
 def train(docs: DataFrame) -> Model:
     """Learn from all rows of docs (doc_id, text, lang) with text and lang; df from all of them, weights from a sample by hash."""
+    spark = docs.sparkSession
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     df, n = document_frequencies(rows)
-    # as many of each language as there is room for, so that rare ones are learned too
-    share = max(1, MAX_TRAIN // max(len(langs), 1))
-    ids = None
-    for x in langs if len(langs) <= 16 else []:
-        part = common.sample(rows.where(F.col("lang") == x).select("doc_id"), ["doc_id"], share)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        ids = common.sample(rows.select("doc_id"), ["doc_id"], MAX_TRAIN)
-    ids = ids.distinct()
+    if not sizes:
+        return fit([], df, n)
+    # as many of each language as there is room for, so that rare ones are learned too; a hash cut leaves a few times as many
+    share = max(1, MAX_TRAIN // len(sizes))
+    cuts = spark.createDataFrame([(x, max(1, c // (4 * share))) for x, c in sizes.items()], "lang string, parts long")
+    few = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("parts")) == 0)
+    found = few.where("doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.char_length("text")).cast("long").alias("size")).select("lang", F.hash("doc_id").alias("h"), "doc_id", "size")
+    queue: dict[str, list] = {x: [] for x in sizes}
+    for lang, h, doc_id, size in found.collect():
+        queue[lang].append((h, doc_id, size))
+    # texts that do not fit are skipped and later ones taken: each language has its part of the bytes, then what others leave
+    taken, used = set(), 0
+    for least in (MAX_BYTES // len(sizes), MAX_BYTES):
+        for lang, held in queue.items():
+            mine = [size for _, doc_id, size in held if (lang, doc_id) in taken]
+            count, own = len(mine), sum(mine)
+            for _, doc_id, size in sorted(held):
+                if count < share and (lang, doc_id) not in taken and own + size <= least and used + size <= MAX_BYTES:
+                    taken.add((lang, doc_id))
+                    count, own, used = count + 1, own + size, used + size
+    if not taken:
+        return fit([], df, n)
+    ids = spark.createDataFrame(sorted(taken), "lang string, doc_id long")
     key = F.xxhash64("doc_id", F.octet_length("text"))
-    held, size = [], 0
-    for r in rows.where(F.col("lang").isin(langs)).join(F.broadcast(ids), "doc_id").select("text", "lang", key.alias("key")).orderBy("key", "lang").limit(MAX_TRAIN).toLocalIterator():
-        size += len(r[0])
-        if size > MAX_BYTES:
-            break
-        held.append((r[0], r[1]))
+    one = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    held = [(r[0], r[1]) for r in one.select("text", "lang", key.alias("key")).orderBy("key", "lang").limit(MAX_TRAIN).toLocalIterator()]
     return fit(held, df, n)
 
 

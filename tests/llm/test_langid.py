@@ -37,3 +37,18 @@ def test_odd_rows(spark):
     assert len(got) == odd_docs(spark).count()
     assert {r["lang_pred"] for r in got if r["doc_id"] in (3, 4, 5)} == {"und"}
     assert langid.predict(no_docs(spark), langid.train(no_docs(spark))).count() == 0
+
+
+def test_rare_languages_among_many_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_TRAIN", 60)
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(4000)]
+    rows += [(5000 + 10 * k + j, chr(0x400 + 8 * k) * 9 + f" {chr(0x401 + 8 * k)} " * 3, f"l{k:02d}") for k in range(19) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == sorted({x for *_, x in rows})
+
+
+def test_long_texts_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_BYTES", 4000)
+    rows = [(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * (500 if i % 4 < 2 else 1), "en" if i % 2 else "fr") for i in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "fr"] and model.predict("the dog")[0] == "en" and model.predict("le chien")[0] == "fr"
