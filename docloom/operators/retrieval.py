@@ -12,6 +12,8 @@ from docloom.functions import vectors as V
 K1, B, RRF_K = 1.2, 0.75, 60
 #: A dimension or question table of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Query vectors in a block of the exact search.
+QUERY_BLOCK = 2_000
 
 
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,10 +61,19 @@ def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(terms(text))).alias("term")).withColumn("boost", F.lit(1.0))
 
 
-def vector_search(items: DataFrame, queries: DataFrame, k: int, similarity=V.dot, item: str = "vec_id", by: str = "qid") -> DataFrame:
-    """Exact top k by similarity: queries (qid, q) in blocks that fit a broadcast meet one scan of items (item, embedding) each."""
-    pairs = items.join(maybe_broadcast(queries, 2_000), F.lit(True))
-    return top_k(pairs.select(by, item, similarity("q", "embedding").alias("score")), [by], k, F.round("score", 6).desc(), F.col(item))
+def vector_search(items: DataFrame, queries: DataFrame, k: int, similarity=V.dot, item: str = "vec_id", by: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact top k by similarity: queries (qid, q) in blocks that fit a broadcast meet one scan of items (item, embedding) each.
+
+    Blocks go by a hash of qid, so that the vectors of one question stay together.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for n in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == n) if blocks > 1 else queries
+        pairs = items.join(F.broadcast(part), F.lit(True))
+        top = top_k(pairs.select(by, item, similarity("q", "embedding").alias("score")), [by], k, F.round("score", 6).desc(), F.col(item))
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def rrf(candidates: DataFrame, weights: dict[str, float] | None = None, key: str = "chunk_id") -> DataFrame:
