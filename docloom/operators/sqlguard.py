@@ -67,8 +67,8 @@ def check(spark: SparkSession, sql: str, tables: set[str]) -> set[str]:
     return names - own
 
 
-def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive: tuple[str, ...] = (), max_rows: int = 200) -> DataFrame:
-    """At most max_rows rows of a guarded query over the given tables; columns named in `sensitive` are masked before the query.
+def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive: tuple[str, ...] = (), max_rows: int | None = 200) -> DataFrame:
+    """At most max_rows rows (None: all) of a guarded query over the given tables; columns named in `sensitive` are masked before the query.
 
     Masking comes before the query, so that an alias or an expression does not lay a value open.
     """
@@ -76,4 +76,5 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive:
     hidden = {s.lower() for s in sensitive}
     for name, df in tables.items():
         df.select(*[T.mask(c).alias(c) if c.lower() in hidden else F.col(c) for c in df.columns]).createOrReplaceTempView(name)
-    return spark.sql(sql).limit(max_rows)
+    out = spark.sql(sql)
+    return out if max_rows is None else out.limit(max_rows)
