@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ K = 256
 WIDTH = 5
 #: Word hashes that a worker keeps.
 CACHE = 1_000_000
-#: Buckets of neighbouring documents per shuffle partition, and keys sampled per bucket to bound them.
-BUCKETS_EACH, KEYS_EACH, MAX_BUCKETS = 4, 24, 4096
+#: Rows per task from which there are more tasks than shuffle partitions, buckets of neighbouring rows per task, keys sampled per
+#: bucket to bound them, and buckets at most (their bounds are held by the driver and by each task).
+ROWS_EACH, BUCKETS_EACH, KEYS_EACH, MAX_BUCKETS = 200_000, 4, 24, 1 << 16
 
 _HASH: dict[str, int] = {}
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, n, 1 << 64) for n in range(WIDTH)], dtype=np.uint64)
@@ -140,9 +142,15 @@ def merge(parts: DataFrame, key: str, k: int = K, salts: int = 64) -> DataFrame:
     return joined.mapInArrow(pack, f"`{key}` {kind}, fingerprint string")
 
 
-def _bounds(keys: DataFrame, column: str, buckets: int) -> list:
+def bucket_count(spark, rows: int) -> tuple[int, int]:
+    """Tasks and buckets for so many rows."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, rows // ROWS_EACH))
+    return tasks, min(MAX_BUCKETS, BUCKETS_EACH * tasks)
+
+
+def _bounds(keys: DataFrame, columns: list[str], buckets: int) -> list:
     """Upper bounds of buckets of about equal numbers of distinct keys, from a bounded sample by hash."""
-    held = sorted(r[0] for r in common.sample(keys.select(column).distinct(), [column], buckets * KEYS_EACH).collect())
+    held = sorted(tuple(r) for r in common.sample(keys.select(*columns).distinct(), columns, buckets * KEYS_EACH).collect())
     return sorted({held[i * len(held) // buckets] for i in range(1, buckets)}) if held else []
 
 
@@ -157,19 +165,22 @@ def with_edits(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.bounded_batches(spark)
     lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), "text")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_bounds(rows, "k", min(MAX_BUCKETS, BUCKETS_EACH * partitions)), dtype=np.int64)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text"
+    )
+    tasks, buckets = bucket_count(spark, docs.count())
+    bounds = _bounds(rows, ["k", "tie"], buckets)
 
     def ends(batches):
         for b in batches:
-            k = b.column(0).to_numpy()
-            at = np.searchsorted(bounds, k, side="right")
-            order = np.lexsort((k, at))
-            last = order[np.flatnonzero(np.diff(at[order], append=-1))]
-            yield pa.RecordBatch.from_arrays([pa.array(at[last].astype(np.int32)), pa.array(k[last])], ["bucket", "k"])
-
-    tails = sorted(tuple(r) for r in rows.select("k").mapInArrow(ends, "bucket int, k long").groupBy("bucket").agg(F.max("k")).collect())  # a row per bucket
+            last: dict[int, tuple] = {}
+            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = bisect_right(bounds, x)
+                last[at] = max(last.get(at, x), x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(last), pa.int32()), *(pa.array([x[i] for x in last.values()], pa.int64()) for i in (0, 1))], ["bucket", "k", "tie"])
+
+    found = rows.select("k", "tie").mapInArrow(ends, "bucket int, k long, tie long").groupBy("bucket").agg(F.max(F.struct("k", "tie")).alias("x"))
+    tails = sorted((r[0], tuple(r[1])) for r in found.collect())  # a row per bucket
     # the largest key of a bucket goes before the next bucket's rows too, that of the last bucket before the first's
     visit = {k: tails[(i + 1) % len(tails)][0] for i, (_, k) in enumerate(tails)}
 
@@ -177,11 +188,9 @@ def with_edits(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
-            at = np.searchsorted(bounds, b.column(1).to_numpy(), side="right").tolist()
-            for doc_id, k, text, bucket in zip(*(c.to_pylist() for c in b.columns), at):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                z, tie = pack.compress(raw), xxh64_intdigest(raw) >> 1
-                for where, own in ((bucket, True), *(((visit[k], False),) if k in visit else ())):
+            for doc_id, k, tie, text in zip(*(c.to_pylist() for c in b.columns)):
+                z = pack.compress((text or "").encode("utf-8", "surrogatepass"))
+                for where, own in ((bisect_right(bounds, (k, tie)), True), *(((visit[k, tie], False),) if (k, tie) in visit else ())):
                     for column, v in zip(out, (where, own, k, tie, doc_id, z)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -215,7 +224,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], NAMES)
 
     dealt = rows.mapInArrow(deal, "bucket int, own boolean, k long, tie long, doc_id long, z binary")
-    ordered = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "own", "k", "tie")
+    ordered = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "own", "k", "tie")
     return ordered.mapInArrow(edit, SCHEMA)
 
 
