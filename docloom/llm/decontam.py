@@ -1,11 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Benchmark items are short and documents long, so their Jaccard similarity says nothing; containment does. Items are partitioned by
-their number of shingles. An item of n shingles is found in a document that holds at least c of them (c the least whole number of
-shingles at the threshold), and such a document holds at least one of any n - c + 1 of its shingles. So each item keeps its
-n - c + 1 smallest shingle hashes, the size of this MinHash sketch following from the item's size partition, and a document that
-holds one of them is a candidate. No contained item can be missed. Candidates are verified by exact shingle containment. All of it
-is DataFrame functions.
+their number of shingles (powers of two). An item of n shingles is found in a document that holds at least c of them (c the least
+whole number of shingles at the threshold), and such a document holds at least one of any n - c + 1 of its shingles. So each item
+keeps the smallest n - c + 1 hashes of its shingles, those that few items share first. Each partition has a ceiling, the largest
+hash that any of its items keeps, and a least size, the fewest shingles a document must have to hold one of its items. A document's
+sketch is its shingle hashes below the highest ceiling of the partitions that its size admits; an item and a document whose
+sketches meet are a candidate. No contained item can be missed. Candidates are verified by exact shingle containment. All of it is
+DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WIDTH = 5
 THRESHOLD = 0.8
-#: Items are searched in blocks of at most so many sketch hashes, so that what is broadcast has a fixed bound (about 16 MB).
-BLOCK_HASHES = 250_000
+#: Bytes of item sketches, and of item shingles, up to which they are broadcast; beyond it they are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a hash of a sketch and a hash of an item take in a broadcast table, with what surrounds them.
+SKETCH_HASH_BYTES, ITEM_HASH_BYTES = 96, 8
 
 
 def shingles(text: str) -> Column:
@@ -31,44 +37,85 @@ def shingles(text: str) -> Column:
     )
 
 
+def least_shared(n: int, threshold: float = THRESHOLD) -> int:
+    """Shingles that a document must share with an item of n."""
+    return math.ceil(threshold * n - 1e-9)
+
+
 def sketch_size(n: int, threshold: float = THRESHOLD) -> int:
-    """Smallest hashes that an item of n shingles must keep for no document at the threshold to escape."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
+    """Hashes that an item of n shingles must keep for no document at the threshold to escape."""
+    return n - least_shared(n, threshold) + 1
 
 
 def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(item_id, n, size_class, hashes, sketch): distinct shingles of each item and the smallest of them, by size partition.
+    """(no, item_id, n, size_class, hashes, sketch) per distinct item with a shingle: no is a hash of the item, hashes its distinct
+    shingles, size_class the power of two that n has reached, sketch the smallest hashes, those that few items share first."""
+    rows = items.select("item_id", F.array_sort(F.array_distinct(shingles("text"))).alias("hashes")).where("size(hashes) > 0")
+    rows = rows.select(F.xxhash64(F.to_json(F.struct("item_id")), "hashes").alias("no"), "item_id", "hashes").dropDuplicates(["no"])
+    each = rows.select("no", F.explode("hashes").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("in_items"))
+    order = each.join(shared, "h").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("in_items", "h"))).alias("order"))
+    rows = rows.join(order, "no").withColumn("n", F.size("hashes"))
+    keep = f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1"
+    return rows.select("no", "item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "hashes", F.expr(f"slice(order.h, 1, {keep})").alias("sketch"))
 
-    The size partition is the power of two that n lies above; the sketch takes what the largest item of a partition's size would
-    need, and at least what this item needs.
-    """
-    rows = items.select("item_id", F.array_sort(F.array_distinct(shingles("text"))).alias("hashes"))
-    rows = rows.withColumn("n", F.size("hashes")).where("n > 0")
-    rows = rows.withColumn("size_class", F.floor(F.log2("n")).cast("int"))
-    top = "cast(least(n, pow(2, size_class + 1) - 1) as int)"
-    return rows.withColumn("sketch", F.expr(f"slice(hashes, 1, {top} - cast(ceil({threshold} * {top} - 1e-9) as int) + 1)"))
+
+def ceilings(sketches: DataFrame, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(least document size, ceiling) by size partition, ascending; the ceiling holds for all partitions up to this one."""
+    rows = sketches.groupBy("size_class").agg(F.min("n"), F.max(F.array_max("sketch"))).collect()  # 32 rows at most
+    out: list[tuple[int, int]] = []
+    for _, n, top in sorted(tuple(r) for r in rows):
+        out.append((least_shared(n, threshold), max(top, out[-1][1]) if out else top))
+    return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def document_sketches(docs: DataFrame, parts: list[tuple[int, int]], key: tuple[str, ...]) -> DataFrame:
+    """The key, _s (distinct shingles) and _h (the sketch) of documents whose sketch has a hash."""
+    rows = docs.select(*key, F.array_distinct(shingles("text")).alias("_s"))
+    ceiling = "case " + " ".join(f"when size(_s) >= {least} then {top}L" for least, top in reversed(parts) if top > -(1 << 63)) + " end"
+    return rows.withColumn("_h", F.expr(f"transform(array({ceiling}), t -> filter(_s, h -> h <= t))[0]")).where("size(_h) > 0")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, shared, size, containment): items of which a document holds at least `threshold` of the distinct shingles.
 
     docs: (doc_id, text), items: (item_id, text). Null and empty texts have no shingles and match nothing; an item of fewer than
     WIDTH words matches only a document of just these words. Rows that share a doc_id are looked at each for itself and reported
-    once, with the largest containment; null ids are reported as null. Repeated item rows count once.
+    once, with the largest containment; null ids are reported as null. Repeated item rows count once. Other columns are ignored;
+    `key` names other columns to report instead of doc_id. Documents are read once where the items' sketches and shingles are
+    small enough to broadcast (BROADCAST_BYTES, counted first), and shuffled by hash where they are not.
     """
-    sketches = item_sketches(items, threshold).dropDuplicates(["item_id", "hashes"])
-    total = sketches.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / BLOCK_HASHES))
-    rows = docs.select("doc_id", shingles("text").alias("s"))
-    out = None
-    for k in range(blocks):
-        part = sketches if blocks == 1 else sketches.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == k)
-        held = part.select(F.struct("item_id", "n", "hashes").alias("item"), F.explode("sketch").alias("h"))
-        by_hash = held.groupBy("h").agg(F.collect_list("item").alias("items"))  # items that share a shingle of their sketches
-        hits = rows.select("doc_id", "s", F.explode(F.array_distinct("s")).alias("h")).join(F.broadcast(by_hash), "h")
-        found = hits.select("doc_id", "s", F.explode("items").alias("item"))
-        found = found.select("doc_id", "item.item_id", F.size(F.array_intersect("s", "item.hashes")).alias("shared"), F.col("item.n").alias("size"))
-        found = found.where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
-        out = found if out is None else out.unionByName(found)
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("shared") / F.col("size"), "shared", "size")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.shared").alias("shared"), F.col("b.size").alias("size"), (F.col("b.shared") / F.col("b.size")).alias("containment"))
+    sketches = common.store(item_sketches(items, threshold), "item-sketches")
+    parts = ceilings(sketches, threshold)
+    kept, held = sketches.agg(F.sum(F.size("sketch")), F.sum("n")).first()
+    postings = sketches.select(F.explode("sketch").alias("_x"), F.struct("no", "n").alias("i")).groupBy("_x").agg(F.collect_list("i").alias("_items"))
+    small = (kept or 0) * SKETCH_HASH_BYTES + (held or 0) * ITEM_HASH_BYTES <= BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda df: df)
+    rows = document_sketches(docs, parts, key) if parts else docs.where("false").select(*key, F.array().cast("array<long>").alias("_s"), F.array().cast("array<long>").alias("_h"))
+    whole = sketches.select(F.col("no").alias("_no"), "item_id", F.col("n").alias("_n"), "hashes")
+    enough = "size(_s) >= ceil({t} * i.n - 1e-9)".format(t=threshold)
+    if small:
+        hits = rows.select(*key, "_s", F.explode("_h").alias("_x")).join(hint(postings), "_x")
+        hits = hits.select(*key, "_s", F.explode(F.expr(f"filter(_items, i -> {enough})")).alias("_i")).select(*key, "_s", F.col("_i.no").alias("_no"))
+    else:  # hashes alone meet the sketches; shingles join the candidates by a hash of the document
+        rows = rows.withColumn("_r", F.xxhash64("_s"))
+        met = rows.select("_r", F.size("_s").alias("_m"), F.explode("_h").alias("_x")).join(postings, "_x")
+        met = met.select("_r", F.explode(F.expr(f"filter(_items, i -> {enough.replace('size(_s)', '_m')})")).alias("_i")).select("_r", F.col("_i.no").alias("_no")).distinct()
+        hits = rows.drop("_h").join(met, "_r").select(*key, "_s", "_no")
+    found = hits.join(hint(whole), "_no").select(*key, "item_id", F.size(F.array_intersect("_s", "hashes")).alias("shared"), F.col("_n").alias("size"))
+    found = found.where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
+    best = found.groupBy(*key, "item_id").agg(F.max(F.struct(F.col("shared") / F.col("size"), "shared", "size")).alias("b"))
+    return best.select(*key, "item_id", F.col("b.shared").alias("shared"), F.col("b.size").alias("size"), (F.col("b.shared") / F.col("b.size")).alias("containment"))
+
+
+#: DuckDB text of op3's result: shingles as text, counted.
+SQL = """with w as (select 0 as kind, rowid as r, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w
+      from (select row_number() over () as rowid, doc_id, text from documents)
+    union all select 1, rowid, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')
+      from (select row_number() over () as rowid, item_id, text from benchmark)),
+  s as (select kind, r, id, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
+      from w where len(w) > 0),
+  n as (select r, count(*) as n from s where kind = 1 group by r),
+  f as (select d.r, d.id as doc_id, i.id as item_id, i.r as item, count(*) as shared from s d join s i on d.s = i.s and d.kind = 0 and i.kind = 1 group by all),
+  best as (select doc_id, item_id, max(struct_pack(c := shared / n, shared := shared, size := n)) as b from f join n on n.r = f.item where shared >= 0.8 * n - 1e-9 group by all)
+  select doc_id, item_id, cast(b.shared as int) as shared, cast(b.size as int) as size, b.shared / b.size as containment from best"""

@@ -74,4 +74,4 @@ _ALL = (
     op1_toxicity, op2_langid, op3_decontamination, op4_warc, op5_secrets, op6_fingerprints, op7_html, op8_sharding, op9_simhash, op10_bpe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": decontam.SQL}

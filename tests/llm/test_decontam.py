@@ -1,6 +1,8 @@
 import re
 
-from docloom.llm import decontam
+import duckdb
+
+from docloom.llm import decontam, queries
 from docloom.llm.common import read
 
 from .rows import no_docs, odd_docs
@@ -38,12 +40,42 @@ def test_part_of_an_item_is_enough(spark):
     assert (36, 1) in want and (35, 1) not in want and (99, 3) in want and (98, 3) not in want
 
 
-def test_blocks_agree(spark, sf, monkeypatch):
+def test_shuffled_items_agree(spark, sf, monkeypatch):
     docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
-    monkeypatch.setattr(decontam, "BLOCK_HASHES", 50)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 50)
     check(docs, items)
 
 
+def test_long_items_that_share_shingles(spark):
+    words = [f"w{k}" for k in range(5000)]
+    items = spark.createDataFrame([(k, " ".join(words[:2000] + [f"x{k}"] + words[2000 + k :])) for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(words[: 1000 * k])) for k in range(6)] + [(7, "all items begin alike " * 3)], "doc_id long, text string")
+    assert check(docs, items)
+
+
+def test_partitions_and_sketches(spark):
+    items = spark.createDataFrame([(n, " ".join(f"i{n} w{k}" for k in range(n))) for n in (3, 5, 9, 40, 200)], "item_id long, text string")
+    sketches = decontam.item_sketches(items)
+    rows = sketches.collect()
+    assert all(len(r["sketch"]) == decontam.sketch_size(r["n"]) and 2 ** r["size_class"] <= r["n"] < 2 ** (r["size_class"] + 1) for r in rows)
+    parts = decontam.ceilings(sketches)
+    assert parts == sorted(parts) and parts[-1][1] == max(max(r["sketch"]) for r in rows)
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, " ".join(f"d{k}" for k in range(3000)))], "doc_id long, text string")
+    for r in decontam.document_sketches(docs, parts, ("doc_id",)).collect():
+        top = max(t for least, t in parts if len(r["_s"]) >= least)
+        assert sorted(r["_h"]) == sorted(h for h in r["_s"] if h <= top) and len(r["_h"]) < len(r["_s"])
+
+
+def test_sql(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    want = con.sql(decontam.SQL).fetchall()
+    got = [tuple(r) for r in queries.op3_decontamination(spark, d).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, "word word word word word word")], "item_id long, text string")
     assert {(1, 1), (None, 1), (9, 2)} <= check(odd_docs(spark), items)
