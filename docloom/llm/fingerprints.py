@@ -224,7 +224,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], NAMES)
 
     dealt = rows.mapInArrow(deal, "bucket int, own boolean, k long, tie long, doc_id long, z binary")
-    ordered = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "own", "k", "tie")
+    ordered = dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket", "own", "k", "tie")
     return ordered.mapInArrow(edit, SCHEMA)
 
 

@@ -469,7 +469,7 @@ def extract(pages: DataFrame) -> DataFrame:
         yield _batch(held)
 
     dealt = rows.withColumn("tie", tie).mapInArrow(deal, "bucket int, own boolean, k string, page_id long, url string, z binary")
-    ordered = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "k")
+    ordered = dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks))).sortWithinPartitions("bucket", "k")
     return ordered.mapInArrow(compare, "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, n_guarded long, n_spared long")
 
 
