@@ -9,7 +9,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LEFT: list = []
@@ -97,6 +97,37 @@ def drop(df: DataFrame) -> None:
         _LEFT[:] = [x for x in _LEFT if x[1] != path]
 
 
+#: Rows of a few numbers each up to which a counted table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if a count of it (give a stored one) is at most BROADCAST_ROWS."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def text_key() -> tuple[Column, Column]:
+    """Two hashes of the column text, together its key; null counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with the text's key in _k0 and _k1."""
+    k0, k1 = text_key()
+    return docs.withColumn("_k0", k0).withColumn("_k1", k1)
+
+
+def without(docs: DataFrame, gone: DataFrame, ids: tuple[str, ...] = ()) -> DataFrame:
+    """docs without the rows whose text's key (k0, k1), and what else `ids` names, a stored table lists; texts stay in place if the
+    table is small."""
+    gone = small(gone.select(*(F.col(c).alias(f"_g_{c}") for c in ("k0", "k1", *ids))))
+    same = (F.col("_k0") == F.col("_g_k0")) & (F.col("_k1") == F.col("_g_k1"))
+    for c in ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return keyed(docs).join(gone, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 

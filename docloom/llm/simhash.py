@@ -1,10 +1,13 @@
 """SimHash near-duplicates by vantage-point trees over Hamming space.
 
-Fingerprints are 64-bit majority votes over shingle hashes. Distinct fingerprints are dealt to shards, the leaves of a
-vantage-point tree built from a bounded sample; the tree only routes, so the sample decides balance and never results. A
-fingerprint visits every shard that the triangle inequality cannot exclude within the radius, and inside a shard the search goes
-on by vantage points until a block is small enough to compare outright. All pairs within the radius are found; each shard
-reports a spanning forest of them, and distributed components give the groups.
+Fingerprints are 64-bit majority votes over shingle hashes. They are dealt to shards, the leaves of a vantage-point tree built from
+a bounded sample; the tree only routes, so the sample decides balance and never results. A fingerprint visits every shard that the
+triangle inequality cannot exclude within the radius, and inside a shard the search goes on by vantage points until a block is small
+enough to compare outright. No pair within the radius is missed; each shard reports a spanning forest of them, and distributed
+components give the groups.
+
+`near_duplicates` groups documents by that alone. `one_of_each` looks for a Jaccard similarity of five-word shingles: several word
+fingerprints, which such documents share within the radius almost surely in one of them, give candidates, and shingles decide.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ SEED = 42
 #: Shards grow as the root of the number n of distinct fingerprints, root(n) / ROOT_PART: visits to other shards then grow more
 #: slowly than with shards of fixed size, and the search inside a shard prunes on without sending anything.
 ROOT_PART = 12
-#: Bounds of the routing tree: its sample and its number of shards; and the least share that a shard is cut for exceeding.
-SAMPLE, MAX_SHARDS, SHARD_SIZE = 16384, 1024, 4096
+#: Bounds of the routing tree: its sample (fingerprints in all at least, and per shard) and its number of shards; the least share that
+#: a shard is cut for exceeding, and the share that it is always cut for.
+SAMPLE, SAMPLE_EACH, MAX_SHARDS, SHARD_SIZE, CELL = 16384, 16, 8192, 4096, 1 << 17
 #: Comparisons made at once inside a shard; larger blocks are split by a vantage point.
 BLOCK = 1 << 20
 
@@ -171,82 +175,123 @@ def _near_blocks(fp: np.ndarray, home: np.ndarray, query: np.ndarray, rng, radiu
         stack += [(h[dh <= mu], q[low], True), (h[dh > mu], q[high], True)]
 
 
-def forest(fp: np.ndarray, rep: np.ndarray, is_home: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (rep, rep) that connect what pairs within the radius, one end at home, connect; at most one per fingerprint."""
-    label = np.arange(len(fp))
-    linked = np.zeros(len(fp), bool)
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Roots of the trees of at, paths made short on the way."""
+    r = parent[at]
+    while (parent[r] != r).any():
+        r = parent[r]
+    parent[at] = r
+    return r
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of signatures agree in so large a part of the places that either has filled."""
+    filled = ((a != 0) | (b != 0)).sum(axis=1)
+    return ((a == b) & (a != 0)).sum(axis=1) >= least * filled
+
+
+def forest(fp: np.ndarray, is_home: np.ndarray, radius: int = RADIUS, signs: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of pairs within the radius, one end at home, that connect what all such pairs connect: fewer than rows.
+
+    With signs (rows of 16 bytes) only pairs that are `alike` count.
+    """
+    parent = np.arange(len(fp))
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
     rng = np.random.default_rng(2)
     for h, q in _near_blocks(fp, np.flatnonzero(is_home), np.arange(len(fp)), rng, radius):
-        near = distance(fp[q][:, None], fp[h][None, :]) <= radius
-        fresh = near & (label[q][:, None] != label[h][None, :])
-        for i in np.flatnonzero(fresh.any(axis=1)):
-            own = label[q[i]]
-            others = np.unique(label[h[near[i]]])
-            others = others[others != own]
-            if len(others):
-                label[np.isin(label, others)] = own
-    order = np.lexsort((rep, label))
-    first: dict[int, int] = {}
-    out = []
-    for i in order.tolist():
-        k = int(label[i])
-        if k in first:
-            out.append((first[k], int(rep[i])))
-        else:
-            first[k] = int(rep[i])
-    del linked
-    return out
-
-
-def links(reps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): representatives of fingerprints within the radius, enough of them to connect all that are connected.
-
-    reps: (fp, rep), fp distinct; n: its rows. Shards that hold far more than their share (a ball of near copies that no vantage
-    point parts) are cut into pieces by fingerprint; each piece meets all visitors of the shard.
+        a, b = _roots(parent, q), _roots(parent, h)
+        trees, n = np.unique(b, return_counts=True)
+        most = trees[n.argmax()]  # rows of the largest tree need not meet each other
+        for qs, hs in ((q[a != most], h), (q[a == most], h[b != most])):
+            if not len(qs) or not len(hs):
+                continue
+            near = distance(fp[qs][:, None], fp[hs][None, :]) <= radius
+            if signs is not None:
+                i, j = np.nonzero(near)
+                off = ~alike(signs[qs[i]], signs[hs[j]], least)
+                near[i[off], j[off]] = False
+            while True:
+                a, b = _roots(parent, qs), _roots(parent, hs)
+                fresh = near & (a[:, None] != b[None, :])
+                rows = np.flatnonzero(fresh.any(axis=1))
+                if not len(rows):
+                    break
+                count = fresh[rows].cumsum(axis=1, dtype=np.int32)
+                cols = (count == (rows % count[:, -1] + 1)[:, None]).argmax(axis=1)  # not all to the same partner
+                high, low = np.maximum(a[rows], b[cols]), np.minimum(a[rows], b[cols])
+                order = np.lexsort((low, high))
+                take = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+                parent[high[take]] = low[take]
+                left.append(qs[rows[take]])
+                right.append(hs[cols[take]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None = None) -> DataFrame:
+    """(a, b): nodes of fingerprints within the radius, enough of them to connect all that are connected.
+
+    points: (fp, node), with `least` also (s0, s1), a signature of 16 bytes of which that part must agree; n: its rows. Shards that
+    hold far more than their share (a ball of near copies that no vantage point parts) are cut into pieces by fingerprint; each
+    piece meets all visitors of the shard, these in blocks where they are very many.
     """
-    spark = reps.sparkSession
+    spark = points.sparkSession
+    signed = least is not None
     shards = max(1, min(MAX_SHARDS, int(n**0.5 / ROOT_PART)))
-    share = max(SHARD_SIZE, n // shards)
-    sample = [r[0] for r in common.sample(reps.select("fp"), ["fp"], SAMPLE).collect()]
+    share = min(CELL, max(SHARD_SIZE, n // shards))
+    sample = [r[0] for r in common.sample(points.select("fp"), ["fp"], max(SAMPLE, SAMPLE_EACH * shards)).collect()]
     nodes = build_tree(np.array(sample, dtype=np.int64).view(np.uint64), shards)
     tree = spark.sparkContext.broadcast(nodes)  # at most MAX_SHARDS leaves
 
-    def home_leaf(batches):
-        for b in batches:
-            p = b.column(0).to_numpy().view(np.uint64)
-            row, leaf, home = route(tree.value, p, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[home].astype(np.int32))], ["leaf"])
-
-    held = dict(reps.select("fp").mapInArrow(home_leaf, "leaf int").groupBy("leaf").count().collect())  # a row per leaf at most
-    pieces = {leaf: max(1, round(c / (2 * share))) for leaf, c in held.items()}
-    cuts = spark.sparkContext.broadcast(np.array([pieces.get(k, 1) for k in range(max(pieces, default=0) + 1)] or [1]))
+    def visited(p: np.ndarray):
+        row, leaf, home = route(tree.value, p, radius)
+        own = np.zeros(len(p), int)
+        own[row[home]] = leaf[home]
+        # of two shards only one receives the other's visitors
+        keep = home | np.where((own[row] + leaf) % 2 == 1, leaf > own[row], leaf < own[row])
+        return row[keep], leaf[keep], home[keep]
 
-    def visits(batches):
+    def tally(batches):
+        homes, all_ = np.zeros(MAX_SHARDS, int), np.zeros(MAX_SHARDS, int)
         for b in batches:
-            p, rep = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            row, leaf, home = route(tree.value, p, radius)
-            own = np.zeros(len(p), int)
-            own[row[home]] = leaf[home]
-            # of two shards only one receives the other's visitors
-            keep = home | np.where((own[row] + leaf) % 2 == 1, leaf > own[row], leaf < own[row])
-            row, leaf, home = row[keep], leaf[keep], home[keep]
-            known = leaf < len(cuts.value)  # a leaf that no fingerprint calls home has nothing to find
-            row, leaf, home = row[known], leaf[known], home[known]
-            times = cuts.value[leaf]
-            at = np.repeat(np.arange(len(row)), times)
-            piece = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            mine = (p[row[at]] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % times[at] == piece
-            cell = leaf[at].astype(np.int64) * (1 << 20) + piece
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell), pa.array(p[row[at]].view(np.int64)), pa.array(rep[row[at]]), pa.array(home[at] & mine)],
-                ["cell", "fp", "rep", "home"],
-            )
+            _, leaf, home = visited(b.column(0).to_numpy().view(np.uint64))
+            homes += np.bincount(leaf[home], minlength=MAX_SHARDS)
+            all_ += np.bincount(leaf, minlength=MAX_SHARDS)
+        at = np.flatnonzero(all_)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(homes[at]), pa.array(all_[at])], ["leaf", "homes", "visits"])
+
+    cuts = np.zeros((MAX_SHARDS, 2), int)  # pieces and blocks of each leaf; none where no fingerprint is at home
+    for leaf, homes, visits in points.select("fp").mapInArrow(tally, "leaf int, homes long, visits long").groupBy("leaf").agg(F.sum("homes"), F.sum("visits")).collect():
+        if homes:
+            cuts[leaf] = max(1, round(homes / (2 * share))), -(-visits // (16 * CELL))
+    held = spark.sparkContext.broadcast(cuts)
+
+    def deal(batches):
+        for b in batches:
+            p = b.column(0).to_numpy().view(np.uint64)
+            row, leaf, home = visited(p)
+            pieces, blocks = held.value[leaf].T
+            mix = (p[row] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            at = np.repeat(np.arange(len(row)), pieces)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            mine = home[at] & (mix[at] % pieces[at] == piece)
+            times = np.where(mine, blocks[at], 1)
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            again = np.repeat(np.arange(len(at)), times)
+            at, piece, mine = at[again], piece[again], mine[again]
+            block = np.where(mine, block, (mix[at] >> 7) % blocks[at])
+            cell = leaf[at].astype(np.int64) << 40 | piece << 20 | block
+            take = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *(c.take(take) for c in b.columns), pa.array(mine)], names)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = forest(pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy(), pdf["home"].to_numpy(), radius)
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
-
-    dealt = reps.select("fp", "rep").mapInArrow(visits, "cell long, fp long, rep long, home boolean")
+        signs = np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy()).view(np.uint8) if signed else None
+        i, j = forest(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), radius, signs, least or 0.0)
+        node = pdf["node"].to_numpy()
+        return pd.DataFrame({"a": node[i], "b": node[j]})
+
+    columns = ["fp", "node", *(("s0", "s1") if signed else ())]
+    names = ["cell", *columns, "home"]
+    dealt = points.select(*columns).mapInArrow(deal, ", ".join(f"{c} long" for c in names[:-1]) + ", home boolean")
     return dealt.groupBy("cell").applyInPandas(search, "a long, b long")
 
 
@@ -254,11 +299,151 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other. Rows with equal doc_id keep a
-    row each; a null doc_id keeps its row with its own fingerprint's component. Other columns are ignored.
+    row each; a null doc_id keeps its row, links like any other and is never a component's id (null where no other is reachable).
+    Other columns are ignored.
     """
     fps = common.store(fingerprints(docs), "simhash")
-    reps = common.store(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-reps")
-    n = reps.count()
-    roots = common.components(links(reps, n, radius))
-    comp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    ids = common.store(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
+    roots = common.components(links(ids.select("fp", F.col("fp").alias("node")), ids.count(), radius))
+    rooted = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    comp = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(comp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Word fingerprints per text, words of a shingle, and part of two signatures that must agree for shingles to be compared.
+TABLES, WIDTH, ALIKE = 4, 5, 0.55
+#: Jaccard similarity of distinct shingles from which texts are near copies.
+THRESHOLD = 0.8
+#: Words whose hash a worker keeps.
+CACHE = 500_000
+
+
+class _Hashes(dict):
+    def __missing__(self, word):
+        if len(self) > CACHE:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_fingerprints(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """TABLES fingerprints over the words of a text, each word with the weight log(1 + count), and a signature of 16 bytes: a hash of
+    the least shingle in each sixteenth of the hash space, 0 where it has none. All zero without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    signs = np.zeros(16, np.uint8)
+    if not n:
+        return np.zeros(TABLES, np.uint64), signs
+    h = np.array([_HASHES[w] for w in words], dtype=np.uint64)
+    kinds, count = np.unique(h, return_counts=True)
+    weight = np.log1p(count).astype(np.float32)
+    votes = np.zeros(64 * TABLES, np.float32)
+    for at in range(0, len(kinds), 4096):
+        each = np.stack([_mixed(kinds[at : at + 4096] + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for t in range(TABLES)], axis=1)
+        votes += weight[at : at + 4096] @ np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    fps = np.packbits(votes * 2 > weight.sum(), bitorder="little").view("<u8")
+    m = max(1, n - WIDTH + 1)
+    s = np.full(m, min(n, WIDTH), dtype=np.uint64)
+    for k in range(min(WIDTH, n)):
+        s = _mixed(s + h[k : k + m])
+    low = np.full(16, np.iinfo(np.uint64).max)
+    np.minimum.at(low, (s >> np.uint64(60)).astype(np.int64), s)
+    held = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) > 0
+    signs[held] = 1 + (low[held] % np.uint64(255)).astype(np.uint8)
+    return fps, signs
+
+
+def _shingle_sets(text: str) -> F.Column:
+    """Hashes of the distinct WIDTH-word shingles of a text, words and case as in `shingle_hashes`; fewer words are one shingle."""
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return F.expr(
+        f"transform(array(transform(filter(split({low}, '[ \\t-\\r]+'), w -> w != ''), w -> xxhash64(w))), h -> "
+        f"case when size(h) = 0 then cast(array() as array<bigint>) when size(h) < {WIDTH} then array(xxhash64(h)) "
+        f"else array_distinct(transform(sequence(0, size(h) - {WIDTH}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(WIDTH))}))) end)[0]"
+    )
+
+
+def similar_texts(docs: DataFrame, fps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root) of texts with a near copy: node is the first half of the text's key, root the smallest node reachable.
+
+    fps: rows of `keyed_fingerprints(docs)`. Links are verified: their texts' distinct five-word shingles have a Jaccard similarity of
+    at least `threshold`.
+    """
+    prints = [f"f{t}" for t in range(TABLES)]
+    texts = fps.groupBy("k0").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), *(F.first(c).alias(c) for c in (*prints, "s0", "s1")))
+    # two texts that share half a key (never seen) are left alone
+    texts = common.store(texts.where("low = high and s0 is not null").select("k0", *prints, "s0", "s1"), "texts")
+    n = texts.count()
+    found = None
+    for c in prints:
+        more = links(texts.select(F.col(c).alias("fp"), F.col("k0").alias("node"), "s0", "s1"), n, RADIUS, ALIKE)
+        found = more if found is None else found.unionByName(more)
+    pairs = common.store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("k0")).unionByName(pairs.select(F.col("b").alias("k0"))).distinct()
+    ends = common.store(ends, "candidate-texts")
+    held = docs.select(common.text_key()[0].alias("k0"), "text").join(common.small(ends), "k0", "left_semi")
+    sets = common.store(held.groupBy("k0").agg(F.first("text").alias("text")).select("k0", _shingle_sets("text").alias("s")), "shingles")
+    both = pairs.join(sets.select(F.col("k0").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k0").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return common.components(both.where(F.col("shared") >= threshold * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b"))
+
+
+def keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, k0, k1 (the text's key), f0, f1, ... (word fingerprints), s0, s1 (signature); without words s0 and s1 are null."""
+    common.bounded_batches(docs.sparkSession)
+    names = ["doc_id", "k0", "k1", *(f"f{t}" for t in range(TABLES)), "s0", "s1"]
+
+    def run(batches):
+        for b in batches:
+            got = [word_fingerprints(t) for t in b.column(3).to_pylist()]
+            fps = np.array([x for x, _ in got], dtype=np.uint64).reshape(len(got), TABLES).view(np.int64)
+            signs = np.array([x for _, x in got], dtype=np.uint8).reshape(len(got), 16).view(np.int64)
+            none = ~signs.any(axis=1) if len(got) else np.zeros(0, bool)
+            columns = [*b.columns[:3], *(pa.array(fps[:, t]) for t in range(TABLES)), *(pa.array(signs[:, k], mask=none) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        common.give_back()
+
+    k0, k1 = common.text_key()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k0.alias("k0"), k1.alias("k1"), "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without near copies: of each group of texts linked by a Jaccard similarity of `threshold` or more, one row stays.
+
+    It is the row with the smallest doc_id; null doc_ids come last; of texts under one doc_id that with the smallest key. Each row is
+    judged by its own text, whatever other rows share its doc_id; of rows equal in doc_id and text one stays, the least by a hash
+    of all columns. Texts without words (null, empty, blank) are one group. All columns stay. Whole texts are shuffled only where
+    the rows that go are too many to broadcast, and for repeated rows.
+    """
+    fps = common.store(keyed_fingerprints(docs), "fingerprints")
+    roots = similar_texts(docs, fps, threshold)
+    blank = F.col("s0").isNull()
+    rows = fps.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"), F.first("s0").alias("s0"))
+    rows = rows.join(roots, rows["k0"] == roots["node"], "left")
+    rows = rows.select("doc_id", "k0", "k1", "n", F.when(blank, F.lit(0)).otherwise(F.coalesce("root", "k0")).alias("root"), F.when(~blank & F.col("root").isNull(), F.col("k1")).alias("rest"))
+    mine = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k0", "k1")
+    first = rows.groupBy("root", "rest").agg(F.min(mine).alias("least")).select(F.col("root").alias("r"), F.col("rest").alias("e"), "least")
+    judged = rows.join(first, (F.col("root") == F.col("r")) & F.col("rest").eqNullSafe(F.col("e")))
+    stays = F.col("k0").eqNullSafe(F.col("least.k0")) & F.col("k1").eqNullSafe(F.col("least.k1")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
+    marked = common.store(judged.where(~stays | (F.col("n") > 1)).select("doc_id", "k0", "k1", stays.alias("stays")), "copies")
+    kept = common.without(docs, marked.drop("stays"), ("doc_id",))
+    again = marked.where("stays").drop("stays")
+    if not again.count():
+        return kept
+    again = common.small(again.select(*(F.col(c).alias(f"_g_{c}") for c in ("doc_id", "k0", "k1"))))
+    same = (F.col("_k0") == F.col("_g_k0")) & (F.col("_k1") == F.col("_g_k1")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_g_doc_id"))
+    repeated = common.keyed(docs).join(again, same, "left_semi")
+    whole = F.struct(F.xxhash64(*docs.columns).alias("_h"), *(F.col(f"`{c}`") for c in docs.columns))
+    one = repeated.groupBy(F.col("doc_id").alias("_i"), "_k0", "_k1").agg(F.min(whole).alias("_w"))
+    return kept.unionByName(one.select(*(F.col(f"_w.`{c}`").alias(c) for c in docs.columns)))

@@ -39,8 +39,13 @@ def check(df, docs):
     want_fp = sorted((str(r[0]), f"{plain_fingerprint(r[1]):016x}") for r in rows)
     out = df.collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"]) for r in out) == want_fp
-    comp = plain_components([(r["doc_id"], int(r["fingerprint"], 16)) for r in out if r["doc_id"] is not None])
-    assert all(r["component_id"] == comp[r["doc_id"]] for r in out if r["doc_id"] is not None)
+    fps = [int(r["fingerprint"], 16) for r in out]
+    comp = plain_components(list(enumerate(fps)))
+    ids = {}
+    for k, r in enumerate(out):
+        if r["doc_id"] is not None:
+            ids[comp[k]] = min(r["doc_id"], ids.get(comp[k], r["doc_id"]))
+    assert all(r["component_id"] == ids.get(comp[k]) for k, r in enumerate(out))
     return out
 
 
@@ -65,12 +70,107 @@ def test_many_shards_find_every_pair(spark, monkeypatch):
     near = [flips(x, k % 5) for k, x in enumerate(base) if k % 2]
     ball = [flips(base[0], n) for n in (1, 2, 3) for _ in range(150)]
     fps = np.unique(np.concatenate([base, np.array(near + ball, dtype=np.uint64)]))
-    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, rep long")
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
     roots = {r[0]: r[1] for r in components(simhash.links(df, len(fps))).collect()}
     want = plain_components(list(enumerate(fps)))
     assert {i: roots.get(i, i) for i in range(len(fps))} == want
 
 
+def flipped(text, n, at):
+    """text with n words replaced, from the word `at` on in even steps."""
+    w = text.split()
+    for k in range(n):
+        w[(at + k * len(w) // max(n, 1)) % len(w)] = f"new{at}x{k}"
+    return " ".join(w)
+
+
+def test_null_ids_bridge(spark):
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu " * 60
+    texts = [base]
+    rng = np.random.default_rng(4)
+    while len(texts) < 3:  # a chain of three fingerprints whose ends are more than three bits apart
+        t = flipped(texts[-1], int(rng.integers(1, 60)), int(rng.integers(0, 700)))
+        d = [bin(plain_fingerprint(x) ^ plain_fingerprint(t)).count("1") for x in texts]
+        if d[-1] <= 3 and (len(texts) == 1 and d[0] >= 2 or len(texts) == 2 and d[0] > 3):
+            texts.append(t)
+    df = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (9, texts[2]), (None, "quite another text of some words")], "doc_id long, text string")
+    got = sorted(f"{r['doc_id']} {r['component_id']}" for r in check(simhash.near_duplicates(df), df))
+    assert got == ["1 1", "9 1", "None 1", "None None"]
+
+
+def shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_copy_groups(rows):
+    """{text: group} by all pairs of distinct texts at a Jaccard similarity of 0.8 or more; texts without words are one group."""
+    texts = sorted({t or "" for t in rows})
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = {}
+    for k, s in enumerate(sets):
+        meet = {}
+        for x in s or {""}:
+            for j in holders.setdefault(x, []):
+                meet[j] = meet.get(j, 0) + 1
+            holders[x].append(k)
+        for j, n in meet.items():
+            if not s or n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                parent[find(k)] = find(j)
+    return {t: find(k) for k, t in enumerate(texts)}
+
+
+def test_one_of_each_on_tables(spark, sf):
+    docs = read(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    group = near_copy_groups([t for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least[group[t or ""]] = min(i, least.get(group[t or ""], i))
+    out = simhash.one_of_each(docs)
+    kept = [r["doc_id"] for r in out.collect()]
+    assert out.columns == docs.columns and len(set(kept)) == len(kept)
+    assert set(least.values()) <= set(kept)  # nothing goes that is no near copy
+    go = len(rows) - len(least)
+    assert len(rows) - len(kept) >= 0.95 * go and go > 50
+
+
+def test_one_of_each_decides_by_row(spark):
+    t = " ".join(f"w{k}" for k in range(300))
+    u = " ".join(f"u{k}" for k in range(80))
+    rows = [(1, t), (2, t), (2, u), (3, flipped(t, 3, 7)), (None, t), (None, "only here " * 9), (None, "only here " * 9), (4, None), (5, ""), (6, " \t"), (7, u), (7, u), (8, flipped(t, 60, 3)), (9, "one"), (10, "ONE "), (11, "two")]
+    df = spark.createDataFrame([(*r, k % 2, "c") for k, r in enumerate(rows)], "doc_id long, text string, k0 int, n string")
+    got = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in simhash.one_of_each(df).collect())
+    assert got == sorted([("1", t[:5]), ("2", u[:5]), ("None", "only "), ("4", ""), ("8", rows[12][1][:5]), ("9", "one"), ("11", "two")])
+    assert simhash.one_of_each(no_docs(spark)).count() == 0
+    assert simhash.one_of_each(odd_docs(spark)).columns == odd_docs(spark).columns
+
+
+def test_repeated_rows_leave_one(spark):
+    t = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(3, t, "b"), (3, t, "a"), (3, t, "a"), (5, t, "z")], "doc_id long, text string, source string")
+    got = simhash.one_of_each(df).collect()
+    assert len(got) == 1 and got[0]["doc_id"] == 3
+    assert len(simhash.one_of_each(df.where("source = 'a'")).collect()) == 1
+
+
+def test_pieces_and_blocks_agree(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 8)
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rng = np.random.default_rng(8)
+    fps = np.unique(np.array([0xABCDEF ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(900)], dtype=np.uint64))
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    roots = {r[0]: r[1] for r in components(simhash.links(df, len(fps))).collect()}
+    assert {i: roots.get(i, i) for i in range(len(fps))} == plain_components(list(enumerate(fps)))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
