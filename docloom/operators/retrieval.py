@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 
+from . import tables
+
 #: BM25 constants of the usual full-text engines; rank constant of reciprocal-rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: A dimension or question table of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
 #: Query vectors in a block of the exact search.
 QUERY_BLOCK = 2_000
-
-
-def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df has at most `most` rows, counted without reading more than that."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Documents per result asked for whose rarest terms give a floor under the scores.
+LEAD = 4
 
 
 def top_k(rows: DataFrame, by: list[str], k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -32,29 +31,86 @@ def terms(c) -> Column:
     return F.regexp_extract_all(F.lower(T._col(c)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, dl): term frequencies and document lengths in one aggregation."""
-    t = docs.select(F.col(doc), terms(text).alias("_t")).select(F.col(doc), F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return t.groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
+def best_by_terms(hits: DataFrame, asked: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
+    """(qid, doc, score, rank): top k by the sum of weight x impact over the terms that a question and a document share.
+
+    hits: (doc, field, term, impact from 0 to 1), stored; asked: (qid, field, term, weight >= 0, df), df the term's documents. Frequent
+    terms of little weight never join all their documents: a question's rarest terms give a floor under its k-th score, terms
+    that cannot reach the floor together only add to documents that the others bring near it. The result is exact.
+    """
+    by = ["field", "term"]
+    asked = tables.store(asked, "asked")
+    rarest = Window.partitionBy("qid").orderBy("df", *by).rowsBetween(Window.unboundedPreceding, -1)
+    lead = asked.where("df > 0").withColumn("_before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("_before") < LEAD * k)
+    part = hits.join(tables.small(lead), by).groupBy("qid", doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("s"))
+    floor = top_k(part, ["qid"], k, F.col("s").desc(), F.col(doc)).where(F.col("rank") == k).select("qid", F.col("s").alias("_floor"))
+    least = Window.partitionBy("qid").orderBy("weight", *by).rowsBetween(Window.unboundedPreceding, 0)
+    terms_ = asked.join(tables.small(floor), "qid", "left").withColumn("_reach", F.sum("weight").over(least))
+    light = F.coalesce(F.col("_reach") < F.col("_floor") - 1e-6, F.lit(False))
+    terms_ = tables.store(terms_.withColumn("_light", light).withColumn("_rest", F.max(F.when(light, F.col("_reach")).otherwise(0.0)).over(Window.partitionBy("qid"))), "terms")
+    heavy = terms_.where("not _light").select("qid", *by, "weight", "_rest", "_floor")
+    near = hits.join(tables.small(heavy), by).groupBy("qid", doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("s"), F.first("_rest").alias("_rest"), F.first("_floor").alias("_floor"))
+    near = tables.store(near.where("_floor is null or s + _rest >= _floor - 1e-6").select("qid", doc, "s"), "near")
+    more = hits.join(tables.small(near.select("qid", doc)), doc).join(tables.small(terms_.where("_light").select("qid", *by, "weight")), ["qid", *by])
+    both = near.unionByName(more.select("qid", doc, (F.col("weight") * F.col("impact")).alias("s")))
+    out = both.groupBy("qid", doc).agg(F.sum("s").alias("score"))
+    return top_k(out, ["qid"], k, F.round("score", 8).desc(), F.col(doc))
 
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int, doc: str = "doc_id") -> DataFrame:
-    """(qid, doc, score, rank): Lucene's BM25 with exact lengths over all of docs; questions: (qid, term, boost) distinct terms.
+def bm25(docs: DataFrame, questions: DataFrame, k: int, doc: str = "doc_id", fields: dict[str, float] | None = None) -> DataFrame:
+    """(qid, doc, score, rank): Lucene's BM25 with exact lengths over all of docs, summed over fields with their boosts.
 
-    Only postings of asked terms are kept after the scan, so document frequencies and scores need no index of the rest.
+    questions: (qid, term, boost) distinct terms; fields: text columns (by default `text` alone). Each field has its own lengths and
+    frequencies. Only postings of asked terms are kept after the scan, so nothing of the rest is shuffled.
     """
-    asked = questions.select("term").distinct()
-    lengths = docs.select(F.col(doc), terms("text").alias("_t")).select(doc, F.size("_t").alias("dl"), "_t")
-    stats = lengths.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = (
-        lengths.select(doc, "dl", F.explode("_t").alias("term")).join(maybe_broadcast(asked), "term", "left_semi").groupBy(doc, "term", "dl").agg(F.count("*").alias("tf"))
-    )
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(maybe_broadcast(questions), "term").join(df, "term").crossJoin(F.broadcast(stats))
+    fields = fields or {"text": 1.0}
+    asked = tables.small(questions.select("term").distinct())
+    parts, stats = [], []
+    for n, name in enumerate(fields):
+        t = docs.select(F.col(doc), terms(name).alias("_t")).select(doc, F.lit(n).alias("field"), F.size("_t").alias("dl"), "_t").where("dl > 0")
+        stats.append(t.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+        hit = t.select(doc, "field", "dl", F.explode("_t").alias("term")).join(asked, "term", "left_semi")
+        parts.append(hit.groupBy(doc, "field", "term", "dl").agg(F.count("*").alias("tf")))
+    per_field = F.broadcast(reduce(DataFrame.unionByName, stats))  # a row per field
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    hits = tables.store(reduce(DataFrame.unionByName, parts).join(per_field, "field").select(doc, "field", "term", (F.col("tf") / norm).alias("impact")), "postings")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("boost") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = scored.groupBy("qid", doc).agg(F.sum(weight).alias("score"))
-    return top_k(out, ["qid"], k, F.round("score", 8).desc(), F.col(doc))
+    boosts = F.element_at(F.array(*[F.lit(float(v)) for v in fields.values()]), F.col("field") + 1)
+    weighted = questions.join(df, "term").join(per_field, "field").select("qid", "field", "term", (F.col("boost") * boosts * idf).alias("weight"), "df")
+    return best_by_terms(hits, weighted, k, doc)
+
+
+def with_synonyms(main: DataFrame, others: list[DataFrame], k: int, doc: str = "doc_id", lower: float = 0.85) -> DataFrame:
+    """The hits of a search and those of its synonym searches, their scores lowered: the best score of each document counts."""
+    rows = reduce(DataFrame.unionByName, [main.select("qid", doc, "score"), *(o.select("qid", doc, (F.col("score") * lower).alias("score")) for o in others)])
+    best = rows.groupBy("qid", doc).agg(F.max("score").alias("score"))
+    return top_k(best, ["qid"], k, F.round("score", 8).desc(), F.col(doc))
+
+
+WORD, NAME = "[A-Za-z][A-Za-z0-9\\-_]+", "[A-Z][a-z]+"
+
+
+def exact_terms(questions: DataFrame, text: str = "question", keywords: int = 10, entities: int = 5) -> DataFrame:
+    """(qid, term): the first distinct words of a question and its first distinct capitalised words."""
+    first = lambda p, n: F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))), 1, n)
+    return questions.select("qid", F.explode(F.array_union(first(WORD, keywords), first(NAME, entities))).alias("term"))
+
+
+def keyword_search(docs: DataFrame, asked: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(qid, doc, score, rank): 1.5 for each asked term among a document's keywords, without regard to case, 2 if its text is the term.
+
+    asked: (qid, term) as written.
+    """
+    lowered = asked.select("qid", F.lower("term").alias("term")).distinct()
+    words = docs.select(doc, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))).alias("term"))
+    words = words.join(tables.small(lowered.select("term").distinct()), "term", "left_semi").select(doc, F.lit(0).alias("field"), "term")
+    equal = docs.select(doc, F.lit(1).alias("field"), F.col(text).alias("term")).join(tables.small(asked.select("term").distinct()), "term", "left_semi").select(doc, "field", "term")
+    hits = tables.store(words.unionByName(equal).withColumn("impact", F.lit(1.0)), "keywords")
+    df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
+    terms_ = lowered.select("qid", F.lit(0).alias("field"), "term", F.lit(1.5).alias("weight"))
+    terms_ = terms_.unionByName(asked.distinct().select("qid", F.lit(1).alias("field"), "term", F.lit(2.0).alias("weight")))
+    return best_by_terms(hits, terms_.join(df, ["field", "term"]), k, doc)
 
 
 def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
@@ -76,6 +132,25 @@ def vector_search(items: DataFrame, queries: DataFrame, k: int, similarity=V.dot
     return out
 
 
+def holders(docs: DataFrame, items: DataFrame, doc: str = "doc_id", width: int = 4) -> DataFrame:
+    """(doc, qid): documents whose text holds an item's text word for word; docs: (doc, text), items: (qid, item).
+
+    Inside its first and last word an item's words stand whole in every text that holds it, so a run of them finds candidates, which
+    are then compared. Items without so long a run are few words; a text is compared with all of these at once.
+    """
+    runs = F.expr(
+        f"transform(array(transform(split({{}}, ' '), w -> xxhash64(w))), h -> if(size(h) < {width}, cast(array() as array<bigint>), "
+        f"transform(sequence(0, size(h) - {width}), i -> xxhash64({', '.join(f'h[i + {k}]' for k in range(width))}))))[0]".format("_s")
+    )
+    inner = items.withColumn("_s", F.expr("array_join(slice(split(item, ' '), 2, greatest(size(split(item, ' ')) - 2, 0)), ' ')"))
+    marked = inner.withColumn("_h", runs).select("qid", "item", F.when(F.size("_h") > 0, F.col("_h")[0]).alias("_h"))
+    seen = docs.withColumn("_s", F.col("text")).select(doc, "text", F.explode(F.array_distinct(runs)).alias("_h"))
+    found = seen.join(tables.small(marked.where("_h is not null")), "_h").where(F.contains("text", "item")).select(doc, "qid")
+    short = marked.where("_h is null and item is not null").agg(F.collect_list(F.struct("qid", "item")).alias("_items"))
+    rest = docs.crossJoin(F.broadcast(short)).select(doc, F.explode(F.expr("filter(_items, x -> contains(text, x.item))")).alias("x"))
+    return found.unionByName(rest.select(doc, F.col("x.qid").alias("qid")))
+
+
 def rrf(candidates: DataFrame, weights: dict[str, float] | None = None, key: str = "chunk_id") -> DataFrame:
     """(qid, key, score, routes): weighted reciprocal-rank fusion of (qid, route, key, rank [, quality, ephemeral])."""
     w = F.lit(1.0)

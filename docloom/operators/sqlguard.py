@@ -1,7 +1,8 @@
-"""A guard for generated SQL: the parsed logical plan may only read allowed tables."""
+"""A guard for generated SQL: the parsed logical plan may only read allowed tables and call allowed functions."""
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,69 +13,98 @@ ALLOWED = {
     "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases",
     "WithWindowDefinition", "UnresolvedHaving", "UnresolvedWith", "OneRowRelation", "LateralJoin", "Tail", "Pivot", "Window", "GroupingSets", "UnresolvedInlineTable", "Limit", "CTERelationDef",
 }
+#: Functions that a query may call: pure ones, without access to files, classes, secrets or the session.
+FUNCTIONS = frozenset(
+    # aggregates and windows
+    "any any_value approx_count_distinct approx_percentile avg bool_and bool_or collect_list collect_set corr count count_if covar_pop covar_samp cume_dist dense_rank every first first_value "
+    "grouping grouping_id kurtosis lag last last_value lead listagg max max_by mean median min min_by mode nth_value ntile percentile percent_rank rank regr_slope row_number skewness some std "
+    "stddev stddev_pop stddev_samp string_agg sum var_pop var_samp variance "
+    # numbers
+    "% * + - / abs acos asin atan atan2 bround cbrt ceil ceiling cos degrees div exp floor greatest least ln log log10 log2 mod negative pmod pow power radians round sign signum sin sqrt tan try_add try_divide "
+    # conditions
+    "! < <= <=> <> = == > >= and between case coalesce if ifnull in isnan isnotnull isnull not nullif nvl nvl2 or when "
+    # strings
+    "| || ascii btrim char char_length concat concat_ws contains endswith format_number ilike initcap instr lcase left length like locate lower lpad ltrim md5 overlay position regexp regexp_count "
+    "regexp_extract regexp_extract_all regexp_like regexp_replace repeat replace reverse right rlike rpad rtrim sha2 split split_part startswith substr substring substring_index translate trim ucase upper "
+    # dates
+    "add_months current_date current_timestamp date date_add date_diff date_format date_part date_sub date_trunc datediff day dayofmonth dayofweek dayofyear extract from_unixtime hour last_day "
+    "make_date minute month months_between next_day now quarter second timestamp to_date to_timestamp trunc unix_timestamp weekofyear year "
+    # types and collections
+    "array array_contains array_distinct array_join array_max array_min bigint boolean cast cardinality decimal double element_at explode filter float int named_struct size smallint sort_array string struct "
+    "tinyint transform".split()
+)
 
 
 class Rejected(ValueError):
-    """The statement is not a plain query over allowed tables; args[0] says why."""
+    """The statement is not a plain query over allowed tables and functions; args[0] says why."""
 
 
 def check(spark: SparkSession, sql: str, tables: set[str]) -> set[str]:
-    """Names of the tables a statement reads; Rejected if it is no query, unites queries, or reads others than `tables`."""
+    """Names of the tables a statement reads; Rejected if it is no query, unites queries, reads others than `tables`, or calls a
+    function outside FUNCTIONS. A name of a WITH clause stands for its query only inside that clause's statement."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception as e:
+    except ParseException as e:
         raise Rejected("syntax") from e
+    subquery = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    allowed = {t.lower() for t in tables}
     names: set[str] = set()
-    own: set[str] = set()
 
     def seq(s):
         it = s.iterator()
         while it.hasNext():
             yield it.next()
 
-    def expressions(node):
-        for e in seq(node.expressions()):
-            stack = [e]
-            while stack:
-                x = stack.pop()
-                kind = x.getClass().getSimpleName()
-                if kind.endswith("Subquery") or kind in ("Exists", "ListQuery", "ScalarSubquery", "InSubquery", "LateralSubquery"):
-                    try:
-                        walk(x.plan())
-                    except Exception as e:
-                        if isinstance(e, Rejected):
-                            raise
-                stack += list(seq(x.children()))
+    def expressions(node, own):
+        stack = list(seq(node.expressions()))
+        while stack:
+            x = stack.pop()
+            if x.getClass().getSimpleName() == "UnresolvedFunction":
+                called = ".".join(seq(x.nameParts())).lower()
+                if called not in FUNCTIONS:
+                    raise Rejected(f"function: {called}")
+            if subquery.isInstance(x):
+                walk(x.plan(), own)
+            stack += list(seq(x.children()))
 
-    def walk(node):
+    def walk(node, own):
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind not in ALLOWED:
             raise Rejected(f"not allowed: {kind}")
         if kind == "UnresolvedWith":
             for pair in seq(node.cteRelations()):
-                own.add(pair._1().lower())
-                walk(pair._2())
+                walk(pair._2(), own)  # sees the names before it, not itself
+                own = own | {pair._1().lower()}
         if kind == "UnresolvedRelation":
-            names.add(".".join(seq(node.multipartIdentifier())).lower())
-        expressions(node)
+            name = ".".join(seq(node.multipartIdentifier())).lower()
+            if name not in own:
+                if name not in allowed:
+                    raise Rejected(f"table: {name}")
+                names.add(name)
+        expressions(node, own)
         for child in seq(node.children()):
-            walk(child)
+            walk(child, own)
 
-    walk(plan)
-    foreign = names - own - {t.lower() for t in tables}
-    if foreign:
-        raise Rejected(f"table: {min(foreign)}")
-    return names - own
+    walk(plan, frozenset())
+    return names
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive: tuple[str, ...] = (), max_rows: int | None = 200) -> DataFrame:
     """At most max_rows rows (None: all) of a guarded query over the given tables; columns named in `sensitive` are masked before the query.
 
-    Masking comes before the query, so that an alias or an expression does not lay a value open.
+    Masking comes before the query, so that an alias or an expression does not lay a value open. The tables are views only while
+    the query is analyzed; views of the same names come back after it.
     """
     check(spark, sql, set(tables))
     hidden = {s.lower() for s in sensitive}
-    for name, df in tables.items():
-        df.select(*[T.mask(c).alias(c) if c.lower() in hidden else F.col(c) for c in df.columns]).createOrReplaceTempView(name)
-    out = spark.sql(sql)
+    before = {v.name.lower(): spark.table(v.name) for v in spark.catalog.listTables() if v.isTemporary and v.name.lower() in {n.lower() for n in tables}}
+    try:
+        for name, df in tables.items():
+            df.select(*[T.mask(c).alias(c) if c.lower() in hidden else F.col(c) for c in df.columns]).createOrReplaceTempView(name)
+        out = spark.sql(sql)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, df in before.items():
+            df.createOrReplaceTempView(name)
     return out if max_rows is None else out.limit(max_rows)

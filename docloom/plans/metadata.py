@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.operators import stores as S
-from docloom.operators.retrieval import maybe_broadcast, top_k
+from docloom.operators import tables
+from docloom.operators.retrieval import top_k
 
 from .base import query
 
@@ -74,10 +75,11 @@ _PERMISSIONS_SQL = "(values " + ",".join(f"('{a}','{b}')" for a, b in _PERMISSIO
 
 def permitted(users, permissions, known):
     """(user_id, collection): union over roles; a wildcard gives every known collection, a user without known role `default`."""
-    got = users.select("user_id", F.explode("roles").alias("role")).join(maybe_broadcast(permissions), "role")
+    got = users.select("user_id", F.explode("roles").alias("role")).join(tables.small(permissions), "role")
     wild = got.groupBy("user_id").agg(F.bool_or(F.col("collection") == "*").alias("all"))
     named = got.join(wild, "user_id").where("not `all`").select("user_id", "collection")
-    every = wild.where("`all`").select("user_id").join(maybe_broadcast(known), F.lit(True)).select("user_id", "collection")
+    all_of_them = known.agg(F.collect_set("collection").alias("_c"))  # one row, as long as the list of collections
+    every = wild.where("`all`").select("user_id").crossJoin(F.broadcast(all_of_them)).select("user_id", F.explode("_c").alias("collection"))
     none = users.select("user_id").join(wild.select("user_id"), "user_id", "left_anti").select("user_id", F.lit("default").alias("collection"))
     return named.unionByName(every).unionByName(none).distinct()
 
@@ -237,7 +239,7 @@ def resolve_physical(t):
     select distinct upper(substr(p_name, 1, 3)) as mention, n.canonical from part left join n on n.name = upper(substr(p_name, 1, 3))""")
 def entity_link(t):
     names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("n_name").alias("mention")).agg(F.min_by("r_name", "n_regionkey").alias("canonical"))
-    return t.part.select(F.upper(F.substring("p_name", 1, 3)).alias("mention")).distinct().join(maybe_broadcast(names), "mention", "left")
+    return t.part.select(F.upper(F.substring("p_name", 1, 3)).alias("mention")).distinct().join(tables.small(names), "mention", "left")
 
 
 @query("select chunk_ref, count(*) as hits from fx_feedback f join fx_chunks c on c.doc_id = f.chunk_ref where feedback = 'down' group by chunk_ref")

@@ -33,7 +33,8 @@ def test_parents_cover_the_text(text, most):
 def test_children_hold_every_sentence_within_the_limit(text, most):
     parts = C.pack_sentences(text, most)
     joined = "".join("".join(p.split()) for p, _ in parts)
-    for s, _, _ in C.split_sentences(text) if C.tokens(text) > most else []:
+    line, spans = C.flatten(text)
+    for s in [line[a:b] for a, b, _ in spans] if C.tokens(text) > most else []:
         assert "".join(s.split()) in joined or C.tokens(s) > most
     for p, o in parts:
         assert text[o : o + 1] == p[:1]
@@ -42,8 +43,8 @@ def test_children_hold_every_sentence_within_the_limit(text, most):
 def test_children_overlap_by_a_sentence():
     text = "One two three. x; Four five six; Seven eight nine; Ten."
     parts = [p for p, _ in C.pack_sentences(text, 8)]
-    assert len(parts) > 1 and all(b.startswith(C.split_sentences(a)[-1][0]) for a, b in zip(parts, parts[1:]))
-    assert C.glue([("中文。", 0, True), ("文字", 4, False)]) == "中文。文字" and C.glue([("a;", 0, True), ("b", 3, False)]) == "a; b"
+    assert len(parts) > 1 and all(b.startswith(a.split("; ")[-1].rstrip(";")) for a, b in zip(parts, parts[1:]))
+    assert C.flatten("中文。 文字") == ("中文。文字", [(0, 3, 0), (3, 5, 4)]) and C.flatten("a;\n\n  \nb")[0] == "a; b"
 
 
 def test_section_path_is_a_stack(spark):
