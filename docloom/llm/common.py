@@ -1,18 +1,15 @@
-"""What several corpus operators share: the cluster's common folder, stored tables, connected components, neighbours."""
+"""What several corpus operators share: samples, keys of texts, stored tables, connected components."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LEFT: list = []
+from docloom.operators.tables import delete, drop, new_path, shared_dir, store  # noqa: F401
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,63 +37,6 @@ def sample(df: DataFrame, columns: list[str], most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*columns), F.lit(parts)) == 0).orderBy(F.hash(*columns), *columns).limit(most)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode without that setting, a temporary folder set as such."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if d:
-        return d.rstrip("/")
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir().rstrip("/")
-    if not (sc.master.startswith("local[") or sc.master == "local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/docloom/{label}-{uuid.uuid4().hex}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _sweep() -> None:
-    for spark, path in _LEFT:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # the session is gone, and with it the means to delete
-            return
-
-
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, lost executors don't matter.
-
-    The table is deleted when the driver's process ends; drop() deletes it earlier.
-    """
-    spark = df.sparkSession
-    if not _LEFT:
-        atexit.register(_sweep)
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    _LEFT.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docloom_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a stored table that no later plan reads."""
-    path = getattr(df, "_docloom_path", None)
-    if path:
-        delete(df.sparkSession, path)
-        _LEFT[:] = [x for x in _LEFT if x[1] != path]
-
-
 #: Rows of a few numbers each up to which a counted table is broadcast.
 BROADCAST_ROWS = 500_000
 

@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 14
-#: Documents the weights are fitted on, and bytes of their texts; every fifth of them sets the temperature.
+#: Documents the weights are fitted on, as many of each language as there is room for and one at least, and bytes of their texts.
 MAX_TRAIN, MAX_BYTES = 4000, 24 << 20
-#: Languages at most (the most frequent ones); far more than any list of languages holds.
-MAX_LANGS = 400
-ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.003, 0.5, 3
+#: Values of lang beyond which it holds no languages, and training is refused: each takes 0.4 MB of the driver's memory.
+MOST_LANGS = 8000
+#: Rates and penalties of the regression, and steps it makes at least, in whole passes over the sample.
+ALPHA, BETA, L1, L2, STEPS = 0.5, 1.0, 0.003, 0.5, 10_000
+#: One row in so many of each language sets the temperature.
+HELD_OUT = 5
 #: Code points hashed at once, so that a very long text takes bounded memory.
 PIECE = 4 << 20
 
@@ -100,52 +103,63 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
+def weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
+    """Weights of follow-the-regularised-leader from its sums of gradients and of their squares."""
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
+def learn(data: list[tuple[np.ndarray, np.ndarray, int]], langs: int, order) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (langs x BUCKETS) and biases after a step for each row number in order; data: (buckets, values, language)."""
+    z, n = np.zeros((langs, BUCKETS)), np.zeros((langs, BUCKETS))
+    zb, nb = np.zeros(langs), np.zeros(langs)
+    for k in order:
+        at, v, y = data[k]
+        w, b = weights(z[:, at], n[:, at], L1), weights(zb, nb, 0.0)
+        s = w @ v + b
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        p[y] -= 1
+        g = p[:, None] * v[None, :]
+        z[:, at] += g - (np.sqrt(n[:, at] + g * g) - np.sqrt(n[:, at])) / ALPHA * w
+        n[:, at] += g * g
+        zb += p - (np.sqrt(nb + p * p) - np.sqrt(nb)) / ALPHA * b
+        nb += p * p
+    return weights(z, n, L1), weights(zb, nb, 0.0)
+
+
+def cross_entropy(scores: np.ndarray, y: np.ndarray, temperature: float) -> float:
+    u = scores / temperature
+    top = u.max(axis=1)
+    return float((np.log(np.exp(u - top[:, None]).sum(axis=1)) + top - u[np.arange(len(y)), y]).mean())
+
+
 def fit(rows: list[tuple[str, str]], df: np.ndarray, n_docs: int) -> Model:
-    """FTRL-proximal over (text, lang) with per-coordinate rates, then a temperature on every fifth row."""
+    """FTRL-proximal over (text, lang) with per-coordinate rates, then a temperature on one in HELD_OUT rows of each language.
+
+    A language of fewer rows is learned from all of them; without any row set aside the temperature stays 1.
+    """
     langs = sorted({lang for _, lang in rows})
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     model = Model(langs, np.zeros((len(langs), BUCKETS)), np.zeros(len(langs)), idf)
     if len(langs) < 2:
         return model
     number = {x: k for k, x in enumerate(langs)}
-    data = []
+    seen = [0] * len(langs)
+    used, test = [], []
     for t, lang in rows:
         c = counts(t)
         at = np.flatnonzero(c)
         v = np.log1p(c[at]) * idf[at]
-        data.append((at.astype(np.int32), (v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32), number[lang]))
-    learn = [x for k, x in enumerate(data) if k % 5 or len(data) < 25]
-    z, n = np.zeros((len(langs), BUCKETS)), np.zeros((len(langs), BUCKETS))
-    zb, nb = np.zeros(len(langs)), np.zeros(len(langs))
-
-    def weights(z, n, l1):
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-
+        y = number[lang]
+        seen[y] += 1
+        (used if seen[y] % HELD_OUT else test).append((at.astype(np.int32), (v / max(np.sqrt((v * v).sum()), 1e-12)).astype(np.float32), y))
     rng = np.random.default_rng(7)
-    for _ in range(PASSES if len(learn) > 1000 else 10 * PASSES):
-        for k in rng.permutation(len(learn)):
-            at, v, y = learn[k]
-            w, b = weights(z[:, at], n[:, at], L1), weights(zb, nb, 0.0)
-            s = w @ v + b
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = p[:, None] * v[None, :]
-            z[:, at] += g - (np.sqrt(n[:, at] + g * g) - np.sqrt(n[:, at])) / ALPHA * w
-            n[:, at] += g * g
-            zb += p - (np.sqrt(nb + p * p) - np.sqrt(nb)) / ALPHA * b
-            nb += p * p
-    model.weight, model.bias = weights(z, n, L1), weights(zb, nb, 0.0)
-    test = [x for k, x in enumerate(data) if k % 5 == 0 or len(data) < 25]
-    s = np.array([model.weight[:, at] @ v + model.bias for at, v, _ in test])
-    y = np.array([y for *_, y in test])
-
-    def loss(t: float) -> float:
-        u = s / t
-        top = u.max(axis=1)
-        return float((np.log(np.exp(u - top[:, None]).sum(axis=1)) + top - u[np.arange(len(y)), y]).mean())
-
-    model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
+    passes = -(-STEPS // len(used))
+    model.weight, model.bias = learn(used, len(langs), np.concatenate([rng.permutation(len(used)) for _ in range(passes)]))
+    if test:
+        s = np.array([model.weight[:, at] @ v + model.bias for at, v, _ in test])
+        y = np.array([y for *_, y in test])
+        model.temperature = float(min(np.geomspace(0.05, 5, 60), key=lambda t: cross_entropy(s, y, t)))
     return model
 
 
@@ -153,7 +167,10 @@ def train(docs: DataFrame) -> Model:
     """Learn from all rows of docs (doc_id, text, lang) with text and lang; df from all of them, weights from a sample by hash."""
     spark = docs.sparkSession
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
+    sizes = dict(sorted(sizes.items()))
     df, n = document_frequencies(rows)
     if not sizes:
         return fit([], df, n)
@@ -161,7 +178,7 @@ def train(docs: DataFrame) -> Model:
     share = max(1, MAX_TRAIN // len(sizes))
     cuts = spark.createDataFrame([(x, max(1, c // (4 * share))) for x, c in sizes.items()], "lang string, parts long")
     few = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("parts")) == 0)
-    found = few.where("doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.char_length("text")).cast("long").alias("size")).select("lang", F.hash("doc_id").alias("h"), "doc_id", "size")
+    found = few.where("doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("size")).select("lang", F.hash("doc_id").alias("h"), "doc_id", "size")
     queue: dict[str, list] = {x: [] for x in sizes}
     for lang, h, doc_id, size in found.collect():
         queue[lang].append((h, doc_id, size))
@@ -180,15 +197,19 @@ def train(docs: DataFrame) -> Model:
     ids = spark.createDataFrame(sorted(taken), "lang string, doc_id long")
     key = F.xxhash64("doc_id", F.octet_length("text"))
     one = rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
-    held = [(r[0], r[1]) for r in one.select("text", "lang", key.alias("key")).orderBy("key", "lang").limit(MAX_TRAIN).toLocalIterator()]
+    held = [(r[0], r[1]) for r in one.select("text", "lang", key.alias("key")).orderBy("key", "lang").toLocalIterator()]  # at most MAX_BYTES
     return fit(held, df, n)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each row; null texts and texts without a letter: `und` with score 0."""
+    """doc_id, lang_pred, score of each row; null texts and texts without a letter: `und` with score 0.
+
+    Whole texts count, long ones in pieces of PIECE code points. Rows are judged by their texts alone, so repeated and null doc_ids
+    keep their rows and equal texts get equal predictions; of languages equally likely the first by name. Other columns are ignored.
+    """
     spark = docs.sparkSession
     common.bounded_batches(spark)
-    held = spark.sparkContext.broadcast(model)  # at most MAX_LANGS x BUCKETS
+    held = spark.sparkContext.broadcast(model)  # languages x BUCKETS
 
     def run(batches):
         model = held.value

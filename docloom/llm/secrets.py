@@ -31,8 +31,8 @@ TEXT, BASE, TOKENS, FOUND, NEW = (f"_docloom_{x}" for x in ("text", "base", "tok
 SAMPLE_DOCS, LEAST_RATIO, LEAST_RATE = 2000, 12.0, 0.5
 #: Generated random strings of each form (hexadecimal, mixed, upper case and digits) that training always holds.
 GENERATED = 400
-#: Block of the two-level running sums below.
-RUN = 256
+#: Block of the two-level running sums below, and of texts that pieces are cut from.
+RUN, BLOCK = 256, 4096
 
 
 def spans(text: str, pattern: str, group: int, kind: int, least: int) -> Column:
@@ -58,14 +58,14 @@ def spans(text: str, pattern: str, group: int, kind: int, least: int) -> Column:
     )
 
 
-def _prefix(n: str) -> str:
-    """SQL: inclusive running sums of an int array, in blocks of RUN."""
-    scan = "aggregate(x, cast(array() as array<int>), (s, v) -> concat(s, array(if(size(s) = 0, 0, s[size(s) - 1]) + v)))"
+def _prefix(n: str, join: str = "{0} + {1}") -> str:
+    """SQL: inclusive running sums of an int array (or what else joins two values of it, 0 being the least), in blocks of RUN."""
+    scan = f"aggregate(x, cast(array() as array<int>), (s, v) -> concat(s, array({join.format('if(size(s) = 0, 0, s[size(s) - 1])', 'v')})))"
     blocks = f"transform(sequence(1, greatest(size({n}), 1), {RUN}), b -> slice({n}, b, {RUN}))"
     inner = f"transform({blocks}, x -> {scan})"
     total = "if(size(x) = 0, 0, x[size(x) - 1])"
-    offsets = f"aggregate(p, array(0), (s, x) -> concat(s, array(s[size(s) - 1] + {total})))"
-    return f"transform(array({inner}), p -> transform(array({offsets}), o -> flatten(transform(p, (x, i) -> transform(x, y -> y + o[i]))))[0])[0]"
+    offsets = f"aggregate(p, array(0), (s, x) -> concat(s, array({join.format('s[size(s) - 1]', total)})))"
+    return f"transform(array({inner}), p -> transform(array({offsets}), o -> flatten(transform(p, (x, i) -> transform(x, y -> {join.format('y', 'o[i]')}))))[0])[0]"
 
 
 def base_spans(text: str) -> Column:
@@ -166,15 +166,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span of the text replaced by a mark (overlapping spans by one) and n_chars counted anew; other rows unchanged."""
+    """docs with each span of the text replaced by a mark (overlapping spans by one) and n_chars counted anew; other rows unchanged.
+
+    Null and empty texts have no spans. Each row is judged by its own text; repeated rows stay.
+    """
     columns = docs.columns
     model = train(docs)
     rows = _with_base(docs)
     rows = rows.withColumn(FOUND, F.array_sort(F.concat(BASE, random_spans(TOKENS, BASE, model))))
-    cut = f"""aggregate({FOUND}, named_struct('at', 0, 'parts', cast(array() as array<string>)),
-      (s, x) -> named_struct('at', greatest(s.at, x.end), 'parts', if(x.start >= s.at,
-        concat(s.parts, array(substring({TEXT}, s.at + 1, x.start - s.at), '{mark}')), s.parts)),
-      s -> array_join(concat(s.parts, array(substring({TEXT}, s.at + 1))), ''))"""
+    # a piece between two spans is cut from its blocks, so that the time follows the length of the text
+    first, last = f"p.a div {BLOCK}", f"p.b div {BLOCK}"
+    part = lambda k, cut: f"substring(coalesce(get(c, cast({k} as int)), ''), {cut})"
+    piece = f"""if({first} = {last}, {part(first, f'p.a % {BLOCK} + 1, p.b - p.a')}, concat({part(first, f'p.a % {BLOCK} + 1')},
+      array_join(slice(c, cast({first} as int) + 2, cast({last} - {first} - 1 as int)), ''), {part(last, f'1, p.b % {BLOCK}')}))"""
+    ends = _prefix(f"{FOUND}.end", "greatest({0}, {1})")  # where what is spanned so far ends
+    gap = f"struct(if(i = 0, 0, m[i - 1]) as a, if(i < size({FOUND}), {FOUND}[i].start, char_length({TEXT})) as b)"
+    gaps = f"filter(transform(sequence(0, size({FOUND})), i -> {gap}), p -> p.a <= p.b)"
+    cut = f"transform(array({ends}), m -> transform(array(regexp_extract_all({TEXT}, '(?s).{{1,{BLOCK}}}', 0)), c -> array_join(transform({gaps}, p -> {piece}), '{mark}'))[0])[0]"
     rows = rows.withColumn(NEW, F.when(F.size(FOUND) > 0, F.expr(cut)).otherwise(F.col("text")))
     out = []
     for c in columns:

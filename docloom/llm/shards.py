@@ -87,26 +87,69 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("version int, virtual_slot int, shard int, first long").parquet(f"{path}/version={version}/map")
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """Highest version of the map below path; 0 if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return 0
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
+
+
+def _loads(slotted: DataFrame) -> dict[int, tuple[int, int]]:
+    return {r[0]: (r[1], r[2]) for r in slot_loads(slotted).collect()}  # at most one row per slot
+
+
+def _firsts(mapping: list[int], loads: dict[int, tuple[int, int]]) -> list[int]:
+    """First position of each slot in its shard: the records of the shard's slots before it."""
+    out, at = [0] * len(mapping), {}
+    for slot, s in enumerate(mapping):
+        out[slot] = at.get(s, 0)
+        at[s] = out[slot] + loads.get(slot, (0, 0))[1]
+    return out
+
+
+def rebalance(docs: DataFrame, map_path: str, new_shard: int | None = None, version: int | None = None, slots: int = SLOTS) -> DataFrame:
+    """docs placed by an edited map: a stored version (the latest by default) is loaded, edited for the docs' present bytes and stored
+    as the next version. Slots move only into new_shard (by default one more than the map has) until it holds its share; records
+    never change their slot. Returns what `shard` returns."""
+    spark = docs.sparkSession
+    version = version or latest_version(spark, map_path)
+    before = [r["shard"] for r in load_map(spark, map_path, version).orderBy("virtual_slot").collect()]  # a row per slot
+    rows = with_slots(docs, slots)
+    loads = _loads(rows)
+    after = grow(before, {k: v[0] for k, v in loads.items()}, max(before) + 1 if new_shard is None else new_shard)
+    fresh = latest_version(spark, map_path) + 1
+    save_map(spark, map_path, fresh, after, _firsts(after, loads))
+    return place(rows, load_map(spark, map_path, fresh))
+
+
 def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """All records in `shards` shards of near-equal bytes (law `bytes`), by way of fixed virtual slots.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the record's position in its shard, gapless from 0), grown_shard
     (null under this law), virtual_slot, map_version. Null texts count 16 bytes; null and repeated doc_ids keep every row, rows
     equal in all fields take neighbouring positions; an empty table gives an empty result; other columns are ignored. The map
-    is stored as version 1 below map_path (by default in the shared folder).
+    is stored as the first version below map_path, or as the next one if maps are there; by default the map goes into the shared
+    folder and is deleted when the process ends. Equal texts are the groups that may be large: their rows spread over slots, since
+    the slot follows the doc_id too, so no shard must take a whole group.
     """
     spark = docs.sparkSession
     rows = with_slots(docs, slots)
-    loads = {r[0]: (r[1], r[2]) for r in slot_loads(rows).collect()}  # at most one row per slot
+    loads = _loads(rows)
     mapping = assign({k: v[0] for k, v in loads.items()}, shards, slots)
-    first, at = [0] * slots, [0] * shards
-    for slot in range(slots):
-        first[slot] = at[mapping[slot]]
-        at[mapping[slot]] += loads.get(slot, (0, 0))[1]
+    first = _firsts(mapping, loads)
     path = map_path or common.new_path(spark, "slot-map")
-    save_map(spark, path, 1, mapping, first)
+    version = latest_version(spark, path) + 1
+    save_map(spark, path, version, mapping, first)
+    return place(rows, load_map(spark, path, version))
+
+
+def place(slotted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of `with_slots` with shard and position by a stored version of the map."""
     in_slot = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    placed = rows.withColumn("at", F.row_number().over(in_slot)).join(F.broadcast(load_map(spark, path, 1)), "virtual_slot")
+    placed = slotted.withColumn("at", F.row_number().over(in_slot)).join(F.broadcast(stored), "virtual_slot")  # a row per slot
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),

@@ -145,8 +145,8 @@ def first_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return digests.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
 
 
-def write(pages: DataFrame, uri: str, least_bytes: int = 0) -> list[tuple[str, int]]:
-    """Write a record per row of pages (page_id, url, html) below uri; (file, bytes) of each archive.
+def write(pages: DataFrame, uri: str, least_bytes: int = 0) -> list[tuple[str, int, int]]:
+    """Write a record per row of pages (page_id, url, html) below uri; (file, bytes, records) of each archive.
 
     Each task writes a file of its own name and only files of tasks that succeeded are returned, so lost or repeated tasks do no
     harm. Null html is an empty payload. Of equal payloads the smallest page_id is the response (repeated rows of that page_id all
@@ -162,7 +162,7 @@ def write(pages: DataFrame, uri: str, least_bytes: int = 0) -> list[tuple[str, i
     def store(batches):
         system, folder = _located(uri)
         path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.warc.gz"
-        size = 0
+        size = records = 0
         out = None
         for b in batches:
             for page_id, url, page, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
@@ -171,23 +171,25 @@ def write(pages: DataFrame, uri: str, least_bytes: int = 0) -> list[tuple[str, i
                 data = member(page_id, url, page.encode("utf-8", "surrogatepass"), first, first is not None and page_id != first)
                 out.write(data)
                 size += len(data)
+                records += 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), pa.array([size])], ["file", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), pa.array([size]), pa.array([records])], ["file", "bytes", "records"])
 
-    done = joined.select("page_id", "url", "html", "first").mapInArrow(store, "file string, bytes long").collect()  # a row per task
-    return sorted((f"{uri.rstrip('/')}/{r[0]}", r[1]) for r in done)
+    done = joined.select("page_id", "url", "html", "first").mapInArrow(store, "file string, bytes long, records long").collect()  # a row per task
+    return sorted((f"{uri.rstrip('/')}/{r[0]}", r[1], r[2]) for r in done)
 
 
-def read(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int | None = None) -> DataFrame:
+def read(spark: SparkSession, files: list[tuple], range_bytes: int | None = None) -> DataFrame:
     """All records of the archives: file, record_id, record_type, uri, payload_digest, refers_to, http_length, block (binary).
 
-    Each range of range_bytes is a task of its own; nothing but sizes is known beforehand.
+    files: (file, bytes, ...). Each range of range_bytes is a task of its own; nothing but sizes is known beforehand. A member that
+    does not decode is passed over: compare the number of records with that written, as `round_trip` does.
     """
-    total = sum(n for _, n in files)
+    total = sum(n for _, n, *_ in files)
     cores = max(1, spark.sparkContext.defaultParallelism)
     step = range_bytes or max(LEAST_RANGE, min(MOST_RANGE, total // (4 * cores)))
-    ranges = [(f, n, a, min(a + step, n)) for f, n in files for a in range(0, n, step)]
+    ranges = [(f, n, a, min(a + step, n)) for f, n, *_ in files for a in range(0, n, step)]
     schema = "file string, size long, start long, stop long"
     table = spark.createDataFrame(ranges or [], schema).repartition(max(1, min(len(ranges), 4096)), "file", "start")
 
@@ -245,9 +247,21 @@ def digest(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages into archives in the shared folder, read them back and digest them: a row per page."""
+    """Write pages into archives in the shared folder, read them back and digest them: a row per page.
+
+    The digests are stored and counted: an error is raised if a record that was written was not read.
+    """
     spark = pages.sparkSession
     uri = common.new_path(spark, "warc")
     if "://" not in uri and not uri.startswith("file:"):
         uri = f"file://{uri}"
-    return digest(read(spark, write(pages, uri)))
+    files = write(pages, uri)
+    return complete(common.store(digest(read(spark, files)), "digests"), files)
+
+
+def complete(records: DataFrame, files: list[tuple[str, int, int]]) -> DataFrame:
+    """The records read from archives, if they are as many as were written into them."""
+    found, written = records.count(), sum(n for *_, n in files)
+    if found != written:
+        raise ValueError(f"{written} records were written and {found} read")
+    return records

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from docloom.llm import langid, queries
@@ -52,3 +54,61 @@ def test_long_texts_are_skipped(spark, monkeypatch):
     rows = [(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * (500 if i % 4 < 2 else 1), "en" if i % 2 else "fr") for i in range(60)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["en", "fr"] and model.predict("the dog")[0] == "en" and model.predict("le chien")[0] == "fr"
+
+
+def plain_ftrl(data, langs, order):
+    """The same regression over dictionaries, a number at a time."""
+    z, n = [{} for _ in range(langs)], [{} for _ in range(langs)]
+
+    def weight(k, j, l1):
+        zz, nn = z[k].get(j, 0.0), n[k].get(j, 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - math.copysign(l1, zz)) / ((langid.BETA + math.sqrt(nn)) / langid.ALPHA + langid.L2)
+
+    for r in order:
+        x, y = data[r]
+        w = [{j: weight(k, j, 0.0 if j == "bias" else langid.L1) for j in x} for k in range(langs)]
+        s = [sum(w[k][j] * v for j, v in x.items()) for k in range(langs)]
+        e = [math.exp(v - max(s)) for v in s]
+        for k in range(langs):
+            g0 = e[k] / sum(e) - (k == y)
+            for j, v in x.items():
+                g, old = g0 * v, n[k].get(j, 0.0)
+                z[k][j] = z[k].get(j, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / langid.ALPHA * w[k][j]
+                n[k][j] = old + g * g
+    return [{j: weight(k, j, 0.0 if j == "bias" else langid.L1) for j in z[k]} for k in range(langs)]
+
+
+def test_regression_and_temperature_against_plain_versions():
+    rng = np.random.default_rng(2)
+    data = []
+    for r in range(60):
+        at = np.sort(rng.choice(40, 8, replace=False)).astype(np.int32)
+        v = rng.random(8).astype(np.float32)
+        data.append((at, v / np.sqrt((v * v).sum()), int(at.min() % 3)))
+    order = [int(k) for _ in range(5) for k in rng.permutation(60)]
+    weight, bias = langid.learn(data, 3, order)
+    plain = plain_ftrl([({int(j): float(x) for j, x in zip(at, v)} | {"bias": 1.0}, y) for at, v, y in data], 3, order)
+    for k in range(3):
+        assert abs(bias[k] - plain[k]["bias"]) < 1e-5
+        assert all(abs(weight[k, j] - plain[k].get(j, 0.0)) < 1e-5 for j in range(40)) and not weight[k, 40:].any()
+    s, y = rng.normal(0, 4, (50, 3)), rng.integers(0, 3, 50)
+    for t in (0.5, 1.0, 3.0):
+        p = np.exp(s / t) / np.exp(s / t).sum(axis=1, keepdims=True)
+        assert abs(langid.cross_entropy(s, y, t) + np.log(p[np.arange(50), y]).mean()) < 1e-9
+
+
+def test_counts_and_values_by_hand():
+    grams = {}
+    text = "Ab  a1!"
+    low = "ab a "
+    seen = [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)]
+    for g in seen:
+        grams[g] = grams.get(g, 0) + 1
+    got = langid.counts(text)
+    assert got.sum() == len(seen) and sorted(got[got > 0].tolist()) == sorted(grams.values())
+
+
+def test_a_language_of_few_rows_is_learned_and_a_short_sample_works(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.temperature == 1.0 and model.predict("the dog")[0] == "en" and model.predict("le chien")[0] == "fr"

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from docloom.llm import secrets
@@ -64,3 +66,41 @@ def test_odd_rows(spark):
     assert secrets.digest(no_docs(spark)).count() == 0
     assert secrets.redact(odd_docs(spark)).columns == odd_docs(spark).columns
     assert secrets.redact(odd_docs(spark)).count() == odd_docs(spark).count()
+
+
+def test_redaction_of_long_texts_and_overlaps(spark):
+    texts = ["é𝒳 " + "x y password=abcdefgh1 z " * 9000, "password=token=abcdefgh secret=abcdef" + " w" * 9000, "a" * 5000 + " token=deadbeefdeadbeefdeadbeef", "token=abcdef" + "b" * 4084, "password=abcdef"]
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        want, at = "", 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in found[k].split(",")):
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[k] == want + text[at:]
+
+
+def test_ratio_against_counts_and_rates(spark, sf):
+    """The table of log-likelihood ratios counted once more by hand, and how it tells random strings from words."""
+    docs = read(spark, sf, "documents")
+    model, pairs = secrets.train(docs), [{}, {}]
+    for label, token in secrets._labelled(docs).collect():
+        before = 0
+        for c in token:
+            state = secrets.ALPHABET.find(c) + 1
+            if state:
+                pairs[label][before, state] = pairs[label].get((before, state), 0) + 1
+                before = state
+    for a in range(secrets.STATES):
+        total = [sum(n for (x, _), n in p.items() if x == a) for p in pairs]
+        for b in range(1, secrets.STATES):
+            p = [(pairs[k].get((a, b), 0) + 1) / (total[k] + secrets.STATES - 1) for k in (0, 1)]
+            assert abs(model[a * secrets.STATES + b] - math.log(p[1] / p[0])) < 1e-9
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) for _ in range(300)]
+    words = sorted({w for r in docs.select("text").collect() for w in re.findall("[A-Za-z]{5,}", r[0] or "")})
+    names = ["_".join(rng.choice(words) for _ in range(4)) for _ in range(300)]
+    rows = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(keys + names)], "doc_id long, text string")
+    hit = {r[0]: len(r["found"]) > len(r["base"]) for r in secrets.scan(rows, model).collect()}
+    assert sum(hit[k] for k in range(300)) >= 270 and sum(hit[k] for k in range(300, 600)) <= 3

@@ -55,3 +55,18 @@ def test_map_versions(spark, tmp_path):
     shards.save_map(spark, str(tmp_path), 2, [0, 1, 2, 1])
     assert [r["shard"] for r in shards.load_map(spark, str(tmp_path), 2).orderBy("virtual_slot").collect()] == [0, 1, 2, 1]
     assert [r["shard"] for r in shards.load_map(spark, str(tmp_path), 1).orderBy("virtual_slot").collect()] == [0, 1, 0, 1]
+
+
+def test_rebalancing_stores_the_next_version(spark, sf, tmp_path):
+    docs, path = read(spark, sf.replace("sf0.001", "sf0.01"), "documents"), str(tmp_path / "map")
+    before = {r["doc_id"]: r for r in check(shards.shard(docs, 8, map_path=path), docs, 8)}
+    after = {r["doc_id"]: r for r in check(shards.rebalance(docs, path), docs, 9)}
+    assert {r["map_version"] for r in before.values()} == {1} and {r["map_version"] for r in after.values()} == {2}
+    assert all(a["virtual_slot"] == before[k]["virtual_slot"] and a["shard"] in (before[k]["shard"], 8) for k, a in after.items())
+    total = Counter()
+    for r in after.values():
+        total[r["shard"]] += r["size"]
+    mean = sum(total.values()) / 9
+    assert len(total) == 9 and all(abs(v - mean) < 0.2 * mean for v in total.values())
+    assert {r["map_version"] for r in shards.rebalance(docs, path, 8, version=1).collect()} == {3} and shards.latest_version(spark, path) == 3
+    assert {r["map_version"] for r in shards.shard(docs, 8, map_path=path).collect()} == {4}

@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import io
 
+import pytest
+
 from docloom.llm import warc
 from docloom.llm.common import read
 
@@ -59,3 +61,16 @@ def test_gzip_reads_the_archive():
     data = warc.member(1, "u", b"one") + warc.member(2, "v", b"one", 1, True)
     text = gzip.decompress(data)
     assert text.count(b"WARC/1.1") == 2 and b"WARC-Refers-To: <urn:docloom:page:1>" in text
+
+
+def test_a_damaged_member_does_not_go_unseen(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 50) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write(pages, f"file://{tmp_path}/archives")
+    assert sum(n for *_, n in files) == 40
+    assert warc.complete(warc.digest(warc.read(spark, files)), files).count() == 40
+    path = files[0][0].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    open(path, "wb").write(data)
+    with pytest.raises(ValueError, match="40 records were written and 39 read"):
+        warc.complete(warc.digest(warc.read(spark, files)), files)
