@@ -70,10 +70,10 @@ def ceilings(sketches: DataFrame, threshold: float = THRESHOLD) -> list[tuple[in
 
 
 def document_sketches(docs: DataFrame, parts: list[tuple[int, int]], key: tuple[str, ...]) -> DataFrame:
-    """The key, _s (distinct shingles) and _h (the sketch) of documents whose sketch has a hash."""
+    """The key, _s (distinct shingles) and _h (the sketch, null for documents too short for every item)."""
     rows = docs.select(*key, F.array_distinct(shingles("text")).alias("_s"))
     ceiling = "case " + " ".join(f"when size(_s) >= {least} then {top}L" for least, top in reversed(parts) if top > -(1 << 63)) + " end"
-    return rows.withColumn("_h", F.expr(f"transform(array({ceiling}), t -> filter(_s, h -> h <= t))[0]")).where("size(_h) > 0")
+    return rows.withColumn("_h", F.expr(f"transform(array({ceiling}), t -> filter(_s, h -> h <= t))[0]"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -95,11 +95,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     whole = sketches.select(F.col("no").alias("_no"), "item_id", F.col("n").alias("_n"), "hashes")
     enough = "size(_s) >= ceil({t} * i.n - 1e-9)".format(t=threshold)
     if small:
-        hits = rows.select(*key, "_s", F.explode("_h").alias("_x")).join(hint(postings), "_x")
+        # the outer form: a filter on what is exploded would compute the shingles twice; null meets nothing
+        hits = rows.select(*key, "_s", F.explode_outer("_h").alias("_x")).join(hint(postings), "_x")
         hits = hits.select(*key, "_s", F.explode(F.expr(f"filter(_items, i -> {enough})")).alias("_i")).select(*key, "_s", F.col("_i.no").alias("_no"))
     else:  # hashes alone meet the sketches; shingles join the candidates by a hash of the document
         rows = rows.withColumn("_r", F.xxhash64("_s"))
-        met = rows.select("_r", F.size("_s").alias("_m"), F.explode("_h").alias("_x")).join(postings, "_x")
+        met = rows.select("_r", F.size("_s").alias("_m"), F.explode_outer("_h").alias("_x")).join(postings, "_x")
         met = met.select("_r", F.explode(F.expr(f"filter(_items, i -> {enough.replace('size(_s)', '_m')})")).alias("_i")).select("_r", F.col("_i.no").alias("_no")).distinct()
         hits = rows.drop("_h").join(met, "_r").select(*key, "_s", "_no")
     found = hits.join(hint(whole), "_no").select(*key, "item_id", F.size(F.array_intersect("_s", "hashes")).alias("shared"), F.col("_n").alias("size"))

@@ -1,8 +1,10 @@
 """Toxic spans by a linear-chain conditional random field; forward-backward marginals give document scores and offsets.
 
 Training needs document labels only. Words and word beginnings that mark toxic documents beyond doubt label tokens of the toxic
-training documents; the two-state chain is trained on these token labels by gradient ascent, and a logistic curve over each
-document's largest marginal and expected number of toxic tokens turns marginals into a score.
+training documents; the two-state chain is trained on these token labels by gradient ascent. Its features go beyond the words that
+gave the labels: beginnings and endings, which words not seen in training share, spellings with digits for letters, and the words
+before and after. A logistic curve over each document's largest marginal and expected number of toxic tokens turns marginals into
+a score.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ MAX_CHAIN_TOKENS = 1_200_000
 EVIDENCE = 10.0
 #: Toxic documents in which such a feature occurs at least.
 LEAST_DOCS = 3
+#: Steps of the weights of neighbouring words, a tenth of those of the word itself: company alone makes no word toxic.
+SIDE_RATE = 0.03
 THRESHOLD = 0.7
 #: Tokens in a row of the blocked forward-backward pass, and tokens handled at once.
 ROW, AT_ONCE = 64, 200_000
@@ -44,13 +48,29 @@ def tokens_of(text: str) -> list[str]:
     return [w.lower() for w in TOKEN.findall(text)] if "\u0130" in text else TOKEN.findall(text.lower())
 
 
+#: Digits that stand for letters.
+PLAIN = str.maketrans("013457", "oieast")
+
+
 def features(word: str) -> list[str]:
+    """The word (with letters for digits, if it has both) and its beginnings."""
+    if word.isascii() and not word.isalpha() and not word.isdigit():
+        word = word.translate(PLAIN)
     return ["=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
+def chain_features(word: str) -> list[str]:
+    """What the chain knows of a word: its features and its endings."""
+    held = features(word)
+    return [*held, *("$" + held[0][-n:] for n in (4, 5) if len(held[0]) > n + 2)]
+
+
 @dataclass
 class Model:
     weight: dict[str, float] = field(default_factory=dict)
+    #: Weights of the word before a token and of the word after it.
+    before: dict[str, float] = field(default_factory=dict)
+    after: dict[str, float] = field(default_factory=dict)
     bias: float = -12.0
     #: Log-potentials of the transitions clean-toxic, toxic-clean, toxic-toxic; clean-clean is 0.
     move: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -58,7 +78,25 @@ class Model:
     curve: tuple[float, float, float] = (-12.0, 0.0, 0.0)
 
     def potential(self, word: str) -> float:
-        return self.bias + sum(self.weight.get(f, 0.0) for f in features(word))
+        return self.bias + sum(self.weight.get(f, 0.0) for f in chain_features(word))
+
+
+def neighbours(ids: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the word before and of the word after each token of many documents laid end to end; `none` at their ends."""
+    lengths = lengths[lengths > 0]
+    before, after = np.concatenate([[none], ids[:-1]]), np.concatenate([ids[1:], [none]])
+    end = np.cumsum(lengths)
+    before[end - lengths] = none
+    after[end - 1] = none
+    return before, after
+
+
+def gradient(theta: np.ndarray, lengths: np.ndarray, move, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood of the labels gold (0 or 1 per token) by each theta and by the transitions."""
+    m, moves = _marginals_in_parts(theta, lengths, move)
+    prev = np.concatenate([[0.0], gold[:-1]])
+    prev[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+    return gold - m, np.array([(gold * (1 - prev)).sum(), ((1 - gold) * prev).sum(), (gold * prev).sum()]) - moves
 
 
 def marginals(theta: np.ndarray, lengths: np.ndarray, move, expect: bool = False):
@@ -215,33 +253,43 @@ def train(rows: list[tuple[str, int]]) -> Model:
         names: dict[str, int] = {}
         for w in words:
             if marked[types[w]]:
-                for f in features(w):
+                for f in chain_features(w):
                     names.setdefault(f, len(names))
-        pairs = [(k, names[f]) for w, k in types.items() for f in features(w) if f in names]
+        pairs = [(k, names[f]) for w, k in types.items() for f in chain_features(w) if f in names]
         word_of, feature_of = np.array(pairs, dtype=np.int64).T
-        gold_type = np.bincount(ids, gold, len(types))
-        prev = np.concatenate([[0.0], gold[:-1]])
-        prev[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-        gold_moves = np.array([(gold * (1 - prev)).sum(), ((1 - gold) * prev).sum(), (gold * prev).sum()])
-        want = np.concatenate([np.bincount(feature_of, gold_type[word_of], len(names)), [gold.sum()], gold_moves])
-        param = np.concatenate([np.full(len(names), 3.0), [-8.0, 0.0, 0.0, 0.0]])
-        k = len(names)
+        sides = neighbours(ids, lengths, len(types))
+        # words that stand beside labelled tokens often enough
+        beside = [np.flatnonzero(np.bincount(x, gold, len(types) + 1)[: len(types)] >= LEAST_DOCS) for x in sides]
+        k, n0 = len(names), len(beside[0])
+        cuts = (k, k + n0, k + n0 + len(beside[1]))
+        param = np.concatenate([np.full(k, 3.0), np.zeros(cuts[2] - k), [-8.0, 0.0, 0.0, 0.0]])
         first, second = np.zeros_like(param), np.zeros_like(param)
+        penalty = np.concatenate([np.full(cuts[2], 0.002), np.zeros(4)])
+        rate = np.concatenate([np.full(k, 0.3), np.full(cuts[2] - k, SIDE_RATE), np.full(4, 0.3)])
         for step in range(1, 41):
-            theta = param[k] + np.bincount(word_of, param[feature_of], len(types))
-            m, moves = _marginals_in_parts(theta[ids], lengths, param[k + 1 :])
-            by_type = np.bincount(ids, m, len(types))
-            got = np.concatenate([np.bincount(feature_of, by_type[word_of], k), [m.sum()], moves])
-            grad = (want - got) / max(gold.sum(), 1) * 20 - 0.002 * np.concatenate([param[:k], np.zeros(4)])
+            theta = (param[cuts[2]] + np.bincount(word_of, param[feature_of], len(types)))[ids]
+            for x, numbers, (low, high) in zip(sides, beside, zip(cuts, cuts[1:])):
+                own = np.zeros(len(types) + 1)
+                own[numbers] = param[low:high]
+                theta = theta + own[x]
+            g, g_moves = gradient(theta, lengths, param[cuts[2] + 1 :], gold)
+            by_type = np.bincount(ids, g, len(types))
+            by_side = [np.bincount(x, g, len(types) + 1)[numbers] for x, numbers in zip(sides, beside)]
+            grad = np.concatenate([np.bincount(feature_of, by_type[word_of], k), *by_side, [g.sum()], g_moves])
+            grad = grad / max(gold.sum(), 1) * 20 - penalty * param
             first, second = 0.8 * first + 0.2 * grad, 0.95 * second + 0.05 * grad**2
-            param = param + 0.3 * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-6)
-        model = Model(dict(zip(names, param[:k].tolist())), float(param[k]), tuple(param[k + 1 :].tolist()))
+            param = param + rate * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-6)
+        near = [dict(zip((words[i] for i in numbers.tolist()), param[low:high].tolist())) for numbers, (low, high) in zip(beside, zip(cuts, cuts[1:]))]
+        model = Model(dict(zip(names, param[:k].tolist())), *near, float(param[cuts[2]]), tuple(param[cuts[2] + 1 :].tolist()))
     theta = np.array([model.potential(w) for w in words])
+    by_side = [np.array([*(held.get(w, 0.0) for w in words), 0.0]) for held in (model.before, model.after)]
     x = []
     for at in range(0, len(docs), 250):
         part = [d for d, _ in docs[at : at + 250]]
         n = np.array([len(d) for d in part], dtype=np.int64)
-        m, _ = marginals(theta[np.concatenate(part)], n, model.move)
+        ids = np.concatenate(part)
+        before, after = neighbours(ids, n, len(words)) if len(ids) else (ids, ids)
+        m, _ = marginals(theta[ids] + by_side[0][before] + by_side[1][after], n, model.move)
         x.append(_document_features(m, n))
     x = np.concatenate(x)
     y = np.array([y for _, y in docs], dtype=float)
@@ -261,8 +309,12 @@ def _scan(model: Model, theta_of: dict[str, float], docs: list[list[str]]):
         theta_of.clear()
     for w in {w for d in docs for w in d if w not in theta_of}:
         theta_of[w] = model.potential(w)
-    theta = np.array([theta_of[w] for d in docs for w in d])
+    theta = np.array([theta_of[w] for d in docs for w in d], dtype=float)
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    before, after = model.before, model.after
+    # a document's last token has none after it, its first none before it
+    theta += np.array([v for d in docs if d for v in (0.0, *[before.get(w, 0.0) for w in d[:-1]])], dtype=float)
+    theta += np.array([v for d in docs if d for v in (*[after.get(w, 0.0) for w in d[1:]], 0.0)], dtype=float)
     m, _ = marginals(theta, lengths, model.move)
     return m, _document_features(m, lengths), lengths
 
@@ -297,8 +349,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     return [(r["text"], r["toxic"]) for r in texts for _ in range(taken[r["h"], r["tie"]])]
 
 
+def joined(places: list[tuple[int, int]], p: np.ndarray) -> list[dict]:
+    """Spans of tokens more likely toxic than not; tokens that follow each other are one span, with the largest probability."""
+    out: list[dict] = []
+    last = -2
+    for i in np.flatnonzero(p > 0.5).tolist():
+        if i == last + 1:
+            out[-1]["end"] = places[i][1]
+            out[-1]["probability"] = max(out[-1]["probability"], float(p[i]))
+        else:
+            out.append({"start": places[i][0], "end": places[i][1], "probability": float(p[i])})
+        last = i
+    return out
+
+
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= 0.7), spans: array of (start, end, probability) of toxic tokens.
+    """doc_id, score (0 to 1), predicted (1 if score >= 0.7), spans: array of (start, end, probability) of toxic passages.
 
     Offsets are code points, end exclusive. Null and empty texts have no spans and the score of a text without tokens. Each row
     keeps its row, repeated or null doc_ids too.
@@ -330,8 +396,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                         continue
                     text = texts[at - len(part) + k]
                     found = list(TOKEN.finditer(text))
-                    p = m[low : end[k]]
-                    spans.append([{"start": found[i].start(), "end": found[i].end(), "probability": float(p[i])} for i in np.flatnonzero(p > 0.5).tolist()])
+                    spans.append(joined([x.span() for x in found], m[low : end[k]]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, spans_type)],
                 ["doc_id", "score", "predicted", "spans"],

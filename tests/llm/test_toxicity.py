@@ -68,7 +68,7 @@ def test_spans_point_at_words(spark):
     model = toxicity.train(rows)
     df = spark.createDataFrame([(1, "Été: an IDIOT spoke"), (2, "clean words"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
-    assert any("Été: an IDIOT spoke"[s["start"] : s["end"]] == "IDIOT" for s in got[1]["spans"])
+    assert any("IDIOT" in "Été: an IDIOT spoke"[s["start"] : s["end"]].split() for s in got[1]["spans"])
     assert got[1]["predicted"] == 1 and got[2]["predicted"] == 0 and got[3]["spans"] == []
 
 
@@ -101,5 +101,56 @@ def test_spans_where_lower_casing_changes_the_length(spark):
     rows = [("clean words of all sorts here " * 3, 0)] * 40 + [("you are an idiot and so on " * 2, 1)] * 40
     text = "x\u0130y said: an IDIOT spoke in \u0130zmir"
     got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), toxicity.train(rows)).first()
-    assert got["predicted"] == 1 and any(text[s["start"] : s["end"]] == "IDIOT" for s in got["spans"])
+    assert got["predicted"] == 1 and any("IDIOT" in text[s["start"] : s["end"]].split() for s in got["spans"])
     assert [chr(c) for c in range(0x110000) if len(chr(c).lower()) > 1] == ["\u0130"]
+
+
+def plain_likelihood(theta, move, gold):
+    """Log-probability of one path among all."""
+    ot, to, tt = move
+    step = {(0, 0): 0.0, (0, 1): ot, (1, 0): to, (1, 1): tt}
+    weigh = lambda path: sum(step[a, b] + b * x for a, b, x in zip((0, *path), path, theta))
+    return weigh(gold) - np.log(sum(np.exp(weigh(path)) for path in itertools.product((0, 1), repeat=len(theta))))
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    lengths, gold = np.array([4, 6, 1]), np.array([0, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1.0])
+    theta, move, h = rng.normal(-1, 2, 11), np.array([-0.7, 0.4, 1.1]), 1e-5
+    parts = [(0, 4), (4, 10), (10, 11)]
+    total = lambda th, mv: sum(plain_likelihood(th[a:b], mv, gold[a:b].astype(int).tolist()) for a, b in parts)
+    by_theta, by_move = toxicity.gradient(theta, lengths, move, gold)
+    for got, x, f in ((by_theta, theta, lambda v: total(v, move)), (by_move, move, lambda v: total(theta, v))):
+        for i in range(len(x)):
+            up, down = x.copy(), x.copy()
+            up[i] += h
+            down[i] -= h
+            assert abs(got[i] - (f(up) - f(down)) / (2 * h)) < 1e-5
+
+
+def test_neighbours_and_joined_spans():
+    before, after = toxicity.neighbours(np.array([5, 6, 7, 8]), np.array([2, 0, 1, 1]), 9)
+    assert before.tolist() == [9, 5, 9, 9] and after.tolist() == [6, 9, 9, 9]
+    places = [(0, 2), (3, 5), (6, 8), (9, 11)]
+    assert toxicity.joined(places, np.array([0.9, 0.6, 0.1, 0.8])) == [{"start": 0, "end": 5, "probability": 0.9}, {"start": 9, "end": 11, "probability": 0.8}]
+    assert toxicity.features("1d1ot") == toxicity.features("idiot") and toxicity.features("2024") == ["=2024"] and toxicity.features("x") == ["=x"]
+
+
+def test_unseen_forms_and_scores(spark):
+    rng = np.random.default_rng(0)
+    pool = [f"plain{k}" for k in range(200)]
+    clean = lambda n: " ".join(rng.choice(pool, n))
+    rows = [(clean(40), 0) for _ in range(200)] + [(f"{clean(15)} you scumb{'abcdefghijkl'[k % 12] * 3} {clean(15)}", 1) for k in range(60)]
+    rows += [(f"{clean(15)} idiots {clean(15)}", 1) for _ in range(60)]
+    model = toxicity.train(rows)
+    assert model.before.get("you", 0) > 0
+    texts = [f"{clean(10)} you scumbzzz {clean(5)}", f"{clean(10)} 1diots {clean(3)}", clean(300)]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[k]["predicted"] for k in range(3)] == [1, 1, 0]
+    # the score is the logistic curve over the largest marginal and the expected number of toxic tokens
+    words = toxicity.tokens_of(texts[0])
+    theta = [model.potential(w) + (model.before.get(words[i - 1], 0.0) if i else 0.0) + (model.after.get(words[i + 1], 0.0) if i + 1 < len(words) else 0.0) for i, w in enumerate(words)]
+    m = plain_marginals(theta, model.move)[0]
+    top = min(max(m.max(), 1e-9), 1 - 1e-9)
+    z = model.curve[0] + model.curve[1] * np.clip(np.log(top / (1 - top)), -6, 6) + model.curve[2] * np.log1p(m.sum())
+    assert abs(got[0]["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
