@@ -173,3 +173,79 @@ def markdown_row(*cells) -> Column:
         return F.when(F.char_length(s) > 80, F.concat(F.substring(s, 1, 80), F.lit("…"))).otherwise(s)
 
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in cells]), F.lit(" |"))
+
+
+def clean_keywords(c, n: int = 5, longest: int = 32) -> Column:
+    """First n distinct keywords of a list, trimmed and cut, without blanks and stop words."""
+    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    cut = F.transform(_col(c), lambda w: F.substring(F.trim(w), 1, longest))
+    return F.slice(F.array_distinct(F.filter(cut, lambda w: (w != "") & ~F.array_contains(stop, F.lower(w)))), 1, n)
+
+
+def json_objects(c) -> Column:
+    """All top-level {...} of a text, in order, by depth of braces; braces that nothing opens or closes are passed over."""
+    return F.transform(F.array(_col(c)), _by_depth)[0]
+
+
+def _by_depth(x: Column) -> Column:
+    """Pieces between braces carry the depth; an object is what lies between depth 0 and depth 0 again."""
+    tokens = F.regexp_extract_all(x, F.lit("[{}]|[^{}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def fold(s, t):
+        opens, closes = t == "{", (t == "}") & (s["depth"] > 0)
+        depth = F.when(opens, s["depth"] + 1).when(closes, s["depth"] - 1).otherwise(s["depth"])
+        held = F.when((s["depth"] > 0) | opens, F.concat(s["open"], t)).otherwise(F.lit(""))
+        done = closes & (s["depth"] == 1)
+        return F.struct(depth.alias("depth"), F.when(done, F.lit("")).otherwise(held).alias("open"), F.when(done, F.array_append(s["found"], held)).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(tokens, start, fold, lambda s: s["found"])
+
+
+def first_json(c, keys: tuple[str, ...] = ()) -> Column:
+    """The first JSON object in a text that parses and has one of the keys (any if none are named); {} if there is none."""
+    parsed = lambda o: F.from_json(o, "map<string,string>")
+    fits = lambda o: parsed(o).isNotNull() & (F.size(F.array_intersect(F.map_keys(parsed(o)), F.array(*map(F.lit, keys)))) > 0 if keys else F.size(F.map_keys(parsed(o))) >= 0)
+    return F.coalesce(F.get(F.filter(json_objects(c), fits), F.lit(0)), F.lit("{}"))
+
+
+def table_lines(c) -> Column:
+    """Rows of cells of the lines with pipes, the header first; lines of dashes and colons alone are no rows."""
+    lines = F.filter(F.split(_col(c), "\\r?\\n"), lambda x: x.contains("|") & ~x.rlike("^[|:\\- ]*$"))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, "^\\|+|\\|+$", ""), "\\|"), lambda v: F.trim(v)))
+
+
+def rerank_scores(payload, n: int) -> Column:
+    """Scores by place from a reranker's answer in JSON: results or data with index and relevance_score or score; 0 where missing."""
+    item = "struct<index:int,document_index:int,relevance_score:double,score:double>"
+    told = F.from_json(_col(payload), f"results array<{item}>, data array<{item}>")
+    items = F.coalesce(F.when(F.size(told["results"]) > 0, told["results"]), told["data"], F.array().cast(f"array<{item}>"))
+    place = lambda x: F.coalesce(x["index"], x["document_index"])
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda i: F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), F.transform(F.filter(items, lambda x: place(x) == i), lambda x: F.coalesce(x["relevance_score"], x["score"]))), -1), F.lit(0.0)),
+    )
+
+
+def temperature(c) -> Column:
+    """Between 0 and 2; null stays null."""
+    return F.when(_col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(2.0), _col(c).cast("double"))))
+
+
+def budget_ladder(ceiling: int | None, base: tuple[int, ...] = (512, 2048, 4096)) -> list[tuple[int, int]]:
+    """(tokens, characters sent) of each try: the base budgets up to the ceiling, then the ceiling, with less text in the last one."""
+    cap = ceiling or base[-1]
+    rungs = sorted({min(b, cap) for b in base} | {cap})
+    return [(b, 800 if k and k == len(rungs) - 1 else 1500) for k, b in enumerate(rungs) if b > 0]
+
+
+def ocr_text(lines, scores) -> tuple[Column, Column]:
+    """Text and mean confidence of an OCR result: its lines joined, blank ones left out; 0 without lines."""
+    kept = F.array_join(F.filter(_col(lines), lambda x: F.trim(x) != ""), "\n")
+    s = _col(scores)
+    return kept, F.when(F.size(s) > 0, F.round(F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s), 4)).otherwise(F.lit(0.0))
+
+
+def richer(old, new) -> Column:
+    """The new rows of a table if they are more than the old ones."""
+    return F.when(F.size(_col(new)) > F.size(_col(old)), _col(new)).otherwise(_col(old))

@@ -137,13 +137,13 @@ def find_by_md5(t):
 
 
 @query("""with up as (select doc_id + 1000000 as new_id, md5(text) as file_md5, source as collection, case doc_id % 3 when 0 then '' when 1 then 'admin' else 'engineer,admin' end as r,
-      case doc_id % 3 when 0 then 'auto' when 1 then 'ask' else 'force' end as mode, case when doc_id % 5 = 0 then 'v2' else 'v1' end as fp from documents where doc_id % 7 = 0),
+      case doc_id % 3 when 0 then 'auto' when 1 then 'ask' else 'force' end as mode, case when doc_id % 5 = 0 then 'v2' else 'v1' end as fp from documents),
     old as (select file_md5, arg_max(doc_id, doc_id) as old_id, arg_max(collection, doc_id) as oc, arg_max(roles_csv, doc_id) as orr from fx_documents where status in ('done','partial') group by file_md5)
     select new_id, old_id, case when old_id is null then 'ingest' when mode = 'force' then 'ingest' when up.collection = oc and array_to_string(list_sort(string_split(r, ',')), ',') = array_to_string(list_sort(string_split(orr, ',')), ',') and fp = 'v1'
       then case when mode = 'ask' then 'ask' else 'skip' end when mode = 'ask' then 'ask' else 'alias' end as decision from up left join old using (file_md5)""")
 def dedup_decision(t):
     """What to do with uploads whose content is known: same place, roles and engine fingerprint mean skip (or ask), others an alias."""
-    d = t.documents.where("doc_id % 7 = 0")
+    d = t.documents
     m = F.col("doc_id") % 3
     up = d.select(
         (F.col("doc_id") + 1000000).alias("new_id"), F.md5(F.col("text").cast("binary")).alias("file_md5"), F.col("source").alias("collection"),
@@ -236,10 +236,10 @@ def resolve_physical(t):
 
 
 @query("""with n as (select n_name as name, arg_min(r_name, n_regionkey) as canonical from nation join region on n_regionkey = r_regionkey group by n_name)
-    select distinct upper(substr(p_name, 1, 3)) as mention, n.canonical from part left join n on n.name = upper(substr(p_name, 1, 3))""")
+    select distinct upper(string_split(p_name, ' ')[1]) as mention, n.canonical from part left join n on n.name = upper(string_split(p_name, ' ')[1])""")
 def entity_link(t):
     names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("n_name").alias("mention")).agg(F.min_by("r_name", "n_regionkey").alias("canonical"))
-    return t.part.select(F.upper(F.substring("p_name", 1, 3)).alias("mention")).distinct().join(tables.small(names), "mention", "left")
+    return t.part.select(F.upper(F.split("p_name", " ")[0]).alias("mention")).distinct().join(tables.small(names), "mention", "left")
 
 
 @query("select chunk_ref, count(*) as hits from fx_feedback f join fx_chunks c on c.doc_id = f.chunk_ref where feedback = 'down' group by chunk_ref")
@@ -398,14 +398,6 @@ def purge_shared(t):
     return d.where("status = 'deleted'").join(needed, "file_md5", "left").select("doc_id", F.coalesce("k", F.lit(False)).alias("keep_object"))
 
 
-@query("""select doc_id, coalesce(lead(1) over (partition by tenant_id, collection, n_words order by doc_id) = 1, false) as superseded from (select *, file_size % 100 as n_words from fx_documents where status in ('done','partial'))""")
-def supersede(t):
-    """All but the newest version of a name in a collection are superseded."""
-    d = t.fx_documents.where(F.col("status").isin(*LIVE)).withColumn("n_words", F.col("file_size") % 100)
-    w = Window.partitionBy("tenant_id", "collection", "n_words").orderBy("doc_id")
-    return d.select("doc_id", F.coalesce(F.lead(F.lit(1)).over(w) == 1, F.lit(False)).alias("superseded"))
-
-
 @query("""select coalesce(n.doc_id, o.doc_id) as doc_id, coalesce(o.version, 0) + case when n.doc_id is null then 0 else 1 end as version from (select doc_id, cast(1 + doc_id % 3 as int) as version from documents) o full join (select doc_id from documents where doc_id % 4 = 0) n using (doc_id)""")
 def reingest_version(t):
     old = t.documents.select("doc_id", (1 + F.col("doc_id") % 3).cast("int").alias("version"))

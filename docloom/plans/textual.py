@@ -56,7 +56,7 @@ def parse_txt_paragraphs(t):
 @query()
 def parse_markdown(t):
     """Documents with some lines turned into headings and fences."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("## "), F.substring(x, 1, 40))).when((i % 7 == 3) | (i % 7 == 5), F.lit("```")).otherwise(x))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("## "), x)).when((i % 7 == 3) | (i % 7 == 5), F.lit("```")).otherwise(x))
     return P.markdown(t.documents.select("doc_id", F.array_join(lines, "\n").alias("text")))
 
 
@@ -98,15 +98,6 @@ def sheet_slices(t):
     return P.sheet_slices(s, "sheet", "s_suppkey", ["a", "b"], 3)
 
 
-@query("select * from (select c_custkey, cast(c_acctbal as varchar) is not null as numeric_ok from customer)")
-def read_csv_sheet(t):
-    """A table written as CSV text lines and read back as strings: every balance is a number."""
-    from docloom.operators.stores import latest_per_key  # noqa: F401
-
-    cells = F.split(F.concat_ws(",", F.col("c_custkey"), F.col("c_acctbal")), ",")
-    return t.customer.select(cells[0].cast("long").alias("c_custkey"), F.expr("try_cast(split(concat_ws(',', c_custkey, c_acctbal), ',')[1] as double)").isNotNull().alias("numeric_ok"))
-
-
 @query("""select doc_id, case when bool_and(page_text < 20) then 'scanned' when bool_or(page_text < 20) then 'mixed' else 'text' end as scan_type, count_if(page_text < 20) as ocr_pages from
     (select doc_id, length(trim(s)) as page_text from (select doc_id, unnest(string_split(text, '\n')) as s from documents)) group by doc_id""")
 def scan_type(t):
@@ -132,24 +123,24 @@ def _elements(t):
     """Lines of documents; every fifth one is a title of level 1 to 4."""
     e = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("elem_idx", "text"))
     title = F.col("elem_idx") % 5 == 0
-    return e.select("doc_id", "elem_idx", F.when(title, "TITLE").otherwise("TEXT").alias("kind"), F.when(title, (1 + (F.col("elem_idx") + F.col("doc_id")) % 4).cast("int")).alias("level"), F.substring("text", 1, 12).alias("text"))
+    return e.select("doc_id", "elem_idx", F.when(title, "TITLE").otherwise("TEXT").alias("kind"), F.when(title, (1 + (F.col("elem_idx") + F.col("doc_id")) % 4).cast("int")).alias("level"), F.col("text"))
 
 
-_LINES = """e as (select doc_id, i - 1 as elem_idx, substr(string_split(text, '\n')[i], 1, 12) as text, case when (i - 1) % 5 = 0 then 1 + ((i - 1) + doc_id) % 4 end as lvl
+_LINES = """e as (select doc_id, i - 1 as elem_idx, string_split(text, '\n')[i] as text, case when (i - 1) % 5 = 0 then 1 + ((i - 1) + doc_id) % 4 end as lvl
     from (select doc_id, text, unnest(range(1, 1 + len(string_split(text, '\n')))) as i from documents))"""
 _OPEN = ", ".join(
     f"case when max(case when lvl = {k} then elem_idx end) over w > coalesce(max(case when lvl < {k} then elem_idx end) over w, -1) then last_value(case when lvl = {k} then t end ignore nulls) over w end as p{k}"
     for k in range(1, 5)
 )
-_PATHS = f"with {_LINES}, o as (select *, replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '/', '／') as t from e), p as (select doc_id, elem_idx, {_OPEN} from o window w as (partition by doc_id order by elem_idx))"
+_PATHS = f"with {_LINES}, o as (select *, substr(replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '/', '／'), 1, 64) as t from e), p as (select doc_id, elem_idx, {_OPEN} from o window w as (partition by doc_id order by elem_idx))"
 
 
-@query(f"{_PATHS} select doc_id, cast(elem_idx as int) as elem_idx, concat_ws('/', p1, p2, p3, p4) as section_path from p")
+@query(f"{_PATHS} select doc_id, cast(elem_idx as int) as elem_idx, substr(concat_ws('/', p1, p2, p3, p4), 1, 512) as section_path from p")
 def section_path(t):
     return C.section_path(_elements(t)).select("doc_id", "elem_idx", "section_path")
 
 
-@query(f"""{_PATHS}, f as (select doc_id, elem_idx, concat_ws('/', p1, p2, p3, p4) as sp from p), g as (select doc_id, elem_idx, case when lag(sp) over (partition by doc_id order by elem_idx) is not distinct from sp then 0 else 1 end as b from f)
+@query(f"""{_PATHS}, f as (select doc_id, elem_idx, substr(concat_ws('/', p1, p2, p3, p4), 1, 512) as sp from p), g as (select doc_id, elem_idx, case when lag(sp) over (partition by doc_id order by elem_idx) is not distinct from sp then 0 else 1 end as b from f)
     select doc_id, cast(elem_idx as int) as elem_idx, cast(sum(b) over (partition by doc_id order by elem_idx) as bigint) as run from g""")
 def section_runs(t):
     return C.section_runs(C.section_path(_elements(t))).select("doc_id", "elem_idx", "run")
@@ -291,9 +282,9 @@ def doc_quality(t):
 
 
 @query("""select doc_id, array_to_string(list_slice(list_distinct_first, 1, 5), ',') as keywords from (select doc_id, list_filter(ws, lambda w, i: list_position(ws, w) = i) as list_distinct_first from
-    (select doc_id, regexp_extract_all(substr(text, 1, 400), '[A-Za-z][A-Za-z0-9\\-_]+') as ws from documents))""", name="query_keywords")
+    (select doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-_]+') as ws from documents))""", name="query_keywords")
 def _query_keywords(t):
-    return t.documents.select("doc_id", F.array_join(T.query_keywords(F.substring("text", 1, 400), 5), ",").alias("keywords"))
+    return t.documents.select("doc_id", F.array_join(T.query_keywords("text", 5), ",").alias("keywords"))
 
 
 @query()
@@ -301,10 +292,10 @@ def regex_keywords(t):
     return t.documents.select("doc_id", F.array_join(T.regex_keywords("text"), ",").alias("keywords"))
 
 
-@query("""select doc_id, concat_ws('\n', case when doc_id % 2 = 0 then concat('关键词：', lang, '、', source) end, case when doc_id % 3 = 0 then concat('摘要：', substr(text, 1, 20)) end, text) as embed_text from documents""")
+@query("""select doc_id, concat_ws('\n', case when doc_id % 2 = 0 then concat('关键词：', lang, '、', source) end, case when doc_id % 3 = 0 then concat('摘要：', substr(text, 1, 100)) end, text) as embed_text from documents""")
 def embed_text(t):
     kw = F.when(F.col("doc_id") % 2 == 0, F.array("lang", "source"))
-    sm = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20))
+    sm = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100))
     return t.documents.select("doc_id", T.embed_text(kw, sm, "text").alias("embed_text"))
 
 
@@ -328,10 +319,10 @@ def table_extract(t):
     return e.select("doc_id", (F.row_number().over(w) - 1).alias("table_index"), "elem", T.table_to_text(F.array(F.lit("qty")), "rows").alias("text"))
 
 
-@query("select item_id, concat_ws('。', case when item_id % 2 = 0 then concat('图', item_id) end, concat('图片描述：', substr(text, 1, 30))) as text from benchmark")
+@query("select item_id, concat_ws('。', case when item_id % 2 = 0 then concat('图', item_id) end, concat('图片描述：', text)) as text from benchmark")
 def image_chunk_text(t):
     label = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("图"), F.col("item_id").cast("string")))
-    return t.benchmark.select("item_id", F.concat_ws("。", label, F.concat(F.lit("图片描述："), F.substring("text", 1, 30))).alias("text"))
+    return t.benchmark.select("item_id", F.concat_ws("。", label, F.concat(F.lit("图片描述："), F.col("text"))).alias("text"))
 
 
 @query("""select doc_id, case when length(text) >= 600 then substr(text, 1, 100) else '' end as summary from documents""")
