@@ -249,3 +249,12 @@ def ocr_text(lines, scores) -> tuple[Column, Column]:
 def richer(old, new) -> Column:
     """The new rows of a table if they are more than the old ones."""
     return F.when(F.size(_col(new)) > F.size(_col(old)), _col(new)).otherwise(_col(old))
+
+
+def flat(values, least: float = 3.0) -> Column:
+    """Do values (grey tones of a picture) spread so little that nothing is to be seen?"""
+    v = _col(values)
+    n = F.size(v)
+    mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+    spread = F.aggregate(F.transform(v, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
+    return F.sqrt(spread) < least

@@ -226,3 +226,41 @@ def graph_paths(edges: DataFrame, starts: DataFrame, hops: int, limit: int | Non
         found = at.select("start", "node", "path", F.lit(n).alias("length"))
         out = found if out is None else out.unionByName(found)
     return out if limit is None else top_k(out, ["start"], limit, F.col("length"), F.col("path")).drop("rank")
+
+
+def visible(docs: DataFrame, tenant: str, collections: tuple[str, ...] | None, roles: tuple[str, ...]) -> DataFrame:
+    """Documents of a tenant, in any of the collections (None: all), that are public or share a role."""
+    own = F.split("roles_csv", ",")
+    shown = (F.col("roles_csv") == "") | F.arrays_overlap(own, F.array(*map(F.lit, roles)).cast("array<string>"))
+    where = (F.col("tenant_id") == tenant) & shown
+    return docs.where(where if collections is None else where & F.col("collection").isin(*collections))
+
+
+def vector_filter(tenant: Column, roles: Column) -> Column:
+    """A vector store's filter expression; roles keep letters, digits, `_` and `-` only."""
+    clean = F.filter(F.transform(roles, lambda r: F.regexp_replace(r, "[^A-Za-z0-9_-]", "")), lambda r: r != "")
+    listed = F.concat(F.lit('"'), F.array_join(clean, '", "'), F.lit('"'))
+    any_role = F.when(F.size(clean) > 0, F.concat(F.lit(" and array_contains_any(allowed_roles, ["), listed, F.lit("])"))).otherwise("")
+    return F.concat(F.lit('tenant_id == "'), tenant, F.lit('"'), any_role)
+
+
+def gather(routes: dict) -> tuple[DataFrame, dict[str, str]]:
+    """The union of all routes that can be planned, and why others cannot; routes: name -> function without arguments."""
+    found, failed = [], {}
+    for name, build in routes.items():
+        try:
+            found.append(build())
+        except Exception as e:  # a route that fails is a route that is not there
+            failed[name] = str(e)
+    if not found:
+        raise RuntimeError(f"no route answered: {failed}")
+    return reduce(DataFrame.unionByName, found), failed
+
+
+def exposition(rows: DataFrame, name: str, label: str, value: str, buckets: tuple) -> DataFrame:
+    """Lines of a cumulative histogram per label value, as collectors of metrics read them."""
+    g = rows.groupBy(label).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(buckets)], F.count("*").alias("n"))
+    mark = lambda b: F.concat(F.lit(f'{name}_bucket{{{label}="'), F.col(label), F.lit(f'",le="{b}"}} '))
+    lines = [F.concat(mark(b), F.col(f"b{i}").cast("string")) for i, b in enumerate(buckets)]
+    lines.append(F.concat(F.lit(f'{name}_count{{{label}="'), F.col(label), F.lit('"} '), F.col("n").cast("string")))
+    return g.select(F.explode(F.array(*lines)).alias("line"))

@@ -91,7 +91,11 @@ def working_summary(t):
     return c.select("conv_id", F.right(F.array_join(F.transform("m", lambda x: x["text"]), " "), F.lit(1200)).alias("summary"))
 
 
-@query()
+@query("""with recursive o as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    g as (select user_id, 0 as pos, cast([] as timestamp[]) as held, cast(null as bigint) as event_id, cast(null as boolean) as accepted from (select distinct user_id from o)
+      union all select g.user_id, pos + 1, case when ok then list_append(live, ts) else live end, o.event_id, ok
+      from g join o on o.user_id = g.user_id and o.rn = g.pos + 1, lateral (select list_filter(held, lambda x: x > ts - interval 6 hour) as live), lateral (select len(live) < 3 as ok))
+    select user_id, event_id, accepted from g where pos > 0""")
 def rate_limit(t):
     """Accepted and refused requests under a sliding window that counts accepted ones only."""
     return jobs.rate_limit(t.events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), limit=3, seconds=6 * 3600)

@@ -53,7 +53,16 @@ def parse_txt_paragraphs(t):
     return P.paragraphs(t.documents)
 
 
-@query()
+_MARKED = "case when i % 7 = 0 then concat('## ', s) when i % 7 in (3, 5) then '```' else s end"
+
+
+@query(f"""with l as (select doc_id, unnest(range(0, len(string_split(text, '\n')))) as i, unnest(string_split(text, '\n')) as s from documents),
+    m as (select doc_id, i, {_MARKED} as raw, trim({_MARKED}) like '```%' as fence from l), n as (select *, sum(cast(fence as int)) over (partition by doc_id order by i) as seen from m),
+    b as (select *, case when seen % 2 = 1 or fence then (seen + 1) // 2 end as block from n),
+    e as (select doc_id, min(i) as i, 'CODE' as kind, null as level, coalesce(string_agg(case when not fence then raw end, '\n' order by i), '') as text from b where block is not null group by doc_id, block
+      union all select doc_id, i, case when h <> '' then 'TITLE' else 'TEXT' end, case when h <> '' then length(h) end, trim(case when h <> '' then regexp_extract(raw, '^(#{{1,6}})[ \t\f\v\r]+(.*)$', 2) else raw end)
+        from (select *, regexp_extract(raw, '^(#{{1,6}})[ \t\f\v\r]+(.*)$', 1) as h from b where block is null and trim(raw) <> ''))
+    select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as elem_idx, kind, level, text from e""")
 def parse_markdown(t):
     """Documents with some lines turned into headings and fences."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("## "), x)).when((i % 7 == 3) | (i % 7 == 5), F.lit("```")).otherwise(x))
@@ -194,7 +203,17 @@ def offset_to_page(t):
     return C.owners(t.orders.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 75).cast("int").alias("offset")), elements)
 
 
-@query()
+_LINE_TOKENS = "(length(regexp_replace(s, '[^一-鿿]', '', 'g')) + cast(floor((length(s) - length(regexp_replace(s, '[^一-鿿]', '', 'g'))) / 3.5) as int) + 1)"
+
+
+@query(f"""with recursive l as (select doc_id, unnest(range(0, len(string_split(text, '\n')))) as i, unnest(string_split(text, '\n')) as s from documents),
+    k as (select *, {_LINE_TOKENS} as n, sum(length(s) + 1) over (partition by doc_id order by i) - length(s) - 1 as off from l),
+    w as (select doc_id, {_LINE_TOKENS.replace('s,', 'text,').replace('length(s)', 'length(text)')} > 2000 as long from documents),
+    g as (select doc_id, cast(-1 as bigint) as i, 0 as used, 0 as part from w where long
+      union all select g.doc_id, k.i, case when used > 0 and used + n > 2000 then n else used + n end, case when used > 0 and used + n > 2000 then part + 1 else part end
+      from g join k on k.doc_id = g.doc_id and k.i = g.i + 1)
+    select doc_id, part, string_agg(s, '\n' order by i) as text, cast(min(off) as int) as "offset" from g join k using (doc_id, i) where i >= 0 group by doc_id, part
+    union all select doc_id, 0, text, 0 from documents join w using (doc_id) where not long""")
 def chunk_parents(t):
     return C.parents(t.documents)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -43,12 +44,12 @@ def once_per_message(feedback: DataFrame, key: str = "feedback_id", late: str =
     return feedback.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def _admit(times: list[float], accepted: list[float], limit: int, seconds: float) -> list[bool]:
+def _admit(times: list[float], accepted: deque[float], limit: int, seconds: float) -> list[bool]:
     """Decide in order; accepted (changed in place) holds the accepted times of the window."""
     out = []
     for t in times:
         while accepted and accepted[0] <= t - seconds:
-            accepted.pop(0)
+            accepted.popleft()
         ok = len(accepted) < limit
         if ok:
             accepted.append(t)
@@ -64,12 +65,12 @@ def rate_limit(events: DataFrame, limit: int = 120, seconds: float = 60) -> Data
     """
 
     def run(batches):
-        user, accepted = None, []
+        user, accepted = None, deque()
         for pdf in batches:
             out = []
             for u, ts in zip(pdf["user_id"].tolist(), (pdf["ts"].astype("int64") / 1e9 if pdf["ts"].dtype == "datetime64[ns]" else pdf["ts"].map(lambda x: x.timestamp())).tolist()):
                 if u != user:
-                    user, accepted = u, []
+                    user, accepted = u, deque()
                 out += _admit([ts], accepted, limit, seconds)
             yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "accepted": out})
 
@@ -78,18 +79,21 @@ def rate_limit(events: DataFrame, limit: int = 120, seconds: float = 60) -> Data
 
 
 def rate_limit_stream(events: DataFrame, limit: int = 120, seconds: float = 60, late: str = "1 hour") -> DataFrame:
-    """The same over a stream, the accepted times of each user as state that goes when the watermark has passed its window."""
+    """The same over a stream, the accepted times of each user as state that goes when the watermark has passed its window.
+
+    A user's requests of one micro-batch are put in order in memory; the trigger bounds them.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        accepted = list(state.get[0]) if state.exists else []
+        accepted = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         times = [x.timestamp() for x in rows["ts"]]
         ok = _admit(times, accepted, limit, seconds)
-        state.update((accepted,))
+        state.update((list(accepted),))
         state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "accepted": ok})
 
