@@ -47,9 +47,11 @@ def best_by_terms(hits: DataFrame, asked: DataFrame, k: int, doc: str = "doc_id"
     least = Window.partitionBy("qid").orderBy("weight", *by).rowsBetween(Window.unboundedPreceding, 0)
     terms_ = asked.join(tables.small(floor), "qid", "left").withColumn("_reach", F.sum("weight").over(least))
     light = F.coalesce(F.col("_reach") < F.col("_floor") - 1e-6, F.lit(False))
-    terms_ = tables.store(terms_.withColumn("_light", light).withColumn("_rest", F.max(F.when(light, F.col("_reach")).otherwise(0.0)).over(Window.partitionBy("qid"))), "terms")
+    terms_ = tables.store(terms_.withColumn("_light", light).withColumn("_rest",
+            F.max(F.when(light, F.col("_reach")).otherwise(0.0)).over(Window.partitionBy("qid"))), "terms")
     heavy = terms_.where("not _light").select("qid", *by, "weight", "_rest", "_floor")
-    near = hits.join(tables.small(heavy), by).groupBy("qid", doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("s"), F.first("_rest").alias("_rest"), F.first("_floor").alias("_floor"))
+    near = hits.join(tables.small(heavy), by).groupBy("qid", doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("s"),
+            F.first("_rest").alias("_rest"), F.first("_floor").alias("_floor"))
     near = tables.store(near.where("_floor is null or s + _rest >= _floor - 1e-6").select("qid", doc, "s"), "near")
     more = hits.join(tables.small(near.select("qid", doc)), doc).join(tables.small(terms_.where("_light").select("qid", *by, "weight")), ["qid", *by])
     both = near.unionByName(more.select("qid", doc, (F.col("weight") * F.col("impact")).alias("s")))
@@ -73,7 +75,8 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, doc: str = "doc_id", fie
         parts.append(hit.groupBy(doc, "field", "term", "dl").agg(F.count("*").alias("tf")))
     per_field = F.broadcast(reduce(DataFrame.unionByName, stats))  # a row per field
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = tables.store(reduce(DataFrame.unionByName, parts).join(per_field, "field").select(doc, "field", "term", (F.col("tf") / norm).alias("impact")), "postings")
+    hits = tables.store(reduce(DataFrame.unionByName, parts).join(per_field, "field").select(doc, "field", "term",
+            (F.col("tf") / norm).alias("impact")), "postings")
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     boosts = F.element_at(F.array(*[F.lit(float(v)) for v in fields.values()]), F.col("field") + 1)
@@ -105,7 +108,8 @@ def keyword_search(docs: DataFrame, asked: DataFrame, k: int, doc: str = "doc_id
     lowered = asked.select("qid", F.lower("term").alias("term")).distinct()
     words = docs.select(doc, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))).alias("term"))
     words = words.join(tables.small(lowered.select("term").distinct()), "term", "left_semi").select(doc, F.lit(0).alias("field"), "term")
-    equal = docs.select(doc, F.lit(1).alias("field"), F.col(text).alias("term")).join(tables.small(asked.select("term").distinct()), "term", "left_semi").select(doc, "field", "term")
+    equal = docs.select(doc, F.lit(1).alias("field"), F.col(text).alias("term")).join(tables.small(asked.select("term").distinct()), "term",
+            "left_semi").select(doc, "field", "term")
     hits = tables.store(words.unionByName(equal).withColumn("impact", F.lit(1.0)), "keywords")
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
     terms_ = lowered.select("qid", F.lit(0).alias("field"), "term", F.lit(1.5).alias("weight"))
@@ -217,12 +221,14 @@ def graph_paths(edges: DataFrame, starts: DataFrame, hops: int, limit: int | Non
     With a limit, the first paths of each start by length, then text.
     """
     e = edges.withColumn("edge", F.xxhash64("src", "dst", "rel"))
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel", "edge").unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel", "edge"))
+    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel",
+            "edge").unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel", "edge"))
     at = starts.select(F.col("start"), F.col("start").alias("node"), F.col("start").cast("string").alias("path"), F.array().cast("array<bigint>").alias("used"))
     out = None
     for n in range(1, hops + 1):
         step = at.join(both, at["node"] == both["a"]).where(~F.array_contains("used", F.col("edge")))
-        at = step.select("start", F.col("b").alias("node"), F.concat_ws("—", "path", F.concat_ws("→", "rel", F.col("b").cast("string"))).alias("path"), F.array_append("used", F.col("edge")).alias("used"))
+        at = step.select("start", F.col("b").alias("node"), F.concat_ws("—", "path", F.concat_ws("→", "rel",
+                F.col("b").cast("string"))).alias("path"), F.array_append("used", F.col("edge")).alias("used"))
         found = at.select("start", "node", "path", F.lit(n).alias("length"))
         out = found if out is None else out.unionByName(found)
     return out if limit is None else top_k(out, ["start"], limit, F.col("length"), F.col("path")).drop("rank")

@@ -10,8 +10,10 @@ from docloom.functions import text as T
 
 #: Plan nodes that a read-only query may consist of.
 ALLOWED = {
-    "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases",
-    "WithWindowDefinition", "UnresolvedHaving", "UnresolvedWith", "OneRowRelation", "LateralJoin", "Tail", "Pivot", "Window", "GroupingSets", "UnresolvedInlineTable", "Limit", "CTERelationDef",
+    "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "UnresolvedRelation",
+            "UnresolvedSubqueryColumnAliases",
+    "WithWindowDefinition", "UnresolvedHaving", "UnresolvedWith", "OneRowRelation", "LateralJoin", "Tail", "Pivot", "Window", "GroupingSets",
+            "UnresolvedInlineTable", "Limit", "CTERelationDef",
 }
 #: Functions that a query may call: pure ones, without access to files, classes, secrets or the session.
 FUNCTIONS = frozenset(

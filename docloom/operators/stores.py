@@ -12,7 +12,8 @@ def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFram
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], sticky: tuple[str, str] | None = None, skip_null: bool = False) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str], sticky: tuple[str, str] | None = None,
+        skip_null: bool = False) -> DataFrame:
     """target with source's rows inserted or, on equal keys, the columns in `update` replaced.
 
     sticky = (column, value): a target row that has the value keeps it. skip_null: null new values leave the old ones. One full

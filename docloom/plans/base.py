@@ -82,8 +82,10 @@ class Tables:
         status = F.when(m == 0, "failed").when(m == 1, "partial").when(m == 2, "deleted").when(m == 3, "superseded").otherwise("done")
         roles = F.element_at(F.array(*map(F.lit, ("", "admin", "admin,engineer"))), (F.col("doc_id") % 3 + 1).cast("int"))
         return d.select(
-            "doc_id", F.lit("default").alias("tenant_id"), F.col("source").alias("collection"), F.concat(F.lit("doc_"), "doc_id", F.lit("."), kind).alias("filename"),
-            kind.alias("file_type"), F.col("n_chars").alias("file_size"), F.md5(F.col("text").cast("binary")).alias("file_md5"), status.alias("status"), roles.alias("roles_csv"),
+            "doc_id", F.lit("default").alias("tenant_id"), F.col("source").alias("collection"),
+                    F.concat(F.lit("doc_"), "doc_id", F.lit("."), kind).alias("filename"),
+            kind.alias("file_type"), F.col("n_chars").alias("file_size"), F.md5(F.col("text").cast("binary")).alias("file_md5"),
+                    status.alias("status"), roles.alias("roles_csv"),
             F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("created_on"), "text", "lang",
         )
 
@@ -97,14 +99,16 @@ class Tables:
         t = F.col("event_type")
         status = F.when(t == "signup", "done").when(t == "purchase", "partial").when(t == "error", "failed").when(t == "view", "parsing").otherwise("retrying")
         return self.events.select(
-            F.col("event_id").alias("task_id"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 50).alias("batch_id"), status.alias("status"), F.col("ts").alias("created_at"),
+            F.col("event_id").alias("task_id"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 50).alias("batch_id"), status.alias("status"),
+                    F.col("ts").alias("created_at"),
             F.when(t.isin("signup", "purchase", "error"), F.col("ts")).alias("completed_at"),
         )
 
     def view_feedback(self) -> DataFrame:
         e = self.events.where(F.col("event_type").isin("error", "click"))
         k = F.get_json_object("props", "$.k").cast("int") % 500
-        return e.select(F.col("event_id").alias("feedback_id"), k.alias("chunk_ref"), F.when(F.col("event_type") == "error", "down").otherwise("up").alias("feedback"), "ts")
+        return e.select(F.col("event_id").alias("feedback_id"), k.alias("chunk_ref"),
+                F.when(F.col("event_type") == "error", "down").otherwise("up").alias("feedback"), "ts")
 
     def view_questions(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("qid"), F.substring("text", 1, 200).alias("question"))

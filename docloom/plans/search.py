@@ -74,7 +74,8 @@ def bm25_synonym_boost(t):
     return R.bm25(_searchable(t.documents), terms, 10, fields=FIELDS).select("qid", "doc_id", "rank")
 
 
-@query(f"with {_bm25_sql(docs='(select * from documents where doc_id % 10 = 3)')} select qid, doc_id, cast(rank as int) as rank from bm where rank <= 8")
+@query(f"""with {_bm25_sql(docs='(select * from documents where doc_id % 10 = 3)')} select qid, doc_id, cast(rank as int) as rank from bm where rank
+        <= 8""")
 def ephemeral_route(t):
     """BM25 over a session's own documents only; a session without documents gives no rows."""
     session = t.documents.where("doc_id % 10 = 3").select("doc_id")
@@ -125,7 +126,8 @@ def cosine_topk(t):
 
 
 @query(f"""with {_VEC}, m as (select qid % 100 as qid, vec_id, max(score) as score from v group by 1, 2)
-    select qid, vec_id, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by round(score, 6) desc, vec_id) as rank from m) where rank <= 10""")
+    select qid, vec_id, cast(rank as int) as rank from (select *, row_number() over (partition by qid order by round(score, 6) desc, vec_id) as rank
+        from m) where rank <= 10""")
 def vector_multi_query(t):
     """Several query vectors per question: the best score of each item counts."""
     best = _vectors(t, 10).select((F.col("qid") % 100).alias("qid"), "vec_id", "score")  # what is not among a vector's own best is not among all
@@ -133,13 +135,15 @@ def vector_multi_query(t):
     return R.top_k(s, ["qid"], 10, F.round("score", 6).desc(), F.col("vec_id")).select("qid", "vec_id", "rank")
 
 
-@query("select user_id, event_id, cast(rn as int) as rank from (select user_id, event_id, row_number() over (partition by user_id, event_type order by value desc, event_id) as rn from events)")
+@query("""select user_id, event_id, cast(rn as int) as rank from (select user_id, event_id, row_number() over (partition by user_id, event_type
+        order by value desc, event_id) as rn from events)""")
 def route_rank(t):
     w = Window.partitionBy("user_id", "event_type").orderBy(F.col("value").desc(), "event_id")
     return t.events.select("user_id", "event_id", F.row_number().over(w).alias("rank"))
 
 
-@query("select event_type, event_id, cast(rn as int) as rank from (select event_type, event_id, row_number() over (partition by event_type order by value desc, event_id) as rn from events) where rn <= 20")
+@query("""select event_type, event_id, cast(rn as int) as rank from (select event_type, event_id, row_number() over (partition by event_type order
+        by value desc, event_id) as rn from events) where rn <= 20""")
 def route_topk(t):
     return R.top_k(t.events, ["event_type"], 20, F.col("value").desc(), F.col("event_id")).select("event_type", "event_id", "rank")
 
@@ -167,7 +171,8 @@ def rrf_merge(t):
     return _fused(t).select("qid", "doc_id", F.round("score", 9).alias("score"), "routes")
 
 
-@query("""select doc_id from (select doc_id, row_number() over (partition by substr(replace(lower(trim(text)), ' ', ''), 1, 120) order by n_chars desc, doc_id) as rn from documents) where rn = 1""")
+@query("""select doc_id from (select doc_id, row_number() over (partition by substr(replace(lower(trim(text)), ' ', ''), 1, 120) order by n_chars
+        desc, doc_id) as rn from documents) where rn = 1""")
 def text_dedup(t):
     return R.text_dedup(t.documents, [], "text", F.col("n_chars").desc(), F.col("doc_id")).select("doc_id")
 
@@ -175,8 +180,10 @@ def text_dedup(t):
 _COS = "list_cosine_similarity(cast(x as double[]), cast(v as double[]))"
 
 
-@query(f"""with recursive {_VEC}, c as (select qid, vr.vec_id, rank, cast(embedding as double[]) as v from vr join embeddings e on e.vec_id = vr.vec_id where rank <= 80),
-    g as (select qid, 0 as pos, cast([] as double[][]) as held, cast(null as bigint) as vec_id, cast(null as boolean) as keeps from (select distinct qid from c)
+@query(f"""with recursive {_VEC}, c as (select qid, vr.vec_id, rank, cast(embedding as double[]) as v from vr join embeddings e on e.vec_id =
+        vr.vec_id where rank <= 80),
+    g as (select qid, 0 as pos, cast([] as double[][]) as held, cast(null as bigint) as vec_id, cast(null as boolean) as keeps from (select distinct
+        qid from c)
       union all select g.qid, pos + 1, case when ok then list_append(held, v) else held end, c.vec_id, pos >= 60 or ok
       from g join c on c.qid = g.qid and c.rank = g.pos + 1, lateral (select len(list_filter(held, lambda x: {_COS} >= 0.6)) = 0 as ok))
     select qid, vec_id from g where keeps""")
@@ -191,7 +198,8 @@ _FINAL = """g as (select *, count_if(sc >= 0.3) over (partition by qid) as good
     r as (select *, row_number() over (partition by qid order by sc desc, doc_id) as rn from g where good < 3 or sc >= 0.3)"""
 
 
-@query(f"""with {_BM}, s as (select bm.qid, bm.doc_id, {_OVERLAP} as sc from bm join fx_questions q using (qid) join documents d using (doc_id) where rank <= 12), {_FINAL}
+@query(f"""with {_BM}, s as (select bm.qid, bm.doc_id, {_OVERLAP} as sc from bm join fx_questions q using (qid) join documents d using (doc_id) where
+        rank <= 12), {_FINAL}
     select qid, doc_id, cast(rn as int) as final_rank from r where rn <= 6""")
 def rerank_final(t):
     top = tables.store(_bm25(t, 12).select("qid", "doc_id"), "hits")
@@ -211,7 +219,8 @@ _AGAIN = "(select qid, substr(question, 1, 60) as question, 1.0 as b from fx_que
 @query(f"""with {_RRF}, weak as (select qid from bm where rank <= 20 group by qid having max(score) < 60), {_bm25_sql(_AGAIN, name='re')},
     al as (select * from cand union all select qid, 'bm25_rewrite', 1.0, doc_id, rank from re where rank <= 40),
     f2 as (select qid, doc_id, sum(w / (60 + rank)) * (case when doc_id % 7 = 0 then 1.2 else 1 end)
-        * greatest(0.2, least(1.0, case when doc_id % 11 = 0 then 1.0 else (doc_id % 11) / 10.0 end)) as score, string_agg(distinct route, ',' order by route) as routes
+        * greatest(0.2, least(1.0, case when doc_id % 11 = 0 then 1.0 else (doc_id % 11) / 10.0 end)) as score, string_agg(distinct route, ',' order
+        by route) as routes
       from al group by qid, doc_id)
     select qid, doc_id, round(score, 9) as score, routes from f2""")
 def second_round(t):
@@ -234,55 +243,68 @@ def quality_floor(t):
     return t.embeddings.select("vec_id", (F.col("vec_id") % 10 / 10.0).alias("quality")).where("quality >= 0.2").select("vec_id")
 
 
-@query(f"""with p as (select a.vec_id as mention, b.vec_id as entity, {_DOT} / sqrt(list_sum(list_transform(a.embedding, lambda x: cast(x as double) * x)) * list_sum(list_transform(b.embedding, lambda x: cast(x as double) * x))) as s
-      from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), r as (select *, row_number() over (partition by mention order by round(s, 6) desc, entity) as rn from p)
+@query(f"""with p as (select a.vec_id as mention, b.vec_id as entity, {_DOT} / sqrt(list_sum(list_transform(a.embedding, lambda x: cast(x as double)
+        * x)) * list_sum(list_transform(b.embedding, lambda x: cast(x as double) * x))) as s
+      from embeddings a, embeddings b where a.vec_id % 20 = 0 and b.vec_id <> a.vec_id), r as (select *, row_number() over (partition by mention order
+        by round(s, 6) desc, entity) as rn from p)
     select mention, case when round(s, 6) >= 0.88 then entity end as entity from r where rn = 1""")
 def entity_vector_link(t):
     """Each mention with the entity whose vector is nearest, if its cosine is 0.88 or more."""
     best = R.vector_search(
-        t.embeddings.select("vec_id", "embedding"), t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 2, V.cosine
+        t.embeddings.select("vec_id", "embedding"), t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"),
+                F.col("embedding").alias("q")), 2, V.cosine
     )
     best = R.top_k(best.where("vec_id <> qid").drop("rank"), ["qid"], 1, F.round("score", 6).desc(), F.col("vec_id"))
     return best.select(F.col("qid").alias("mention"), F.when(F.round("score", 6) >= 0.88, F.col("vec_id")).alias("entity"))
 
 
-@query("""with e as (select src as a, dst as b, concat(src, '-', dst) as id from fx_edges union all select dst, src, concat(src, '-', dst) from fx_edges), s as (select distinct src as start from fx_edges where src % 20 = 0),
-    h1 as (select start, b as node, id as u1 from s join e on a = start), h2 as (select start, e.b as node from h1 join e on e.a = h1.node where e.id <> h1.u1)
-    select start, node, length, count(*) as paths from (select start, node, 1 as length from h1 union all select start, node, 2 from h2) group by 1, 2, 3""")
+@query("""with e as (select src as a, dst as b, concat(src, '-', dst) as id from fx_edges union all select dst, src, concat(src, '-', dst) from
+        fx_edges), s as (select distinct src as start from fx_edges where src % 20 = 0),
+    h1 as (select start, b as node, id as u1 from s join e on a = start), h2 as (select start, e.b as node from h1 join e on e.a = h1.node where e.id
+        <> h1.u1)
+    select start, node, length, count(*) as paths from (select start, node, 1 as length from h1 union all select start, node, 2 from h2) group by 1,
+        2, 3""")
 def graph_hops(t):
     e = t.fx_edges
     paths = R.graph_paths(e, e.where("src % 20 = 0").select(F.col("src").alias("start")).distinct(), 2)
     return paths.groupBy("start", "node", "length").agg(F.count("*").alias("paths"))
 
 
-@query("""with terms as (select distinct upper(substr(n_name, 1, 2)) as term from nation), h as (select doc_id, term from documents, terms where contains(upper(text), term))
+@query("""with terms as (select distinct upper(substr(n_name, 1, 2)) as term from nation), h as (select doc_id, term from documents, terms where
+        contains(upper(text), term))
     select a.term as a, b.term as b, count(*) as n from h a join h b on a.doc_id = b.doc_id and a.term < b.term group by 1, 2""")
 def cooccurrence(t):
     """Pairs of dictionary entities in one chunk; the dictionary is an array of fixed size, so chunks meet it without a join."""
     terms = t.nation.select(F.upper(F.substring("n_name", 1, 2)).alias("term")).distinct().agg(F.array_sort(F.collect_set("term")).alias("terms"))
     h = t.documents.select("doc_id", F.upper("text").alias("x")).crossJoin(F.broadcast(terms))
     h = h.select(F.filter("terms", lambda w: F.col("x").contains(w)).alias("has")).where("size(has) > 1")
-    pairs = h.select(F.explode(F.flatten(F.transform("has", lambda a, i: F.transform(F.slice(F.col("has"), i + 2, F.size("has")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
+    pairs = h.select(F.explode(F.flatten(F.transform("has", lambda a,
+            i: F.transform(F.slice(F.col("has"), i + 2, F.size("has")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query("""with c as (select *, doc_id - doc_id % 10 as parent_id from documents) select c.doc_id, case when p.text is not null and p.text <> c.text then p.doc_id end as parent, length(coalesce(case when p.text <> c.text then p.text end, c.text)) as n from c left join documents p on p.doc_id = c.parent_id where c.doc_id % 10 <> 0""")
+@query("""with c as (select *, doc_id - doc_id % 10 as parent_id from documents) select c.doc_id, case when p.text is not null and p.text <> c.text
+        then p.doc_id end as parent, length(coalesce(case when p.text <> c.text then p.text end, c.text)) as n from c left join documents p on
+        p.doc_id = c.parent_id where c.doc_id % 10 <> 0""")
 def parent_backfill(t):
     """Hits with the text of their parent where it differs."""
     hits = t.documents.where("doc_id % 10 <> 0").select("doc_id", "text", (F.col("doc_id") - F.col("doc_id") % 10).alias("parent_id"))
     p = t.documents.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("ptext"))
     differs = F.coalesce(F.col("ptext") != F.col("text"), F.lit(False))
-    return hits.join(p, "parent_id", "left").select("doc_id", F.when(differs, F.col("parent_id")).alias("parent"), F.char_length(F.when(differs, F.col("ptext")).otherwise(F.col("text"))).cast("long").alias("n"))
+    return hits.join(p, "parent_id", "left").select("doc_id", F.when(differs, F.col("parent_id")).alias("parent"),
+            F.char_length(F.when(differs, F.col("ptext")).otherwise(F.col("text"))).cast("long").alias("n"))
 
 
 _TOKENS = "(length(regexp_replace({0}, '[^\u4e00-\u9fff]', '', 'g')) + cast(floor((length({0}) - length(regexp_replace({0}, '[^\u4e00-\u9fff]', '', 'g'))) / 3.5) as int) + 1)"
 
 
-@query(f"""with recursive {_BM}, b as (select qid, rank, concat('[', rank, '] ', text) as block from bm join documents using (doc_id) where rank <= 6),
+@query(f"""with recursive {_BM}, b as (select qid, rank, concat('[', rank, '] ', text) as block from bm join documents using (doc_id) where rank <=
+        6),
     p as (select distinct qid, cast(0 as bigint) as rank, 0 as used, '' as block from b
       union all select p.qid, b.rank, used + {_TOKENS.format('c')}, c
       from p join b on b.qid = p.qid and b.rank = p.rank + 1, lateral (select least(1500, 4000 - used) as room, {_TOKENS.format('b.block')} as n),
-        lateral (select case when n <= room then b.block else substr(b.block, 1, greatest(64, cast(floor(length(b.block) * (room / n)) as int))) end as c) where room > 0)
+        lateral (select case when n <= room then b.block else substr(b.block, 1, greatest(64, cast(floor(length(b.block) * (room / n)) as int))) end
+        as c) where room > 0)
     select qid, cast(rank as int) as rank, block from p where rank > 0""")
 def context_pack(t):
     top = tables.store(_bm25(t, 6), "hits")
@@ -291,8 +313,10 @@ def context_pack(t):
     return R.pack_context(rows.select("qid", "rank", block.alias("block")), "qid", "block", "rank")
 
 
-@query(f"""with {_BM}, truth as (select item_id as qid, doc_id from benchmark b join documents d on contains(d.text, b.text)), g as (select t.qid, max(case when bm.doc_id is not null then 1 else 0 end) as hit from (select distinct qid, doc_id from truth) t
-    left join (select qid, doc_id from bm where rank <= 20) bm on bm.qid = t.qid and bm.doc_id = t.doc_id group by t.qid) select count(*) as n, avg(hit) as recall from g""")
+@query(f"""with {_BM}, truth as (select item_id as qid, doc_id from benchmark b join documents d on contains(d.text, b.text)), g as (select t.qid,
+        max(case when bm.doc_id is not null then 1 else 0 end) as hit from (select distinct qid, doc_id from truth) t
+    left join (select qid, doc_id from bm where rank <= 20) bm on bm.qid = t.qid and bm.doc_id = t.doc_id group by t.qid) select count(*) as n,
+        avg(hit) as recall from g""")
 def recall_at_k(t):
     """Share of questions with a source document among the first 20, over those that have one."""
     items = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
@@ -302,15 +326,18 @@ def recall_at_k(t):
     return g.agg(F.count("*").alias("n"), F.avg("hit").alias("recall"))
 
 
-@query("select event_type, avg(value) as mean, list_sort(list(value))[cast(floor(0.95 * (count(*) - 1)) as int) + 1] as p95 from events group by event_type")
+@query("""select event_type, avg(value) as mean, list_sort(list(value))[cast(floor(0.95 * (count(*) - 1)) as int) + 1] as p95 from events group by
+        event_type""")
 def latency_report(t):
     """Mean and the value at place floor(0.95 (n - 1)) in order, by an exact percentile without a list per group."""
     w = Window.partitionBy("event_type")
     x = t.events.withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("value")))
-    return x.groupBy("event_type").agg(F.avg("value").alias("mean"), F.max(F.when(F.col("rn") == F.floor(0.95 * (F.col("n") - 1)) + 1, F.col("value"))).alias("p95"))
+    return x.groupBy("event_type").agg(F.avg("value").alias("mean"),
+            F.max(F.when(F.col("rn") == F.floor(0.95 * (F.col("n") - 1)) + 1, F.col("value"))).alias("p95"))
 
 
-@query("select event_type, le, n from (select event_type, count_if(value <= 1) as le_1, count_if(value <= 5) as le_5, count_if(value <= 20) as le_20, count_if(value <= 100) as le_100 from events group by event_type) unpivot (n for le in (le_1, le_5, le_20, le_100))")
+@query("""select event_type, le, n from (select event_type, count_if(value <= 1) as le_1, count_if(value <= 5) as le_5, count_if(value <= 20) as
+        le_20, count_if(value <= 100) as le_100 from events group by event_type) unpivot (n for le in (le_1, le_5, le_20, le_100))""")
 def latency_histogram(t):
     g = t.events.groupBy("event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (1, 5, 20, 100)])
     return g.unpivot("event_type", [f"le_{b}" for b in (1, 5, 20, 100)], "le", "n")
@@ -333,11 +360,13 @@ def answer(t):
     return best.select("qid", "question", "final_rank", "doc_id", *shown)
 
 
-@query(f"""with {_RRF}, c as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as fr from f) where fr <= 12),
+@query(f"""with {_RRF}, c as (select * from (select *, row_number() over (partition by qid order by score desc, doc_id) as fr from f) where fr <=
+        12),
     d as (select c.qid, question, c.doc_id, c.score, routes, text,
         row_number() over (partition by c.qid, substr(replace(lower(trim(text)), ' ', ''), 1, 120) order by c.score desc, c.doc_id) as dup
       from c join fx_questions q using (qid) join documents using (doc_id)),
     s as (select *, {_OVERLAP} as sc from d where dup = 1), {_FINAL}
-    select qid, question, cast(rn as int) as final_rank, doc_id, round(score, 8) as score, round(sc, 6) as rerank_score, routes, substr(text, 1, 200) as snippet from r where rn <= 6""")
+    select qid, question, cast(rn as int) as final_rank, doc_id, round(score, 8) as score, round(sc, 6) as rerank_score, routes, substr(text, 1, 200)
+        as snippet from r where rn <= 6""")
 def answer_batch(t):
     return answer(t)

@@ -14,7 +14,8 @@ from .base import query
 from .metadata import NOW
 
 
-@query("""select chunk_id from fx_chunks join fx_documents d using (doc_id) where d.tenant_id = 'default' and d.collection in ('web', 'books', 'src1', 'src2')
+@query("""select chunk_id from fx_chunks join fx_documents d using (doc_id) where d.tenant_id = 'default' and d.collection in ('web', 'books',
+        'src1', 'src2')
       and (d.roles_csv = '' or list_has_any(string_split(d.roles_csv, ','), ['engineer'])) and doc_id in (select user_id from events)""")
 def fulltext_filter(t):
     """What a search may see: tenant, collections, roles, and the ids that the metadata filter left."""
@@ -23,7 +24,8 @@ def fulltext_filter(t):
     return t.fx_chunks.join(seen, "doc_id", "left_semi").join(ids, "doc_id", "left_semi").select("chunk_id")
 
 
-@query("""select doc_id, 'tenant_id == "default" and array_contains_any(allowed_roles, ["' || string_agg(r, '", "' order by i) || '"])' as expression from
+@query("""select doc_id, 'tenant_id == "default" and array_contains_any(allowed_roles, ["' || string_agg(r, '", "' order by i) || '"])' as
+        expression from
     (select doc_id, unnest(range(0, 2)) as i, unnest([concat('role', doc_id % 5), concat('x', lang)]) as r from documents) group by doc_id""")
 def vector_filter(t):
     """The filter expression of a vector store: characters that could end a string are taken out of roles."""
@@ -31,7 +33,8 @@ def vector_filter(t):
     return t.documents.select("doc_id", R.vector_filter(F.lit("default"), roles).alias("expression"))
 
 
-@query("select event_type as route, event_id, cast(rn as int) as rank from (select *, row_number() over (partition by event_type order by value desc, event_id) as rn from events) where rn <= 3 and event_type in ('view', 'click')")
+@query("""select event_type as route, event_id, cast(rn as int) as rank from (select *, row_number() over (partition by event_type order by value
+        desc, event_id) as rn from events) where rn <= 3 and event_type in ('view', 'click')""")
 def route_isolation(t):
     """Routes that cannot be planned are left out; the others answer."""
 
@@ -45,13 +48,15 @@ def route_isolation(t):
 
 
 @query("""select doc_id, list_transform(range(0, 8), lambda k: cast(len(list_filter(h, lambda x: x = k)) as double)) as v from (select doc_id,
-    list_transform(string_split(text, ' '), lambda w: coalesce(list_sum(list_transform(case when w = '' then [] else regexp_extract_all(w, '.', 0, 's') end, lambda c: ord(c))), 0) % 8) as h from documents)""")
+    list_transform(string_split(text, ' '), lambda w: coalesce(list_sum(list_transform(case when w = '' then [] else regexp_extract_all(w, '.', 0,
+        's') end, lambda c: ord(c))), 0) % 8) as h from documents)""")
 def embed_port(t):
     """Texts through the embedding port with its default model."""
     return t.documents.select("doc_id", ports.embedder(ports.word_buckets)("text").alias("v"))
 
 
-@query(f"""select task_id, cast((rn - 1) % 4 as int) as worker, cast((rn - 1) // 4 as bigint) as turn from (select task_id, row_number() over (order by created_at, task_id) as rn
+@query(f"""select task_id, cast((rn - 1) % 4 as int) as worker, cast((rn - 1) // 4 as bigint) as turn from (select task_id, row_number() over (order
+        by created_at, task_id) as rn
     from fx_tasks where status in ('parsing', 'retrying') and created_at >= timestamp '{NOW}' - interval 72 hour)""")
 def queue_claim(t):
     """Unfinished tasks of the last days dealt to four workers in order of age."""
@@ -60,30 +65,35 @@ def queue_claim(t):
     return live.select("task_id", n.alias("n")).select("task_id", (F.col("n") % 4).cast("int").alias("worker"), F.floor(F.col("n") / 4).alias("turn"))
 
 
-@query(f"""select job, last_run + to_seconds(every) as due, last_run + to_seconds(every) <= timestamp '{NOW}' as is_due from (values ('archive', 900, 'view'), ('feedback', 900, 'click'), ('consistency', 3600, 'purchase'), ('expiry', 600, 'error')) j(job, every, kind)
+@query(f"""select job, last_run + to_seconds(every) as due, last_run + to_seconds(every) <= timestamp '{NOW}' as is_due from (values ('archive', 900,
+        'view'), ('feedback', 900, 'click'), ('consistency', 3600, 'purchase'), ('expiry', 600, 'error')) j(job, every, kind)
     join (select event_type as kind, max(ts) as last_run from events group by 1) using (kind)""")
 def jobs_due(t):
     """Periodic jobs with the time they are due again."""
-    jobs = t.spark.createDataFrame([("archive", 900, "view"), ("feedback", 900, "click"), ("consistency", 3600, "purchase"), ("expiry", 600, "error")], "job string, every int, kind string")
+    jobs = t.spark.createDataFrame([("archive", 900, "view"), ("feedback", 900, "click"), ("consistency", 3600, "purchase"),
+            ("expiry", 600, "error")], "job string, every int, kind string")
     last = t.events.groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("last_run"))
     due = F.expr("last_run + make_dt_interval(0, 0, 0, every)")
     return jobs.join(last, "kind").select("job", due.alias("due"), (due <= F.expr(f"timestamp_ntz '{NOW}'")).alias("is_due"))
 
 
-@query("""select concat('docloom_step_seconds_bucket{step="', event_type, '",le="', le, '"} ', count_if(value <= le)) as line from events, (select unnest([1, 5, 20, 100]) as le) group by event_type, le
+@query("""select concat('docloom_step_seconds_bucket{step="', event_type, '",le="', le, '"} ', count_if(value <= le)) as line from events, (select
+        unnest([1, 5, 20, 100]) as le) group by event_type, le
     union all select concat('docloom_step_seconds_count{step="', event_type, '"} ', count(*)) from events group by event_type""")
 def metrics_text(t):
     """Histograms in the text format that collectors of metrics read."""
     return R.exposition(t.events.select(F.col("event_type").alias("step"), "value"), "docloom_step_seconds", "step", "value", (1, 5, 20, 100))
 
 
-@query("select doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') as words from (select doc_id, string_split(text, ' ') as ws from documents where length(text) < 2000)")
+@query("""select doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') as words from (select doc_id,
+        string_split(text, ' ') as ws from documents where length(text) < 2000)""")
 def ordered_distinct(t):
     """Words of short texts, each once, in order of first use."""
     return t.documents.where("length(text) < 2000").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
-@query("select vec_id, list_aggregate(list_transform(embedding, lambda x: round(cast(x as double) * 10 * (vec_id % 4))), 'stddev_pop') < 3 as blank from embeddings")
+@query("""select vec_id, list_aggregate(list_transform(embedding, lambda x: round(cast(x as double) * 10 * (vec_id % 4))), 'stddev_pop') < 3 as
+        blank from embeddings""")
 def blank_image(t):
     """Is a picture one flat tone? Here vectors stand for the grey values of pixels."""
     pixels = F.transform("embedding", lambda x: F.round(x.cast("double") * 10 * (F.col("vec_id") % 4)))
@@ -94,5 +104,6 @@ def blank_image(t):
 def object_keys(t):
     """Keys that stay below the store's root."""
     m = F.col("doc_id") % 5
-    key = F.when(m == 1, F.lit("/etc/x")).when(m == 2, F.lit("a/../../x")).when(m == 3, F.lit(".")).when(m == 4, F.lit("a/..b/c.txt")).otherwise(F.concat("source", F.lit("/"), "lang"))
+    key = F.when(m == 1, F.lit("/etc/x")).when(m == 2, F.lit("a/../../x")).when(m == 3, F.lit(".")).when(m == 4,
+            F.lit("a/..b/c.txt")).otherwise(F.concat("source", F.lit("/"), "lang"))
     return t.documents.select("doc_id", objects.key_ok(key).alias("ok"))

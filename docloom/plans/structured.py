@@ -10,12 +10,17 @@ from .base import query
 
 TABLES = ("customer", "orders", "nation", "lineitem")
 _STATEMENTS = [
-    (1, "select c_name from customer", "ok"), (2, "select 1 from customer, secrets", "table: secrets"), (3, "drop table customer", "rejected"), (4, "select * from customer union select * from customer", "rejected"),
-    (5, "select * from (select * from `orders`) o join nation n on true", "ok"), (6, "select 'drop table x' as t from orders", "ok"), (7, "select * from customer where c_custkey in (select id from hidden)", "table: hidden"),
-    (8, "with x as (select * from orders) select * from x", "ok"), (9, "insert into orders select * from orders", "rejected"), (10, "selec nonsense", "rejected"),
-    (11, "select * from secrets, (with secrets as (select 1) select * from secrets) y", "table: secrets"), (12, "select java_method('java.lang.System', 'exit', 1) from orders", "function: java_method"),
+    (1, "select c_name from customer", "ok"), (2, "select 1 from customer, secrets", "table: secrets"), (3, "drop table customer", "rejected"),
+            (4, "select * from customer union select * from customer", "rejected"),
+    (5, "select * from (select * from `orders`) o join nation n on true", "ok"), (6, "select 'drop table x' as t from orders", "ok"),
+            (7, "select * from customer where c_custkey in (select id from hidden)", "table: hidden"),
+    (8, "with x as (select * from orders) select * from x", "ok"), (9, "insert into orders select * from orders", "rejected"),
+            (10, "selec nonsense", "rejected"),
+    (11, "select * from secrets, (with secrets as (select 1) select * from secrets) y", "table: secrets"),
+            (12, "select java_method('java.lang.System', 'exit', 1) from orders", "function: java_method"),
     (13, "select * from orders where o_orderkey in (select reflect('java.lang.System', 'nanoTime') from orders)", "function: reflect"),
-    (14, "with a as (select * from b), b as (select 1) select * from a", "table: b"), (15, "select sum(o_totalprice) from orders where exists (select 1 from customer where c_custkey = o_custkey)", "ok"),
+    (14, "with a as (select * from b), b as (select 1) select * from a", "table: b"),
+            (15, "select sum(o_totalprice) from orders where exists (select 1 from customer where c_custkey = o_custkey)", "ok"),
 ]
 
 
@@ -55,8 +60,10 @@ def nl2sql_window(t):
     return _run(t, _WINDOW)
 
 
-@query("select c_custkey, concat('| ', c_custkey, ' | ', concat(substr(c_name, 1, 3), '***', right(c_name, 2)), ' | ', replace(c_mktsegment, '|', '\\|'), ' |') as row from customer")
+@query("""select c_custkey, concat('| ', c_custkey, ' | ', concat(substr(c_name, 1, 3), '***', right(c_name, 2)), ' | ', replace(c_mktsegment, '|',
+        '\\|'), ' |') as row from customer""")
 def rows_to_markdown(t):
-    return _run(t, "select c_custkey, c_name, c_mktsegment from customer").select("c_custkey", T.markdown_row("c_custkey", "c_name", "c_mktsegment").alias("row"))
+    return _run(t, "select c_custkey, c_name, c_mktsegment from customer").select("c_custkey",
+            T.markdown_row("c_custkey", "c_name", "c_mktsegment").alias("row"))
 
 

@@ -18,7 +18,8 @@ from docloom.functions import text as T
 
 #: Extension to document type, and type to workflow.
 TYPES = {
-    "pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "pptx": "pptx", "ppt": "pptx", "md": "md", "markdown": "md", "txt": "txt", "log": "txt",
+    "pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "pptx": "pptx", "ppt": "pptx", "md": "md",
+            "markdown": "md", "txt": "txt", "log": "txt",
     "html": "html", "htm": "html", "png": "img", "jpg": "img", "jpeg": "img", "bmp": "img", "tiff": "img", "webp": "img",
 }
 WORKFLOWS = {"docx": "docx", "xlsx": "xlsx", "csv": "xlsx", "pptx": "pptx", "md": "md", "txt": "txt", "html": "html", "img": "image"}
@@ -83,9 +84,11 @@ def markdown(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("fence", fence).withColumn("seen", F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     lines = lines.withColumn("block", F.when((F.col("seen") % 2 == 1) | F.col("fence"), F.floor((F.col("seen") + 1) / 2)))
     code = (
-        lines.where("block is not null").groupBy("doc_id", "block").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.when(~F.col("fence"), F.struct("line", "raw")))).alias("ls"))
+        lines.where("block is not null").groupBy("doc_id", "block").agg(F.min("line").alias("line"),
+                F.array_sort(F.collect_list(F.when(~F.col("fence"), F.struct("line", "raw")))).alias("ls"))
     )
-    code = code.select("doc_id", "line", F.lit("CODE").alias("kind"), F.lit(None).cast("int").alias("level"), F.array_join(F.transform("ls", lambda x: x["raw"]), "\n").alias("text"))
+    code = code.select("doc_id", "line", F.lit("CODE").alias("kind"), F.lit(None).cast("int").alias("level"),
+            F.array_join(F.transform("ls", lambda x: x["raw"]), "\n").alias("text"))
     mark = F.regexp_extract("raw", "^(#{1,6})\\s+(.*)$", 1)
     flat = lines.where("block is null and trim(raw) <> ''").select(
         "doc_id", "line", F.when(mark != "", "TITLE").otherwise("TEXT").alias("kind"), F.when(mark != "", F.char_length(mark)).alias("level"),
@@ -236,5 +239,6 @@ def sheet_slices(rows: DataFrame, sheet: str, order: str, cells: list[str], size
     w = Window.partitionBy(sheet).orderBy(order)
     live = live.withColumn("rn", F.row_number().over(w)).withColumn("slice", F.floor((F.col("rn") - 1) / size))
     line = F.concat_ws(" | ", *cells)
-    out = live.groupBy(sheet, "slice").agg(F.min("rn").alias("first_row"), F.max("rn").alias("last_row"), F.array_sort(F.collect_list(F.struct("rn", line.alias("l")))).alias("ls"))
+    out = live.groupBy(sheet, "slice").agg(F.min("rn").alias("first_row"), F.max("rn").alias("last_row"),
+            F.array_sort(F.collect_list(F.struct("rn", line.alias("l")))).alias("ls"))
     return out.select(sheet, "slice", "first_row", "last_row", F.array_join(F.transform("ls", lambda x: x["l"]), "\n").alias("text"))

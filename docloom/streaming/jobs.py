@@ -68,7 +68,8 @@ def rate_limit(events: DataFrame, limit: int = 120, seconds: float = 60) -> Data
         user, accepted = None, deque()
         for pdf in batches:
             out = []
-            for u, ts in zip(pdf["user_id"].tolist(), (pdf["ts"].astype("int64") / 1e9 if pdf["ts"].dtype == "datetime64[ns]" else pdf["ts"].map(lambda x: x.timestamp())).tolist()):
+            for u, ts in zip(pdf["user_id"].tolist(),
+                    (pdf["ts"].astype("int64") / 1e9 if pdf["ts"].dtype == "datetime64[ns]" else pdf["ts"].map(lambda x: x.timestamp())).tolist()):
                 if u != user:
                     user, accepted = u, deque()
                 out += _admit([ts], accepted, limit, seconds)

@@ -118,7 +118,8 @@ def test_best_by_terms_is_exact(spark):
     df = {w: sum(h[2] == f"t{w}" for h in hits) for w in range(30)}
     asked = [(q, 0, f"t{w}", 1.0 + w / 3, df[w]) for q in range(6) for w in rng.sample(range(30), 8) if df[w]]
     got = R.best_by_terms(
-        tables.store(spark.createDataFrame(hits, "doc_id long, field int, term string, impact double")), spark.createDataFrame(asked, "qid long, field int, term string, weight double, df long"), 5
+        tables.store(spark.createDataFrame(hits, "doc_id long, field int, term string, impact double")),
+                spark.createDataFrame(asked, "qid long, field int, term string, weight double, df long"), 5
     )
     want = set()
     for q in range(6):
@@ -132,7 +133,9 @@ def test_best_by_terms_is_exact(spark):
 
 
 def test_holders_of_whole_texts(spark):
-    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two three four five six sevenx"), (3, "two words"), (4, None)], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "words"), (3, "two three four five six seven"), (4, None), (5, "three  four five six seven eight")], "qid long, item string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two three four five six sevenx"), (3, "two words"), (4, None)],
+            "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "words"), (3, "two three four five six seven"), (4, None),
+            (5, "three  four five six seven eight")], "qid long, item string")
     got = sorted((r["doc_id"], r["qid"]) for r in R.holders(docs, items).collect())
     assert got == [(1, 1), (1, 3), (2, 1), (2, 3), (3, 2)]

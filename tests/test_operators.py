@@ -76,7 +76,8 @@ def test_chunks_are_stable_and_unique(spark):
 
 def test_text_functions(spark):
     rows = [("中文 text with abc123",), ("",), ("éé ??",), ("GPT-4 uses bge-m3 and GenerativeUI 向量检索 the introduction",)]
-    df = spark.createDataFrame(rows, "t string").select("t", T.token_count("t").alias("n"), T.chunk_quality("t").alias("q"), T.regex_keywords("t").alias("k"), T.mask("t").alias("m"), T.fingerprint("t", 5).alias("f"))
+    df = spark.createDataFrame(rows, "t string").select("t", T.token_count("t").alias("n"), T.chunk_quality("t").alias("q"),
+            T.regex_keywords("t").alias("k"), T.mask("t").alias("m"), T.fingerprint("t", 5).alias("f"))
     got = {r["t"]: r for r in df.collect()}
     for (t,) in rows:
         assert got[t]["n"] == C.tokens(t) and got[t]["q"] == pytest.approx(C.quality(t))
@@ -101,15 +102,18 @@ def test_boxes_and_vectors(spark):
     box = lambda *v: F.array(*[F.lit(float(x)) for x in v])
     assert get(V.bbox_iou(box(0, 0, 2, 2), box(1, 1, 3, 3))) == pytest.approx(1 / 7)
     assert get(V.bbox_iou(box(0, 0, 1, 1), box(2, 2, 3, 3))) == 0
-    assert get(V.bbox_clamp(box(-5, 0, 50, 50), F.lit(40.0), F.lit(40.0))) == [0, 0, 40, 40] and get(V.bbox_clamp(box(38, 0, 50, 50), F.lit(40.0), F.lit(40.0))) is None
+    assert get(V.bbox_clamp(box(-5, 0, 50, 50), F.lit(40.0), F.lit(40.0))) == [0, 0, 40,
+            40] and get(V.bbox_clamp(box(38, 0, 50, 50), F.lit(40.0), F.lit(40.0))) is None
     assert get(V.cosine(box(1, 0), box(1, 1))) == pytest.approx(2**-0.5) and get(V.cosine(box(0, 0), box(1, 1))) == 0
     assert get(V.char_bucket_embedding(F.lit(""), 4)) == [1, 0, 0, 0]
-    assert get(V.char_bucket_embedding(F.lit("ab中"), 4)) == pytest.approx(np.bincount([ord(c) % 4 for c in "ab中"], minlength=4) / np.linalg.norm(np.bincount([ord(c) % 4 for c in "ab中"], minlength=4)))
+    assert get(V.char_bucket_embedding(F.lit("ab中"), 4)) == pytest.approx(np.bincount([ord(c) % 4 for c in "ab中"],
+            minlength=4) / np.linalg.norm(np.bincount([ord(c) % 4 for c in "ab中"], minlength=4)))
 
 
 def test_parsers(spark):
     md = spark.createDataFrame([(1, "# A\n\ntext\n```py\nx = 1\n# no title\n```\n### B")], "doc_id long, text string")
-    assert [tuple(r)[2:] for r in P.markdown(md).orderBy("elem_idx").collect()] == [("TITLE", 1, "A"), ("TEXT", None, "text"), ("CODE", None, "x = 1\n# no title"), ("TITLE", 3, "B")]
+    assert [tuple(r)[2:] for r in P.markdown(md).orderBy("elem_idx").collect()] == [("TITLE", 1, "A"), ("TEXT", None, "text"),
+            ("CODE", None, "x = 1\n# no title"), ("TITLE", 3, "B")]
     page = "<nav>no</nav><h2>T</h2><div>not given</div><ul><li><p>in</p> item</li></ul><table><tr><td>a<td>b</tr><tr><td>c<td>d</tr></table><table><tr><td>one row</td></tr></table><p>end"
     assert P.html_elements(page) == [("TITLE", 2, "T"), ("TEXT", None, "in item"), ("TEXT", None, "in"), ("TABLE", None, "a | b\nc | d"), ("TEXT", None, "end")]
     grid = P.table_grid('<table><tr><td rowspan="2">x</td><td colspan=2>y</td></tr><tr><td>1<td>2</tr><tr><td>z</table>')
@@ -178,7 +182,8 @@ def test_graph_paths_repeat_no_edge(spark):
 def test_users_see_only_what_their_roles_allow(spark, sf):
     t = metadata_tables(spark, sf)
     for roles in ((), ("engineer",), ("admin",)):
-        ids = metadata.prefilter(t.fx_documents, t.fx_chunks, ("src0", "src1", "src2"), ("txt", "md", "html", "pdf"), "2024-01-01", "2025-12-31", roles).select("doc_id")
+        ids = metadata.prefilter(t.fx_documents, t.fx_chunks, ("src0", "src1", "src2"), ("txt", "md", "html", "pdf"), "2024-01-01", "2025-12-31",
+                roles).select("doc_id")
         seen = t.fx_documents.join(ids, "doc_id", "left_semi").select("roles_csv").distinct().collect()
         assert all(not r[0] or set(r[0].split(",")) & set(roles) for r in seen)
 
@@ -192,6 +197,7 @@ def metadata_tables(spark, sf):
 def test_guard_masks_before_the_query(spark):
     t = {"people": spark.createDataFrame([("Alexander", 1)], "name string, n int")}
     assert sqlguard.run(spark, "select upper(name) as x from people", t, ("NAME",)).first()["x"] == "ALE***ER"
-    for bad in ("select * from other", "select * from people p, other o", "select (select max(n) from other) from people", "select * from people union all select * from people", "truncate table people"):
+    for bad in ("select * from other", "select * from people p, other o", "select (select max(n) from other) from people",
+            "select * from people union all select * from people", "truncate table people"):
         with pytest.raises(sqlguard.Rejected):
             sqlguard.check(spark, bad, {"people"})

@@ -36,6 +36,7 @@ def test_feedback_counts_once(spark, sf, tmp_path):
 def test_limiter_as_a_stream(spark, sf, tmp_path):
     events = jobs.stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "ts")
     got = {}
-    jobs.run_once(jobs.rate_limit_stream(events, 3, 6 * 3600, "400 days"), str(tmp_path / "c"), lambda df, n: got.update({r["event_id"]: r["accepted"] for r in df.collect()}))
+    jobs.run_once(jobs.rate_limit_stream(events, 3, 6 * 3600, "400 days"), str(tmp_path / "c"), lambda df,
+            n: got.update({r["event_id"]: r["accepted"] for r in df.collect()}))
     batch = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id", "event_id", "cast(ts as timestamp) as ts")
     assert got == {r["event_id"]: r["accepted"] for r in jobs.rate_limit(batch, 3, 6 * 3600).collect()}
