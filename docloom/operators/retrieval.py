@@ -66,22 +66,22 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, doc: str = "doc_id", fie
     frequencies. Only postings of asked terms are kept after the scan, so nothing of the rest is shuffled.
     """
     fields = fields or {"text": 1.0}
-    asked = tables.small(questions.select("term").distinct())
-    parts, stats = [], []
-    for n, name in enumerate(fields):
-        t = docs.select(F.col(doc), terms(name).alias("_t")).select(doc, F.lit(n).alias("field"), F.size("_t").alias("dl"), "_t").where("dl > 0")
-        stats.append(t.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
-        hit = t.select(doc, "field", "dl", F.explode("_t").alias("term")).join(asked, "term", "left_semi")
-        parts.append(hit.groupBy(doc, "field", "term", "dl").agg(F.count("*").alias("tf")))
-    per_field = F.broadcast(reduce(DataFrame.unionByName, stats))  # a row per field
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = tables.store(reduce(DataFrame.unionByName, parts).join(per_field, "field").select(doc, "field", "term",
-            (F.col("tf") / norm).alias("impact")), "postings")
+    each = docs.select(F.col(doc), F.posexplode(F.array(*[terms(name) for name in fields])).alias("field", "_t")).where("size(_t) > 0")
+    # every text also has the empty term, which carries its length: one pass gives postings and statistics
+    each = each.select(doc, "field", F.size("_t").alias("dl"), F.explode(F.array_append("_t", F.lit(""))).alias("term"))
+    asked = questions.select("term").union(questions.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    hits = each.join(tables.small(asked), "term", "left_semi").groupBy(doc, "field", "term", "dl").agg(F.count("*").alias("tf"))
+    hits = tables.store(hits, "postings")
+    told = {r[0]: (r[1], r[2]) for r in hits.where("term = ''").groupBy("field").agg(F.count("*"), F.avg("dl")).collect()}  # a row per field
+    count = [told.get(n, (0, 1.0))[0] for n in range(len(fields))]
+    mean = [told.get(n, (0, 1.0))[1] for n in range(len(fields))]
+    hits = hits.where("term <> ''")
+    pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("field") + 1)
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / pick(mean))
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    boosts = F.element_at(F.array(*[F.lit(float(v)) for v in fields.values()]), F.col("field") + 1)
-    weighted = questions.join(df, "term").join(per_field, "field").select("qid", "field", "term", (F.col("boost") * boosts * idf).alias("weight"), "df")
-    return best_by_terms(hits, weighted, k, doc)
+    idf = F.log(1 + (pick(count) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = questions.join(df, "term").select("qid", "field", "term", (F.col("boost") * pick(fields.values()) * idf).alias("weight"), "df")
+    return best_by_terms(hits.select(doc, "field", "term", (F.col("tf") / norm).alias("impact")), weighted, k, doc)
 
 
 def with_synonyms(main: DataFrame, others: list[DataFrame], k: int, doc: str = "doc_id", lower: float = 0.85) -> DataFrame:
