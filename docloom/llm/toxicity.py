@@ -304,18 +304,34 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return model
 
 
-def _scan(model: Model, theta_of: dict[str, float], docs: list[list[str]]):
-    if len(theta_of) > CACHE:
-        theta_of.clear()
-    for w in {w for d in docs for w in d if w not in theta_of}:
-        theta_of[w] = model.potential(w)
-    theta = np.array([theta_of[w] for d in docs for w in d], dtype=float)
+class _Known:
+    """Potential, and weights beside other words, of the words that a worker has met; row 0 stands for no word."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.table = np.zeros((1, 3))
+
+    def numbers(self, docs: list[list[str]]) -> np.ndarray:
+        if len(self.number) > CACHE:
+            self.clear()
+        number, m = self.number, self.model
+        fresh = list({w for d in docs for w in d if w not in number})
+        number.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
+        if fresh:
+            self.table = np.concatenate([self.table, [(m.potential(w), m.before.get(w, 0.0), m.after.get(w, 0.0)) for w in fresh]])
+        return np.array([number[w] for d in docs for w in d], dtype=np.int64)
+
+
+def _scan(known: _Known, docs: list[list[str]]):
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
-    before, after = model.before, model.after
-    # a document's last token has none after it, its first none before it
-    theta += np.array([v for d in docs if d for v in (0.0, *[before.get(w, 0.0) for w in d[:-1]])], dtype=float)
-    theta += np.array([v for d in docs if d for v in (*[after.get(w, 0.0) for w in d[1:]], 0.0)], dtype=float)
-    m, _ = marginals(theta, lengths, model.move)
+    ids = known.numbers(docs)
+    before, after = neighbours(ids, lengths, 0) if len(ids) else (ids, ids)
+    table = known.table
+    m, _ = marginals(table[ids, 0] + table[before, 1] + table[after, 2], lengths, known.model.move)
     return m, _document_features(m, lengths), lengths
 
 
@@ -376,7 +392,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
 
     def run(batches):
         model = held.value
-        theta_of: dict[str, float] = {}
+        known = _Known(model)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             scores, spans = [], []
@@ -387,7 +403,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                     part.append(tokens_of(texts[at]))
                     tokens += len(part[-1])
                     at += 1
-                m, x, lengths = _scan(model, theta_of, part)
+                m, x, lengths = _scan(known, part)
                 scores += (1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30)))).tolist()
                 end = np.cumsum(lengths)
                 for k, low in enumerate(end - lengths):
@@ -401,7 +417,7 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
                 [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(spans, spans_type)],
                 ["doc_id", "score", "predicted", "spans"],
             )
-        theta_of.clear()
+        known.clear()
         common.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -415,7 +431,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = held.value
-        theta_of: dict[str, float] = {}
+        known = _Known(model)
         for b in batches:
             texts = [t or "" for t in b.column(column).to_pylist()]
             keep, at = [], 0
@@ -425,10 +441,10 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                     part.append(tokens_of(texts[at]))
                     tokens += len(part[-1])
                     at += 1
-                x = _scan(model, theta_of, part)[1]
+                x = _scan(known, part)[1]
                 keep += (1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30))) < THRESHOLD).tolist()
             yield b.filter(pa.array(keep, pa.bool_()))
-        theta_of.clear()
+        known.clear()
         common.give_back()
 
     return docs.mapInArrow(run, docs.schema)
