@@ -57,7 +57,8 @@ def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = each.join(shared, "h").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("in_items", "h"))).alias("order"))
     rows = rows.join(order, "no").withColumn("n", F.size("hashes"))
     keep = f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1"
-    return rows.select("no", "item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "hashes", F.expr(f"slice(order.h, 1, {keep})").alias("sketch"))
+    return rows.select("no", "item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "hashes",
+            F.expr(f"slice(order.h, 1, {keep})").alias("sketch"))
 
 
 def ceilings(sketches: DataFrame, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -91,7 +92,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     postings = sketches.select(F.explode("sketch").alias("_x"), F.struct("no", "n").alias("i")).groupBy("_x").agg(F.collect_list("i").alias("_items"))
     small = (kept or 0) * SKETCH_HASH_BYTES + (held or 0) * ITEM_HASH_BYTES <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda df: df)
-    rows = document_sketches(docs, parts, key) if parts else docs.where("false").select(*key, F.array().cast("array<long>").alias("_s"), F.array().cast("array<long>").alias("_h"))
+    rows = document_sketches(docs, parts, key) if parts else docs.where("false").select(*key, F.array().cast("array<long>").alias("_s"),
+            F.array().cast("array<long>").alias("_h"))
     whole = sketches.select(F.col("no").alias("_no"), "item_id", F.col("n").alias("_n"), "hashes")
     enough = "size(_s) >= ceil({t} * i.n - 1e-9)".format(t=threshold)
     if small:
@@ -101,12 +103,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     else:  # hashes alone meet the sketches; shingles join the candidates by a hash of the document
         rows = rows.withColumn("_r", F.xxhash64("_s"))
         met = rows.select("_r", F.size("_s").alias("_m"), F.explode_outer("_h").alias("_x")).join(postings, "_x")
-        met = met.select("_r", F.explode(F.expr(f"filter(_items, i -> {enough.replace('size(_s)', '_m')})")).alias("_i")).select("_r", F.col("_i.no").alias("_no")).distinct()
+        met = met.select("_r", F.explode(F.expr(f"filter(_items, i -> {enough.replace('size(_s)', '_m')})")).alias("_i")).select("_r",
+                F.col("_i.no").alias("_no")).distinct()
         hits = rows.drop("_h").join(met, "_r").select(*key, "_s", "_no")
     found = hits.join(hint(whole), "_no").select(*key, "item_id", F.size(F.array_intersect("_s", "hashes")).alias("shared"), F.col("_n").alias("size"))
     found = found.where(F.col("shared") >= F.ceil(F.col("size") * threshold - 1e-9))
     best = found.groupBy(*key, "item_id").agg(F.max(F.struct(F.col("shared") / F.col("size"), "shared", "size")).alias("b"))
-    return best.select(*key, "item_id", F.col("b.shared").alias("shared"), F.col("b.size").alias("size"), (F.col("b.shared") / F.col("b.size")).alias("containment"))
+    return best.select(*key, "item_id", F.col("b.shared").alias("shared"), F.col("b.size").alias("size"),
+            (F.col("b.shared") / F.col("b.size")).alias("containment"))
 
 
 #: DuckDB text of op3's result: shingles as text, counted.

@@ -166,7 +166,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     common.bounded_batches(spark)
     lowest = -(1 << 63)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"),
+                F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text"
     )
     tasks, buckets = bucket_count(spark, docs.count())
     bounds = _bounds(rows, ["k", "tie"], buckets)
@@ -177,7 +178,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
             for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = bisect_right(bounds, x)
                 last[at] = max(last.get(at, x), x)
-            yield pa.RecordBatch.from_arrays([pa.array(list(last), pa.int32()), *(pa.array([x[i] for x in last.values()], pa.int64()) for i in (0, 1))], ["bucket", "k", "tie"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(last), pa.int32()),
+                    *(pa.array([x[i] for x in last.values()], pa.int64()) for i in (0, 1))], ["bucket", "k", "tie"])
 
     found = rows.select("k", "tie").mapInArrow(ends, "bucket int, k long, tie long").groupBy("bucket").agg(F.max(F.struct("k", "tie")).alias("x"))
     tails = sorted((r[0], tuple(r[1])) for r in found.collect())  # a row per bucket

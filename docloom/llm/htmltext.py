@@ -255,7 +255,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             n.state = None
         lines = judged()
     top = max((main for never, noise, main, *_ in lines if not never and not noise), default=0)
-    return [(text, GUARD if noise or main < top or (not top and (menu or header)) else MAIN if top else OPEN) for never, noise, main, menu, header, text in lines if not never]
+    return [(text, GUARD if noise or main < top or (not top and (menu or header)) else MAIN if top else OPEN) for never, noise, main, menu, header,
+            text in lines if not never]
 
 
 def _vector(x: list, y: list) -> np.ndarray:
@@ -383,7 +384,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 low_high = held.setdefault(bisect_right(bounds, (k,)), [k, k])
                 low_high[0], low_high[1] = min(low_high[0], k), max(low_high[1], k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int32()), pa.array([v[0] for v in held.values()], pa.string()), pa.array([v[1] for v in held.values()], pa.string())], ["bucket", "low", "high"]
+                [pa.array(list(held), pa.int32()), pa.array([v[0] for v in held.values()], pa.string()),
+                        pa.array([v[1] for v in held.values()], pa.string())], ["bucket", "low", "high"]
             )
 
     found = rows.select("page_id", "url", tie).mapInArrow(ends, "bucket int, low string, high string").groupBy("bucket").agg(F.min("low"), F.max("high"))
@@ -476,4 +478,5 @@ def extract(pages: DataFrame) -> DataFrame:
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     ids, urls, texts, *counts = zip(*rows) if rows else ((),) * 7
     columns = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_guarded", "n_spared"])
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)],
+            ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_guarded", "n_spared"])

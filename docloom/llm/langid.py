@@ -178,7 +178,8 @@ def train(docs: DataFrame) -> Model:
     share = max(1, MAX_TRAIN // len(sizes))
     cuts = spark.createDataFrame([(x, max(1, c // (4 * share))) for x, c in sizes.items()], "lang string, parts long")
     few = rows.join(F.broadcast(cuts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("parts")) == 0)
-    found = few.where("doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("size")).select("lang", F.hash("doc_id").alias("h"), "doc_id", "size")
+    found = few.where("doc_id is not null").groupBy("lang", "doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("size")).select("lang",
+            F.hash("doc_id").alias("h"), "doc_id", "size")
     queue: dict[str, list] = {x: [] for x in sizes}
     for lang, h, doc_id, size in found.collect():
         queue[lang].append((h, doc_id, size))
@@ -215,6 +216,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = held.value
         for b in batches:
             got = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
+                    ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -260,7 +260,8 @@ def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None =
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(homes[at]), pa.array(all_[at])], ["leaf", "homes", "visits"])
 
     cuts = np.zeros((MAX_SHARDS, 2), int)  # pieces and blocks of each leaf; none where no fingerprint is at home
-    for leaf, homes, visits in points.select("fp").mapInArrow(tally, "leaf int, homes long, visits long").groupBy("leaf").agg(F.sum("homes"), F.sum("visits")).collect():
+    for leaf, homes, visits in points.select("fp").mapInArrow(tally, "leaf int, homes long, visits long").groupBy("leaf").agg(F.sum("homes"),
+            F.sum("visits")).collect():
         if homes:
             cuts[leaf] = max(1, round(homes / (2 * share))), -(-visits // (16 * CELL))
     held = spark.sparkContext.broadcast(cuts)
@@ -431,7 +432,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     blank = F.col("s0").isNull()
     rows = fps.groupBy("doc_id", "k0", "k1").agg(F.count("*").alias("n"), F.first("s0").alias("s0"))
     rows = rows.join(roots, rows["k0"] == roots["node"], "left")
-    rows = rows.select("doc_id", "k0", "k1", "n", F.when(blank, F.lit(0)).otherwise(F.coalesce("root", "k0")).alias("root"), F.when(~blank & F.col("root").isNull(), F.col("k1")).alias("rest"))
+    rows = rows.select("doc_id", "k0", "k1", "n", F.when(blank, F.lit(0)).otherwise(F.coalesce("root", "k0")).alias("root"),
+            F.when(~blank & F.col("root").isNull(), F.col("k1")).alias("rest"))
     mine = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "k0", "k1")
     first = rows.groupBy("root", "rest").agg(F.min(mine).alias("least")).select(F.col("root").alias("r"), F.col("rest").alias("e"), "least")
     judged = rows.join(first, (F.col("root") == F.col("r")) & F.col("rest").eqNullSafe(F.col("e")))

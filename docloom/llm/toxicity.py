@@ -345,7 +345,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     pick = lambda y, n: common.sample(kinds.where(f"toxic = {y}"), ["doc_id"], n)
     ids = pick(1, MAX_TOXIC).unionByName(pick(0, MAX_CLEAN))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = rows.select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    rows = rows.select("toxic", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"),
+            F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     rows = rows.where(F.col("size") <= MAX_BYTES)
     listed = rows.groupBy("toxic", "h", "tie", "size").agg(F.count("*").alias("copies"))
     found = [tuple(r) for r in listed.orderBy("h", "tie").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()]

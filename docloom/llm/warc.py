@@ -154,7 +154,8 @@ def write(pages: DataFrame, uri: str, least_bytes: int = 0) -> list[tuple[str, i
     """
     spark = pages.sparkSession
     common.bounded_batches(spark, 500)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+            F.coalesce(F.col("html"), F.lit("")).alias("html"))
     copies = first_copies(rows, least_bytes).hint("shuffle_hash")
     joined = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).join(copies, "sha", "left")
     _located(uri)[0].create_dir(_located(uri)[1], recursive=True)
@@ -218,7 +219,8 @@ def _records(held: list[tuple[str, dict]]) -> pa.RecordBatch:
     for path, r in held:
         h = r["headers"]
         length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", r["block"][: max(0, r["block"].find(b"\r\n\r\n"))])
-        row = (path, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), int(length[1]) if length else None, r["block"])
+        row = (path, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"),
+                int(length[1]) if length else None, r["block"])
         for column, v in zip(out, row):
             column.append(v)
     types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
@@ -240,7 +242,8 @@ def digest(records: DataFrame) -> DataFrame:
                 for column, v in zip(out, row):
                     column.append(v)
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
+                    ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     columns = records.select("record_id", "record_type", "payload_digest", "refers_to", "http_length", "block")
     return columns.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")

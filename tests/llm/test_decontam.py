@@ -31,10 +31,12 @@ def test_tables(spark, sf):
 
 def test_part_of_an_item_is_enough(spark):
     words = [f"w{k}" for k in range(44)]
-    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7])), (3, "just three words"), (4, None), (4, ""), (1, " ".join(words))], "item_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7])), (3, "just three words"), (4, None), (4, ""), (1, " ".join(words))],
+            "item_id long, text string")
     noise = [f"n{k}" for k in range(3000)]
     docs = spark.createDataFrame(
-        [(k, " ".join(noise[: 7 * k] + words[:k] + noise[7 * k :])) for k in range(30, 45)] + [(99, "Just, three WORDS!"), (98, "x y just three words z"), (97, None)], "doc_id long, text string"
+        [(k, " ".join(noise[: 7 * k] + words[:k] + noise[7 * k :])) for k in range(30, 45)] + [(99, "Just, three WORDS!"),
+                (98, "x y just three words z"), (97, None)], "doc_id long, text string"
     )
     want = check(docs, items)
     assert (36, 1) in want and (35, 1) not in want and (99, 3) in want and (98, 3) not in want
@@ -77,7 +79,8 @@ def test_sql(spark, sf):
 
 
 def test_odd_rows(spark):
-    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, "word word word word word word")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs"), (2, "word word word word word word")],
+            "item_id long, text string")
     assert {(1, 1), (None, 1), (9, 2)} <= check(odd_docs(spark), items)
     assert decontam.contaminated(no_docs(spark), items).count() == 0
     assert decontam.contaminated(odd_docs(spark), items.where("false")).count() == 0

@@ -54,7 +54,8 @@ def test_odd_rows(spark):
 def test_parts_merge_into_the_whole(spark):
     words = [f"w{k}" for k in range(5000)]
     parts = [" ".join(words[i : i + 504]) for i in range(0, 4500, 500)]
-    df = spark.createDataFrame([("a", fp.to_text(fp.sketch(p))) for p in parts] + [("b", fp.to_text(fp.sketch(""))), (None, None)], "part string, fingerprint string")
+    df = spark.createDataFrame([("a", fp.to_text(fp.sketch(p))) for p in parts] + [("b", fp.to_text(fp.sketch(""))), (None, None)],
+            "part string, fingerprint string")
     got = {r[0]: r[1] for r in fp.merge(df, "part").collect()}
     assert got["a"] == fp.to_text(fp.sketch(" ".join(words[:4504]))) and got["b"] == "" and got[None] == ""
 

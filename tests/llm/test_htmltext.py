@@ -126,7 +126,8 @@ def test_shared_lines_go_where_no_article_protects(spark):
     site = lambda k, body: f"<body><div>Site name</div><div>Slogan of all pages</div>{body}<div>Contact us</div></body>"
     rows = [(k, f"http://h.org/a/{k}", site(k, f"<p>Own text {k}</p>")) for k in range(40)]
     rows += [(100 + k, f"http://g.org/{k}", "<article><p>Shared licence line</p><p>x</p></article>") for k in range(3)]
-    rows += [(200, "http://alone.org/", site(0, "<p>Alone</p>")), (201, None, None), (None, "no url", "<p>q</p>"), (201, None, None), (202, "http://[bad", "<p>z")]
+    rows += [(200, "http://alone.org/", site(0, "<p>Alone</p>")), (201, None, None), (None, "no url", "<p>q</p>"), (201, None, None),
+            (202, "http://[bad", "<p>z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = htmltext.extract(df).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -158,14 +159,16 @@ def test_differencing_deletes_menus_that_no_markup_names(spark):
 
 def test_repeated_rows_clashing_names_and_long_pages(spark):
     long = "<body><article>" + "".join(f"<p>Line {k} of a long page</p>" for k in range(60_000)) + "</article></body>"
-    rows = [(1, "http://h/a", "<body><p>Own</p><p>Text</p></body>", "x", 1, False)] * 3 + [(2, "http://h/b", long, "y", 2, True)] * 2 + [(None, None, None, None, None, None)] * 2
+    rows = [(1, "http://h/a", "<body><p>Own</p><p>Text</p></body>", "x", 1, False)] * 3 + [(2, "http://h/b", long, "y", 2, True)] * 2 + [(None, None,
+            None, None, None, None)] * 2
     df = spark.createDataFrame(rows, "page_id long, url string, html string, k string, bucket int, own boolean")
     got = sorted((str(r["page_id"]), r["text"]) for r in htmltext.extract(df).collect())
     whole = "\n\n".join(f"Line {k} of a long page" for k in range(60_000))
     assert got == [("1", "Own\n\nText")] * 3 + [("2", whole)] * 2 + [("None", "")] * 2
 
 
-@pytest.mark.parametrize("unit", ["<a ", "<div>a", '<a "', "<title>", "<b><dt>", "<dt><ul><b></dt>", "<p><b>x", "</p></x>", "<!-", "&#1", "<main>", "<li><a href=x>"])
+@pytest.mark.parametrize("unit", ["<a ", "<div>a", '<a "', "<title>", "<b><dt>", "<dt><ul><b></dt>", "<p><b>x", "</p></x>", "<!-", "&#1", "<main>",
+        "<li><a href=x>"])
 def test_time_follows_the_length(unit):
     htmltext.blocks(unit * 1000)
     start = time.perf_counter()

@@ -43,8 +43,10 @@ def test_stages_keep_columns(spark, sf):
 def test_rows_are_judged_by_their_texts(spark, sf):
     item = read(spark, sf, "benchmark").first()["text"]
     clean = [" ".join(f"word{k}x{n}" for n in range(60)) for k in range(4)]
-    rows = [(None, f"before it {item} and after it"), (None, clean[0]), (7, f"other words first {item} then more"), (7, clean[1]), (8, clean[2]), (8, clean[2]), (None, clean[2]), (9, clean[3]), (9, f"{item} {clean[3]}")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, k0 int")
+    rows = [(None, f"before it {item} and after it"), (None, clean[0]), (7, f"other words first {item} then more"), (7, clean[1]), (8, clean[2]),
+            (8, clean[2]), (None, clean[2]), (9, clean[3]), (9, f"{item} {clean[3]}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k) for k, (i, t) in enumerate(rows)],
+            "doc_id long, text string, lang string, source string, n_chars long, k0 int")
     stages = dict(corpus_pipeline.STAGES)
     left = stages["benchmark decontamination"](spark, docs, sf)
     assert left.columns == docs.columns
@@ -52,7 +54,8 @@ def test_rows_are_judged_by_their_texts(spark, sf):
     left = stages["simhash near-dedup"](spark, left, sf)
     assert sorted((str(r[0]), r[1]) for r in left.collect()) == sorted([("None", clean[0]), ("7", clean[1]), ("8", clean[2]), ("9", clean[3])])
     left = stages["secret scans"](spark, left.withColumn("text", F.concat("text", F.lit(" password=abcdefgh1"))), sf)
-    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([(i, f"{t} [SECRET]") for i, t in (("None", clean[0]), ("7", clean[1]), ("8", clean[2]), ("9", clean[3]))])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([(i, f"{t} [SECRET]") for i,
+            t in (("None", clean[0]), ("7", clean[1]), ("8", clean[2]), ("9", clean[3]))])
 
 
 def test_odd_rows(spark, sf):

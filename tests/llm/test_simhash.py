@@ -145,7 +145,8 @@ def test_one_of_each_on_tables(spark, sf):
 def test_one_of_each_decides_by_row(spark):
     t = " ".join(f"w{k}" for k in range(300))
     u = " ".join(f"u{k}" for k in range(80))
-    rows = [(1, t), (2, t), (2, u), (3, flipped(t, 3, 7)), (None, t), (None, "only here " * 9), (None, "only here " * 9), (4, None), (5, ""), (6, " \t"), (7, u), (7, u), (8, flipped(t, 60, 3)), (9, "one"), (10, "ONE "), (11, "two")]
+    rows = [(1, t), (2, t), (2, u), (3, flipped(t, 3, 7)), (None, t), (None, "only here " * 9), (None, "only here " * 9), (4, None), (5, ""),
+            (6, " \t"), (7, u), (7, u), (8, flipped(t, 60, 3)), (9, "one"), (10, "ONE "), (11, "two")]
     df = spark.createDataFrame([(*r, k % 2, "c") for k, r in enumerate(rows)], "doc_id long, text string, k0 int, n string")
     got = sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in simhash.one_of_each(df).collect())
     assert got == sorted([("1", t[:5]), ("2", u[:5]), ("None", "only "), ("4", ""), ("8", rows[12][1][:5]), ("9", "one"), ("11", "two")])
@@ -165,7 +166,8 @@ def test_pieces_and_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_SIZE", 8)
     monkeypatch.setattr(simhash, "CELL", 16)
     rng = np.random.default_rng(8)
-    fps = np.unique(np.array([0xABCDEF ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(900)], dtype=np.uint64))
+    fps = np.unique(np.array([0xABCDEF ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 6)), replace=False)) for _ in range(900)],
+            dtype=np.uint64))
     df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
     roots = {r[0]: r[1] for r in components(simhash.links(df, len(fps))).collect()}
     assert {i: roots.get(i, i) for i in range(len(fps))} == plain_components(list(enumerate(fps)))

@@ -149,7 +149,8 @@ def test_unseen_forms_and_scores(spark):
     assert [got[k]["predicted"] for k in range(3)] == [1, 1, 0]
     # the score is the logistic curve over the largest marginal and the expected number of toxic tokens
     words = toxicity.tokens_of(texts[0])
-    theta = [model.potential(w) + (model.before.get(words[i - 1], 0.0) if i else 0.0) + (model.after.get(words[i + 1], 0.0) if i + 1 < len(words) else 0.0) for i, w in enumerate(words)]
+    theta = [model.potential(w) + (model.before.get(words[i - 1], 0.0) if i else 0.0) + (model.after.get(words[i + 1],
+            0.0) if i + 1 < len(words) else 0.0) for i, w in enumerate(words)]
     m = plain_marginals(theta, model.move)[0]
     top = min(max(m.max(), 1e-9), 1 - 1e-9)
     z = model.curve[0] + model.curve[1] * np.clip(np.log(top / (1 - top)), -6, 6) + model.curve[2] * np.log1p(m.sum())

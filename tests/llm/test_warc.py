@@ -19,7 +19,8 @@ def check(df, rows):
     for page_id, _, page in rows:
         p = (page or "").encode()
         revisit = p in first and page_id != first[p]
-        want.append((str(page_id), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response", first[p] if revisit else None))
+        want.append((str(page_id), len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "revisit" if revisit else "response",
+                first[p] if revisit else None))
     got = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in df.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
