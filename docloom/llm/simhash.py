@@ -317,7 +317,7 @@ TABLES, WIDTH, ALIKE = 4, 5, 0.55
 #: Jaccard similarity of distinct shingles from which texts are near copies.
 THRESHOLD = 0.8
 #: Words whose hash a worker keeps.
-CACHE = 500_000
+CACHE = 100_000
 
 
 class _Hashes(dict):
@@ -412,6 +412,7 @@ def keyed_fingerprints(docs: DataFrame) -> DataFrame:
             none = ~signs.any(axis=1) if len(got) else np.zeros(0, bool)
             columns = [*b.columns[:3], *(pa.array(fps[:, t]) for t in range(TABLES)), *(pa.array(signs[:, k], mask=none) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names)
+        _HASHES.clear()  # workers are kept for later stages
         common.give_back()
 
     k0, k1 = common.text_key()

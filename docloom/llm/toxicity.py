@@ -35,7 +35,7 @@ THRESHOLD = 0.7
 #: Tokens in a row of the blocked forward-backward pass, and tokens handled at once.
 ROW, AT_ONCE = 64, 200_000
 #: Words whose potential a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 
 TOKEN = re.compile(r"\w+")
 
