@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, decontam, fingerprints, htmltext, langid, secrets, shards, simhash, toxicity, warc
+from . import audit, bpe, chat, decontam, fingerprints, htmltext, langid, negatives, secrets, shards, simhash, toxicity, warc
 from .common import read
 
 #: Vocabulary of op10 and of the pipeline's last stage.
@@ -74,13 +74,21 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(chat.with_probe(read(spark, sf_dir, "conversations"))))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.quantised(read(spark, sf_dir, "embeddings"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 _ALL = (
     op1_toxicity, op2_langid, op3_decontamination, op4_warc, op5_secrets, op6_fingerprints, op7_html, op8_sharding, op9_simhash, op10_bpe,
-    op11_chat, op13_audit,
+    op11_chat, op12_negatives, op13_audit,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op3_decontamination": decontam.SQL, "op11_chat": chat.SQL, "op13_audit": audit.SQL}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontam.SQL, "op11_chat": chat.SQL, "op12_negatives": negatives.SQL, "op13_audit": audit.SQL,
+}
