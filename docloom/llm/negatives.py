@@ -4,9 +4,10 @@ Largest inner products become nearest neighbours when a candidate y gets one mor
 squared norm, and an anchor x a zero: the squared distance is then |x|^2 + M - 2xy. Rows are assigned to their nearest pivot. A
 home join of each cell's anchors with its own candidates gives every anchor a floor under the scores it still needs. Anchors of one
 cell and label bucket form a group with a radius around the pivot; the triangle inequality bounds the score that a candidate
-can reach with any of them, so a candidate of another cell is replicated only to the groups that it might serve. There an exact
-local join in whole numbers follows. Groups and candidates are dealt in pieces of bounded size, so no task holds a whole label or
-a whole ball of copies; of rows equal in vector and label only the first few can be chosen and only these are dealt.
+can reach with any of them, so a candidate of another cell is replicated only to the groups that it might serve. Groups of
+neighbouring cells with few anchors travel together and get a candidate once. An exact local join in whole numbers follows. Groups
+and candidates are dealt in pieces of bounded size, so no task holds a whole label or a whole ball of copies; of rows equal in
+vector and label only the first few can be chosen and only these are dealt.
 
 The same join runs twice: for the positives (same label, the highest scores) and for the negatives (another label, the highest
 scores inside the window that each positive's score opens).
@@ -171,27 +172,50 @@ def join(anchors: DataFrame, candidates: DataFrame, local, kind: str) -> DataFra
     all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n[:-1])
     a = anchors.join(pieces, "g").select(*anchors.columns, part(("a0", "a1"), "blocks"), all_("slices"))
     c = candidates.select(*(x for x in candidates.columns if x != "groups"), F.explode("groups").alias("g")).join(pieces, "g")
-    c = c.select("rid", "vec_id", "label", "z", "g", part(("rid",), "slices"), all_("blocks"))
+    c = c.select("rid", "vec_id", "label", "z", "cell", "g", part(("rid",), "slices"), all_("blocks"))
     keys = ("g", "slice", "block")
     return a.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(local, kind)
 
 
-def route(candidates: DataFrame, groups: list, space: Space, by_bucket: bool) -> DataFrame:
-    """candidates with the groups that they might serve, as a stored table; their own cell's groups, which they have met, are left out.
+def bundles(groups: list, space: Space) -> dict[int, int]:
+    """group -> bundle: groups of one bucket and kind, along a chain of neighbouring pivots, until a bundle has about BLOCK anchors.
 
-    groups: (g, cell, bucket, radius, least norm, largest norm, lowest and highest score needed).
+    groups: rows of `_needs`.
     """
-    table = np.array(sorted(groups), dtype=np.float64).reshape(-1, 8)
-    held = candidates.sparkSession.sparkContext.broadcast((space, table))  # BUCKETS x MOST_PIVOTS x 2 rows at most
+    left, chain, at = set(range(1, len(space.pivots))), [0], 0
+    while left:
+        at = min(left, key=lambda k: (((space.pivots[k] - space.pivots[at]) ** 2).sum(), k))
+        left.discard(at)
+        chain.append(at)
+    place_of = {c: k for k, c in enumerate(chain)}
+    out, number, held, before = {}, -1, 0, None
+    for g, cell, bucket, *_, n in sorted(groups, key=lambda r: (r[2], r[0] % 2, place_of[r[1]])):
+        if before != (bucket, g % 2) or held + n > BLOCK:
+            number, held, before = number + 1, 0, (bucket, g % 2)
+        out[g] = number
+        held += n
+    return out
+
+
+def route(candidates: DataFrame, groups: list, bundle: dict[int, int], space: Space, by_bucket: bool) -> DataFrame:
+    """candidates with the bundles (`groups`) of groups that they might serve, as a stored table; of their own cell's groups, which they
+    have met, none counts.
+
+    groups: (g, cell, bucket, radius, least norm, largest norm, lowest and highest score needed, anchors).
+    """
+    table = np.array(sorted(groups, key=lambda r: bundle[r[0]]), dtype=np.float64).reshape(-1, 9)
+    numbers = np.array([bundle[int(g)] for g in table[:, 0]], dtype=np.int32)
+    held = candidates.sparkSession.sparkContext.broadcast((space, table, numbers))  # BUCKETS x MOST_PIVOTS x 2 rows at most
 
     def run(batches):
-        s, (g, cell, bucket, radius, small, large, low, high) = held.value[0], held.value[1].T
-        cell, g = cell.astype(int), g.astype(np.int32)
+        s, (_, cell, bucket, radius, small, large, low, high, _), numbers = held.value[0], held.value[1].T, held.value[2]
+        firsts = np.flatnonzero(np.diff(numbers, prepend=-1))
+        cell = cell.astype(int)
         slack = 1e-6 * (s.most + large + 1)
         centres = s.centres()
         long = np.einsum("ij,ij->i", centres, centres)[cell] + s.most
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
+            for at in range(0, b.num_rows if len(cell) else 0, 1024):
                 rows = b.slice(at, 1024)
                 v, last = s.candidate(unpack(rows.column("z"), s.kind)[0])
                 d = distances(v, last, centres)[:, cell]
@@ -201,13 +225,14 @@ def route(candidates: DataFrame, groups: list, space: Space, by_bucket: bool) ->
                 take = (best + slack >= low) & (worst - slack <= high) & (cell != np.asarray(rows.column("cell"))[:, None])
                 if by_bucket:
                     take &= bucket == np.asarray(rows.column("bucket"))[:, None]
+                take = np.logical_or.reduceat(take, firsts, axis=1)
                 _, which = np.nonzero(take)
                 offsets = np.concatenate([[0], np.cumsum(take.sum(1))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(g[which]))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(numbers[firsts][which]))
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), lists], [*names, "groups"])
 
-    names = ["rid", "vec_id", "label", "z"]
-    out = candidates.select(*names, "cell", "bucket").mapInArrow(run, "rid long, vec_id long, label long, z binary, groups array<int>")
+    names = ["rid", "vec_id", "label", "z", "cell"]
+    out = candidates.select(*names, "bucket").mapInArrow(run, "rid long, vec_id long, label long, z binary, cell int, groups array<int>")
     return common.store(out.where("size(groups) > 0"), "routed")
 
 
@@ -220,12 +245,16 @@ def _first(score: np.ndarray, at: np.ndarray, vec_id: np.ndarray, rid: np.ndarra
 
 
 def _arrays(a: pa.Table, c: pa.Table, kind: str):
-    """Scores of anchors and candidates, where both may meet (vectors of one length), same label, and the candidates' ids."""
+    """Scores of anchors and candidates, where both may meet (vectors of one length; after the home join, cells that differ), same label,
+    and the candidates' ids."""
     va, na = unpack(a.column("z"), kind)
     vc, nc = unpack(c.column("z"), kind)
     same = np.asarray(a.column("label"))[:, None] == np.asarray(c.column("label"))[None, :]
     ids = np.asarray(c.column("vec_id").fill_null(np.iinfo(np.int64).max))
-    return inner(va, vc), na[:, None] == nc[None, :], same, ids, np.asarray(c.column("rid"))
+    meet = na[:, None] == nc[None, :]
+    if not a.column("home")[0].as_py():
+        meet &= np.asarray(a.column("cell_a"))[:, None] != np.asarray(c.column("cell"))[None, :]
+    return inner(va, vc), meet, same, ids, np.asarray(c.column("rid"))
 
 
 def _positives(kind: str, k: int):
@@ -282,7 +311,8 @@ def _needs(anchors: DataFrame, by_bucket: bool) -> list:
     """Bounds of the anchors' groups for `route`; anchors: (cell_a, bucket, dist_a, norm, low, high, far), low null where nothing
     bounds it. Those are groups of their own, so that the rest keeps its bounds."""
     bounds = anchors.groupBy("g", "cell_a", "bucket" if by_bucket else F.lit(0).alias("bucket"))
-    rows = bounds.agg(F.max("dist_a"), F.min("norm"), F.max("norm"), F.min(F.coalesce("low", F.lit(float("-inf")))), F.max(F.coalesce("high", F.lit(float("inf")))))
+    rows = bounds.agg(F.max("dist_a"), F.min("norm"), F.max("norm"), F.min(F.coalesce("low", F.lit(float("-inf")))),
+            F.max(F.coalesce("high", F.lit(float("inf")))), F.count("*"))
     return [tuple(r) for r in rows.collect()]  # BUCKETS x MOST_PIVOTS x 2 rows at most
 
 
@@ -293,13 +323,17 @@ def _nearest(anchors: DataFrame, candidates: DataFrame, space: Space, local, kin
     """
     number = lambda cell: F.col(cell) * BUCKETS + (F.col("bucket") if by_bucket else F.lit(0))
     # the bounds count an anchor into the cell where it lies itself; whom it meets there are the candidates at home in that cell
-    home = anchors.withColumn("g", (number("cell_a") * 2).cast("int"))
+    home = anchors.withColumn("g", (number("cell_a") * 2).cast("int")).withColumn("home", F.lit(True))
     at_home = candidates.withColumn("groups", F.array((number("cell") * 2).cast("int")))
     found = common.store(_best(join(home, at_home, local, kind), by, k).drop("rank"), "home")
     rest = anchors.join(floors(found), ["a0", "a1"]).withColumn("g", (number("cell_a") * 2 + F.col("far").cast("int")).cast("int"))
     rest = common.store(rest, "rest")
-    routed = route(candidates, _needs(rest, by_bucket), space, by_bucket)
-    more = join(rest.select(*anchors.columns, "g"), routed, local, kind)
+    needs = _needs(rest, by_bucket)
+    bundle = bundles(needs, space)
+    routed = route(candidates, needs, bundle, space, by_bucket)
+    named = F.broadcast(rest.sparkSession.createDataFrame(list(bundle.items()), "g int, bundle int"))
+    sent = rest.join(named, "g").select(*anchors.columns, F.col("bundle").alias("g"), F.lit(False).alias("home"))
+    more = join(sent, routed, local, kind)
     return common.store(_best(found.unionByName(more), by, k), "nearest")
 
 

@@ -86,9 +86,9 @@ def test_replication_is_bounded(spark):
     df = N.quantised(spark.createDataFrame([(*r, "x", 3) for r in rows], KIND)).withColumn("anchor", F.col("vec_id") % 50 == 0)
     space = N.survey(df)
     placed = N.place(df, space)
-    cells = placed.where("anchor").groupBy("cell_a").agg(F.max("dist_a").alias("r"), F.min("norm").alias("s"), F.max("norm").alias("l")).collect()
-    groups = [(2 * 16 * c["cell_a"], c["cell_a"], 0, c["r"], c["s"], c["l"], 0.9 * c["l"], math.inf) for c in cells]
-    sent = N.route(placed, groups, space, False).select(F.sum(F.size("groups"))).first()[0] or 0
+    cells = placed.where("anchor").groupBy("cell_a").agg(F.max("dist_a").alias("r"), F.min("norm").alias("s"), F.max("norm").alias("l"), F.count("*").alias("n")).collect()
+    groups = [(2 * 16 * c["cell_a"], c["cell_a"], 0, c["r"], c["s"], c["l"], 0.9 * c["l"], math.inf, c["n"]) for c in cells]
+    sent = N.route(placed, groups, {g[0]: k for k, g in enumerate(groups)}, space, False).select(F.sum(F.size("groups"))).first()[0] or 0
     assert sent < 0.5 * 6000 * len(groups)
 
 
