@@ -245,10 +245,14 @@ def budget_ladder(ceiling: int | None, base: tuple[int, ...] = (512, 2048, 4096)
 
 
 def ocr_text(lines, scores) -> tuple[Column, Column]:
-    """Text and mean confidence of an OCR result: its lines joined, blank ones left out; 0 without lines."""
+    """Text and mean confidence of an OCR result: its lines joined, blank ones left out; 0 without lines.
+
+    Scores are added as decimals of six digits, so the mean does not depend on their order, and halves are rounded up.
+    """
     kept = F.array_join(F.filter(_col(lines), lambda x: F.trim(x) != ""), "\n")
-    s = _col(scores)
-    return kept, F.when(F.size(s) > 0, F.round(F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s), 4)).otherwise(F.lit(0.0))
+    s = F.transform(_col(scores), lambda x: x.cast("decimal(12,6)"))
+    total = F.aggregate(s, F.lit(0).cast("decimal(24,6)"), lambda a, x: (a + x).cast("decimal(24,6)"))
+    return kept, F.when(F.size(s) > 0, F.round(total / F.size(s), 4).cast("double")).otherwise(F.lit(0.0))
 
 
 def richer(old, new) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,17 +31,22 @@ def l2_normalize(a) -> Column:
 
 
 def char_bucket_embedding(text, dim: int) -> Column:
-    """Counts of characters by code point modulo dim, normalised; an empty text gives the first unit vector."""
-    text = F.coalesce(_col(text), F.lit(""))
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.expr("0") + _code(c), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(codes, lambda x: x == k)).cast("double"))
-    unit = F.array(*[F.lit(1.0 if k == 0 else 0.0) for k in range(dim)])
-    return F.when(F.char_length(text) > 0, l2_normalize(counts)).otherwise(unit)
+    """Counts of characters by code point modulo dim, normalised; null and empty texts give the first unit vector.
 
+    One pass over the text in Arrow batches, whatever dim is.
+    """
 
-def _code(c: Column) -> Column:
-    """Code point of a one-character string, from its UTF-32 bytes."""
-    return F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return pd.Series([_buckets(t, dim) for t in texts])
+
+    return embed(_col(text))
+
+
+def _buckets(text: str | None, dim: int) -> np.ndarray:
+    codes = np.frombuffer((text or "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    counts = np.bincount(codes % dim, minlength=dim).astype(np.float64)
+    return counts / np.sqrt((counts * counts).sum())
 
 
 def bbox_iou(a, b) -> Column:

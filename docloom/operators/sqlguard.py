@@ -35,67 +35,101 @@ FUNCTIONS = frozenset(
     "array array_contains array_distinct array_join array_max array_min bigint boolean cast cardinality decimal double element_at explode filter float int named_struct size smallint sort_array string struct "
     "tinyint transform".split()
 )
+#: Names that stand for the session where no column has them.
+SESSION = frozenset({"current_user", "session_user", "user", "current_catalog", "current_database", "current_schema"})
 
 
 class Rejected(ValueError):
     """The statement is not a plain query over allowed tables and functions; args[0] says why."""
 
 
-def check(spark: SparkSession, sql: str, tables: set[str]) -> set[str]:
-    """Names of the tables a statement reads; Rejected if it is no query, unites queries, reads others than `tables`, or calls a
-    function outside FUNCTIONS. A name of a WITH clause stands for its query only inside that clause's statement."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except ParseException as e:
-        raise Rejected("syntax") from e
-    subquery = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
-    allowed = {t.lower() for t in tables}
-    names: set[str] = set()
+class _Walk:
+    """A walk over everything that a parsed plan holds: its nodes' fields, not only what they list as children or expressions."""
 
-    def seq(s):
-        it = s.iterator()
+    def __init__(self, spark: SparkSession, allowed: set[str]):
+        kind = spark.sparkContext._jvm.java.lang.Class.forName
+        catalyst = "org.apache.spark.sql.catalyst"
+        self.plan, self.expression = kind(f"{catalyst}.plans.logical.LogicalPlan"), kind(f"{catalyst}.expressions.Expression")
+        self.iterable, self.product = kind("scala.collection.Iterable"), kind("scala.Product")
+        self.allowed, self.names = allowed, set()
+
+    @staticmethod
+    def each(things):
+        it = things.iterator()
         while it.hasNext():
             yield it.next()
 
-    def expressions(node, own):
-        stack = list(seq(node.expressions()))
-        while stack:
-            x = stack.pop()
-            if x.getClass().getSimpleName() == "UnresolvedFunction":
-                called = ".".join(seq(x.nameParts())).lower()
-                if called not in FUNCTIONS:
-                    raise Rejected(f"function: {called}")
-            if subquery.isInstance(x):
-                walk(x.plan(), own)
-            stack += list(seq(x.children()))
-
-    def walk(node, own):
-        kind = node.getClass().getSimpleName().rstrip("$")
+    def field(self, x, own: frozenset) -> None:
+        """A field of any node: plans and expressions are looked at, collections, options and pairs opened, the rest are plain values."""
+        if not hasattr(x, "getClass"):
+            return
+        if self.plan.isInstance(x):
+            self.node(x, own)
+        elif self.expression.isInstance(x):
+            self.term(x, own)
+        elif self.iterable.isInstance(x):
+            for y in self.each(x):
+                self.field(y, own)
+        elif self.product.isInstance(x):
+            self.fields(x, own)
+
+    def fields(self, x, own: frozenset) -> None:
+        it = x.productIterator()
+        while it.hasNext():
+            self.field(it.next(), own)
+
+    def node(self, x, own: frozenset) -> None:
+        kind = x.getClass().getSimpleName().rstrip("$")
         if kind not in ALLOWED:
             raise Rejected(f"not allowed: {kind}")
         if kind == "UnresolvedWith":
-            for pair in seq(node.cteRelations()):
-                walk(pair._2(), own)  # sees the names before it, not itself
-                own = own | {pair._1().lower()}
+            for name in self.each(x.cteRelations()):
+                self.field(name._2(), own)  # sees the names before it, not itself
+                own = own | {name._1().lower()}
+            self.node(x.child(), own)
+            return
         if kind == "UnresolvedRelation":
-            name = ".".join(seq(node.multipartIdentifier())).lower()
+            name = ".".join(self.each(x.multipartIdentifier())).lower()
             if name not in own:
-                if name not in allowed:
+                if name not in self.allowed:
                     raise Rejected(f"table: {name}")
-                names.add(name)
-        expressions(node, own)
-        for child in seq(node.children()):
-            walk(child, own)
+                self.names.add(name)
+            return
+        self.fields(x, own)
 
-    walk(plan, frozenset())
-    return names
+    def term(self, x, own: frozenset) -> None:
+        kind = x.getClass().getSimpleName()
+        if "UnresolvedIdentifier" in kind:  # a name that is only known when the statement runs
+            raise Rejected(f"not allowed: {kind}")
+        if kind == "UnresolvedFunction":
+            called = ".".join(self.each(x.nameParts())).lower()
+            if called not in FUNCTIONS:
+                raise Rejected(f"function: {called}")
+        if kind == "UnresolvedAttribute":
+            name = ".".join(self.each(x.nameParts())).lower()
+            if name in SESSION:
+                raise Rejected(f"function: {name}")
+        self.fields(x, own)
+
+
+def check(spark: SparkSession, sql: str, tables: set[str]) -> set[str]:
+    """Names of the tables a statement reads; Rejected if it is no query, unites queries, reads others than `tables`, calls a function
+    outside FUNCTIONS or names the session. A name of a WITH clause stands for its query only inside that clause's statement."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as e:
+        raise Rejected("syntax") from e
+    walk = _Walk(spark, {t.lower() for t in tables})
+    walk.node(plan, frozenset())
+    return walk.names
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive: tuple[str, ...] = (), max_rows: int | None = 200) -> DataFrame:
     """At most max_rows rows (None: all) of a guarded query over the given tables; columns named in `sensitive` are masked before the query.
 
     Masking comes before the query, so that an alias or an expression does not lay a value open. The tables are views only while
-    the query is analyzed; views of the same names come back after it.
+    the query is analyzed; views of the same names come back after it. A name that turns out to be a variable of the session is
+    Rejected.
     """
     check(spark, sql, set(tables))
     hidden = {s.lower() for s in sensitive}
@@ -109,4 +143,6 @@ def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame], sensitive:
             spark.catalog.dropTempView(name)
         for name, df in before.items():
             df.createOrReplaceTempView(name)
+    if "variablereference" in out._jdf.queryExecution().analyzed().toJSON().lower():
+        raise Rejected("variable")
     return out if max_rows is None else out.limit(max_rows)

@@ -70,6 +70,13 @@ def drop(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Name, length and time of each file of a table: what changes when the table does."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in system.listStatus(p))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's size from the sizes of its files; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

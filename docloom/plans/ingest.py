@@ -110,7 +110,7 @@ def staged_write(t):
     return again.join(held, "doc_id", "left").select("doc_id", *staging.STAGES, "status", F.coalesce("k", F.lit(0)).cast("int").alias("written"))
 
 
-@query("""select doc_id, string_agg(s, '\n' order by i) as text, floor(avg((length(s) % 10) / 10.0) * 10000 + 0.5000001) / 10000 as confidence from
+@query("""select doc_id, string_agg(s, '\n' order by i) as text, ((2000 * sum(length(s) % 10) + count(*)) // (2 * count(*))) / 10000.0 as confidence from
     (select doc_id, unnest(range(0, len(string_split(text, '\n')))) as i, unnest(string_split(text, '\n')) as s from documents) where trim(s) <> ''
         group by doc_id""")
 def ocr_fallback(t):

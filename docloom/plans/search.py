@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docloom.functions import vectors as V
 from docloom.operators import retrieval as R
 from docloom.operators import tables
+from docloom.operators import textindex as X
+from docloom.operators import vectorindex as VX
 
 from .base import query
 
@@ -39,9 +41,30 @@ def _searchable(docs):
     return docs.select("doc_id", "text", F.substring("text", 1, 100).alias("summary"))
 
 
-def _bm25(t, k, questions=None, docs=None):
-    q = R.question_terms(t.fx_questions if questions is None else questions)
-    return R.bm25(_searchable(t.documents if docs is None else docs), q, k, fields=FIELDS)
+def _fields():
+    """Fields of the stored index: those of BM25, a document's keywords, and its text where that is one word."""
+    words = lambda: F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(R.WORD), F.lit(0)), F.lower))
+    whole = lambda: F.when(F.col("text").rlike(f"^(?:{R.WORD})$"), F.array("text")).otherwise(F.array().cast("array<string>"))
+    return [*(X.Field(lambda n=n: R.terms(n)) for n in FIELDS), X.Field(words, flat=True), X.Field(whole, flat=True)]
+
+
+def _index(t):
+    """The stored index of the documents table, built once for its present files and shared by all text routes."""
+    return X.of_table(f"{t.dir}/documents.parquet", _searchable(t.documents), _fields())
+
+
+def _asked(terms, weights: dict[int, float]):
+    """Terms (qid, term, boost) asked in several fields with their weights."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("w")) for f, w in weights.items()])).alias("x")
+    return terms.select("qid", "term", "boost", each).select("qid", F.col("x.field").alias("field"), "term", (F.col("boost") * F.col("x.w")).alias("boost"))
+
+
+def _bm25(t, k, questions=None, docs=None, terms=None):
+    """BM25 over the stored index; over `docs` alone where these are given, with their own statistics."""
+    terms = R.question_terms(t.fx_questions if questions is None else questions) if terms is None else terms
+    if docs is not None:
+        return R.bm25(_searchable(docs), terms, k, fields=FIELDS)
+    return _index(t).search(_asked(terms, dict(enumerate(FIELDS.values()))), k)
 
 
 @query(f"with {_BM} select qid, doc_id, round(score, 4) as score, cast(rank as int) as rank from bm where rank <= 20")
@@ -71,7 +94,7 @@ def bm25_synonym_boost(t):
     """Synonyms inside the question's own search, with a boost of 0.4; a term that is asked itself keeps its own."""
     other = t.fx_questions.where("qid % 2 = 0").select("qid", F.explode(F.array(F.lit("that"), F.lit("the"))).alias("term"), F.lit(0.4).alias("boost"))
     terms = R.question_terms(t.fx_questions).unionByName(other).groupBy("qid", "term").agg(F.max("boost").alias("boost"))
-    return R.bm25(_searchable(t.documents), terms, 10, fields=FIELDS).select("qid", "doc_id", "rank")
+    return _bm25(t, 10, terms=terms).select("qid", "doc_id", "rank")
 
 
 @query(f"""with {_bm25_sql(docs='(select * from documents where doc_id % 10 = 3)')} select qid, doc_id, cast(rank as int) as rank from bm where rank
@@ -97,7 +120,11 @@ _KW = f"""kt as (select distinct qid, t from ({_first_sql('[A-Za-z][A-Za-z0-9\\-
 
 
 def _keywords(t, k):
-    return R.keyword_search(t.documents, R.exact_terms(t.fx_questions), k)
+    """The keyword route over the stored index: 1.5 for a keyword without regard to case, 2 for a text that is the term."""
+    asked = tables.store(R.exact_terms(t.fx_questions), "exact-terms")
+    words = asked.select("qid", F.lower("term").alias("term")).distinct().select("qid", F.lit(len(FIELDS)).alias("field"), "term", F.lit(1.5).alias("boost"))
+    whole = asked.distinct().select("qid", F.lit(len(FIELDS) + 1).alias("field"), "term", F.lit(2.0).alias("boost"))
+    return _index(t).search(words.unionByName(whole), k)
 
 
 @query(f"with {_KW} select qid, doc_id, cast(score as double) as score, cast(rank as int) as rank from kw where rank <= 8")
@@ -120,6 +147,47 @@ def vector_topk(t):
     return _vectors(t, 10).select("qid", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
+_VECTORS: dict[tuple, tuple] = {}
+
+
+def _vector_index(t):
+    """The embeddings in a stored vector index, put in by two batches, with a third of the second taken out and put back, and the cells
+    that its measured recall asks for. Built once for the table's present files."""
+    path = f"{t.dir}/embeddings.parquet"
+    key = (t.spark.sparkContext.applicationId, path, tables.files_of(t.spark, path))
+    if key in _VECTORS:
+        return _VECTORS[key]
+    index = VX.Index(t.spark, tables.new_path(t.spark, "vector-index"))
+    items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
+    index.fit(items)
+    index.upsert("even", items.where("item % 2 = 0"))
+    index.upsert("odd", items.where("item % 2 = 1"))
+    index.delete("out", items.where("item % 6 = 1"))
+    index.upsert("back", items.where("item % 6 = 1"))
+    _VECTORS[key] = index, index.tune(10)[0]
+    return _VECTORS[key]
+
+
+@query()
+def vector_index_topk(t):
+    """The vector route over the stored index, in as many cells as its measured recall asks for; no SQL: it may miss one in twenty."""
+    index, probe = _vector_index(t)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return index.search(q, 10, probe).select("qid", F.col("item").alias("vec_id"), F.round("score", 4).alias("score"), "rank")
+
+
+@query("select vec_id as qid, 10 as asked, true as found_itself, true as enough from embeddings where vec_id % 20 = 0")
+def vector_index_recall(t):
+    """Each question's ten hits in the stored index against the exact ten: it finds itself, and all together nine tenths are found."""
+    index, probe = _vector_index(t)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    found = tables.store(index.search(q, 10, probe).select("qid", F.col("item").alias("vec_id")), "found")
+    exact = tables.store(_vectors(t, 10).select("qid", "vec_id"), "exact")
+    enough = VX.recall(found, exact, "vec_id") >= 0.9
+    own = found.groupBy("qid").agg(F.count("*").cast("int").alias("asked"), F.max(F.col("vec_id") == F.col("qid")).alias("found_itself"))
+    return own.withColumn("enough", F.lit(enough))
+
+
 @query(f"with {_VEC} select qid, vec_id, cast(rank as int) as rank from vr where rank <= 5")
 def cosine_topk(t):
     return _vectors(t, 5, V.cosine).select("qid", "vec_id", "rank")
@@ -343,11 +411,17 @@ def latency_histogram(t):
     return g.unpivot("event_type", [f"le_{b}" for b in (1, 5, 20, 100)], "le", "n")
 
 
-@query("select count(*) as n, sum(case when d % 10 = 0 then 0 else 1 end) as embedded from (select doc_id as d from documents)")
+@query("""with c as (select doc_id, ord(unnest(regexp_extract_all(text, '.', 0, 's'))) % 8 as b from documents where doc_id % 10 <> 0),
+    n as (select doc_id, b, count(*) as n from c group by 1, 2), s as (select doc_id, sqrt(sum(n * n)) as l from n group by 1),
+    d as (select doc_id, unnest(case when doc_id % 10 = 0 then [null] else [0, 1, 2, 3, 4, 5, 6, 7] end) as b from documents)
+    select doc_id, cast(b as int) as bucket, case when b is not null then coalesce(n / l, case when l is null and b = 0 then 1.0 else 0.0 end) end as v
+    from d left join n using (doc_id, b) left join s using (doc_id)""")
 def embed_children(t):
-    """Children get vectors, parents don't."""
-    c = t.documents.select("doc_id", F.when(F.col("doc_id") % 10 != 0, V.char_bucket_embedding("text", 8)).alias("v"))
-    return c.agg(F.count("*").alias("n"), F.count("v").alias("embedded"))
+    """Children with each component of their vector; parents get none and keep one row."""
+    child = F.col("doc_id") % 10 != 0
+    c = t.documents.where(child).select("doc_id", F.posexplode(V.char_bucket_embedding("text", 8)).alias("bucket", "v"))
+    none = F.lit(None)
+    return c.unionByName(t.documents.where(~child).select("doc_id", none.cast("int").alias("bucket"), none.cast("double").alias("v")))
 
 
 def answer(t):

@@ -21,6 +21,15 @@ _STATEMENTS = [
     (13, "select * from orders where o_orderkey in (select reflect('java.lang.System', 'nanoTime') from orders)", "function: reflect"),
     (14, "with a as (select * from b), b as (select 1) select * from a", "table: b"),
             (15, "select sum(o_totalprice) from orders where exists (select 1 from customer where c_custkey = o_custkey)", "ok"),
+    (16, "select sum(o_totalprice) over w from orders window w as (order by (select max(p) from secrets))", "table: secrets"),
+    (17, "select sum(o_totalprice) over w from orders window w as (partition by (select max(p) from secrets) order by o_orderkey)", "table: secrets"),
+    (18, "select sum(o_totalprice) over w from orders window w as (order by java_method('java.lang.System', 'getProperty', 'user.home'))",
+            "function: java_method"),
+    (19, "select current_user, o_orderkey from orders", "function: current_user"), (20, "select session_user from orders", "function: session_user"),
+    (21, "select rank() over w from orders window w as (partition by o_custkey order by o_totalprice), v as (order by o_orderkey)", "ok"),
+    (22, "select identifier('java_' || 'method')('java.lang.System', 'nanoTime') from orders", "rejected"),
+    (23, "select * from identifier('sec' || 'rets')", "rejected"),
+    (24, "select * from orders tablesample (10 percent)", "rejected"),
 ]
 
 

@@ -198,6 +198,11 @@ def test_guard_masks_before_the_query(spark):
     t = {"people": spark.createDataFrame([("Alexander", 1)], "name string, n int")}
     assert sqlguard.run(spark, "select upper(name) as x from people", t, ("NAME",)).first()["x"] == "ALE***ER"
     for bad in ("select * from other", "select * from people p, other o", "select (select max(n) from other) from people",
-            "select * from people union all select * from people", "truncate table people"):
+            "select * from people union all select * from people", "truncate table people",
+            "select sum(n) over w from people window w as (order by (select max(n) from other))",
+            "select sum(n) over (order by java_method('java.lang.System', 'nanoTime')) from people",
+            "select sum(n) over w from people window w as (partition by java_method('java.lang.System', 'nanoTime'))",
+            "select n from people where n > (select count(*) from (values (1), ((select max(n) from other))) t(a))",
+            "select current_user from people", "select name from people order by session_user", "select identifier('java_method')('a', 'b') from people"):
         with pytest.raises(sqlguard.Rejected):
             sqlguard.check(spark, bad, {"people"})
