@@ -1,13 +1,15 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Benchmark items are short and documents long, so their Jaccard similarity says nothing; containment does. Items are partitioned by
-their number of shingles (powers of two). An item of n shingles is found in a document that holds at least c of them (c the least
-whole number of shingles at the threshold), and such a document holds at least one of any n - c + 1 of its shingles. So each item
-keeps the smallest n - c + 1 hashes of its shingles, those that few items share first. Each partition has a ceiling, the largest
-hash that any of its items keeps, and a least size, the fewest shingles a document must have to hold one of its items. A document's
-sketch is its shingle hashes below the highest ceiling of the partitions that its size admits; an item and a document whose
-sketches meet are a candidate. No contained item can be missed. Candidates are verified by exact shingle containment. All of it is
-DataFrame functions.
+their number of shingles (powers of two), and each partition has parameters of its own. Its sketch size is what its longest item needs:
+an item of n shingles is found in a document that holds at least c of them (c the least whole number of shingles at the threshold),
+and such a document holds at least one of any n - c + 1 of its shingles. Each item keeps that many of its smallest hashes (those
+that many items share come last). Its ceiling is the largest hash that any of its items keeps; long items keep their low hashes
+only, so their ceiling is low. Its least size is the fewest shingles a document must have to hold one of its items. A document's
+sketch holds its shingle hashes below the ceiling of some partition that its size admits, and meets the items of such partitions only;
+an item and a document whose sketches meet are a candidate. No contained item can be missed. Candidates are verified by exact
+shingle containment. With one partition for all sizes short items keep as many hashes as long ones need: more postings, a ceiling
+near the whole range, more candidates (`partition_figures`). All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WIDTH = 5
 THRESHOLD = 0.8
 #: Bytes of item sketches, and of item shingles, up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: Items that share a shingle from which it is kept only if too few others are there.
+SHARED = 8
 #: Bytes that a hash of a sketch and a hash of an item take in a broadcast table, with what surrounds them.
 SKETCH_HASH_BYTES, ITEM_HASH_BYTES = 96, 8
 
@@ -47,36 +51,55 @@ def sketch_size(n: int, threshold: float = THRESHOLD) -> int:
     return n - least_shared(n, threshold) + 1
 
 
-def item_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def item_sketches(items: DataFrame, threshold: float = THRESHOLD, partitioned: bool = True) -> DataFrame:
     """(no, item_id, n, size_class, hashes, sketch) per distinct item with a shingle: no is a hash of the item, hashes its distinct
-    shingles, size_class the power of two that n has reached, sketch the smallest hashes, those that few items share first."""
+    shingles, size_class its partition (the power of two that n has reached; 0 for all if not partitioned), sketch as many of its
+    smallest hashes as the partition's longest item needs, those that many items share last."""
     rows = items.select("item_id", F.array_sort(F.array_distinct(shingles("text"))).alias("hashes")).where("size(hashes) > 0")
     rows = rows.select(F.xxhash64(F.to_json(F.struct("item_id")), "hashes").alias("no"), "item_id", "hashes").dropDuplicates(["no"])
     each = rows.select("no", F.explode("hashes").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("in_items"))
-    order = each.join(shared, "h").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("in_items", "h"))).alias("order"))
-    rows = rows.join(order, "no").withColumn("n", F.size("hashes"))
-    keep = f"n - cast(ceil({threshold} * n - 1e-9) as int) + 1"
-    return rows.select("no", "item_id", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), "hashes",
-            F.expr(f"slice(order.h, 1, {keep})").alias("sketch"))
+    shared = each.groupBy("h").agg((F.count("*") > SHARED).alias("in_many"))
+    order = each.join(shared, "h").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("in_many", "h"))).alias("order"))
+    size_class = F.floor(F.log2("n")).cast("int") if partitioned else F.lit(0)
+    rows = rows.join(order, "no").withColumn("n", F.size("hashes")).withColumn("size_class", size_class)
+    longest = rows.groupBy("size_class").agg(F.max("n").alias("_m")).withColumn("_keep", F.expr(f"_m - cast(ceil({threshold} * _m - 1e-9) as int) + 1"))
+    rows = rows.join(F.broadcast(longest), "size_class")  # a row per partition
+    return rows.select("no", "item_id", "n", "size_class", "hashes", F.expr("slice(order.h, 1, _keep)").alias("sketch"))
 
 
-def ceilings(sketches: DataFrame, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """(least document size, ceiling) by size partition, ascending; the ceiling holds for all partitions up to this one."""
+def partitions(sketches: DataFrame, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
+    """(size_class, least document size, ceiling) of each size partition."""
     rows = sketches.groupBy("size_class").agg(F.min("n"), F.max(F.array_max("sketch"))).collect()  # 32 rows at most
-    out: list[tuple[int, int]] = []
-    for _, n, top in sorted(tuple(r) for r in rows):
-        out.append((least_shared(n, threshold), max(top, out[-1][1]) if out else top))
-    return out
+    return [(k, least_shared(n, threshold), top) for k, n, top in sorted(tuple(r) for r in rows)]
 
 
-def document_sketches(docs: DataFrame, parts: list[tuple[int, int]], key: tuple[str, ...]) -> DataFrame:
-    """The key, _s (distinct shingles) and _h (the sketch, null for documents too short for every item)."""
+def document_sketches(docs: DataFrame, parts: list[tuple[int, int, int]], key: tuple[str, ...]) -> DataFrame:
+    """The key, _s (distinct shingles) and _h (the sketch, null for documents too short for every item): the hashes below the highest
+    ceiling of the partitions that the document's size admits."""
     rows = docs.select(*key, F.array_distinct(shingles("text")).alias("_s"))
-    ceiling = "case " + " ".join(f"when size(_s) >= {least} then {top}L" for least, top in reversed(parts) if top > -(1 << 63)) + " end"
+    steps = [(least, max(top for _, other, top in parts if other <= least)) for _, least, _ in sorted(parts, key=lambda p: -p[1])]
+    ceiling = "case " + " ".join(f"when size(_s) >= {least} then {_long(top)}" for least, top in steps) + " end"
     return rows.withColumn("_h", F.expr(f"transform(array({ceiling}), t -> filter(_s, h -> h <= t))[0]"))
 
 
+def _long(n: int) -> str:
+    return f"{n}L" if n > -(1 << 63) else f"({n + 1}L - 1L)"
+
+
+def partition_figures(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, partitioned: bool = True) -> dict:
+    """What the partitions do: hashes that items keep, ceilings as shares of the hash range by partition, the share of the documents'
+    shingles that is in sketches, and the candidates that meet."""
+    sketches = common.store(item_sketches(items, threshold, partitioned), "item-sketches")
+    parts = partitions(sketches, threshold)
+    rows = common.store(document_sketches(docs.withColumn("_k", F.monotonically_increasing_id()), parts, ("_k",)), "doc-sketches")
+    held, kept = rows.agg(F.sum(F.size("_s")), F.sum(F.when(F.col("_h").isNotNull(), F.size("_h")))).first()
+    postings = sketches.select(F.explode("sketch").alias("_x"), "no", "n")
+    met = rows.select("_k", F.size("_s").alias("_m"), F.explode("_h").alias("_x")).join(postings, "_x")
+    met = met.where(F.col("_m") >= F.ceil(F.col("n") * threshold - 1e-9)).select("_k", "no").distinct()
+    return {"postings": postings.count(), "ceilings": {k: round((top + (1 << 63)) / (1 << 64), 3) for k, _, top in parts},
+            "sketched": round((kept or 0) / max(1, held or 0), 3), "candidates": met.count()}
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, shared, size, containment): items of which a document holds at least `threshold` of the distinct shingles.
 
@@ -87,7 +110,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     small enough to broadcast (BROADCAST_BYTES, counted first), and shuffled by hash where they are not.
     """
     sketches = common.store(item_sketches(items, threshold), "item-sketches")
-    parts = ceilings(sketches, threshold)
+    parts = partitions(sketches, threshold)
     kept, held = sketches.agg(F.sum(F.size("sketch")), F.sum("n")).first()
     postings = sketches.select(F.explode("sketch").alias("_x"), F.struct("no", "n").alias("i")).groupBy("_x").agg(F.collect_list("i").alias("_items"))
     small = (kept or 0) * SKETCH_HASH_BYTES + (held or 0) * ITEM_HASH_BYTES <= BROADCAST_BYTES

@@ -18,19 +18,28 @@ from . import common
 SLOTS = 4096
 #: Bytes that each record costs besides its text.
 OVERHEAD = 16
+#: Equal rows that one task numbers at a time.
+RUN = 10_000
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes of text + 16; null text: 16), text_crc32 (null text: 0), virtual_slot.
 
-    The slot follows doc_id, size and checksum, so that many texts under one doc_id (or a null one) still spread.
+    The slot follows doc_id, size, checksum and, for rows equal in these, the number of the repeat, so that neither many texts under one
+    doc_id (or a null one) nor many equal rows share a slot. Repeats are counted before they are numbered: a row with very many of
+    them is dealt in runs.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    own = ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counted = rows.groupBy(*own).agg(F.count("*").alias("_n"))
+    count_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    few = counted.where(F.col("_n") <= RUN).select(*own, count_to(F.col("_n")).alias("_k"))
+    runs = counted.where(F.col("_n") > RUN).select(*own, "_n", count_to(F.ceil(F.col("_n") / RUN)).alias("_r")).repartition("doc_id", "size", "text_crc32", "_r")
+    many = runs.select(*own, "_r", count_to(F.least(F.lit(RUN), F.col("_n") - F.col("_r") * RUN)).alias("_i")).select(*own, (F.col("_r") * RUN + F.col("_i")).alias("_k"))
+    first = F.xxhash64(*own)
+    slot = F.pmod(F.when(F.col("_k") == 0, first).otherwise(F.xxhash64(*own, "_k")), F.lit(slots)).cast("int")
+    return few.unionByName(many).select(*own, slot.alias("virtual_slot"))
 
 
 def slot_loads(slotted: DataFrame) -> DataFrame:
@@ -133,7 +142,7 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str |
     equal in all fields take neighbouring positions; an empty table gives an empty result; other columns are ignored. The map
     is stored as the first version below map_path, or as the next one if maps are there; by default the map goes into the shared
     folder and is deleted when the process ends. Equal texts are the groups that may be large: their rows spread over slots, since
-    the slot follows the doc_id too, so no shard must take a whole group.
+    the slot follows the doc_id too and the number of the repeat where that is equal as well, so no shard must take a whole group.
     """
     spark = docs.sparkSession
     rows = with_slots(docs, slots)

@@ -56,16 +56,32 @@ def test_long_items_that_share_shingles(spark):
 
 
 def test_partitions_and_sketches(spark):
-    items = spark.createDataFrame([(n, " ".join(f"i{n} w{k}" for k in range(n))) for n in (3, 5, 9, 40, 200)], "item_id long, text string")
+    sizes = (3, 5, 6, 9, 40, 60, 200)
+    items = spark.createDataFrame([(n, " ".join(f"i{n} w{k}" for k in range(n))) for n in sizes], "item_id long, text string")
     sketches = decontam.item_sketches(items)
     rows = sketches.collect()
-    assert all(len(r["sketch"]) == decontam.sketch_size(r["n"]) and 2 ** r["size_class"] <= r["n"] < 2 ** (r["size_class"] + 1) for r in rows)
-    parts = decontam.ceilings(sketches)
-    assert parts == sorted(parts) and parts[-1][1] == max(max(r["sketch"]) for r in rows)
+    longest = {c: max(r["n"] for r in rows if r["size_class"] == c) for c in {r["size_class"] for r in rows}}
+    assert all(len(r["sketch"]) == min(r["n"], decontam.sketch_size(longest[r["size_class"]])) for r in rows)
+    assert all(2 ** r["size_class"] <= r["n"] < 2 ** (r["size_class"] + 1) for r in rows)
+    parts = decontam.partitions(sketches)
+    assert [top for _, _, top in parts] == [max(max(r["sketch"]) for r in rows if r["size_class"] == c) for c in sorted(longest)]
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, " ".join(f"d{k}" for k in range(3000)))], "doc_id long, text string")
     for r in decontam.document_sketches(docs, parts, ("doc_id",)).collect():
-        top = max(t for least, t in parts if len(r["_s"]) >= least)
-        assert sorted(r["_h"]) == sorted(h for h in r["_s"] if h <= top) and len(r["_h"]) < len(r["_s"])
+        top = max(t for _, least, t in parts if len(r["_s"]) >= least)
+        assert sorted(r["_h"]) == sorted(h for h in r["_s"] if h <= top)
+
+
+def test_one_partition_for_all_sizes_is_worse(spark, sf):
+    """Ceilings differ between partitions; without them items keep more, documents are sketched more and more candidates meet."""
+    d = sf.replace("sf0.001", "sf0.01")
+    words = read(spark, d, "documents").orderBy("doc_id").limit(60).collect()
+    short = [(1000 + k, " ".join((r["text"] or "").split()[:12])) for k, r in enumerate(words) if len((r["text"] or "").split()) > 200]
+    items = read(spark, d, "benchmark").unionByName(spark.createDataFrame(short, "item_id long, text string"))
+    docs = read(spark, d, "documents")
+    parted, whole = (decontam.partition_figures(docs, items, partitioned=p) for p in (True, False))
+    print(parted, whole)
+    assert len(set(parted["ceilings"].values())) == len(parted["ceilings"]) > 2
+    assert all(whole[k] > parted[k] for k in ("postings", "sketched", "candidates"))
 
 
 def test_sql(spark, sf):

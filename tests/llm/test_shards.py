@@ -38,6 +38,17 @@ def test_odd_rows(spark):
     assert shards.shard(no_docs(spark), 4).count() == 0
 
 
+def test_equal_rows_keep_the_law(spark, monkeypatch):
+    """A third of the rows are one row: bytes stay near equal, whatever the runs."""
+    monkeypatch.setattr(shards, "RUN", 700)
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, '', repeat('x', cast(id % 50 as int))) as text")
+    total = Counter()
+    for r in check(shards.shard(docs, 8), docs, 8):
+        total[r["shard"]] += r["size"]
+    mean = sum(total.values()) / 8
+    assert len(total) == 8 and all(abs(v - mean) < 0.1 * mean for v in total.values())
+
+
 def test_growing_moves_slots_only_into_the_new_shard():
     loads = {k: (k * 7919) % 1000 + 1 for k in range(512)}
     before = shards.assign(loads, 8, 512)
