@@ -227,15 +227,42 @@ def forest(fp: np.ndarray, is_home: np.ndarray, radius: int = RADIUS, signs: np.
     return np.concatenate(left), np.concatenate(right)
 
 
+#: Pairs of a row that a round of `partners` gives out per block.
+PARTNERS = 8
+
+
+def partners(fp: np.ndarray, is_home: np.ndarray, radius: int, signs: np.ndarray, least: float, label: np.ndarray, node: np.ndarray,
+        no: list) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of pairs within the radius that are `alike`, one end at home, with different labels, and not in `no` (by row the nodes
+    that it has been tested with): some for each row that has any."""
+    at = {}
+    for k, x in enumerate(node.tolist()):
+        at.setdefault(x, []).append(k)
+    n = len(fp)
+    done = np.array([i * n + j for i, held in enumerate(no) if held is not None for x in held for j in at.get(x, ())], dtype=np.int64)
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for h, q in _near_blocks(fp, np.flatnonzero(is_home), np.arange(n), np.random.default_rng(2), radius):
+        i, j = np.nonzero((distance(fp[q][:, None], fp[h][None, :]) <= radius) & (label[q][:, None] != label[h][None, :]))
+        i, j = q[i], h[j]
+        keep = alike(signs[i], signs[j], least) & ~np.isin(i * n + j, done)
+        i, j = i[keep], j[keep]
+        start = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        left.append(i[rank < PARTNERS])
+        right.append(j[rank < PARTNERS])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None = None) -> DataFrame:
     """(a, b): nodes of fingerprints within the radius, enough of them to connect all that are connected.
 
-    points: (fp, node), with `least` also (s0, s1), a signature of 16 bytes of which that part must agree; n: its rows. Shards that
+    points: (fp, node), with `least` also (s0, s1), a signature of 16 bytes of which that part must agree; n: its rows. With (label, no)
+    besides, `partners` are given instead: some pairs of every node that has any of another label outside its list `no`. Shards that
     hold far more than their share (a ball of near copies that no vantage point parts) are cut into pieces by fingerprint; each
     piece meets all visitors of the shard, these in blocks where they are very many.
     """
     spark = points.sparkSession
-    signed = least is not None
+    signed, labelled = least is not None, "label" in points.columns
     shards = max(1, min(MAX_SHARDS, int(n**0.5 / ROOT_PART)))
     share = min(CELL, max(SHARD_SIZE, n // shards))
     sample = [r[0] for r in common.sample(points.select("fp"), ["fp"], max(SAMPLE, SAMPLE_EACH * shards)).collect()]
@@ -286,13 +313,16 @@ def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None =
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         signs = np.ascontiguousarray(pdf[["s0", "s1"]].to_numpy()).view(np.uint8) if signed else None
-        i, j = forest(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), radius, signs, least or 0.0)
-        node = pdf["node"].to_numpy()
+        fp, home, node = pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), pdf["node"].to_numpy()
+        if labelled:
+            i, j = partners(fp, home, radius, signs, least, pdf["label"].to_numpy(), node, pdf["no"].tolist())
+        else:
+            i, j = forest(fp, home, radius, signs, least or 0.0)
         return pd.DataFrame({"a": node[i], "b": node[j]})
 
-    columns = ["fp", "node", *(("s0", "s1") if signed else ())]
+    columns = ["fp", "node", *(("s0", "s1") if signed else ()), *(("label", "no") if labelled else ())]
     names = ["cell", *columns, "home"]
-    dealt = points.select(*columns).mapInArrow(deal, ", ".join(f"{c} long" for c in names[:-1]) + ", home boolean")
+    dealt = points.select(*columns).mapInArrow(deal, ", ".join(f"{c} {'array<long>' if c == 'no' else 'long'}" for c in names[:-1]) + ", home boolean")
     return dealt.groupBy("cell").applyInPandas(search, "a long, b long")
 
 
@@ -378,25 +408,65 @@ def similar_texts(docs: DataFrame, fps: DataFrame, threshold: float = THRESHOLD)
     """(node, root) of texts with a near copy: node is the first half of the text's key, root the smallest node reachable.
 
     fps: rows of `keyed_fingerprints(docs)`. Links are verified: their texts' distinct five-word shingles have a Jaccard similarity of
-    at least `threshold`.
+    at least `threshold`. A first round judges candidates that connect what all of them connect. In groups where one of these fails
+    further rounds judge candidates between texts that are not linked yet, until none is left: no verified link is missed among candidates.
     """
     prints = [f"f{t}" for t in range(TABLES)]
     texts = fps.groupBy("k0").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), *(F.first(c).alias(c) for c in (*prints, "s0", "s1")))
     # two texts that share half a key (never seen) are left alone
     texts = common.store(texts.where("low = high and s0 is not null").select("k0", *prints, "s0", "s1"), "texts")
     n = texts.count()
-    found = None
-    for c in prints:
-        more = links(texts.select(F.col(c).alias("fp"), F.col("k0").alias("node"), "s0", "s1"), n, RADIUS, ALIKE)
-        found = more if found is None else found.unionByName(more)
-    pairs = common.store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def pairs_of(points: DataFrame, rows: int) -> DataFrame:
+        found = None
+        for c in prints:
+            more = links(points.withColumnsRenamed({c: "fp", "k0": "node"}).select("fp", "node", "s0", "s1", *points.columns[len(prints) + 3 :]), rows, RADIUS, ALIKE)
+            found = more if found is None else found.unionByName(more)
+        return common.store(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    pairs = pairs_of(texts, n)
     ends = pairs.select(F.col("a").alias("k0")).unionByName(pairs.select(F.col("b").alias("k0"))).distinct()
     ends = common.store(ends, "candidate-texts")
     held = docs.select(common.text_key()[0].alias("k0"), "text").join(common.small(ends), "k0", "left_semi")
     sets = common.store(held.groupBy("k0").agg(F.first("text").alias("text")).select("k0", _shingle_sets("text").alias("s")), "shingles")
-    both = pairs.join(sets.select(F.col("k0").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k0").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return common.components(both.where(F.col("shared") >= threshold * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """(a, b, ok) by the exact similarity."""
+        both = pairs.join(sets.select(F.col("k0").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k0").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+        ok = F.col("shared") >= threshold * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9
+        return common.store(both.select("a", "b", ok.alias("ok")), "judged")
+
+    # the pairs connect what all candidates connect; where one of them is no near copy, others that it stood for are still to be judged
+    first = judged(pairs)
+    roots = common.components(first.where("ok").select("a", "b"))
+    failed = first.where("not ok").select("a", "b")
+    if not failed.limit(1).count():
+        return roots
+    groups = common.store(common.components(pairs), "groups")
+    broken = failed.select(F.col("a").alias("node")).join(groups, "node").select("root").distinct()
+    open_ = common.store(groups.join(common.small(common.store(broken, "broken")), "root", "left_semi").select("node"), "open")
+    rows = open_.count()
+    own = common.store(texts.join(common.small(open_.select(F.col("node").alias("k0"))), "k0", "left_semi"), "open-texts")
+    good = common.store(first.where("ok").join(common.small(open_.select(F.col("node").alias("a"))), "a", "left_semi").select("a", "b"), "good")
+    more = None
+    while True:
+        label = common.components(good).select(F.col("node").alias("k0"), F.col("root").alias("label"))
+        both = failed.select(F.col("a").alias("k0"), F.col("b").alias("x")).unionByName(failed.select(F.col("b").alias("k0"), F.col("a").alias("x")))
+        no = both.groupBy("k0").agg(F.collect_list("x").alias("no"))  # rounds that failed, a few partners each
+        points = own.join(label, "k0", "left").join(no, "k0", "left")
+        points = points.select("k0", *prints, "s0", "s1", F.coalesce("label", "k0").alias("label"), "no")
+        pairs = pairs_of(common.store(points, "points"), rows)
+        if not pairs.limit(1).count():
+            break
+        seen = judged(pairs)
+        fresh = seen.where("ok").select("a", "b")
+        good = common.store(good.unionByName(fresh), "good")
+        failed = common.store(failed.unionByName(seen.where("not ok").select("a", "b")), "failed")
+        more = fresh if more is None else more.unionByName(fresh)
+    if more is None:
+        return roots
+    return common.components(first.where("ok").select("a", "b").unionByName(more))
 
 
 def keyed_fingerprints(docs: DataFrame) -> DataFrame:
