@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
+class PortError(RuntimeError):
+    """A model or service behind a port does not answer."""
+
+
 def embedder(make: Callable[[], Callable[[list[str]], list[list[float]]]]):
     """A function of a text column: array<double> from a model that takes a list of texts."""
 

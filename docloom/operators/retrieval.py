@@ -218,20 +218,32 @@ def pack_context(rows: DataFrame, by: str, block: str, order: str, budget: int =
 def graph_paths(edges: DataFrame, starts: DataFrame, hops: int, limit: int | None = None) -> DataFrame:
     """(start, node, path, length): undirected paths of up to `hops` edges without a repeated edge; edges: (src, dst, rel).
 
-    With a limit, the first paths of each start by length, then text.
+    With a limit, the first paths of each start by length, then step by step by relation and node. A start that has its paths goes no
+    further; until then all its paths are fewer than the limit, so they are all prefixes of the next step. Of a node's edges only the
+    first ones, as many as the limit and a path's own edges, can be taken by any prefix: hubs are cut to these before they are joined.
     """
     e = edges.withColumn("edge", F.xxhash64("src", "dst", "rel"))
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel",
             "edge").unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel", "edge"))
+    if limit is not None:
+        both = tables.store(top_k(both, ["a"], limit + hops, F.col("rel"), F.col("b"), F.col("edge")).drop("rank"), "edges")
     at = starts.select(F.col("start"), F.col("start").alias("node"), F.col("start").cast("string").alias("path"), F.array().cast("array<bigint>").alias("used"))
+    at = at.withColumns({"_steps": F.array().cast("array<struct<rel:string,node:bigint>>"), "_found": F.lit(0)})
     out = None
     for n in range(1, hops + 1):
         step = at.join(both, at["node"] == both["a"]).where(~F.array_contains("used", F.col("edge")))
-        at = step.select("start", F.col("b").alias("node"), F.concat_ws("—", "path", F.concat_ws("→", "rel",
-                F.col("b").cast("string"))).alias("path"), F.array_append("used", F.col("edge")).alias("used"))
+        to = F.struct(F.col("rel").cast("string").alias("rel"), F.col("b").cast("long").alias("node"))
+        at = step.select("start", F.col("b").alias("node"), F.concat_ws("—", "path", F.concat_ws("→", "rel", F.col("b").cast("string"))).alias("path"),
+                F.array_append("used", F.col("edge")).alias("used"), F.array_append("_steps", to).alias("_steps"), "_found")
+        if limit is not None:
+            at = top_k(at, ["start"], limit, F.col("_steps"), F.col("used")).where(F.col("rank") <= limit - F.col("_found")).drop("rank")
+            at = tables.store(at, "paths")
         found = at.select("start", "node", "path", F.lit(n).alias("length"))
         out = found if out is None else out.unionByName(found)
-    return out if limit is None else top_k(out, ["start"], limit, F.col("length"), F.col("path")).drop("rank")
+        if limit is not None and n < hops:
+            so_far = F.count("*").over(Window.partitionBy("start")).cast("int")  # at most `limit` rows
+            at = at.withColumn("_found", F.col("_found") + so_far).where(F.col("_found") < limit)
+    return out
 
 
 def visible(docs: DataFrame, tenant: str, collections: tuple[str, ...] | None, roles: tuple[str, ...]) -> DataFrame:
@@ -250,19 +262,6 @@ def vector_filter(tenant: Column, roles: Column) -> Column:
     return F.concat(F.lit('tenant_id == "'), tenant, F.lit('"'), any_role)
 
 
-def gather(routes: dict) -> tuple[DataFrame, dict[str, str]]:
-    """The union of all routes that can be planned, and why others cannot; routes: name -> function without arguments."""
-    found, failed = [], {}
-    for name, build in routes.items():
-        try:
-            found.append(build())
-        except Exception as e:  # a route that fails is a route that is not there
-            failed[name] = str(e)
-    if not found:
-        raise RuntimeError(f"no route answered: {failed}")
-    return reduce(DataFrame.unionByName, found), failed
-
-
 def exposition(rows: DataFrame, name: str, label: str, value: str, buckets: tuple) -> DataFrame:
     """Lines of a cumulative histogram per label value, as collectors of metrics read them."""
     g = rows.groupBy(label).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(buckets)], F.count("*").alias("n"))

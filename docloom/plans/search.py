@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors as V
+from docloom.operators import entities, tables
 from docloom.operators import retrieval as R
-from docloom.operators import tables
 from docloom.operators import textindex as X
 from docloom.operators import vectorindex as VX
 
@@ -338,6 +338,34 @@ def graph_hops(t):
     return paths.groupBy("start", "node", "length").agg(F.count("*").alias("paths"))
 
 
+@query("""with e as (select src as a, dst as b, rel, concat(src, '-', dst) as id from fx_edges union all select dst, src, rel, concat(src, '-', dst) from
+        fx_edges), s as (select distinct src as start from fx_edges where src % 4 = 0),
+    h1 as (select start, b as node, rel, id as u1 from s join e on a = start),
+    h2 as (select start, h1.rel as r1, h1.node as n1, e.rel as r2, e.b as node from h1 join e on e.a = h1.node where e.id <> h1.u1),
+    p as (select start, 1 as length, rel as r1, node as n1, '' as r2, 0 as n2, node, concat(start, '—', rel, '→', node) as path from h1
+      union all select start, 2, r1, n1, r2, node, node, concat(start, '—', r1, '→', n1, '—', r2, '→', node) from h2)
+    select start, node, path, length from (select *, row_number() over (partition by start order by length, r1, n1, r2, n2) as rn from p) where rn <=
+        50""")
+def graph_paths(t):
+    """The first fifty paths of up to two edges of each entity, shortest first."""
+    e = t.fx_edges
+    return R.graph_paths(e, e.where("src % 4 = 0").select(F.col("src").alias("start")).distinct(), 2, 50)
+
+
+_NAMES = """select c_name as name from customer union select p_name from part union select unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) from
+    benchmark"""
+
+
+@query(f"""with n as ({_NAMES}) select doc_id, count(*) as n, md5(string_agg(name, '|' order by name)) as names from documents, n where contains(text,
+        name) group by doc_id""")
+def entity_presence(t):
+    """Names of customers and parts and longer words of the questions that occur in each document, found in one pass over its text."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("name"))
+    names = t.customer.select(F.col("c_name").alias("name")).union(t.part.select("p_name")).union(words)
+    found = entities.present(t.documents, names)
+    return found.select("doc_id", F.size("names").cast("long").alias("n"), F.md5(F.array_join("names", "|").cast("binary")).alias("names"))
+
+
 @query("""with terms as (select distinct upper(substr(n_name, 1, 2)) as term from nation), h as (select doc_id, term from documents, terms where
         contains(upper(text), term))
     select a.term as a, b.term as b, count(*) as n from h a join h b on a.doc_id = b.doc_id and a.term < b.term group by 1, 2""")

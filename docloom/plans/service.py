@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import time
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import ports
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
+from docloom.operators import routes, tables
 from docloom.sources import objects
+from docloom.streaming import jobs, queue
 
 from .base import query
 from .metadata import NOW
@@ -36,14 +41,26 @@ def vector_filter(t):
 @query("""select event_type as route, event_id, cast(rn as int) as rank from (select *, row_number() over (partition by event_type order by value
         desc, event_id) as rn from events) where rn <= 3 and event_type in ('view', 'click')""")
 def route_isolation(t):
-    """Routes that cannot be planned are left out; the others answer."""
+    """Routes side by side as jobs of their own: one that cannot be planned, one that fails in a task and one that sleeps past its limit
+    are left out; the others answer."""
 
     def of(kind):
         rows = t.events.where(F.col("event_type") == kind).select(F.col("event_type").alias("route"), "event_id", "value")
         return R.top_k(rows, ["route"], 3, F.col("value").desc(), F.col("event_id")).select("route", "event_id", "rank")
 
-    found, failed = R.gather({"view": lambda: of("view"), "graph": lambda: t.events.select("no such column"), "click": lambda: of("click")})
-    assert list(failed) == ["graph"]
+    def broken():
+        return of("view").withColumn("route", F.when(F.col("event_id") >= 0, F.raise_error(F.lit("lost"))).otherwise(F.col("route")))
+
+    @F.pandas_udf("string")
+    def slowly(routes: pd.Series) -> pd.Series:
+        time.sleep(60)
+        return routes
+
+    plans = {"view": lambda: of("view"), "graph": lambda: t.events.select("no such column"), "broken": broken,
+            "slow": lambda: of("view").withColumn("route", slowly("route")), "click": lambda: of("click")}
+    found, failed = routes.gather(t.spark, plans, {"view": 600, "click": 600, "broken": 600, "slow": 1})
+    if set(failed) != {"graph", "broken", "slow"}:
+        raise RuntimeError(f"routes absent: {failed}")
     return found
 
 
@@ -65,6 +82,20 @@ def queue_claim(t):
     return live.select("task_id", n.alias("n")).select("task_id", (F.col("n") % 4).cast("int").alias("worker"), F.floor(F.col("n") / 4).alias("turn"))
 
 
+@query()
+def queue_states(t):
+    """The queue as a stream: events as moves of one task per user; leases that run out, back-offs and stale tasks come from timers.
+
+    No SQL: a state machine with timers. Tests hold it against a second by second simulation.
+    """
+    kinds = {"signup": "submit", "click": "submit", "view": "claim", "error": "error", "purchase": "done"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("event_type"))
+    events = jobs.stream(t.spark, f"{t.dir}/events.parquet").select(F.col("user_id").alias("task_id"), "event_id", "ts", kind.alias("kind"))
+    out, checkpoint = tables.new_path(t.spark, "moves"), tables.new_path(t.spark, "moves-checkpoint")
+    jobs.run_once(queue.states(events), checkpoint, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/{n}"))
+    return t.spark.read.schema(queue.MOVES).parquet(f"{out}/*")
+
+
 @query(f"""select job, last_run + to_seconds(every) as due, last_run + to_seconds(every) <= timestamp '{NOW}' as is_due from (values ('archive', 900,
         'view'), ('feedback', 900, 'click'), ('consistency', 3600, 'purchase'), ('expiry', 600, 'error')) j(job, every, kind)
     join (select event_type as kind, max(ts) as last_run from events group by 1) using (kind)""")
