@@ -228,13 +228,13 @@ def forest(fp: np.ndarray, is_home: np.ndarray, radius: int = RADIUS, signs: np.
 
 
 #: Pairs of a row that a round of `partners` gives out per block.
-PARTNERS = 8
+PARTNERS = 64
 
 
 def partners(fp: np.ndarray, is_home: np.ndarray, radius: int, signs: np.ndarray, least: float, label: np.ndarray, node: np.ndarray,
         no: list) -> tuple[np.ndarray, np.ndarray]:
     """Rows (i, j) of pairs within the radius that are `alike`, one end at home, with different labels, and not in `no` (by row the nodes
-    that it has been tested with): some for each row that has any."""
+    that it has been tested with): all of a row, or some and the row with itself as a sign that there are more."""
     at = {}
     for k, x in enumerate(node.tolist()):
         at.setdefault(x, []).append(k)
@@ -248,8 +248,9 @@ def partners(fp: np.ndarray, is_home: np.ndarray, radius: int, signs: np.ndarray
         i, j = i[keep], j[keep]
         start = np.flatnonzero(np.diff(i, prepend=-1))
         rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        left.append(i[rank < PARTNERS])
-        right.append(j[rank < PARTNERS])
+        more = i[rank == PARTNERS]
+        left += [i[rank < PARTNERS], more]
+        right += [j[rank < PARTNERS], more]
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -257,8 +258,8 @@ def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None =
     """(a, b): nodes of fingerprints within the radius, enough of them to connect all that are connected.
 
     points: (fp, node), with `least` also (s0, s1), a signature of 16 bytes of which that part must agree; n: its rows. With (label, no)
-    besides, `partners` are given instead: some pairs of every node that has any of another label outside its list `no`. Shards that
-    hold far more than their share (a ball of near copies that no vantage point parts) are cut into pieces by fingerprint; each
+    besides, `partners` are given instead: pairs of nodes with different labels outside their lists `no`, and (a, a) for a node that has
+    more of them. Shards that hold far more than their share (a ball of near copies that no vantage point parts) are cut into pieces by fingerprint; each
     piece meets all visitors of the shard, these in blocks where they are very many.
     """
     spark = points.sparkSession
@@ -409,7 +410,8 @@ def similar_texts(docs: DataFrame, fps: DataFrame, threshold: float = THRESHOLD)
 
     fps: rows of `keyed_fingerprints(docs)`. Links are verified: their texts' distinct five-word shingles have a Jaccard similarity of
     at least `threshold`. A first round judges candidates that connect what all of them connect. In groups where one of these fails
-    further rounds judge candidates between texts that are not linked yet, until none is left: no verified link is missed among candidates.
+    a further round judges all candidates between texts that are not linked yet (rounds, where a text has very many): no verified link
+    is missed among candidates.
     """
     prints = [f"f{t}" for t in range(TABLES)]
     texts = fps.groupBy("k0").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), *(F.first(c).alias(c) for c in (*prints, "s0", "s1")))
@@ -457,6 +459,8 @@ def similar_texts(docs: DataFrame, fps: DataFrame, threshold: float = THRESHOLD)
         points = own.join(label, "k0", "left").join(no, "k0", "left")
         points = points.select("k0", *prints, "s0", "s1", F.coalesce("label", "k0").alias("label"), "no")
         pairs = pairs_of(common.store(points, "points"), rows)
+        cut = pairs.where("a = b").limit(1).count()
+        pairs = pairs.where("a <> b")
         if not pairs.limit(1).count():
             break
         seen = judged(pairs)
@@ -464,6 +468,8 @@ def similar_texts(docs: DataFrame, fps: DataFrame, threshold: float = THRESHOLD)
         good = common.store(good.unionByName(fresh), "good")
         failed = common.store(failed.unionByName(seen.where("not ok").select("a", "b")), "failed")
         more = fresh if more is None else more.unionByName(fresh)
+        if not cut:  # all that was left has been judged
+            break
     if more is None:
         return roots
     return common.components(first.where("ok").select("a", "b").unionByName(more))
