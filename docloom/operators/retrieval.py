@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 
-from . import tables
+from . import entities, tables
 
 #: BM25 constants of the usual full-text engines; rank constant of reciprocal-rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -140,7 +140,8 @@ def holders(docs: DataFrame, items: DataFrame, doc: str = "doc_id", width: int =
     """(doc, qid): documents whose text holds an item's text word for word; docs: (doc, text), items: (qid, item).
 
     Inside its first and last word an item's words stand whole in every text that holds it, so a run of them finds candidates, which
-    are then compared. Items without so long a run are few words; a text is compared with all of these at once.
+    are then compared. Items without so long a run are few words; all of these are found in one pass over a text (`entities.present`).
+    Empty items are in no text.
     """
     runs = F.expr(
         f"transform(array(transform(split({{}}, ' '), w -> xxhash64(w))), h -> if(size(h) < {width}, cast(array() as array<bigint>), "
@@ -150,9 +151,10 @@ def holders(docs: DataFrame, items: DataFrame, doc: str = "doc_id", width: int =
     marked = inner.withColumn("_h", runs).select("qid", "item", F.when(F.size("_h") > 0, F.col("_h")[0]).alias("_h"))
     seen = docs.withColumn("_s", F.col("text")).select(doc, "text", F.explode(F.array_distinct(runs)).alias("_h"))
     found = seen.join(tables.small(marked.where("_h is not null")), "_h").where(F.contains("text", "item")).select(doc, "qid")
-    short = marked.where("_h is null and item is not null").agg(F.collect_list(F.struct("qid", "item")).alias("_items"))
-    rest = docs.crossJoin(F.broadcast(short)).select(doc, F.explode(F.expr("filter(_items, x -> contains(text, x.item))")).alias("x"))
-    return found.unionByName(rest.select(doc, F.col("x.qid").alias("qid")))
+    short = tables.store(marked.where("_h is null and item <> ''").select("qid", "item"), "short-items")
+    held = entities.present(docs.select(F.col(doc).alias("doc_id"), "text"), short.select(F.col("item").alias("name")))
+    rest = held.select(F.col("doc_id").alias(doc), F.explode("names").alias("item")).join(tables.small(short), "item")
+    return found.unionByName(rest.select(doc, "qid"))
 
 
 def rrf(candidates: DataFrame, weights: dict[str, float] | None = None, key: str = "chunk_id") -> DataFrame:
@@ -176,17 +178,19 @@ def text_dedup(rows: DataFrame, by: list[str], text: str, *order: Column) -> Dat
 def greedy_dedup(rows: DataFrame, by: str, key: str, vector: str, threshold: float = 0.92, first: int = 60) -> DataFrame:
     """(by, key): per group, in order of `rank`, rows whose cosine to each kept row is below the threshold; rows after the first 60 stay.
 
-    The candidates of a group are at most its fused list; the fold runs in the JVM over that list.
+    Only the first rows of a group are brought together; the fold runs in the JVM over these.
     """
-    entry = F.struct(F.col("rank"), F.col(key).alias("key"), F.col(vector).alias("v"))
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    n = F.row_number().over(Window.partitionBy(by).orderBy("rank", key))
+    rows = tables.store(rows.select(by, key, "rank", F.col(vector).alias("v"), n.alias("_n")), "ranked")
+    entry = F.struct(F.col("rank"), F.col(key).alias("key"), "v")
+    lists = rows.where(F.col("_n") <= first).groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("all"))
     kept = F.aggregate(
-        F.slice("all", 1, first),
+        "all",
         F.expr("slice(all, 1, 0)"),
         lambda held, x: F.when(F.exists(held, lambda h: V.cosine(h["v"], x["v"]) >= threshold), held).otherwise(F.concat(held, F.array(x))),
     )
-    rest = F.slice("all", F.lit(first + 1), F.greatest(F.size("all") - first, F.lit(0)))
-    return lists.select(by, F.explode(F.concat(kept, rest)).alias("x")).select(by, F.col("x.key").alias(key), F.col("x.rank").alias("rank"))
+    head = lists.select(by, F.explode(kept).alias("x")).select(by, F.col("x.key").alias(key), F.col("x.rank").alias("rank"))
+    return head.unionByName(rows.where(F.col("_n") > first).select(by, key, "rank"))
 
 
 def rerank(rows: DataFrame, score: Column, k: int = 6, threshold: float = 0.3, least: int = 3, key: str = "doc_id") -> DataFrame:

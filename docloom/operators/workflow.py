@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
+from docloom.functions.ports import PortError
+from docloom.sources.settings import interpolate
+
 log = logging.getLogger(__name__)
 
 Step = Callable[[DataFrame], DataFrame]
@@ -37,17 +42,27 @@ def chain(names: tuple[str, ...], steps: dict[str, Step] | None = None) -> list[
     return [(n, steps[n]) for n in names]
 
 
-def run(df: DataFrame, workflow: str = "default", steps: dict[str, Step] | None = None) -> tuple[DataFrame, list[str]]:
+def load(path: str, steps: dict[str, Step] | None = None) -> dict[str, tuple[str, ...]]:
+    """Workflows of a JSON file (document type to list of steps, with variables as in settings); KeyError for an unregistered step."""
+    with open(path, encoding="utf-8") as f:
+        tree = json.loads(interpolate(f.read()))
+    for names in tree.values():
+        chain(tuple(names), steps)
+    return {kind: tuple(names) for kind, names in tree.items()}
+
+
+def run(df: DataFrame, workflow: str = "default", steps: dict[str, Step] | None = None, workflows: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, list[str]]:
     """df through a workflow's steps (an unknown workflow is the default one), and warnings.
 
-    Steps are plans; one that cannot be planned is passed over if it is optional, with a warning, and raised otherwise. Nothing is
-    computed here.
+    Steps are plans; one that Spark cannot plan or whose port does not answer is passed over if it is optional, with a warning, and
+    raised otherwise. Mistakes in a step's code are raised. Nothing is computed here.
     """
     warnings = []
-    for name, f in chain(WORKFLOWS.get(workflow, WORKFLOWS["default"]), steps):
+    known = WORKFLOWS if workflows is None else workflows
+    for name, f in chain(known.get(workflow, known["default"]), steps):
         try:
             df = f(df)
-        except Exception as e:
+        except (PySparkException, PortError) as e:
             if name not in OPTIONAL:
                 raise RuntimeError(f"step {name}: {e}") from e
             log.warning("step %s passed over: %s", name, e)

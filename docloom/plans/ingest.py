@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
-from docloom.operators import staging, tables, workflow
+from docloom.operators import staging, steps, tables, workflow
 from docloom.sources import parsers as P
 from docloom.sources import settings
 
@@ -15,35 +15,6 @@ from .base import query
 from .search import _DOT
 
 
-def _steps(failing: tuple[str, ...] = ()):
-    """The default workflow over whole documents: paragraphs as elements, distinct ones as chunks."""
-
-    def parse(df):
-        return df.join(P.paragraphs(df.select("doc_id", "text")).withColumnRenamed("text", "element"), "doc_id")
-
-    def chunk(df):
-        w = Window.partitionBy("doc_id", F.substring(F.lower(F.replace("element", F.lit(" "), F.lit(""))), 1, 200)).orderBy("elem_idx")
-        return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-    def finalize(df):
-        return df.groupBy("doc_id", "format_ok").agg(F.count("*").alias("n_chunks"), F.count_if("embedded").alias("n_vectors"), F.max("title").alias("title"))
-
-    steps = {
-        "detect_format": lambda df: df.withColumn("format_ok", P.format_ok("file_type", "head")),
-        "parse": parse,
-        "outline": lambda df: df.withColumn("title", F.when(F.col("elem_idx") == 0, F.substring("element", 1, 64))),
-        "chunk": chunk,
-        "enrich": lambda df: df.withColumn("summary", F.when(F.char_length("element") >= 600, F.substring("element", 1, 100))),
-        "embed": lambda df: df.withColumn("embedded", F.char_length("element") >= 20),
-        "write": lambda df: df,
-        "verify": lambda df: df.where(F.col("element").isNotNull()),
-        "finalize": finalize,
-    }
-    for name in failing:
-        steps[name] = lambda df: df.select("no such column")
-    return steps
-
-
 _PARAGRAPHS = "list_filter(list_transform(string_split_regex(text, '\n\\s*\n'), lambda x: trim(x)), lambda x: x <> '')"
 
 
@@ -53,9 +24,14 @@ _PARAGRAPHS = "list_filter(list_transform(string_split_regex(text, '\n\\s*\n'),
         64) end) as title
     from c where n = 1 group by doc_id""")
 def workflow_run(t):
-    """Documents through the default workflow; files named .pdf do not begin like one."""
+    """Documents through the workflow of their file, its steps registered in the library; files named .pdf do not begin like one, and
+    a step that only improves them fails."""
     docs = t.fx_documents.select("doc_id", "text", "file_type", F.encode(F.substring("text", 1, 8), "UTF-8").alias("head"))
-    return workflow.run(docs, "txt", _steps(failing=("enrich",)))[0]
+    failing = {"enrich": lambda df: df.select("no such column")}
+    done, warnings = workflow.run(docs, "txt", workflow.STEPS | failing, workflow.load(steps.FILE))
+    if len(warnings) != 1:
+        raise RuntimeError(f"one warning expected: {warnings}")
+    return done.select("doc_id", "format_ok", "n_chunks", "n_vectors", "title")
 
 
 @query("""select chunk_id, doc_id, seq, kind, page_start, page_end, roles, token_count, text from (
@@ -99,13 +75,13 @@ def chunk_emit(t):
       cast(doc_id % 9 <> 0 as int) + cast(doc_id % 9 <> 0 and length(text) < 3000 as int) as written
     from documents where length(text) > 0""")
 def staged_write(t):
-    """Chunks written store by store: a bad one fails its document in that store; a second run writes nothing again."""
+    """Chunks written store by store: a bad one fails its document in that store; a run started again without what the first one
+    returned writes nothing again."""
     items = t.documents.where("length(text) > 0").select("doc_id", F.col("doc_id").alias("chunk_id"), F.char_length("text").alias("n"))
     path = tables.new_path(t.spark, "staged")
     valid = {"meta": F.col("doc_id") % 9 != 0, "fulltext": F.col("n") < 3000, "vectors": F.col("doc_id") % 4 != 1}
-    none = t.spark.createDataFrame([], "doc_id long, meta boolean, fulltext boolean, vectors boolean, graph boolean")
-    first = staging.staged_write(items, valid, none, path)
-    again = staging.staged_write(items, valid, tables.store(first, "checkpoint"), path)
+    staging.staged_write(items, valid, None, path, "all")
+    again = staging.staged_write(items, valid, None, path, "all")
     held = staging.existing(t.spark, path).where("stage in ('meta', 'fulltext')").groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("k"))
     return again.join(held, "doc_id", "left").select("doc_id", *staging.STAGES, "status", F.coalesce("k", F.lit(0)).cast("int").alias("written"))
 
@@ -122,23 +98,22 @@ def ocr_fallback(t):
 
 @query("select item_id as qid, text as question, [cast(item_id as varchar), 'x'] as relevant from benchmark")
 def evaluation_cases(t):
-    """Cases written as JSON and read back."""
+    """Cases written as files of JSON arrays, some hundred to a file, and read back by the library's reader."""
     path = tables.new_path(t.spark, "cases")
-    cases = t.benchmark.select(F.concat_ws("\t", "item_id", "text").alias("question"), F.array(F.col("item_id").cast("string"), F.lit("x")).alias("relevant"))
-    cases.select(F.to_json(F.array(F.struct("*"))).alias("value")).repartition(8).write.text(path)
-    read = t.spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<question:string,relevant:array<string>>>")).alias("c"))
-    q = F.split("c.question", "\t", 2)
-    return read.select(q[0].cast("long").alias("qid"), q[1].alias("question"), F.col("c.relevant").alias("relevant"))
+    files = max(1, t.benchmark.count() // 200)
+    case = F.struct(F.concat_ws("\t", "item_id", "text").alias("question"), F.array(F.col("item_id").cast("string"), F.lit("x")).alias("relevant"))
+    cases = t.benchmark.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(files)).alias("file")).agg(F.to_json(F.collect_list(case)).alias("value"))
+    cases.write.partitionBy("file").text(path)
+    q = F.split("question", "\t", 2)
+    return settings.evaluation_cases(t.spark, path).select(q[0].cast("long").alias("qid"), q[1].alias("question"), "relevant")
 
 
 @query("""select c_custkey, concat('seg=', c_mktsegment, ' name=', c_name, ' port=8080 none=') as line from customer""")
 def config_interpolate(t):
     """Settings with variables: known ones, a default, an unknown one."""
-    line = F.lit("seg=${SEG} name=${NAME:-nobody} port=${PORT:-8080} none=${NONE}")
-    env = {"SEG": F.col("c_mktsegment"), "NAME": F.col("c_name")}
-    for name, value in env.items():
-        line = F.regexp_replace(line, F.lit(rf"\$\{{{name}(:-[^}}]*)?\}}"), value)
-    return t.customer.select("c_custkey", F.regexp_replace(line, r"\$\{\w+(?::-([^}]*))?\}", "$1").alias("line"))
+    env = F.create_map(F.lit("SEG"), F.col("c_mktsegment"), F.lit("NAME"), F.col("c_name"))
+    line = settings.interpolated(F.lit("seg=${SEG} name=${NAME:-nobody} port=${PORT:-8080} none=${NONE}"), env)
+    return t.customer.select("c_custkey", line.alias("line"))
 
 
 @query("select event_id, '******' as api_token, event_type as kind from events")

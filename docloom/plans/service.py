@@ -116,11 +116,11 @@ def metrics_text(t):
     return R.exposition(t.events.select(F.col("event_type").alias("step"), "value"), "docloom_step_seconds", "step", "value", (1, 5, 20, 100))
 
 
-@query("""select doc_id, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') as words from (select doc_id,
-        string_split(text, ' ') as ws from documents where length(text) < 2000)""")
+@query("""with w as (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents),
+    f as (select doc_id, w, min(i) as i from w group by 1, 2) select doc_id, string_agg(w, ' ' order by i) as words from f group by doc_id""")
 def ordered_distinct(t):
-    """Words of short texts, each once, in order of first use."""
-    return t.documents.where("length(text) < 2000").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+    """Words of a text, each once, in order of first use."""
+    return t.documents.select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("""select vec_id, list_aggregate(list_transform(embedding, lambda x: round(cast(x as double) * 10 * (vec_id % 4))), 'stddev_pop') < 3 as

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import chunking as C
+from docloom.operators import tablefunctions
 from docloom.sources import parsers as P
 
 from .base import query
@@ -240,7 +241,7 @@ def offset_to_page(t):
 _LINE_TOKENS = "(length(regexp_replace(s, '[^一-鿿]', '', 'g')) + cast(floor((length(s) - length(regexp_replace(s, '[^一-鿿]', '', 'g'))) / 3.5) as int) + 1)"
 
 
-@query(f"""with recursive l as (select doc_id, unnest(range(0, len(string_split(text, '\n')))) as i, unnest(string_split(text, '\n')) as s from
+_PARENTS = f"""with recursive l as (select doc_id, unnest(range(0, len(string_split(text, '\n')))) as i, unnest(string_split(text, '\n')) as s from
         documents),
     k as (select *, {_LINE_TOKENS} as n, sum(length(s) + 1) over (partition by doc_id order by i) - length(s) - 1 as off from l),
     w as (select doc_id, {_LINE_TOKENS.replace('s,', 'text,').replace('length(s)', 'length(text)')} > 2000 as long from documents),
@@ -250,11 +251,28 @@ _LINE_TOKENS = "(length(regexp_replace(s, '[^一-鿿]', '', 'g')) + cast(floor((
       from g join k on k.doc_id = g.doc_id and k.i = g.i + 1)
     select doc_id, part, string_agg(s, '\n' order by i) as text, cast(min(off) as int) as "offset" from g join k using (doc_id, i) where i >= 0 group
         by doc_id, part
-    union all select doc_id, 0, text, 0 from documents join w using (doc_id) where not long""")
+    union all select doc_id, 0, text, 0 from documents join w using (doc_id) where not long"""
+
+
+@query(_PARENTS)
 def chunk_parents(t):
     return C.parents(t.documents)
 
 
+@query(_PARENTS)
+def chunk_parents_sql(t):
+    """The same through SQL: the chunker as a table function in a lateral join."""
+    tablefunctions.register(t.spark)
+    return t.sql("select d.doc_id, c.part, c.text, c.offset from {documents} d, lateral chunks(d.text, 'parents') c")
+
+
+@query()
+def parse_html_sql(t):
+    """Elements of pages through SQL, by the parser as a table function; tests compare it with `parse_html_elements`."""
+    tablefunctions.register(t.spark)
+    return t.sql("select p.page_id, e.idx as elem_idx, e.kind, e.level, e.text from {pages} p, lateral elements(p.html, 'html') e")
+
+
 @query()
 def chunk_children(t):
     return C.children(t.documents)

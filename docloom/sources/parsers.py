@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
-#: Extension to document type, and type to workflow.
+#: Extension to document type, and type to workflow.
 TYPES = {
     "pdf": "pdf", "docx": "docx", "doc": "docx", "xlsx": "xlsx", "xls": "xlsx", "csv": "csv", "pptx": "pptx", "ppt": "pptx", "md": "md",
             "markdown": "md", "txt": "txt", "log": "txt",
@@ -24,7 +24,7 @@ TYPES = {
 }
 WORKFLOWS = {"docx": "docx", "xlsx": "xlsx", "csv": "xlsx", "pptx": "pptx", "md": "md", "txt": "txt", "html": "html", "img": "image"}
 PDF_WORKFLOWS = {"text": "pdf_text", "scanned": "pdf_scanned", "hybrid": "pdf_hybrid"}
-#: First bytes (hex) that files of a type must have.
+#: First bytes (hex) that files of a type must have.
 MAGIC = {"pdf": "25504446", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF"}
 ELEMENTS = "doc_id long, elem_idx int, kind string, level int, text string"
 

@@ -23,6 +23,14 @@ def interpolate(text: str, env: Mapping[str, str] | None = None) -> str:
     return _VARIABLE.sub(lambda m: env.get(m[1]) or m[2] or "", text)
 
 
+def interpolated(text, env: Column) -> Column:
+    """`interpolate` over a text column with a map column of variables."""
+    c, pattern = T._col(text), r"\$\{(\w+)(?::-([^}]*))?\}"
+    found = lambda group: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    values = F.zip_with(found(1), found(2), lambda name, default: F.coalesce(F.nullif(env[name], F.lit("")), default, F.lit("")))
+    return F.array_join(F.zip_with(F.split(c, pattern, -1), F.array_append(values, F.lit("")), lambda a, b: F.concat(a, b)), "")
+
+
 def load(path: str, env: Mapping[str, str] | None = None, renamed: Mapping[str, str] | None = None) -> dict:
     """A YAML file's tree with variables replaced; renamed: old top-level keys to the new ones, which win where both stand."""
     import yaml

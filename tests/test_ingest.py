@@ -139,3 +139,49 @@ def test_holders_of_whole_texts(spark):
             (5, "three  four five six seven eight")], "qid long, item string")
     got = sorted((r["doc_id"], r["qid"]) for r in R.holders(docs, items).collect())
     assert got == [(1, 1), (1, 3), (2, 1), (2, 3), (3, 2)]
+
+
+def test_workflows_come_from_a_file(spark, tmp_path):
+    from docloom.operators import steps
+
+    flows = workflow.load(steps.FILE)
+    assert flows["txt"] == workflow.DEFAULT and set(workflow.DEFAULT) <= set(workflow.STEPS)
+    path = tmp_path / "flows.json"
+    path.write_text('{"default": ["parse", "chunk", "${LAST:-finalize}"]}')
+    short = workflow.load(str(path))
+    assert short == {"default": ("parse", "chunk", "finalize")}
+    path.write_text('{"default": ["parse", "no such step"]}')
+    with pytest.raises(KeyError, match="no such step"):
+        workflow.load(str(path))
+    docs = spark.createDataFrame([(1, "Same text here.\n\nsame TEXT here.\n\n" + "long " * 200, "txt", bytearray(b"Same"))], "doc_id long, text string, file_type string, head binary")
+    done, warnings = workflow.run(docs, "txt", None, flows)
+    row = done.first()
+    assert not warnings and (row["n_chunks"], row["n_vectors"], row["n_flaws"], row["title"]) == (2, 1, 0, "Same text here.")
+    broken = {**workflow.STEPS, "embed": lambda df: len(3)}
+    with pytest.raises(TypeError):
+        workflow.run(docs, "txt", broken, flows)
+
+
+def test_variables_in_a_column(spark):
+    lines = ["a ${X} b", "${X}${Y:-d}${Z}", "none", "${EMPTY:-x} $X ${", "", None, "${Y:-}${Y:-a:-b}"]
+    env = {"X": "1 $0 \\\\1", "EMPTY": ""}
+    m = F.create_map(*[F.lit(v) for pair in env.items() for v in pair])
+    got = [r[0] for r in spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, x string").orderBy("n").select(settings.interpolated("x", m)).collect()]
+    assert got == [x if x is None else settings.interpolate(x, env) for x in lines]
+
+
+def test_table_functions(spark):
+    from docloom.operators import tablefunctions
+
+    tablefunctions.register(spark)
+    docs = spark.createDataFrame([(1, "One sentence. Another one."), (2, None), (3, "")], "doc_id long, text string")
+    got = spark.sql("select d.doc_id, c.* from {docs} d, lateral chunks(d.text, 'parents') c", docs=docs)
+    assert got.columns == ["doc_id", "part", "text", "offset"] and [tuple(r) for r in got.where("doc_id = 1").collect()] == [(1, 0, "One sentence. Another one.", 0)]
+    assert spark.sql("select c.* from {docs} d, lateral chunks(d.text, 'children', false) c", docs=docs).columns == ["part", "text"]
+    html = spark.createDataFrame([(1, "<h1>T</h1><table><tr><th colspan=2>a</th></tr><tr><td>b</td><td>c</td></tr></table>")], "page_id long, html string")
+    cells = spark.sql("select e.row, e.col, e.text from {html} p, lateral elements(p.html, 'table') e order by 1, 2", html=html).collect()
+    assert [(r["row"], r["col"]) for r in cells] == [(0, 0), (0, 1), (1, 0), (1, 1)] and cells[3]["text"] == "c"
+    assert spark.sql("select e.kind from {html} p, lateral elements(p.html, 'html') e", html=html).first()["kind"] == "TITLE"
+    for bad in ("chunks(d.text, 'nothing')", "chunks(d.doc_id, 'parents')", "chunks(d.text, d.text)"):
+        with pytest.raises(Exception, match="expected"):
+            spark.sql(f"select c.* from {{docs}} d, lateral {bad} c", docs=docs).collect()
