@@ -72,6 +72,33 @@ def bm25_topk(t):
     return _bm25(t, 20).select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(f"""with tok as (select 0 as field, doc_id, unnest({_WORDS.format('substr(text, 1, 100)')}) as term from documents
+      union all select 1, doc_id, unnest({_WORDS.format('text')}) from documents
+      union all select 2, doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-_]+'), lambda x: lower(x)))) from documents
+      union all select 3, doc_id, text from documents where regexp_full_match(text, '[A-Za-z][A-Za-z0-9\\-_]+'))
+    select field, count(distinct doc_id) as n, count(*) as length, count(distinct term) as terms from tok group by field""")
+def text_index_stats(t):
+    """The stored full-text index of the documents: per field its documents, their length together, and its terms."""
+    index = _index(t)
+    totals, terms = index.statistics()
+    return totals.join(terms.groupBy("field").agg(F.count("*").alias("terms")), "field")
+
+
+@query(f"""with {_bm25_sql(docs='(select * from documents where doc_id % 7 <> 0)')}
+    select qid, doc_id, round(score, 4) as score, cast(rank as int) as rank from bm where rank <= 10""")
+def text_index_updates(t):
+    """BM25 over an index that took its documents in two batches, a third of the second twice, lost every seventh and was merged."""
+    index = X.Index(t.spark, tables.new_path(t.spark, "text-index"), _fields()[: len(FIELDS)])
+    docs = _searchable(t.documents)
+    index.upsert("even", docs.where("doc_id % 2 = 0"))
+    index.upsert("odd", docs.where("doc_id % 2 = 1"))
+    index.upsert("again", docs.where("doc_id % 6 = 1"))
+    index.delete("out", docs.where("doc_id % 7 = 0"))
+    index.merge("merge")
+    top = index.search(_asked(R.question_terms(t.fx_questions), dict(enumerate(FIELDS.values()))), 10)
+    return top.select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 _SYNONYMS = "select qid, 'that the' as question, 1.0 as b from fx_questions where qid % 2 = 0"
 
 
