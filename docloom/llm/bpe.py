@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from . import common
 
 #: Distinct white-space-separated chunks whose result a worker keeps; beyond that it keeps the half learned first.
-CACHE = 400_000
+CACHE = 150_000
 #: The split pattern and the odd white space of the tokenizer's file format (fixed values).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What str.split() takes for white space and the pattern's \s does not.

@@ -319,6 +319,8 @@ def links(points: DataFrame, n: int, radius: int = RADIUS, least: float | None =
             i, j = partners(fp, home, radius, signs, least, pdf["label"].to_numpy(), node, pdf["no"].tolist())
         else:
             i, j = forest(fp, home, radius, signs, least or 0.0)
+        if len(fp) > SHARD_SIZE:
+            common.give_back()  # workers are kept for later stages
         return pd.DataFrame({"a": node[i], "b": node[j]})
 
     columns = ["fp", "node", *(("s0", "s1") if signed else ()), *(("label", "no") if labelled else ())]
