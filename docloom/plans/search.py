@@ -182,7 +182,7 @@ def _vector_index(t):
     that its measured recall asks for. Built once for the table's present files."""
     path = f"{t.dir}/embeddings.parquet"
     key = (t.spark.sparkContext.applicationId, path, tables.files_of(t.spark, path))
-    if key in _VECTORS:
+    if key in _VECTORS and _VECTORS[key][0].log.entries():
         return _VECTORS[key]
     index = VX.Index(t.spark, tables.new_path(t.spark, "vector-index"))
     items = t.embeddings.select(F.col("vec_id").alias("item"), "embedding")
