@@ -1,7 +1,7 @@
 """All queries of the library with their SQL twins."""
 
 from .base import ORACLE, QUERIES, Tables
-from . import dialogue, ingest, metadata, search, service, structured, textual  # noqa: F401
+from . import dialogue, ingest, metadata, office, search, service, structured, textual  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES", "answer_questions"]
 

@@ -1,7 +1,7 @@
 """Readers and parsers: text, Markdown, HTML, CSV and sheets into element rows (doc_id, elem_idx, kind, level, text).
 
-Binary formats (PDF, Office, images) come through ports: a port is a function (bytes, filename) -> list of elements, registered by
-extension, since their libraries are no part of this environment.
+Office files are read by `sources.office`. Other binary formats (PDF, images, older Office files) come through ports: a port is a function
+(bytes, filename) -> list of elements, registered by extension.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.sources import office
 
 #: Extension to document type, and type to workflow.
 TYPES = {
@@ -57,6 +58,13 @@ def parse_with_ports(files: DataFrame) -> DataFrame:
     return files.select("path", "content", "extension").mapInPandas(run, "path string, elem_idx int, kind string, level int, text string")
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """Elements of binary files: a registered port goes first, then the readers of Office files; others give `unsupported`."""
+    own = F.lower("extension").isin(*[e for e in office.MAIN if e not in _PORTS])
+    read = office.elements(files.where(own)).select("path", "elem_idx", "kind", "level", "text")
+    return parse_with_ports(files.where(F.coalesce(~own, F.lit(True)))).unionByName(read)
+
+
 def workflow(filename: str, scan_type: str) -> Column:
     ext = F.lower(F.regexp_extract(filename, "\\.([A-Za-z0-9]+)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])[ext]
