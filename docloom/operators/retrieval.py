@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from . import entities, tables
 
 #: BM25 constants of the usual full-text engines; rank constant of reciprocal-rank fusion.
 K1, B, RRF_K = 1.2, 0.75, 60
-#: Query vectors in a block of the exact search.
-QUERY_BLOCK = 2_000
+#: Exact search: query vectors of a block, items of a slice at most, queries multiplied at once, pairs computed again at once.
+QUERY_BLOCK, SLICE, ROWS, PAIRS = 16_384, 50_000, 64, 50_000
 #: Documents per result asked for whose rarest terms give a floor under the scores.
 LEAD = 4
 
@@ -121,17 +123,101 @@ def question_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     return questions.select("qid", F.explode(F.array_distinct(terms(text))).alias("term")).withColumn("boost", F.lit(1.0))
 
 
+def _rows(column, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow list column, filled with zeros to one width, and their lengths; -1 for a null vector or one that holds nulls."""
+    lists = column.combine_chunks()
+    n = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    flat, row = lists.flatten(), np.repeat(np.arange(len(n)), n)
+    width = max(int(n.max(initial=0)), width or 0)
+    out = np.zeros((len(n), width))
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = np.asarray(flat.cast("float64").fill_null(0.0))
+    n[np.asarray(lists.is_null())] = -1
+    n[row[np.asarray(flat.is_null())]] = -1
+    return out, n
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, added component by component as `vectors.dot` adds them: the same doubles."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _tile(k: int, cosine: bool, by: str, item: str):
+    """Of a tile of queries and items the first k pairs of each query, and those that may tie with its k-th after rounding."""
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, cols, scores, none = [], [], [], []
+        if a.num_rows and b.num_rows:
+            x, nx = _rows(b["embedding"])
+            q, nq = _rows(a["q"], x.shape[1])
+            x = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1])))
+            ids = np.asarray(b[item].combine_chunks())
+            lx, lq = np.sqrt(_summed(x, x)), np.sqrt(_summed(q, q))
+            for at in range(0, len(q), ROWS):
+                part, size = q[at : at + ROWS], lq[at : at + ROWS, None] * lx
+                near, bad = part @ x.T, (nq[at : at + ROWS, None] < 0) | (nx < 0)
+                void = bad | (nq[at : at + ROWS, None] != nx)  # no score: null
+                if cosine:  # 0 where a norm is 0 or null
+                    some = ~bad & ((size > 0) | np.isnan(size))
+                    near, void = np.where(some, near / size, 0.0), void & some
+                near[np.isnan(near)] = np.inf  # Spark sorts NaN above all numbers
+                near[void] = -np.inf
+                # products added in another order differ by less than this, rounding joins what differs by a millionth
+                slack = 1.1e-6 + (0.0 if cosine else 1e-12 * size.max(1, initial=0))
+                least = np.partition(near, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -np.inf)
+                i, j = np.nonzero(near >= np.where(np.isfinite(least) & np.isfinite(slack), least - slack, -np.inf)[:, None])
+                s = np.concatenate([_summed(part[i[c : c + PAIRS]], x[j[c : c + PAIRS]]) for c in range(0, len(i), PAIRS)])
+                if cosine:
+                    s = np.where(some[i, j], s / size[i, j], 0.0)
+                void = void[i, j]
+                v = np.clip(s * 1e6 + 0.5, -1.7e308, 1.7e308)
+                edge = 1e-6 + 1e-15 * np.abs(v)  # halves are rounded by Spark, so a value close to one counts both ways
+                low, high = np.floor(v - edge), np.floor(v + edge)
+                for ends in (low, high):
+                    ends[np.isnan(s)], ends[void] = np.inf, -np.inf
+                order = np.lexsort((ids[j], -low, i))
+                start = np.searchsorted(i[order], np.arange(len(part) + 1))
+                last = order[np.minimum(start[:-1] + k, start[1:]) - 1]  # the k-th pair of each query
+                keep = (high > low[last][i]) | ((high == low[last][i]) & (ids[j] <= ids[j[last]][i]))
+                rows.append(at + i[keep]), cols.append(j[keep]), scores.append(s[keep]), none.append(void[keep])
+        one = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({by: a[by].take(pa.array(one(rows, np.int64))), item: b[item].take(pa.array(one(cols, np.int64))),
+                "score": pa.array(one(scores, float), pa.float64(), mask=one(none, bool))})
+
+    return best
+
+
 def vector_search(items: DataFrame, queries: DataFrame, k: int, similarity=V.dot, item: str = "vec_id", by: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact top k by similarity: queries (qid, q) in blocks that fit a broadcast meet one scan of items (item, embedding) each.
+    """Exact top k by similarity (`vectors.dot` or `vectors.cosine`): queries (qid, q) in blocks that fit a broadcast meet slices of items
+    (item, embedding).
 
-    Blocks go by a hash of qid, so that the vectors of one question stay together.
+    A task multiplies a block and a slice as matrices and computes what comes near a query's k-th score again in the order of the column
+    expression. A query sends k pairs per slice; there are as many slices as keep the cores busy, more only where these would be longer
+    than SLICE. Blocks go by a hash of qid, so that the vectors of one question stay together.
     """
+    cosine = {V.dot: False, V.cosine: True}[similarity]
     blocks = max(1, -(-queries.count() // block))
-    out = None
+    slices = max(2 * items.sparkSession.sparkContext.defaultParallelism, -(-items.count() // SLICE))
+    deal = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n))
+    packed = items.select(item, "embedding", deal(slices, item, "embedding").alias("_s")).repartition(2 * slices, "_s")
+    packed = packed.groupBy("_s").agg(F.collect_list(F.struct(item, "embedding")).alias("_items")).select("_items")
+    types = {f.name: f.dataType.simpleString() for f in [*queries.select(by).schema.fields, *items.select(item).schema.fields]}
+    best, out = _tile(k, cosine, by, item), None
+
+    def run(batches):
+        for b in batches:
+            for x, q in zip(b.column("_items"), b.column("_asked")):
+                with np.errstate(all="ignore"):  # vectors may hold infinities and NaN
+                    found = best(pa.Table.from_struct_array(q.values), pa.Table.from_struct_array(x.values))
+                yield from found.to_batches()
+
     for n in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == n) if blocks > 1 else queries
-        pairs = items.join(F.broadcast(part), F.lit(True))
-        top = top_k(pairs.select(by, item, similarity("q", "embedding").alias("score")), [by], k, F.round("score", 6).desc(), F.col(item))
+        part = queries.where(deal(blocks, by) == n) if blocks > 1 else queries
+        asked = part.agg(F.collect_list(F.struct(by, "q")).alias("_asked"))
+        pairs = packed.join(F.broadcast(asked), F.lit(True)).mapInArrow(run, f"{by} {types[by]}, {item} {types[item]}, score double")
+        top = top_k(pairs, [by], k, F.round("score", 6).desc(), F.col(item))
         out = top if out is None else out.unionByName(top)
     return out
 
