@@ -91,12 +91,15 @@ def neighbours(ids: np.ndarray, lengths: np.ndarray, none: int) -> tuple[np.ndar
     return before, after
 
 
-def gradient(theta: np.ndarray, lengths: np.ndarray, move, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives of the log-likelihood of the labels gold (0 or 1 per token) by each theta and by the transitions."""
+def gradient(theta, lengths: np.ndarray, move, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood of the labels gold (0 or 1 per token) by each theta and by the transitions.
+
+    theta: an array, or a function that gives it for a slice of the tokens.
+    """
     m, moves = _marginals_in_parts(theta, lengths, move)
-    prev = np.concatenate([[0.0], gold[:-1]])
-    prev[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-    return gold - m, np.array([(gold * (1 - prev)).sum(), ((1 - gold) * prev).sum(), (gold * prev).sum()]) - moves
+    end = np.cumsum(lengths[lengths > 0])
+    own, both = gold.sum(), np.dot(gold[1:], gold[:-1]) - np.dot(gold[end[:-1]], gold[end[:-1] - 1])
+    return np.subtract(gold, m, out=m), np.array([own - both, own - gold[end - 1].sum() - both, both]) - moves
 
 
 def marginals(theta: np.ndarray, lengths: np.ndarray, move, expect: bool = False):
@@ -157,17 +160,17 @@ def marginals(theta: np.ndarray, lengths: np.ndarray, move, expect: bool = False
     return m[col, row], moves
 
 
-def _marginals_in_parts(theta: np.ndarray, lengths: np.ndarray, move):
+def _marginals_in_parts(theta, lengths: np.ndarray, move):
     """marginals() with expected counts, over documents of about AT_ONCE tokens at a time: memory follows the part, not the sample."""
     end = np.cumsum(lengths)
-    out, moves, low, first = [], np.zeros(3), 0, 0
+    out, moves, low, first = np.zeros(int(lengths.sum())), np.zeros(3), 0, 0
     while first < len(lengths):
         last = max(first + 1, int(np.searchsorted(end, low + AT_ONCE, side="right")))
-        m, n = marginals(theta[low : end[last - 1]], lengths[first:last], move, expect=True)
-        out.append(m)
+        part = slice(low, int(end[last - 1]))
+        out[part], n = marginals(theta(part) if callable(theta) else theta[part], lengths[first:last], move, expect=True)
         moves += n
-        low, first = int(end[last - 1]), last
-    return np.concatenate([*out, np.zeros(0)]), moves
+        low, first = part.stop, last
+    return out, moves
 
 
 def _document_features(m: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -236,8 +239,11 @@ def train(rows: list[tuple[str, int]]) -> Model:
         return Model(curve=(12.0 if rows and rows[0][1] else -12.0, 0.0, 0.0))
     types: dict[str, int] = {}
     docs = [(np.array([types.setdefault(w, len(types)) for w in tokens_of(t or "")], dtype=np.int32), int(y)) for t, y in rows]
+    del rows  # the caller keeps no texts either
     words = list(types)
+    common.give_back()
     marks = seeds(docs, words)
+    common.give_back()
     marked = np.array([any(f in marks for f in features(w)) for w in words], dtype=bool)
     used, tokens = [], 0
     for kind in (1, 0):
@@ -256,7 +262,9 @@ def train(rows: list[tuple[str, int]]) -> Model:
                 for f in chain_features(w):
                     names.setdefault(f, len(names))
         pairs = [(k, names[f]) for w, k in types.items() for f in chain_features(w) if f in names]
-        word_of, feature_of = np.array(pairs, dtype=np.int64).T
+        word_of, feature_of = np.ascontiguousarray(np.array(pairs, dtype=np.int64).T)
+        del pairs
+        common.give_back()
         sides = neighbours(ids, lengths, len(types))
         # words that stand beside labelled tokens often enough
         beside = [np.flatnonzero(np.bincount(x, gold, len(types) + 1)[: len(types)] >= LEAST_DOCS) for x in sides]
@@ -267,11 +275,11 @@ def train(rows: list[tuple[str, int]]) -> Model:
         penalty = np.concatenate([np.full(cuts[2], 0.002), np.zeros(4)])
         rate = np.concatenate([np.full(k, 0.3), np.full(cuts[2] - k, SIDE_RATE), np.full(4, 0.3)])
         for step in range(1, 41):
-            theta = (param[cuts[2]] + np.bincount(word_of, param[feature_of], len(types)))[ids]
-            for x, numbers, (low, high) in zip(sides, beside, zip(cuts, cuts[1:])):
-                own = np.zeros(len(types) + 1)
+            of_type = param[cuts[2]] + np.bincount(word_of, param[feature_of], len(types))
+            of_side = [np.zeros(len(types) + 1) for _ in sides]
+            for own, numbers, (low, high) in zip(of_side, beside, zip(cuts, cuts[1:])):
                 own[numbers] = param[low:high]
-                theta = theta + own[x]
+            theta = lambda part: of_type[ids[part]] + of_side[0][sides[0][part]] + of_side[1][sides[1][part]]  # noqa: B023, E731
             g, g_moves = gradient(theta, lengths, param[cuts[2] + 1 :], gold)
             by_type = np.bincount(ids, g, len(types))
             by_side = [np.bincount(x, g, len(types) + 1)[numbers] for x, numbers in zip(sides, beside)]

@@ -155,3 +155,15 @@ def test_unseen_forms_and_scores(spark):
     top = min(max(m.max(), 1e-9), 1 - 1e-9)
     z = model.curve[0] + model.curve[1] * np.clip(np.log(top / (1 - top)), -6, 6) + model.curve[2] * np.log1p(m.sum())
     assert abs(got[0]["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
+
+
+def test_gradient_asks_for_its_tokens_part_by_part(monkeypatch):
+    """The driver never holds a potential for each token of the sample at once."""
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 30, 40)
+    theta, gold, asked = rng.normal(size=lengths.sum()), (rng.random(lengths.sum()) < 0.3).astype(float), []
+    by_part = toxicity.gradient(lambda part: asked.append(part) or theta[part], lengths, (0.1, -0.2, 0.3), gold)
+    whole = toxicity.gradient(theta, lengths, (0.1, -0.2, 0.3), gold)
+    assert len(asked) > 5 and max(p.stop - p.start for p in asked) <= 50
+    assert all((a == b).all() for a, b in zip(by_part, whole))
