@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import entities, tables
 from docloom.operators import retrieval as R
@@ -483,9 +484,12 @@ def answer(t):
     """Questions over the document base: BM25 and exact keywords fused, near-equal texts dropped, six reranked texts each."""
     fused = tables.store(R.top_k(_fused(t), ["qid"], 12, F.col("score").desc(), F.col("doc_id")).drop("rank"), "fused")
     rows = t.documents.select("doc_id", "text").join(tables.small(fused), "doc_id").join(tables.small(t.fx_questions), "qid")
-    rows = R.text_dedup(rows, ["qid"], "text", F.col("score").desc(), F.col("doc_id"))
-    best = R.rerank(rows, R.overlap_score("question", "text"))
-    shown = (F.round("score", 8).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "routes", F.substring("text", 1, 200).alias("snippet"))
+    # what the next steps need of a text goes on, the text itself does not
+    rows = rows.select("qid", "question", "doc_id", "score", "routes", R.overlap_score("question", "text").alias("overlap"), T.fingerprint("text").alias("begins"),
+            F.substring("text", 1, 200).alias("snippet"))
+    rows = R.text_dedup(rows, ["qid"], "begins", F.col("score").desc(), F.col("doc_id"))
+    best = R.rerank(rows, F.col("overlap"))
+    shown = (F.round("score", 8).alias("score"), F.round("rerank_score", 6).alias("rerank_score"), "routes", "snippet")
     return best.select("qid", "question", "final_rank", "doc_id", *shown)
 
 
