@@ -4,13 +4,15 @@ Tables of one commit log (`commits.Log`):
 
     centres   (cell, centre)                                the cells, fitted once on a bounded sample
     books     (m, code, centre)                             256 codes for each of the parts of a residual
-    lists     (cell, slice, seg, item, code)                an item's code, one byte a part
-    vectors   (cell, slice, seg, item, embedding)           the vectors themselves, of unit length
+    lists     (part, cell, slice, seg, item, code)          an item's code, one byte a part
+    vectors   (part, cell, slice, seg, item, embedding)     the vectors themselves, of unit length
     gone      (seg, item)                                   items of a segment that do not count any more
 
-A search sends each query to its nearest cells, ranks their items by the codes alone (a table of partial products per query), and
-compares the best of them exactly. Cells with very many items are kept in slices, so that no task holds a whole cell. How many cells
-are needed for a wanted recall is measured against the exact search (`tune`), which stays beside it (`retrieval.vector_search`).
+Parts are folders, of which there are PARTS however many cells: a read lists few files.
+
+A search sends each query to its nearest cells, ranks their items by the codes alone (as the vectors that the codes stand for), and
+compares the best of them exactly. Cells with very many items are kept in slices, so that no task holds a whole cell, and slices are
+bundled, so that a query goes once to a bundle and brings the best of it, not the best of each cell. How many cells are needed for a wanted recall is measured against the exact search (`tune`), which stays beside it (`retrieval.vector_search`).
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from .textindex import ItemErrors
 
 #: Cells at most, rows of the sample per cell, rounds of k-means, parts of a residual, codes of a part.
 MOST_CELLS, SAMPLE_EACH, ROUNDS, M, CODES = 4_096, 64, 4, 16, 256
-#: Items of a slice of a cell, queries of a piece, queries that measure the recall.
-SLICE, BLOCK, TUNE = 50_000, 512, 64
+#: Items of a slice of a cell and of a bundle of slices, queries of a piece, queries ranked at once, queries that measure the recall.
+SLICE, BLOCK, ROWS, TUNE = 50_000, 1_024, 128, 64
+#: Folders of cells.
+PARTS = 16
 _SCHEMAS = {
-    "centres": "cell int, centre array<double>", "books": "m int, code int, centre array<double>", "lists": "slice int, seg string, item long, code binary, cell int",
-    "vectors": "slice int, seg string, item long, embedding array<float>, cell int", "gone": "seg string, item long",
+    "centres": "cell int, centre array<double>", "books": "m int, code int, centre array<double>", "lists": "slice int, seg string, item long, code binary, cell int, part int",
+    "vectors": "slice int, seg string, item long, embedding array<float>, cell int, part int", "gone": "seg string, item long",
 }
 
 
@@ -83,8 +87,11 @@ def kmeans(sample: DataFrame, start: np.ndarray, split, rounds: int) -> np.ndarr
     groups, k, width = start.shape
 
     def add(table: pa.Table) -> pa.Table:
-        total = matrix(table["total"].combine_chunks()).sum(0)
-        return pa.table({"key": table["key"][:1], "n": [int(np.asarray(table["n"]).sum())], "total": [total.tolist()]})
+        key, at = np.unique(np.asarray(table["key"]), return_inverse=True)
+        total = np.zeros((len(key), width))
+        np.add.at(total, at, matrix(table["total"].combine_chunks()))
+        n = np.bincount(at, np.asarray(table["n"])).astype(np.int64)
+        return pa.table({"key": key, "n": n, "total": pa.array(total.tolist(), pa.list_(pa.float64()))})
 
     for _ in range(rounds):
         held = sc.broadcast(start)
@@ -100,7 +107,7 @@ def kmeans(sample: DataFrame, start: np.ndarray, split, rounds: int) -> np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["key", "n", "total"])
 
         each = sample.mapInArrow(sums, "key long, n long, total array<double>")
-        found = each.groupBy("key").applyInArrow(add, "key long, n long, total array<double>").collect()
+        found = each.groupBy(F.floor(F.col("key") / CODES).alias("_many")).applyInArrow(add, "key long, n long, total array<double>").collect()
         flat = start.reshape(groups * k, width).copy()
         for key, n, total in found:
             flat[key] = np.array(total) / n
@@ -136,8 +143,10 @@ class Index:
         cells = max(1, min(MOST_CELLS, cells or int(n**0.5), n))
         keep = max(1, n // (SAMPLE_EACH * cells))
         picked = rows.where(F.pmod(F.xxhash64("item"), F.lit(keep)) == 0).orderBy(F.hash("item"), "item").limit(2 * SAMPLE_EACH * cells)
-        sample = tables.store(picked.select(V.l2_normalize("embedding").alias("embedding")), "sample")
-        first = [r[0] for r in sample.limit(max(cells, CODES)).collect()]
+        picked = picked.repartition(self.spark.sparkContext.defaultParallelism, "item")  # the limit has left one partition
+        stored = tables.store(picked.select("item", V.l2_normalize("embedding").alias("embedding")), "sample")
+        first = [r[0] for r in stored.orderBy(F.hash("item"), "item").limit(max(cells, CODES)).select("embedding").collect()]
+        sample = stored.select("embedding")
         if not first:
             raise ItemErrors(n, [])
         first = np.array(first)
@@ -187,11 +196,16 @@ class Index:
         coded = tables.store(items.mapInArrow(run, "item long, code binary, embedding array<float>, cell int"), "coded")
         sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / SLICE).alias("_s"))  # a row per cell
         rows = coded.join(F.broadcast(sizes), "cell").withColumn("slice", F.pmod(F.xxhash64("item"), F.col("_s")).cast("int"))
-        rows = rows.withColumn("seg", F.lit(uuid.uuid4().hex)).repartition("cell", "slice").sortWithinPartitions("cell", "item")
-        add = {t: [self.log.write(t, rows.select(*(c.split()[0] for c in _SCHEMAS[t].split(", "))), ("cell",))] for t in ("lists", "vectors")}
+        rows = rows.withColumn("seg", F.lit(uuid.uuid4().hex)).withColumn("part", F.col("cell") % PARTS)
+        add = {t: [self._write(t, rows)] for t in ("lists", "vectors")}
         old = self._holders(live, items) if live.get("lists") else None
         return self._commit(batch, seen, add, old)
 
+    def _write(self, table: str, rows: DataFrame) -> str:
+        """Store rows by part and slice, sorted by cell."""
+        rows = rows.repartition("part", "slice").sortWithinPartitions("part", "cell", "item")
+        return self.log.write(table, rows.select(*(c.split()[0] for c in _SCHEMAS[table].split(", "))), ("part",))
+
     def _holders(self, live: dict, items: DataFrame) -> DataFrame:
         """(seg, item) of what counts of these items."""
         return self._counting(self._read("lists", live).select("seg", "item"), live).join(tables.small(items.select("item").distinct()), "item", "left_semi")
@@ -206,8 +220,7 @@ class Index:
         seen, live = self._live()
         add = {}
         for t in ("lists", "vectors"):
-            rows = self._counting(self._read(t, live), live).repartition("cell", "slice").sortWithinPartitions("cell", "item")
-            add[t] = [self.log.write(t, rows.select(*(c.split()[0] for c in _SCHEMAS[t].split(", "))), ("cell",))]
+            add[t] = [self._write(t, self._counting(self._read(t, live), live))]
         return self._commit(batch, seen, add, None, {t: list(f) for t, f in live.items() if t in ("lists", "vectors", "gone")})
 
     def _commit(self, batch: str, seen: int, add: dict, old: DataFrame | None, remove: dict | None = None) -> bool:
@@ -233,46 +246,87 @@ class Index:
         asked = queries.where(F.coalesce((F.size("q") == dim) & F.forall("q", lambda x: x.isNotNull()) & (V.norm("q") > 0), F.lit(False)))
         asked = tables.store(asked.select(F.col("qid").cast("long").alias("qid"), V.l2_normalize("q").alias("q")), "queries")
 
-        def route(batches):
-            for b in batches:
-                near = nearest(matrix(b.column("q")), held.value[0], probe) if b.num_rows else np.zeros((0, 1), int)
-                lists = pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], ["qid", "q", "cells"])
-
-        sent = asked.mapInArrow(route, "qid long, q array<double>, cells array<int>").select("qid", "q", F.explode("cells").alias("cell"))
-        sent = tables.store(sent, "probes")
         lists = self._counting(self._read("lists", live), live)
         if only is not None:
             lists = lists.join(tables.small(only.select("item")), "item", "left_semi")
-        slices = self._read("lists", live).groupBy("cell").agg(F.max("slice").alias("_s"))  # a row per cell
-        pieces = sent.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("_b")).join(slices, "cell")
-        pieces = F.broadcast(tables.store(pieces, "pieces"))
-        sequence = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int")))
-        left = sent.join(pieces, "cell").select("qid", "q", "cell", F.pmod(F.xxhash64("qid"), F.col("_b")).cast("int").alias("block"), sequence(F.col("_s")).alias("slice"))
-        right = lists.join(pieces, "cell").select("seg", "item", "code", "cell", "slice", sequence(F.col("_b") - 1).alias("block"))
-        keys, most = ("cell", "slice", "block"), again * k
+        # slices, a row each, in bundles of about SLICE items; smaller ones where there would be too few pieces for the cores
+        sizes = sorted((r[0], r[1], r[2]) for r in self._read("lists", live).groupBy("cell", "slice").count().collect())
+        pieces = -(-asked.count() // BLOCK)
+        enough = -(-2 * self.spark.sparkContext.defaultParallelism // max(1, pieces))
+        most_items = max(1, min(SLICE, -(-sum(n for *_, n in sizes) // enough)))
+        bundle_of, bundles, held_items = {}, {}, 0
+        for cell, slice_, n in sizes:
+            bundle_of[cell, slice_] = held_items // most_items
+            bundles.setdefault(bundle_of[cell, slice_], set()).add(cell)
+            held_items += n
+        bundled = self.spark.createDataFrame([(*k, v) for k, v in bundle_of.items()], "cell int, slice int, bundle int")
+
+        def route(batches):
+            for b in batches:
+                near = nearest(matrix(b.column("q")), held.value[0], probe) if b.num_rows else np.zeros((0, 1), int)
+                sent = np.zeros((len(near), len(held.value[0])), bool)
+                sent[np.arange(len(near))[:, None], near] = True
+                for bundle, cells in bundles.items():
+                    cells = np.array(sorted(cells))
+                    part = sent[:, cells]
+                    at = np.flatnonzero(part.any(1))
+                    if len(at):
+                        told = pa.array([cells[x].tolist() for x in part[at]], pa.list_(pa.int32()))
+                        own = b.take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([*own.columns, told, pa.array(np.full(len(at), bundle, np.int32))], ["qid", "q", "cells", "bundle"])
+
+        sent = tables.store(asked.mapInArrow(route, "qid long, q array<double>, cells array<int>, bundle int"), "probes")
+        pieces = F.broadcast(tables.store(sent.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_b")), "pieces"))
+        left = sent.join(pieces, "bundle").select("qid", "q", "cells", "bundle", F.pmod(F.xxhash64("qid"), F.col("_b")).cast("int").alias("block"))
+        right = lists.join(F.broadcast(bundled), ["cell", "slice"]).join(pieces, "bundle")
+        right = right.select("seg", "item", "code", "cell", "bundle", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("block"))
+        keys, most = ("bundle", "block"), again * k
 
         def rank(a: pa.Table, b: pa.Table) -> pa.Table:
             rows, cols, found = [], [], []
             if a.num_rows and b.num_rows:
                 centres, books = held.value
-                cell = a["cell"][0].as_py()
-                q = matrix(a["q"].combine_chunks())
+                b = b.sort_by([("cell", "ascending"), ("item", "ascending")])
+                cell = np.asarray(b["cell"])
                 code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, M)
-                score = np.repeat((q @ centres[cell])[:, None], b.num_rows, axis=1)
-                for m, part in enumerate(parts(q)):
-                    score += (part @ books[m].T)[:, code[:, m]]
-                for i, s in enumerate(score):
-                    at = np.argpartition(-s, most - 1)[:most] if len(s) > most else np.arange(len(s))
-                    rows += [i] * len(at)
-                    cols += at.tolist()
-                    found += s[at].tolist()
-            own, other = pa.array(rows, pa.int64()), pa.array(cols, pa.int64())
-            return pa.table({"qid": a["qid"].take(own), "seg": b["seg"].take(other), "item": b["item"].take(other), "cell": b["cell"].take(other), "near": pa.array(found, pa.float64())})
+                # what the codes stand for: its products are the sums of the parts' products
+                coded = np.concatenate([books[m][code[:, m]] for m in range(M)], axis=1)[:, : centres.shape[1]]
+                coded = (centres[cell] + coded).astype(np.float32).T
+                start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                end = np.r_[start[1:], len(cell)]
+                q = matrix(a["q"].combine_chunks()).astype(np.float32)
+                asked_cells = a["cells"].to_pylist()
+                for low in range(0, len(q), ROWS):
+                    part = q[low : low + ROWS]
+                    of = np.zeros((len(part), len(centres)), bool)
+                    for i, own in enumerate(asked_cells[low : low + ROWS]):
+                        of[i, own] = True
+                    of = of[:, cell[start]]
+                    if of.mean() > 0.5:
+                        score = part @ coded
+                        if not of.all():
+                            score[~np.repeat(of, end - start, axis=1)] = -np.inf
+                    else:
+                        score = np.full((len(part), len(cell)), -np.inf, np.float32)
+                        for c in np.flatnonzero(of.any(0)):
+                            i = np.flatnonzero(of[:, c])
+                            score[i, start[c] : end[c]] = part[i] @ coded[:, start[c] : end[c]]
+                    if len(cell) > most:
+                        at = np.argpartition(score, len(cell) - most, axis=1)[:, -most:]
+                    else:
+                        at = np.broadcast_to(np.arange(len(cell)), score.shape)
+                    best = np.take_along_axis(score, at, 1)
+                    i, j = np.nonzero(best > -np.inf)
+                    rows.append(low + i), cols.append(at[i, j]), found.append(best[i, j])
+            one = lambda parts_, kind: np.concatenate(parts_) if parts_ else np.zeros(0, kind)
+            own, other = pa.array(one(rows, np.int64)), pa.array(one(cols, np.int64))
+            return pa.table({"qid": a["qid"].take(own), "seg": b["seg"].take(other), "item": b["item"].take(other), "cell": b["cell"].take(other),
+                    "near": pa.array(one(found, np.float32).astype(np.float64))})
 
         rough = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "qid long, seg string, item long, cell int, near double")
-        rough = tables.store(R.top_k(rough, ["qid"], most, F.col("near").desc(), F.col("item")).select("qid", "seg", "item", "cell"), "rough")
-        exact = self._read("vectors", live).select("cell", "seg", "item", "embedding").join(tables.small(rough), ["cell", "seg", "item"])
+        rough = R.top_k(rough, ["qid"], most, F.col("near").desc(), F.col("item"))
+        rough = tables.store(rough.select("qid", "seg", "item", "cell", (F.col("cell") % PARTS).alias("part")), "rough")
+        exact = self._read("vectors", live).select("part", "cell", "seg", "item", "embedding").join(tables.small(rough), ["part", "cell", "seg", "item"])
         exact = exact.join(tables.small(asked), "qid").select("qid", "item", V.dot("q", "embedding").alias("score"))
         return R.top_k(exact, ["qid"], k, F.round("score", 6).desc(), F.col("item"))
 
@@ -282,12 +336,19 @@ class Index:
         Measured against the exact search with at most TUNE of the index's own vectors as queries, picked by a hash.
         """
         live = self._live()[1]
-        items = self._counting(self._read("vectors", live), live).select("item", "embedding")
+        stored = self._counting(self._read("vectors", live), live)
+        items = stored.select("item", "embedding")
         keep = max(1, items.count() // (2 * TUNE))
         queries = items.where(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(keep)) == 0).orderBy(F.hash("item"), "item").limit(TUNE)
         queries = tables.store(queries.select(F.col("item").alias("qid"), F.col("embedding").alias("q")), "tune")
         exact = tables.store(R.vector_search(items, queries, k, item="item").select("qid", "item"), "exact")
         cells, probe = len(self.model()[0]), 4
+        # a search finds no hit outside the cells that it looks into: numbers of cells that hold too few of the exact hits need no trial
+        at = exact.join(stored.select("item", "cell"), "item").join(queries, "qid").select("q", "cell").toPandas()  # at most TUNE x k rows
+        near = nearest(unit(np.stack(at["q"]).astype(np.float64)), self.model()[0], cells) if len(at) else np.zeros((0, 1), int)
+        place = np.argmax(near == at["cell"].to_numpy()[:, None], axis=1)
+        while probe < cells and len(at) and (place < probe).mean() < goal - 1e-9:
+            probe *= 2
         while True:
             probe = min(probe, cells)
             got = recall(self.search(queries, k, probe, again), exact)

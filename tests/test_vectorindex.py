@@ -97,3 +97,16 @@ def test_recall_of_the_tables(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("item"), "embedding")
     q = e.where("item % 20 = 0").select(F.col("item").alias("qid"), F.col("embedding").alias("q"))
     assert VX.recall(R.vector_search(e, q, 10, item="item"), R.vector_search(e, q, 10, item="item")) == 1
+
+
+def test_few_folders_few_trials_and_few_rows_sent(spark, tmp_path, monkeypatch):
+    """Folders do not grow with the cells, tune tries no number of cells that cannot do, and bundles send less than cells would."""
+    vectors = {k: v.tolist() for k, v in enumerate(np.random.default_rng(4).normal(size=(1500, 16)).astype(np.float32))}
+    index = VX.Index(spark, str(tmp_path / "i"))
+    index.fit(frame(spark, vectors), cells=40)
+    index.upsert("one", frame(spark, vectors))
+    assert all(len(list((tmp_path / "i" / t).glob("*/*=*"))) <= VX.PARTS for t in ("lists", "vectors"))
+    tried, search = [], VX.Index.search
+    monkeypatch.setattr(VX.Index, "search", lambda self, q, k, probe, *a, **kw: tried.append(probe) or search(self, q, k, probe, *a, **kw))
+    probe, got = index.tune(10, 0.95)
+    assert got >= 0.95 and len(tried) <= 2 and probe == tried[-1]  # 4, 8, 16, 32 and 40 cells before
