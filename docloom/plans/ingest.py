@@ -237,7 +237,8 @@ def supersede(t):
     """Finished documents of which a later version (same collection and file name, other content) is there."""
     d = t.fx_documents.where(F.col("status").isin("done", "partial")).withColumn("filename",
             F.concat("lang", F.lit("_"), (F.col("doc_id") % 40).cast("string"), F.lit(".txt")))
-    w = Window.partitionBy("tenant_id", "collection", "filename").orderBy("doc_id").rowsBetween(1, Window.unboundedFollowing)
+    # from the last one back: a frame that grows row by row, where one that shrinks is computed anew for each row
+    w = Window.partitionBy("tenant_id", "collection", "filename").orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     other = (F.min("file_md5").over(w) != F.col("file_md5")) | (F.max("file_md5").over(w) != F.col("file_md5"))
     return d.select("doc_id", F.coalesce(other, F.lit(False)).alias("superseded"))
 

@@ -10,6 +10,7 @@ from docloom.functions import ports
 from docloom.functions import text as T
 from docloom.operators import retrieval as R
 from docloom.operators import staging, tables, workflow
+from docloom.plans import catalog
 from docloom.sources import objects, settings
 
 
@@ -185,3 +186,17 @@ def test_table_functions(spark):
     for bad in ("chunks(d.text, 'nothing')", "chunks(d.doc_id, 'parents')", "chunks(d.text, d.text)"):
         with pytest.raises(Exception, match="expected"):
             spark.sql(f"select c.* from {{docs}} d, lateral {bad} c", docs=docs).collect()
+
+
+def test_supersede_looks_at_each_document_once(spark, tmp_path):
+    """All documents are versions of one file; a frame that shrinks would be added up anew for each of them."""
+    text = lambda i: None if i % 700 == 20 else f"v{i // 4000}"
+    rows = [(40 * i + 4, text(i), "en", "s") for i in range(12_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["supersede"](spark, str(tmp_path))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString()
+    later, want = set(), {}
+    for doc_id, t, *_ in reversed(rows):
+        want[doc_id] = t is not None and bool(later - {t})
+        later |= {t} - {None}
+    assert {r["doc_id"]: r["superseded"] for r in got.collect()} == want
