@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,23 @@ def estimated_bytes(df: DataFrame) -> int:
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df, to be broadcast if its estimated size (four times that of its files, for what Parquet packs) is at most `most`."""
     return F.broadcast(df) if 4 * estimated_bytes(df) <= most else df
+
+
+def rows_of(batches: Iterable[pa.RecordBatch], at_once: int = 16) -> Iterator[tuple]:
+    """The rows of Arrow batches as Python values, of which only a few are there at a time: they take many times what Arrow takes."""
+    for b in batches:
+        for at in range(0, b.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, at_once).columns))
+
+
+def record_batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 5000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `most` rows, and of not much more than `size` bytes of text and data."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += sum(len(x) for x in r if isinstance(x, (str, bytes)))
+        if len(held) >= most or n >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)

@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.tables import record_batches as _batches
+from docloom.operators.tables import rows_of
+
 #: Main part of each kind of file, numbers of built-in date formats, placeholders that are titles.
 MAIN = {"xlsx": "xl/workbook.xml", "docx": "word/document.xml", "pptx": "ppt/presentation.xml"}
 DATE_FORMATS = {*range(14, 23), *range(45, 48)}
@@ -147,19 +150,6 @@ def _container(content: bytes, extension: str) -> Iterator[tuple]:
                         yield row(other, "image" if kind == "image" else "notes", i, str(j))
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 5000, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of at most `most` rows, and of not much more than `size` bytes of text and data."""
-    held, n = [], 0
-    for r in rows:
-        held.append(r)
-        n += sum(len(x) for x in r if isinstance(x, (str, bytes)))
-        if len(held) >= most or n >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-
-
 def _schema(text: str) -> pa.Schema:
     types = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
     return pa.schema([(n, types[t]) for n, t in (c.split() for c in text.split(", "))])
@@ -170,13 +160,12 @@ def parts(files: DataFrame) -> DataFrame:
 
     def run(batches):
         def rows():
-            for b in batches:
-                for path, content, extension in zip(*(b.column(i) for i in range(3))):
-                    try:
-                        for r in _container(content.as_py() or b"", extension.as_py()):
-                            yield (path.as_py(), *r)
-                    except Exception as e:  # whatever is wrong with one file is a row, not the end of the job
-                        yield path.as_py(), None, "damaged", 0, f"{type(e).__name__}: {e}", None, None, None
+            for path, content, extension in rows_of(batches, 1):
+                try:
+                    for r in _container(content or b"", extension):
+                        yield (path, *r)
+                except Exception as e:  # whatever is wrong with one file is a row, not the end of the job
+                    yield path, None, "damaged", 0, f"{type(e).__name__}: {e}", None, None, None
 
         return _batches(rows(), _schema(PARTS))
 
@@ -387,23 +376,19 @@ def read_parts(split: DataFrame) -> DataFrame:
 
     def run(batches):
         def rows():
-            for b in batches:
-                for r in b.to_pylist():
-                    head = r["path"], r["major"], r["name"]
-                    if r["kind"] == "damaged":
-                        yield head[0], "damaged", 0, None, 1 << 30, None, "DAMAGED", r["name"], None
+            for path, part, kind, major, name, extra, method, packed in rows_of(batches, 1):
+                if kind == "damaged":
+                    yield path, "damaged", 0, None, 1 << 30, None, "DAMAGED", name, None
+                    continue
+                try:
+                    if kind == "image":
+                        place = int(name) + ((1 << 29) if major == 0 else 0)
+                        yield path, "element", major, None, place, None, "IMAGE", "", b"".join(_inflate(method, packed))
                         continue
-                    try:
-                        if r["kind"] == "image":
-                            place = int(r["name"]) + ((1 << 29) if r["major"] == 0 else 0)
-                            data = b"".join(_inflate(r["method"], r["data"]))
-                            yield head[0], "element", r["major"], None, place, None, "IMAGE", "", data
-                            continue
-                        extra = json.loads(r["extra"]) if r["extra"] else None
-                        for kind, row, col, what, text, data in _READERS[r["kind"]](r["method"], r["data"], extra):
-                            yield head[0], kind, head[1], head[2], row, col, what, text, data
-                    except Exception as e:  # a part that breaks off is a row, not the end of the job
-                        yield head[0], "damaged", head[1], None, 1 << 30, None, "DAMAGED", f"{r['part']}: {type(e).__name__}: {e}", None
+                    for what, row, col, sort, text, data in _READERS[kind](method, packed, json.loads(extra) if extra else None):
+                        yield path, what, major, name, row, col, sort, text, data
+                except Exception as e:  # a part that breaks off is a row, not the end of the job
+                    yield path, "damaged", major, None, 1 << 30, None, "DAMAGED", f"{part}: {type(e).__name__}: {e}", None
 
         return _batches(rows(), _schema(READ))
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,23 @@ def test_table_functions(spark):
             spark.sql(f"select c.* from {{docs}} d, lateral {bad} c", docs=docs).collect()
 
 
+def test_rows_of_batches_come_a_few_at_a_time():
+    taken = []
+
+    class Batch:
+        num_rows = 100
+
+        def slice(self, at, n):
+            taken.append(at)
+            return pa.record_batch({"a": list(range(at, min(at + n, 100)))})
+
+    rows = tables.rows_of([Batch()])
+    assert [next(rows) for _ in range(3)] == [(0,), (1,), (2,)] and taken == [0]
+    assert [r[0] for r in rows] == list(range(3, 100))
+    assert [b.num_rows for b in tables.record_batches([("ab",)] * 7, pa.schema([("s", pa.string())]), 3)] == [3, 3, 1]
+    assert [b.num_rows for b in tables.record_batches([("ab",)] * 7, pa.schema([("s", pa.string())]), 100, 4)] == [2, 2, 2, 1]
+
+
 def test_supersede_looks_at_each_document_once(spark, tmp_path):
     """All documents are versions of one file; a frame that shrinks would be added up anew for each of them."""
     text = lambda i: None if i % 700 == 20 else f"v{i // 4000}"
