@@ -21,7 +21,7 @@ def remainder(n: int):
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Trained on labelled documents whose remainder by 3 is not 1."""
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder(3) != 1)
-    return toxicity.train(toxicity.labelled_sample(read(spark, sf_dir, "documents"), labels))
+    return toxicity.fit(read(spark, sf_dir, "documents"), labels)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

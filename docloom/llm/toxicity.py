@@ -10,6 +10,7 @@ a score.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators import tables
+
 from . import common
 
 #: Bounds of the labelled sample the model is fitted on: documents of either kind, and bytes of text in all.
@@ -343,8 +346,29 @@ def _scan(known: _Known, docs: list[list[str]]):
     return m, _document_features(m, lengths), lengths
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """train() on the labelled sample, in a task: the driver gets the model, not the bounded sample's texts and tables."""
+    rows = sampled(docs, labels)
+    if rows is None:
+        return train([])
+
+    def run(batches):
+        model = train([(text, toxic) for text, toxic, n in tables.rows_of(batches) for _ in range(n)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        common.give_back()
+
+    rows = rows.select("h", "tie", "text", "toxic", "n").repartition(1).sortWithinPartitions("h", "tie").select("text", "toxic", "n")
+    return pickle.loads(rows.mapInArrow(run, "model binary").first()[0])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most MAX_TOXIC + MAX_CLEAN labelled texts of MAX_BYTES in all, picked by hash; labels: (doc_id, toxic).
+    """The rows of sampled(), each as often as it counts."""
+    rows = sampled(docs, labels)
+    return [] if rows is None else [(r["text"], r["toxic"]) for r in rows.orderBy("h", "tie").collect() for _ in range(r["n"])]
+
+
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(h, tie, text, toxic, n: how often it counts); None without any. At most MAX_TOXIC + MAX_CLEAN labelled texts of MAX_BYTES in all, picked by hash; labels: (doc_id, toxic).
 
     Texts that do not fit are skipped and later ones taken. Toxic texts take half of the bytes at first, clean ones what those
     leave, and toxic ones what is left then, so that neither kind crowds out the other. A document with several labels counts as toxic if any says so; null labels and documents without one are left out.
@@ -368,10 +392,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
                     count[kind] += n
                     used += n * size
     if not taken:
-        return []
-    keys = docs.sparkSession.createDataFrame(list(taken), "h long, tie long")
-    texts = rows.join(F.broadcast(keys), ["h", "tie"]).dropDuplicates(["h", "tie"]).select("h", "tie", "text", "toxic").orderBy("h", "tie").collect()
-    return [(r["text"], r["toxic"]) for r in texts for _ in range(taken[r["h"], r["tie"]])]
+        return None
+    keys = docs.sparkSession.createDataFrame([(*k, n) for k, n in taken.items()], "h long, tie long, n int")
+    return rows.join(F.broadcast(keys), ["h", "tie"]).dropDuplicates(["h", "tie"]).select("h", "tie", "text", "toxic", "n")
 
 
 def joined(places: list[tuple[int, int]], p: np.ndarray) -> list[dict]:

@@ -167,3 +167,12 @@ def test_gradient_asks_for_its_tokens_part_by_part(monkeypatch):
     whole = toxicity.gradient(theta, lengths, (0.1, -0.2, 0.3), gold)
     assert len(asked) > 5 and max(p.stop - p.start for p in asked) <= 50
     assert all((a == b).all() for a, b in zip(by_part, whole))
+
+
+def test_training_leaves_the_texts_to_a_task(spark, sf, monkeypatch):
+    """The driver gets the model only, and it is the one that training on the collected sample gives."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    want = toxicity.train(toxicity.labelled_sample(docs, labels))
+    monkeypatch.setattr(toxicity, "labelled_sample", None)
+    got = toxicity.fit(docs, labels)
+    assert got == want and got.weight
