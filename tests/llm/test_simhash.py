@@ -186,6 +186,51 @@ def test_rounds_judge_every_candidate(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.one_of_each(df).collect()} == set(least.values())
 
 
+def test_a_large_group_of_failing_candidates_makes_no_pairs(spark, monkeypatch):
+    """400 edits of one text, most pairs of which are candidates and no near copies: no stored table grows with the pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"w{int(k)}" for k in rng.integers(0, 10_000, 200)]
+    texts = []
+    for m in range(400):
+        w = list(base)
+        for p in rng.integers(0, 200, int(rng.integers(0, 16))):
+            w[p] = f"e{m}x{p}"
+        texts.append(" ".join(w))
+    rows = []
+
+    def store(df, label="table", put=simhash.common.store):
+        out = put(df, label)
+        rows.append((out.count(), label))
+        return out
+
+    monkeypatch.setattr(simhash.common, "store", store)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    group, least = near_copy_groups(texts), {}
+    for i, t in enumerate(texts):
+        least.setdefault(group[t], i)
+    assert set(least.values()) <= kept and len(texts) - len(kept) >= 0.95 * (len(texts) - len(least)) > 50
+    assert len(least) > 50  # so many are no near copies
+    assert max(rows)[0] <= 4 * len(texts), max(rows)
+
+
+@pytest.mark.parametrize("piece", [200, 1 << 16])
+def test_pieces_of_groups_agree_with_all_pairs(spark, monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "ALIKE", -1.0)
+    monkeypatch.setattr(simhash, "RADIUS", 64)
+    rng = np.random.default_rng(10)
+    sets = [sorted(rng.choice(60, int(rng.integers(1, 50)), replace=False).tolist()) for _ in range(90)]
+    sets += [sorted({*rng.choice(range(60, 140), 3).tolist(), *range(60, 100)}) for _ in range(40)]
+    sets = [s if k % 10 else [1000 * k + x for x in s] for k, s in enumerate(sets)]  # groups of their own, which share nothing
+    rows = [(k, 0, 0, 0, 0, 1, 1, k, s, 7 if k % 10 else k) for k, s in enumerate(sets)]
+    points = spark.createDataFrame(rows, "k0 long, f0 long, f1 long, f2 long, f3 long, s0 long, s1 long, label long, s array<long>, within long")
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) - 1e-9]
+    found = [(r[0], r[1]) for r in simhash.within_groups(points).collect()]
+    assert len(near) > 20 and {(max(p), min(p)) for p in found} <= set(near)
+    parts = lambda pairs: {r[0]: r[1] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert parts(found) == parts(near)
+
+
 def test_one_of_each_decides_by_row(spark):
     t = " ".join(f"w{k}" for k in range(300))
     u = " ".join(f"u{k}" for k in range(80))
