@@ -5,6 +5,7 @@ import decimal
 import glob
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -53,3 +54,26 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_doc_quality_does_not_depend_on_partitions(spark, tmp_path):
+    """Means of exactly 0.5: the doubles are added in the order of the events, as the SQL adds them in one thread, however the rows are stored."""
+    rng = random.Random(5)
+    rows, n = [], 0
+    for user in range(300):
+        half = [rng.randrange(100) for _ in range(4)]
+        for v in rng.sample(half + [100 - x if x else 0 for x in half], 8):
+            rows.append((100 * n + v, user))
+            n += 1
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute("create table events (event_id bigint, user_id bigint)")
+    con.executemany("insert into events values (?, ?)", rows)
+    want = {k: float(v) for k, v in con.execute(catalog.ORACLE["doc_quality"]).fetchall()}
+    for files in (1, 3, 7):
+        part = rows[:]
+        rng.shuffle(part)
+        for i in range(files):
+            spark.createDataFrame(part[i::files], "event_id long, user_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{files}/events.parquet")
+        got = {r["user_id"]: r["score"] for r in catalog.QUERIES["doc_quality"](spark, f"{tmp_path}/{files}").collect()}
+        assert got.keys() == want.keys() and [k for k in want if abs(got[k] - want[k]) > 1e-9] == []
