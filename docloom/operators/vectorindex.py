@@ -12,7 +12,9 @@ Parts are folders, of which there are PARTS however many cells: a read lists few
 
 A search sends each query to its nearest cells, ranks their items by the codes alone (as the vectors that the codes stand for), and
 compares the best of them exactly. Cells with very many items are kept in slices, so that no task holds a whole cell, and slices are
-bundled, so that a query goes once to a bundle and brings the best of it, not the best of each cell. How many cells are needed for a wanted recall is measured against the exact search (`tune`), which stays beside it (`retrieval.vector_search`).
+bundled, so that a query goes once to a bundle and brings the best of it, not the best of each cell. Codes cannot tell near copies apart: a
+query with more of them around it than are compared exactly goes to the exact search (`retrieval.vector_search`) instead. How many cells
+are needed for a wanted recall, and how wide the second look, is measured against that search (`tune`).
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .textindex import ItemErrors
 MOST_CELLS, SAMPLE_EACH, ROUNDS, M, CODES = 4_096, 64, 4, 16, 256
 #: Items of a slice of a cell and of a bundle of slices, queries of a piece, queries ranked at once, queries that measure the recall.
 SLICE, BLOCK, ROWS, TUNE = 50_000, 1_024, 128, 64
+#: Items compared exactly for each one asked for, before `tune` has found that it takes more; what rounding adds to a product of codes.
+AGAIN, ROUNDING = 10, 1e-4
 #: Folders of cells.
 PARTS = 16
 _SCHEMAS = {
@@ -78,6 +82,11 @@ def encode(v: np.ndarray, centres: np.ndarray, books: np.ndarray) -> tuple[np.nd
     return cell, np.stack([nearest(rest[m], books[m])[:, 0] for m in range(M)], axis=1).astype(np.uint8)
 
 
+def decode(cell: np.ndarray, code: np.ndarray, centres: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that cells and codes stand for."""
+    return centres[cell] + np.concatenate([books[m][code[:, m]] for m in range(M)], axis=1)[:, : centres.shape[1]]
+
+
 def kmeans(sample: DataFrame, start: np.ndarray, split, rounds: int) -> np.ndarray:
     """Centres (groups, k, width) after rounds of k-means over a stored sample (embedding); split(matrix) gives (groups, rows, width).
 
@@ -120,7 +129,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.log = spark, Log(spark, path)
-        self._model = None
+        self._model, self.again = None, AGAIN
 
     def _live(self) -> tuple[int, dict]:
         entries = self.log.entries()
@@ -233,18 +242,28 @@ class Index:
 
     # ---- searching
 
-    def search(self, queries: DataFrame, k: int, probe: int = 16, again: int = 10, only: DataFrame | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probe: int = 16, again: int | None = None, only: DataFrame | None = None) -> DataFrame:
         """(qid, item, score, rank): the k items nearest to each query (qid, q) by cosine, of those found in its `probe` nearest cells.
 
-        The best again x k by their codes are compared exactly. only: (item) of the items that may be found. Null and zero queries and
-        queries of another length find nothing. An item in the nearest cells is never skipped before its code is looked at.
+        The best again x k by their codes (by default as many as `tune` found) are compared exactly; a query that so many lie as near to as its
+        own code does is searched exactly, so that an item always finds itself or k that are equal to it. only: (item) of the items
+        that may be found. Null and zero queries and queries of another length find nothing. An item in the nearest cells is never skipped
+        before its code is looked at.
         """
         live = self._live()[1]
         model = self.model()
         held = self.spark.sparkContext.broadcast(model)
         dim = model[0].shape[1]
         asked = queries.where(F.coalesce((F.size("q") == dim) & F.forall("q", lambda x: x.isNotNull()) & (V.norm("q") > 0), F.lit(False)))
-        asked = tables.store(asked.select(F.col("qid").cast("long").alias("qid"), V.l2_normalize("q").alias("q")), "queries")
+        asked = asked.select(F.col("qid").cast("long").alias("qid"), V.l2_normalize("q").alias("q"))
+
+        def own_code(batches):
+            for b in batches:
+                q = matrix(b.column("q")) if b.num_rows else np.zeros((0, dim))
+                cell, code = encode(q, *held.value)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((q * decode(cell, code, *held.value)).sum(1))], ["qid", "q", "own"])
+
+        asked = tables.store(asked.mapInArrow(own_code, "qid long, q array<double>, own double"), "queries")
 
         lists = self._counting(self._read("lists", live), live)
         if only is not None:
@@ -272,7 +291,7 @@ class Index:
                     at = np.flatnonzero(part.any(1))
                     if len(at):
                         told = pa.array([cells[x].tolist() for x in part[at]], pa.list_(pa.int32()))
-                        own = b.take(pa.array(at))
+                        own = b.select(["qid", "q"]).take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([*own.columns, told, pa.array(np.full(len(at), bundle, np.int32))], ["qid", "q", "cells", "bundle"])
 
         sent = tables.store(asked.mapInArrow(route, "qid long, q array<double>, cells array<int>, bundle int"), "probes")
@@ -280,7 +299,7 @@ class Index:
         left = sent.join(pieces, "bundle").select("qid", "q", "cells", "bundle", F.pmod(F.xxhash64("qid"), F.col("_b")).cast("int").alias("block"))
         right = lists.join(F.broadcast(bundled), ["cell", "slice"]).join(pieces, "bundle")
         right = right.select("seg", "item", "code", "cell", "bundle", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("block"))
-        keys, most = ("bundle", "block"), again * k
+        keys, most = ("bundle", "block"), (again or self.again) * k
 
         def rank(a: pa.Table, b: pa.Table) -> pa.Table:
             rows, cols, found = [], [], []
@@ -289,9 +308,7 @@ class Index:
                 b = b.sort_by([("cell", "ascending"), ("item", "ascending")])
                 cell = np.asarray(b["cell"])
                 code = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, M)
-                # what the codes stand for: its products are the sums of the parts' products
-                coded = np.concatenate([books[m][code[:, m]] for m in range(M)], axis=1)[:, : centres.shape[1]]
-                coded = (centres[cell] + coded).astype(np.float32).T
+                coded = decode(cell, code, centres, books).astype(np.float32).T
                 start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
                 end = np.r_[start[1:], len(cell)]
                 q = matrix(a["q"].combine_chunks()).astype(np.float32)
@@ -325,20 +342,32 @@ class Index:
 
         rough = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, "qid long, seg string, item long, cell int, near double")
         rough = R.top_k(rough, ["qid"], most, F.col("near").desc(), F.col("item"))
-        rough = tables.store(rough.select("qid", "seg", "item", "cell", (F.col("cell") % PARTS).alias("part")), "rough")
-        exact = self._read("vectors", live).select("part", "cell", "seg", "item", "embedding").join(tables.small(rough), ["part", "cell", "seg", "item"])
+        rough = tables.store(rough.select("qid", "seg", "item", "cell", (F.col("cell") % PARTS).alias("part"), "near"), "rough")
+        last = rough.groupBy("qid").agg(F.count("*").alias("_n"), F.min("near").alias("_last")).where(F.col("_n") >= most)
+        crowded = tables.store(asked.join(tables.small(last), "qid").where(F.col("_last") >= F.col("own") - ROUNDING).select("qid", "q"), "crowded")
+        vectors = self._read("vectors", live).select("part", "cell", "seg", "item", "embedding")
+        told = rough.join(tables.small(crowded.select("qid")), "qid", "left_anti").drop("near")
+        exact = vectors.join(tables.small(told), ["part", "cell", "seg", "item"])
         exact = exact.join(tables.small(asked), "qid").select("qid", "item", V.dot("q", "embedding").alias("score"))
-        return R.top_k(exact, ["qid"], k, F.round("score", 6).desc(), F.col("item"))
+        found = R.top_k(exact, ["qid"], k, F.round("score", 6).desc(), F.col("item"))
+        if crowded.isEmpty():
+            return found
+        items = self._counting(vectors, live)
+        if only is not None:
+            items = items.join(tables.small(only.select("item")), "item", "left_semi")
+        return found.unionByName(R.vector_search(items.select("item", "embedding"), crowded, k, item="item"))
 
-    def tune(self, k: int = 10, goal: float = 0.95, again: int = 10) -> tuple[int, float]:
-        """Cells that a search must look into for a recall of `goal`, and the recall measured; every cell if nothing less will do.
+    def tune(self, k: int = 10, goal: float = 0.95, again: int = AGAIN) -> tuple[int, float]:
+        """Cells that a search must look into for a recall of `goal`, and the recall measured; every cell if nothing less will do, and then
+        as wide a second look as it takes, which searches through this object take from then on.
 
         Measured against the exact search with at most TUNE of the index's own vectors as queries, picked by a hash.
         """
         live = self._live()[1]
         stored = self._counting(self._read("vectors", live), live)
         items = stored.select("item", "embedding")
-        keep = max(1, items.count() // (2 * TUNE))
+        n = items.count()
+        keep = max(1, n // (2 * TUNE))
         queries = items.where(F.pmod(F.xxhash64(F.lit(7), "item"), F.lit(keep)) == 0).orderBy(F.hash("item"), "item").limit(TUNE)
         queries = tables.store(queries.select(F.col("item").alias("qid"), F.col("embedding").alias("q")), "tune")
         exact = tables.store(R.vector_search(items, queries, k, item="item").select("qid", "item"), "exact")
@@ -352,9 +381,13 @@ class Index:
         while True:
             probe = min(probe, cells)
             got = recall(self.search(queries, k, probe, again), exact)
-            if got >= goal or probe == cells:
+            if got >= goal or (probe == cells and again * k >= n):
+                self.again = again
                 return probe, got
-            probe *= 2
+            if probe == cells:
+                again *= 2
+            else:
+                probe *= 2
 
 
 def recall(found: DataFrame, exact: DataFrame, item: str = "item") -> float:

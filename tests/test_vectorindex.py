@@ -1,9 +1,13 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
 from docloom.operators import vectorindex as VX
+from docloom.plans import catalog
 
 KIND = "item long, embedding array<float>"
 
@@ -110,3 +114,45 @@ def test_few_folders_few_trials_and_few_rows_sent(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(VX.Index, "search", lambda self, q, k, probe, *a, **kw: tried.append(probe) or search(self, q, k, probe, *a, **kw))
     probe, got = index.tune(10, 0.95)
     assert got >= 0.95 and len(tried) <= 2 and probe == tried[-1]  # 4, 8, 16, 32 and 40 cells before
+
+
+def test_an_item_among_many_near_copies_finds_itself_and_its_nearest(spark, tmp_path):
+    """Codes cannot tell near copies apart: more of them than the second look takes must not push out a query's own item."""
+    rng = np.random.default_rng(6)
+    v = np.r_[rng.normal(size=(1500, 32)), rng.normal(size=(1, 32)) + 0.02 * rng.normal(size=(600, 32))].astype(np.float32)
+    vectors = {k: x.tolist() for k, x in enumerate(v)}
+    index = VX.Index(spark, str(tmp_path / "i"))
+    index.fit(frame(spark, vectors))
+    index.upsert("one", frame(spark, vectors))
+    index.delete("two", spark.createDataFrame([(1500,)], "item long"))
+    near, others = {k: vectors[k] for k in range(1501, 2101, 10)}, {k: vectors[k] for k in range(0, 1500, 50)}
+    got = found(index, spark, near | others, 10, 1000)
+    assert [k for k in near | others if k not in got[k]] == []
+    assert 1500 not in set().union(*got.values()) and all(len(x) == 10 for x in got.values())
+    only = spark.createDataFrame([(k,) for k in range(1500, 2101, 2)], "item long")
+    assert all(not {i for i in x if i % 2} for x in found(index, spark, near, 10, 1000, only=only).values())
+
+
+def test_a_second_look_as_wide_as_it_takes(spark, tmp_path):
+    """Where every cell is looked into and codes still miss too much, more items are compared exactly."""
+    vectors = {k: v.tolist() for k, v in enumerate(np.random.default_rng(7).normal(size=(1500, 48)).astype(np.float32))}
+    index = VX.Index(spark, str(tmp_path / "i"))
+    index.fit(frame(spark, vectors), cells=4)
+    index.upsert("one", frame(spark, vectors))
+    probe, got = index.tune(10, 0.95, again=1)
+    assert probe == 4 and got >= 0.95 and index.again > 1
+    queries = {k: vectors[k] for k in range(0, 1500, 15)}
+    assert share(found(index, spark, queries, 10, probe), exact(vectors, queries, 10)) >= 0.9
+
+
+def test_recall_query_of_copies_and_of_any_length(spark, tmp_path):
+    """Equal vectors come by id, so of thirty only ten find themselves by number; vectors that are not of unit length count by their direction."""
+    v = np.random.default_rng(8).normal(size=(40, 16))
+    rows = np.concatenate([v * (1 + c % 3) for c in range(30)]).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(rows)), pa.int64()), "embedding": pa.array(rows.tolist(), pa.list_(pa.float32())),
+            "label": pa.array([0] * len(rows), pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["vector_index_recall"](spark, str(tmp_path)).select("qid", "asked", "found_itself", "enough").collect())
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert got == sorted(con.execute(catalog.ORACLE["vector_index_recall"]).fetchall())
